@@ -32,7 +32,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._folio_path = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table of ``saved`` that nothing reads any more."""
+    jvm = table.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(table._folio_path)
+    path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
