@@ -40,8 +40,9 @@ def write_archive(pages: DataFrame, path: str, min_revisit: int = 100, id_col: s
     heads = rows.select("page_id", "url", "digest", "n").join(firsts, "digest")
     kind = F.when((F.col("n") >= min_revisit) & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")), "revisit").otherwise("response")
     heads.select("digest", _header(kind).alias("header")).write.parquet(f"{path}/headers")
-    # one row of each digest holds the bytes; only repeated ids leave more than one to choose from
-    once = rows.select("digest", "payload", "page_id").join(firsts, (rows["digest"] == firsts["digest"]) & rows["page_id"].eqNullSafe(firsts["first_id"]), "left_semi")
+    # one row of each digest holds the bytes; only repeated ids leave more than one to choose from.
+    # no id is below the first one, so "<=" finds it and the rows stay dealt by digest alone
+    once = rows.select("digest", "payload", "page_id").join(firsts, "digest").where("page_id <= first_id or first_id is null")
     once.dropDuplicates(["digest"]).select("digest", "payload").write.parquet(f"{path}/payloads")
 
 
