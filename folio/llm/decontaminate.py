@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .store import keyed, saved
+from .store import keyed, row_key, saved
 
 #: Bound of the broadcast filter, 16 MB; a benchmark too large for it only passes more candidates.
 BLOOM_BITS = 1 << 27
@@ -175,3 +175,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, gram: int
         near.select("k1", "k2", "doc_id", "n_words").join(n_hit, ["k1", "k2"], "left").join(named, ["k1", "k2"], "left")
         .select("k1", "k2", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
                 F.coalesce("items", F.array().cast("array<string>")).alias("items")))
+
+
+def clean_rows(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns as they were, that hold no window of the benchmark."""
+    dirty = saved(contamination(docs, items, id_col=id_col, text_col=text_col, **options).where("n_hit > 0").select("k1", "k2").distinct(), "bench-dirty")
+    others = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*row_key(id_col, text_col), *[F.col(f"`{c}`").alias(n) for c, n in others.items()]).join(dirty, ["k1", "k2"], "left_anti")
+    return rows.select(*[F.col(n).alias(c) for c, n in others.items()])

@@ -211,7 +211,7 @@ def train(docs: DataFrame, rows_per_label: int = 250, **columns) -> Model | None
     return fit([r["text"] for r in got], [r["lang"] for r in got])
 
 
-def _predicted(shared):
+def _predicted(shared, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model | None = shared.value
         for b in batches:
@@ -222,7 +222,7 @@ def _predicted(shared):
                 if model is not None:
                     langs, scores = predict(model, texts[first : first + n], raw, starts)
                 part = b.slice(first, n)
-                names = [x for x in b.schema.names if x != "text"]
+                names = [x for x in b.schema.names if with_text or x != "text"]
                 yield pa.RecordBatch.from_arrays([*(part.column(x) for x in names), pa.array(langs, pa.string()), pa.array(scores)], names=[*names, "lang_pred", "score"])
 
     return run
@@ -251,9 +251,17 @@ def predict(model: Model, texts: list[str], raw: np.ndarray, starts: np.ndarray)
     return langs, top
 
 
-def identify(docs: DataFrame, model: Model | None, keep: list | None = None, text_col: str = "text") -> DataFrame:
-    """Columns ``keep`` (of ``docs``), then ``lang_pred`` and ``score`` of each row's text."""
+def identify(docs: DataFrame, model: Model | None, keep: list | None = None, text_col: str = "text", with_text: bool = False) -> DataFrame:
+    """Columns ``keep`` (of ``docs``), the text if asked for (null: empty), then ``lang_pred`` and ``score``."""
     kept = docs.select(*(keep or []), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = "".join(f"`{n}` {t}, " for n, t in kept.dtypes[:-1])
-    return kept.mapInArrow(_predicted(shared), fields + "lang_pred string, score double")
+    fields = "".join(f"`{n}` {t}, " for n, t in kept.dtypes if with_text or n != "text")
+    return kept.mapInArrow(_predicted(shared, with_text), fields + "lang_pred string, score double")
+
+
+def accepted(docs: DataFrame, model: Model | None, least_score: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they were, whose language is known with at least ``least_score``."""
+    others = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != text_col}
+    found = identify(docs, model, [F.col(f"`{c}`").alias(n) for c, n in others.items()], text_col, with_text=True)
+    found = found.where((F.col("lang_pred") != UND) & (F.col("score") >= least_score))
+    return found.select(*[F.col(others.get(c, "text")).alias(c) for c in docs.columns])

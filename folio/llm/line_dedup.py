@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import keyed, saved
+from .store import keyed, row_key, saved
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANK = " \t\n\x0b\x0c\r"
@@ -178,6 +178,20 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_fi
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``k1, k2, doc_id, text, n_lines, n_dropped`` for each row, ``text`` with its lines dropped."""
     maps = keep_bitmaps(docs, min_docs=min_docs, min_chars=min_chars, keep_first=keep_first, id_col=id_col, text_col=text_col)
-    rows = keyed(docs, id_col, text_col).withColumn("n_lines", F.size(F.split("text", "\n", -1)).cast("long"))
-    joined = rows.join(maps, ["k1", "k2"], "left").select("k1", "k2", "doc_id", "text", "n_lines", "keep")
-    return joined.mapInArrow(_kept, "k1 long, k2 long, doc_id long, text string, n_lines long, n_dropped long")
+    return apply_bitmaps(keyed(docs, id_col, text_col).withColumn("n_lines", F.size(F.split("text", "\n", -1)).cast("long")), maps)
+
+
+def apply_bitmaps(rows: DataFrame, maps: DataFrame) -> DataFrame:
+    """``rows`` (with ``k1, k2, text``) without the lines that their bitmaps leave out, and ``n_dropped``."""
+    joined = rows.join(maps, ["k1", "k2"], "left").select(*rows.columns, "keep")
+    fields = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
+    return joined.mapInArrow(_kept, fields + ", n_dropped long")
+
+
+def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns as they were but for the text and its length ``n_chars``."""
+    others = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != text_col}
+    rows = docs.select(*row_key(id_col, text_col), *[F.col(f"`{c}`").alias(n) for c, n in others.items()], F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kept = apply_bitmaps(rows, keep_bitmaps(docs, id_col=id_col, text_col=text_col, **options))
+    size = {"n_chars": F.length("text").cast("long")}
+    return kept.select(*[size.get(c, F.col(others.get(c, "text"))).alias(c) for c in docs.columns])

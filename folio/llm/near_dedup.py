@@ -27,12 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytesops as B
 from .components import components
-from .store import keyed, saved
+from .store import keyed, row_key, saved
 
 HASHES, CHUNKS, RADIUS, BLOCK_ROWS, LEAST_PERCENT = 64, 13, 24, 256, 85
 WORD_BYTES = bytes(sorted(set(range(256)) - {0x20, *range(0x09, 0x0E)}))
@@ -210,7 +210,7 @@ def _mixed_pairs(members: DataFrame, nodes: DataFrame, labels: DataFrame) -> Dat
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``k1, k2, doc_id, n_shingles, component_id, kept`` for each row."""
+    """``k1, k2, doc_id, n_shingles, component_id, kept, root`` for each row; ``root`` names the class (null: empty set)."""
     if percent < LEAST_PERCENT:
         raise ValueError(f"the signatures' radius holds for {LEAST_PERCENT} percent and more")
     sets = saved(keyed(docs, id_col, text_col).mapInArrow(_signed(shingle), _SETS), "near-sets")
@@ -229,8 +229,21 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, id_col
     named = named.join(labels.select(F.col("node.n1").alias("n1"), F.col("node.n2").alias("n2"), "root"), ["n1", "n2"], "left")
     named = named.withColumn("root", F.coalesce("root", F.struct("n1", "n2")))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = named.join(least, "root").select("n1", "n2", "component_id")
+    classes = named.join(least, "root").select("n1", "n2", "root", "component_id")
     out = sets.select("k1", "k2", "doc_id", "n_shingles", "n1", "n2").join(classes, ["n1", "n2"], "left")
     empty = F.col("n_shingles") == 0
     return out.select("k1", "k2", "doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-                      (empty | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))).alias("kept"))
+                      (empty | F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))).alias("kept"), "root")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns as they were: of each class the one with the smallest id, and all without words."""
+    near = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "k1", "k2")
+    first = near.where("root is not null").groupBy("root").agg(F.min(place).alias("x")).select("x.k1", "x.k2")
+    keep = saved(first.unionByName(near.where("root is null").select("k1", "k2")).distinct(), "near-kept")
+    others = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*row_key(id_col, text_col), *[F.col(f"`{c}`").alias(n) for c, n in others.items()]).join(keep, ["k1", "k2"])
+    # rows that repeat id and text are one document
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("k2"))).where("nth = 1")
+    return rows.select(*[F.col(n).alias(c) for c, n in others.items()])
