@@ -10,8 +10,9 @@ average and in more than 24 once in several hundred thousand pairs.
 Equal sets are one node from the start.  Links are only wanted for classes, so no group is
 expanded into pairs: every member of a bucket is first compared with the bucket's smallest and
 largest node, and the classes this gives are contracted.  Buckets that still hold several classes
-are then compared completely between classes, in blocks of bounded size.  Every candidate is
-confirmed on the full sets.
+are then compared completely between classes: small ones by signatures, large ones by their sets
+in blocks of bounded size, of which only a spanning forest of links leaves a task.  Every
+candidate is confirmed on the full sets.
 
 Defined cases: texts that are null or have no word have an empty set and are linked with nothing;
 texts of fewer words than a shingle are one shingle of all their words; rows that repeat an id
@@ -34,7 +35,9 @@ from . import bytesops as B
 from .components import components
 from .store import keyed, row_key, saved
 
-HASHES, CHUNKS, RADIUS, BLOCK_ROWS, LEAST_PERCENT = 64, 13, 24, 256, 85
+HASHES, CHUNKS, RADIUS, LEAST_PERCENT = 64, 13, 24, 85
+#: Buckets up to ``SMALL_ROWS`` are compared by signatures; larger ones by sets, ``BLOCK_ROWS`` against as many.
+SMALL_ROWS, BLOCK_ROWS, SHINGLE_BYTES = 64, 1024, 6
 WORD_BYTES = bytes(sorted(set(range(256)) - {0x20, *range(0x09, 0x0E)}))
 _rng = np.random.default_rng(20240229)
 _ODD = _rng.integers(0, 2**64, HASHES, np.uint64, endpoint=False) | np.uint64(1)
@@ -138,22 +141,97 @@ def _confirmed(size: int, percent: int):
     return run
 
 
+def _first_common(same: np.ndarray) -> np.ndarray:
+    """For rows of equal-symbol flags: the index of the first key that both signatures have (or HASHES)."""
+    wrong = np.add.reduceat(~same, _EDGES[:-1], axis=1, dtype=np.int64)
+    chunk = np.argmax(wrong <= 1, axis=1)
+    out = np.full(len(same), HASHES)
+    for c in np.unique(chunk):
+        own = np.flatnonzero((chunk == c) & (wrong[:, c] <= 1))
+        # argmax is 0, the chunk's first symbol, where all symbols are equal
+        out[own] = _EDGES[c] + np.argmax(~same[own, _EDGES[c] : _EDGES[c + 1]], axis=1)
+    return out
+
+
 def _across(key: tuple, rows: pa.Table) -> pa.Table:
-    """Pairs of different classes within the radius, between (or inside) two blocks of a bucket."""
+    """Pairs of different classes within the radius in a small bucket, each in the first bucket it shares."""
     sig = _matrix(rows.column("sig").combine_chunks())
-    node, label = rows.column("n1").to_numpy(), rows.column("label").to_numpy()
-    side, n = rows.column("block").to_numpy(), rows.column("n_shingles").to_numpy()
-    i, j = key[1].as_py(), key[2].as_py()
-    left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
-    out_a, out_b = [], []
-    for x in left:
-        y = right if i != j else right[node[right] > node[x]]
+    node, label, n = (rows.column(c).to_numpy() for c in ("n1", "label", "n_shingles"))
+    order = np.argsort(node)
+    sig, node, label, n = sig[order], node[order], label[order], n[order]
+    index = int(np.flatnonzero(chunk_keys(sig[:1])[0].view(np.int64) == key[0].as_py())[0])
+    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for x in range(len(node) - 1):
+        y = np.arange(x + 1, len(node))
         y = y[(label[y] != label[x]) & (100 * np.minimum(n[y], n[x]) >= LEAST_PERCENT * np.maximum(n[y], n[x]))]
-        y = y[(sig[y] != sig[x]).sum(1) <= RADIUS]
-        out_a += [np.minimum(node[y], node[x])]
-        out_b += [np.maximum(node[y], node[x])]
-    cat = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
-    return pa.table({"a": pa.array(cat(out_a)), "b": pa.array(cat(out_b))})
+        same = sig[y] == sig[x]
+        y = y[((~same).sum(1) <= RADIUS) & (_first_common(same) == index)] if len(y) else y
+        out_a.append(np.full(len(y), node[x]))
+        out_b.append(node[y])
+    return pa.table({"a": pa.array(np.concatenate(out_a)), "b": pa.array(np.concatenate(out_b))})
+
+
+def _short_sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            packed = [np.ascontiguousarray(s).view(np.uint8).reshape(-1, 8)[:, :SHINGLE_BYTES].tobytes() for _, s in shingle_sets(b.column("text").to_pylist(), size)]
+            yield pa.RecordBatch.from_arrays([b.column("n1"), pa.array(packed, pa.binary())], names=["n1", "shingles"])
+
+    return run
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // SHINGLE_BYTES, 8), np.uint8)
+    wide[:, :SHINGLE_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, SHINGLE_BYTES)
+    return wide.view(np.uint64).ravel()
+
+
+def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of all intersections between two lists of sets, by products of slices of their incidence matrix."""
+    size = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = times[col] > 1  # a shingle in one set is in no intersection
+    owner, col = owner[often], np.unique(col[often], return_inverse=True)[1]
+    order = np.argsort(col, kind="stable")
+    owner, col = owner[order], col[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(col[-1]) + 1 if len(col) else 0, 2048):
+        a, z = np.searchsorted(col, [at, at + 2048])
+        part = np.zeros((len(sets), 2048), np.float32)
+        part[owner[a:z], col[a:z] - at] = 1
+        out += part[left] @ part[right].T
+    return out
+
+
+def _joined_classes(percent: int):
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        """A spanning forest of the links between classes, for two blocks of a large bucket."""
+        node, label, side, n = (rows.column(c).to_numpy() for c in ("n1", "label", "block", "n_shingles"))
+        out: list[tuple[int, int]] = []
+        if len(np.unique(label)) > 1:
+            sets = [_unpacked(x) for x in rows.column("shingles").to_pylist()]
+            left, right = np.flatnonzero(side == key[1].as_py()), np.flatnonzero(side == key[2].as_py())
+            both = common_counts(sets, left, right)
+            linked = (100 * both >= percent * (n[left][:, None] + n[right][None, :] - both)) & (label[left][:, None] != label[right][None, :])
+            parent = {x: x for x in label.tolist()}
+
+            def root(x: int) -> int:
+                while parent[x] != x:
+                    parent[x] = parent[parent[x]]
+                    x = parent[x]
+                return x
+
+            for i, j in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
+                a, b = root(int(label[left[i]])), root(int(label[right[j]]))
+                if a != b:
+                    parent[a] = b
+                    x, y = int(node[left[i]]), int(node[right[j]])
+                    out.append((min(x, y), max(x, y)))
+        cols = list(zip(*out)) or [[], []]
+        return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64())})
+
+    return run
 
 
 class _Join:
@@ -164,6 +242,14 @@ class _Join:
         self.nodes = saved(sets.where("n_shingles > 0").select("n1", "n2", "n_shingles", "sig").dropDuplicates(["n1", "n2"]), "near-nodes")
         self.sets = sets
 
+    def lend_texts(self, members: DataFrame) -> None:
+        """Keep one text of each node that shares a bucket; all later comparisons read these."""
+        used = self.nodes.join(members.select("n1").distinct(), "n1", "left_semi").select("n1", "n2")
+        row = self.sets.join(used, ["n1", "n2"]).groupBy("n1", "n2").agg(F.min("k1").alias("k1"))
+        row = self.sets.join(row, ["n1", "n2", "k1"]).groupBy("n1", "n2", "k1").agg(F.min("k2").alias("k2"))
+        texts = keyed(*self.docs).join(row, ["k1", "k2"]).select("n1", "n2", "text")
+        self.texts = saved(texts, "near-texts")
+
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Of candidates ``a, b`` (first halves of node names) the linked ones, as whole names."""
         ends = self.nodes.select("n1", "n2", "n_shingles", "sig")
@@ -172,11 +258,7 @@ class _Join:
         near = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {p} * greatest(n_a, n_b)")
         near = near.select("ka", "kb", "sig_a", "sig_b").mapInArrow(_close, "ka struct<n1:long,n2:long>, kb struct<n1:long,n2:long>")
         near = saved(near.select(F.col("ka.n1").alias("a1"), F.col("ka.n2").alias("a2"), F.col("kb.n1").alias("b1"), F.col("kb.n2").alias("b2")), "near-pairs")
-        used = near.select(F.col("a1").alias("n1"), F.col("a2").alias("n2")).unionByName(near.select(F.col("b1").alias("n1"), F.col("b2").alias("n2"))).distinct()
-        # one row of each node lends its text
-        row = self.sets.join(used, ["n1", "n2"]).groupBy("n1", "n2").agg(F.min("k1").alias("k1"))
-        row = self.sets.join(row, ["n1", "n2", "k1"]).groupBy("n1", "n2", "k1").agg(F.min("k2").alias("k2"))
-        text = saved(keyed(*self.docs).join(row, ["k1", "k2"]).select("n1", "n2", "text"), "near-texts")
+        text = self.texts
         b = near.join(text.select(F.col("n1").alias("b1"), F.col("n2").alias("b2"), F.col("text").alias("text_b")), ["b1", "b2"])
         both = b.join(text.select(F.col("n1").alias("a1"), F.col("n2").alias("a2"), F.col("text").alias("text_a")), ["a1", "a2"])
         both = both.select(F.struct("a1", "a2").alias("a"), F.struct("b1", "b2").alias("b"), F.concat_ws(":", "a1", "a2").alias("ka"), "text_a", "text_b")
@@ -185,28 +267,24 @@ class _Join:
         return saved(linked.select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b")), "near-links")
 
 
-def _mixed_pairs(members: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Candidates between different classes in one bucket, all of them, by bounded blocks."""
-    # a class is named by one long here; classes whose names collide are told apart by the check of sets
+def _mixed_pairs(members: DataFrame, join: _Join, labels: DataFrame) -> DataFrame:
+    """Candidates between different classes of one bucket that decide whether the classes are linked."""
+    # a class is named by one long here; colliding names would only hide a pair with odds of 2**-64
     label = labels.select(F.col("node.n1").alias("n1"), F.xxhash64("root.n1", "root.n2").alias("label")).dropDuplicates(["n1"])
     rows = members.join(label, "n1", "left").withColumn("label", F.coalesce("label", F.xxhash64("n1")))
-    mixed = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+    mixed = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x <> y").select("key", "n")
     rows = saved(rows.join(mixed, "key"), "near-mixed")
-    by_class = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
-    by_class = by_class.withColumn("small", F.col("n") < BLOCK_ROWS)
-    pool = by_class.where("small").groupBy("key").agg(F.ceil(F.sum("n") / BLOCK_ROWS).cast("int").alias("pools"))
-    by_class = by_class.join(pool, "key", "left")
-    # a large class has blocks of its own; small ones share blocks; a block is named by a hash
-    own = F.xxhash64("label", F.lit(1))
-    shape = by_class.select("key", "label", "small", F.when(F.col("small"), F.col("pools")).otherwise(F.ceil(F.col("n") / BLOCK_ROWS).cast("int")).alias("parts"))
-    block = F.when(F.col("small"), F.pmod(F.xxhash64("n1", "label"), F.col("parts"))).otherwise(own + F.pmod(F.xxhash64("n1"), F.col("parts")))
-    placed = rows.join(shape, ["key", "label"]).withColumn("block", block)
-    blocks = placed.groupBy("key", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    left, right = blocks.select("key", F.col("block").alias("i"), F.col("lo").alias("li"), F.col("hi").alias("hi")), blocks.select("key", F.col("block").alias("j"), F.col("lo").alias("lj"), F.col("hi").alias("hj"))
-    tasks = left.join(right, "key").where("i <= j and not (li = hi and lj = hj and li = lj)").select("key", "i", "j")
-    sent = tasks.withColumn("block", F.explode(F.array_distinct(F.array("i", "j")))).join(placed.select("key", "block", "n1", "label"), ["key", "block"])
-    sent = sent.join(nodes.select("n1", "n_shingles", "sig"), "n1")
-    return sent.select("key", "i", "j", "block", "n1", "label", "n_shingles", "sig").groupBy("key", "i", "j").applyInArrow(_across, "a long, b long").distinct()
+    of = lambda x: x.join(join.nodes.select("n1", "n_shingles", "sig"), "n1")
+    small = of(rows.where(F.col("n") <= SMALL_ROWS)).select("key", "n1", "label", "n_shingles", "sig").groupBy("key").applyInArrow(_across, "a long, b long")
+    # a row of a large bucket meets all of the bucket's blocks, one after another in separate groups
+    parts = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
+    large = rows.where(F.col("n") > SMALL_ROWS).select("key", "n1", "label", parts.alias("parts"), F.pmod(F.xxhash64("n1"), parts).cast("int").alias("block"))
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j"))))
+    sets = join.texts.mapInArrow(_short_sets(join.size), "n1 long, shingles binary")
+    sent = large.select("key", "n1", "label", "block", pair.alias("p")).join(sets, "n1").join(join.nodes.select("n1", "n_shingles"), "n1")
+    sent = sent.select("key", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "block", "n1", "label", "n_shingles", "shingles")
+    forest = sent.groupBy("key", "i", "j").applyInArrow(_joined_classes(join.percent), "a long, b long")
+    return small.unionByName(forest).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,11 +296,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, id_col
     keys = join.nodes.select("n1", "sig").mapInArrow(_keyed, "key long, n1 long")
     shared = keys.groupBy("key").agg(F.min("n1").alias("lo"), F.max("n1").alias("hi")).where("lo <> hi")
     members = saved(keys.join(shared, "key"), "near-members")
+    join.lend_texts(members)
     ends = F.explode(F.array("lo", "hi"))
     stars = members.select("n1", ends.alias("c")).where("n1 <> c").select(F.least("n1", "c").alias("a"), F.greatest("n1", "c").alias("b")).distinct()
     links = join.confirmed(stars)
     labels = components(links)
-    more = join.confirmed(_mixed_pairs(members.select("key", "n1"), join.nodes, labels))
+    more = join.confirmed(_mixed_pairs(members.select("key", "n1"), join, labels))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     named = sets.where("n_shingles > 0").groupBy("n1", "n2").agg(F.min("doc_id").alias("least"))
