@@ -77,33 +77,20 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows, sorted by anchor, whose anchor has a neighbour; a partition's first and last anchor may have one elsewhere."""
     held: pa.RecordBatch | None = None
-    at_start = True
+    paired, first = False, None
     for b in batches:
         if not b.num_rows:
             continue
         if held is not None:
             b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
         kh = b.column("kh").to_numpy()
+        first = kh[0] if first is None else first
         same = kh[1:] == kh[:-1]
-        keep = np.append(same, False) | np.insert(same, 0, False)
-        if at_start:
-            keep |= kh == kh[0]
-        # the last row stays back, to be compared with the next batch's first; if it has a
-        # neighbour in this batch that neighbour is kept already
+        keep = np.append(same, False) | np.insert(same, 0, paired) | (kh == first)
+        # the last row stays back, to be compared with the next batch's first
         n = len(kh) - 1
-        if n:
-            yield b.slice(0, n).filter(pa.array(keep[:n]))
-            if same[-1]:
-                held, at_start = b.slice(n), False
-                yield held
-                held = b.slice(n)
-                carried = True
-            else:
-                held, at_start, carried = b.slice(n), False, False
-        else:
-            held, carried = b, False
-        if carried:
-            held = b.slice(n)
+        yield b.slice(0, n).filter(pa.array(keep[:n], pa.bool_()))
+        held, paired = b.slice(n), bool(keep[n])
     if held is not None:
         yield held
 
