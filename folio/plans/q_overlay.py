@@ -137,7 +137,7 @@ def q_validate_files(spark, sf_dir):
 
 # words of a block as its lines: x by length, four to a row
 LINES = """ln as (select doc, id, ord, unnest(ws) as text, unnest(range(len(ws))) as k from (select doc, id, ord, list_filter(string_split(text, ' '), lambda x: x <> '')[1:12] as ws from blocks where ord % 3 = 0)),
-lines_ as (select doc, id, cast(k as int) as line_no, text, cast(50 + (k % 4) * 100 as double) as x0, 50 + (k % 4) * 100 + length(text) * 5.0 + 20 as x1, 40 + (k // 4) * 12 + (k % 4) * 0.9 as y, 40 + (k // 4) * 12 + (k % 4) * 0.9 as y0, 50 + (k // 4) * 12 + (k % 4) * 0.9 as y1, 10.0 as h, 9.0 + k % 4 as size from ln)"""
+lines_ as (select doc, id, cast(k as int) as line_no, text, cast(50 + (k % 4) * 100 as double) as x0, 50 + (k % 4) * 100 + length(text) * 5.0 + 20 as x1, 40 + (k // 4) * 12 + (k % 4) * cast(0.9 as double) as y, 40 + (k // 4) * 12 + (k % 4) * cast(0.9 as double) as y0, 50 + (k // 4) * 12 + (k % 4) * cast(0.9 as double) as y1, cast(10.0 as double) as h, cast(9.0 + k % 4 as double) as size from ln)"""
 
 
 def lines(rows):

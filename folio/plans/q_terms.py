@@ -255,7 +255,7 @@ def q_draw_ops(spark, sf_dir):
     return layout.draw_ops(flat)
 
 
-@query("""select conv_id as doc, 1 as page, unnest([0, 1, 2]) as seq, unnest(['box', 'text', 'text']) as op, unnest([55.0, 61.0, 61.0]) as x, unnest([630.0, 644.0, 658.0]) as y, unnest(['557,772', 'Notice', 'Unofficial translation.']) as text, unnest([0.0, 10.0, 8.0]) as fs from (select distinct conv_id from conversations)""")
+@query("""select conv_id as doc, 1 as page, unnest([0, 1, 2]) as seq, unnest(['box', 'text', 'text']) as op, cast(unnest([55.0, 61.0, 61.0]) as double) as x, cast(unnest([630.0, 644.0, 658.0]) as double) as y, unnest(['557,772', 'Notice', 'Unofficial translation.']) as text, cast(unnest([0.0, 10.0, 8.0]) as double) as fs from (select distinct conv_id from conversations)""")
 def q_notice_box(spark, sf_dir):
     docs = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc")).distinct()
     return layout.notice_box(docs, "Notice", "Unofficial translation.")
@@ -270,10 +270,10 @@ def q_markdown_segments(spark, sf_dir):
     return rows.select("doc", "ord", "text", markdown.unmasked(F.col("text"), F.col("kept")).alias("back"))
 
 
-@query("with e as (select time_bucket(interval '10 minutes', ts) as start, event_type, value from events) select start, event_type, count(*) as n, sum(value) as total from e group by 1, 2")
+@query("with e as (select time_bucket(interval '10 minutes', ts) as start, event_type, value from events) select start, event_type, count(*) as n, round(sum(value), 2) as total from e group by 1, 2")
 def q_windowed_counts(spark, sf_dir):
     """Beyond the documents: the streaming aggregate on a table."""
-    return incremental.windowed_counts(table(spark, sf_dir, "events")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
+    return incremental.windowed_counts(table(spark, sf_dir, "events")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
 @query(f"with {BLOCKS_SQL}, t as (select doc, id, text || '!' as zh from blocks where ord % 3 = 0), n as (select doc, id, text || '?' as zh from blocks where ord % 5 = 0) select coalesce(t.doc, n.doc) as doc, coalesce(t.id, n.id) as id, coalesce(n.zh, t.zh) as zh from t full outer join n on t.doc = n.doc and t.id = n.id")

@@ -150,7 +150,7 @@ def q_doc_reassemble(spark, sf_dir):
 
 @query("""with m as (select doc_id, unnest([{'p': 'src/a.pdf', 'd': 3}, {'p': 'b', 'd': 104}]) as x from documents)
 select doc_id, case when x.p = 'b' then 'b' else 'a' end as base, doc_id || '_c' || lpad(cast(x.d as varchar), cast(greatest(2, length(cast(x.d as varchar))) as int), '0') as label, cast(doc_id as varchar) as doc,
-(doc_id % 256) / 255.0 as blue, (x.d % 256) / 255.0 as green, 1.5 as crop_x0 from m""")
+(doc_id % 256) / 255.0 as blue, (x.d % 256) / 255.0 as green, cast(1.5 as double) as crop_x0 from m""")
 def q_names_and_units(spark, sf_dir):
     """File stems, zero-padded chunk labels and back, packed colours, crop specifications."""
     files = F.array(F.struct(F.lit("src/a.pdf").alias("p"), F.lit(3).alias("d")), F.struct(F.lit("b").alias("p"), F.lit(104).alias("d")))
