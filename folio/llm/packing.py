@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import bytesops as B
 from .store import keyed, saved
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
@@ -111,25 +112,25 @@ def plan(counts: dict[int, int], size: int) -> list[tuple[int, int, int, int]]:
         while left:
             room = tree.tightest(length)
             if room is None:
-                rows.append((length, rank, n_bins, 0))
-                # as one piece after another would: full bins first, then one more for the rest
-                first, took = n_bins, left // (size // length) or 1
-                n_bins += took
-                offset = 0
+                room, first, have = size, n_bins, left
             else:
                 first, have = bins[room].pop()
-                took = min(left, have)
+            # the bin just used is the tightest until it is full, so bins fill one after another
+            per = room // length
+            took, levels = (min(have, left // per), per) if left >= per else (1, left)
+            rows += [(length, rank + j * took, first, size - room + j * length) for j in range(levels)]
+            if first == n_bins:
+                n_bins += took
+            else:
                 if took < have:
                     bins[room].append((first + took, have - took))
                 if not bins[room]:
                     tree.put(room, False)
-                offset = size - room
-                rows.append((length, rank, first, offset))
-            if after := size - offset - length:
+            if after := room - levels * length:
                 if not bins.get(after):
                     tree.put(after, True)
                 bins.setdefault(after, []).append((first, took))
-            rank, left = rank + took, left - took
+            rank, left = rank + levels * took, left - levels * took
     return rows
 
 
@@ -154,10 +155,10 @@ def _placed(rows: list[tuple[int, int, int, int]]):
 def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of each piece."""
     rows = keyed(docs, id_col, text_col).select("doc_id", "text")
-    pieces = saved(rows.mapInArrow(_tokenised(tokenizer, size, end_id), PIECES), "pieces")
+    pieces = saved(rows.mapInArrow(B.bounded(_tokenised(tokenizer, size, end_id)), PIECES), "pieces")
     by_task = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = saved(by_task.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "piece-bases")
     counts = {r["length"]: r["n"] for r in bases.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # ``size`` rows at most
     ranked = pieces.join(bases.drop("n"), ["task", "length"]).withColumn("rank", F.col("base") + F.col("nth"))
-    return ranked.mapInArrow(_placed(plan(counts, size)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(B.bounded(_placed(plan(counts, size))), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
