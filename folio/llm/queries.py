@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, line_dedup, near_dedup, packing, secret_scan, substring_dedup, suffix_dedup, warc
+from . import ann, decontaminate, langid, line_dedup, near_dedup, oracles, packing, secret_scan, substring_dedup, suffix_dedup, warc
 from .store import new_path
 
 
@@ -79,4 +79,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_substring_dedup, op2_best_fit_packing, op3_language_id, op4_near_dedup, op5_suffix_dedup, op6_nearest_neighbours, op7_warc_archive, op8_line_dedup, op9_secret_scan, op10_decontamination)
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_near_dedup": oracles.OP4, "op7_warc_archive": oracles.OP7, "op8_line_dedup": oracles.OP8, "op10_decontamination": oracles.OP10}
