@@ -7,11 +7,13 @@ own.  Hashes are polynomials modulo 2**64 over ``byte + 1`` with a final mix.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
-SLICE = 1 << 20
+SLICE = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _GRAM = 0xD6E8FEB86659FD93
 _powers: dict[tuple[int, bool], np.ndarray] = {}
@@ -109,3 +111,19 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
         size *= 2
     rest = w - size
     return np.minimum(have[: len(x) - w + 1], have[rest : rest + len(x) - w + 1])
+
+
+def bounded(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Give freed memory back when a task's batches are done: workers live on and are used again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return run

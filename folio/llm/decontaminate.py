@@ -153,7 +153,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, gram: int
     whole, bits = bloom(marks, n_marks)
     shared = spark.sparkContext.broadcast(whole)
     near = keyed(docs, id_col, text_col).mapInArrow(
-        _candidates(shared, bits, sorted(sizes), window, gram),
+        B.bounded(_candidates(shared, bits, sorted(sizes), window, gram)),
         "k1 long, k2 long, doc_id long, n_words long, near array<struct<start:int,size:int,w1:long,w2:long>>")
     near = saved(near, "bench-near")
     hint = F.broadcast if n_windows <= BROADCAST_WINDOWS else (lambda x: x)

@@ -7,8 +7,9 @@ documents in several languages, so that transitions are learned too.  Words are
 forward-backward over the whole text, and a document takes the language with the largest mean
 probability.
 
-Fitting uses ``rows_per_label`` rows a label, those with the smallest hash of their id; prediction
-reads nothing but the text.
+Fitting uses ``rows_per_label`` rows a label of at most ``max_chars`` characters, those with the
+smallest hash of their id, whole; that bounds the driver's memory.  Prediction reads nothing but
+the text.
 
 Defined cases: text that is null or has no letter is ``und`` with score 0; rows with a null id may
 be predicted and never train; repeated rows each get the result; with no labelled row every text
@@ -26,13 +27,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .store import row_key
+from .store import row_key, small_batches
 
 UND = "und"
 BITS = 18
 BLOCK = 64
 LETTER_BYTES = bytes([*range(0x61, 0x7B), *range(0x80, 0x100)])
-PREDICT_SLICE = 2 << 20
+PREDICT_SLICE = 1 << 20
 
 
 @dataclass
@@ -146,7 +147,7 @@ def fit(texts: list[str], langs: list[str], steps_of: int = 48, epochs: int = 3,
     for first, raw, starts in B.slices(texts):
         word, begin, end, doc = B.words(raw, starts, B.table(LETTER_BYTES))
         owner, feature = word_features(raw, begin, end, word)
-        owners.append(owner + offset)
+        owners.append((owner + offset).astype(np.int32))
         feats.append(feature.astype(np.int32))
         lang = np.array([labels.index(x) for x in langs[first : first + len(starts) - 1]])
         gold.append(lang[doc])
@@ -196,8 +197,8 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def training_rows(docs: DataFrame, rows_per_label: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
+def training_rows(docs: DataFrame, rows_per_label: int, max_chars: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
+    rows = docs.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= max_chars) & ~held_out(id_col))
     rows = rows.select(F.col(label_col).alias("lang"), F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col)).alias("h"), *row_key(id_col, text_col))
     pick = Window.partitionBy("lang").orderBy("h", "doc_id", "k2")
     chosen = rows.withColumn("r", F.row_number().over(pick)).where(F.col("r") <= rows_per_label).select("k1", "k2", "lang", "h").distinct()
@@ -206,8 +207,8 @@ def training_rows(docs: DataFrame, rows_per_label: int, id_col: str = "doc_id",
     return texts.join(F.broadcast(chosen), ["k1", "k2"]).dropDuplicates(["k1", "k2", "lang"]).select("h", "k2", "lang", "text")
 
 
-def train(docs: DataFrame, rows_per_label: int = 250, **columns) -> Model | None:
-    got = training_rows(docs, rows_per_label, **columns).orderBy("h", "k2", "lang").collect()
+def train(docs: DataFrame, rows_per_label: int = 120, max_chars: int = 20_000, **columns) -> Model | None:
+    got = training_rows(docs, rows_per_label, max_chars, **columns).orderBy("h", "k2", "lang").collect()
     return fit([r["text"] for r in got], [r["lang"] for r in got])
 
 
@@ -253,10 +254,11 @@ def predict(model: Model, texts: list[str], raw: np.ndarray, starts: np.ndarray)
 
 def identify(docs: DataFrame, model: Model | None, keep: list | None = None, text_col: str = "text", with_text: bool = False) -> DataFrame:
     """Columns ``keep`` (of ``docs``), the text if asked for (null: empty), then ``lang_pred`` and ``score``."""
+    small_batches(docs.sparkSession)
     kept = docs.select(*(keep or []), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = "".join(f"`{n}` {t}, " for n, t in kept.dtypes if with_text or n != "text")
-    return kept.mapInArrow(_predicted(shared, with_text), fields + "lang_pred string, score double")
+    return kept.mapInArrow(B.bounded(_predicted(shared, with_text)), fields + "lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, model: Model | None, least_score: float = 0.5, text_col: str = "text") -> DataFrame:

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bytesops as B
 from .store import keyed, row_key, saved
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -185,7 +186,7 @@ def apply_bitmaps(rows: DataFrame, maps: DataFrame) -> DataFrame:
     """``rows`` (with ``k1, k2, text``) without the lines that their bitmaps leave out, and ``n_dropped``."""
     joined = rows.join(maps, ["k1", "k2"], "left").select(*rows.columns, "keep")
     fields = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
-    return joined.mapInArrow(_kept, fields + ", n_dropped long")
+    return joined.mapInArrow(B.bounded(_kept), fields + ", n_dropped long")
 
 
 def without_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -256,14 +256,14 @@ class _Join:
         side = lambda x: ends.select(F.col("n1").alias(x), F.struct("n1", "n2").alias(f"k{x}"), F.col("n_shingles").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
         p = self.percent
         near = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {p} * greatest(n_a, n_b)")
-        near = near.select("ka", "kb", "sig_a", "sig_b").mapInArrow(_close, "ka struct<n1:long,n2:long>, kb struct<n1:long,n2:long>")
+        near = near.select("ka", "kb", "sig_a", "sig_b").mapInArrow(B.bounded(_close), "ka struct<n1:long,n2:long>, kb struct<n1:long,n2:long>")
         near = saved(near.select(F.col("ka.n1").alias("a1"), F.col("ka.n2").alias("a2"), F.col("kb.n1").alias("b1"), F.col("kb.n2").alias("b2")), "near-pairs")
         text = self.texts
         b = near.join(text.select(F.col("n1").alias("b1"), F.col("n2").alias("b2"), F.col("text").alias("text_b")), ["b1", "b2"])
         both = b.join(text.select(F.col("n1").alias("a1"), F.col("n2").alias("a2"), F.col("text").alias("text_a")), ["a1", "a2"])
         both = both.select(F.struct("a1", "a2").alias("a"), F.struct("b1", "b2").alias("b"), F.concat_ws(":", "a1", "a2").alias("ka"), "text_a", "text_b")
         kind = "struct<n1:long,n2:long>"
-        linked = both.mapInArrow(_confirmed(self.size, p), "a struct<a1:long,a2:long>, b struct<b1:long,b2:long>")
+        linked = both.mapInArrow(B.bounded(_confirmed(self.size, p)), "a struct<a1:long,a2:long>, b struct<b1:long,b2:long>")
         return saved(linked.select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b")), "near-links")
 
 
@@ -280,7 +280,7 @@ def _mixed_pairs(members: DataFrame, join: _Join, labels: DataFrame) -> DataFram
     parts = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
     large = rows.where(F.col("n") > SMALL_ROWS).select("key", "n1", "label", parts.alias("parts"), F.pmod(F.xxhash64("n1"), parts).cast("int").alias("block"))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j"))))
-    sets = join.texts.mapInArrow(_short_sets(join.size), "n1 long, shingles binary")
+    sets = join.texts.mapInArrow(B.bounded(_short_sets(join.size)), "n1 long, shingles binary")
     sent = large.select("key", "n1", "label", "block", pair.alias("p")).join(sets, "n1").join(join.nodes.select("n1", "n_shingles"), "n1")
     sent = sent.select("key", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "block", "n1", "label", "n_shingles", "shingles")
     forest = sent.groupBy("key", "i", "j").applyInArrow(_joined_classes(join.percent), "a long, b long")
@@ -291,9 +291,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, id_col
     """``k1, k2, doc_id, n_shingles, component_id, kept, root`` for each row; ``root`` names the class (null: empty set)."""
     if percent < LEAST_PERCENT:
         raise ValueError(f"the signatures' radius holds for {LEAST_PERCENT} percent and more")
-    sets = saved(keyed(docs, id_col, text_col).mapInArrow(_signed(shingle), _SETS), "near-sets")
+    sets = saved(keyed(docs, id_col, text_col).mapInArrow(B.bounded(_signed(shingle)), _SETS), "near-sets")
     join = _Join((docs, id_col, text_col), sets, shingle, percent)
-    keys = join.nodes.select("n1", "sig").mapInArrow(_keyed, "key long, n1 long")
+    keys = join.nodes.select("n1", "sig").mapInArrow(B.bounded(_keyed), "key long, n1 long")
     shared = keys.groupBy("key").agg(F.min("n1").alias("lo"), F.max("n1").alias("hi")).where("lo <> hi")
     members = saved(keys.join(shared, "key"), "near-members")
     join.lend_texts(members)

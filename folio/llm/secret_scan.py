@@ -103,7 +103,7 @@ def _scan(path: str, min_random: int, max_chars_per_token: float):
 def secret_spans(docs: DataFrame, vocabulary: str, min_random: int = 16, max_chars_per_token: float = 2.0,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``k1, k2, doc_id, spans`` of each row: spans by start, then kind in the order of ``KINDS``."""
-    return keyed(docs, id_col, text_col).mapInArrow(_scan(vocabulary, min_random, max_chars_per_token), SCHEMA)
+    return keyed(docs, id_col, text_col).mapInArrow(B.bounded(_scan(vocabulary, min_random, max_chars_per_token)), SCHEMA)
 
 
 def joined_spans(spans: list[dict]) -> str:

@@ -44,6 +44,13 @@ def discard(table: DataFrame) -> None:
     path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows of whole texts go to Python workers 2,000 at a time unless the session asks for fewer."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= 2000:
+        spark.conf.set(name, "2000")
+
+
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
     """Two non-null longs that name a row by its id and text.
 
@@ -58,5 +65,6 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``k1, k2, doc_id, text`` (null text: empty); other columns are left out, so no names clash."""
+    small_batches(docs.sparkSession)
     return docs.select(*row_key(id_col, text_col), F.col(id_col).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -89,7 +89,7 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``k1, k2, at, first`` of chunks that occur more than once; ``first``: the copy that stays."""
-    chunks = saved(keyed(docs, id_col, text_col).mapInArrow(_chunked, _CHUNKS), "chunks")
+    chunks = saved(keyed(docs, id_col, text_col).mapInArrow(B.bounded(_chunked), _CHUNKS), "chunks")
     often = chunks.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
     copies = saved(chunks.join(often, ["h1", "h2"]), "chunk-copies")
     discard(chunks)
@@ -139,4 +139,4 @@ def dedup_substrings(docs: DataFrame, min_run: int = 80, id_col: str = "doc_id",
     found = repeated_chunks(docs, id_col, text_col).dropDuplicates(["k1", "k2", "at"])
     per_doc = found.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "first")).alias("chunks"))
     joined = keyed(docs, id_col, text_col).join(per_doc, ["k1", "k2"], "left").select("k1", "k2", "doc_id", "text", "chunks")
-    return joined.mapInArrow(_kept(min_run), "k1 long, k2 long, doc_id long, n_bytes long, n_repeated long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
+    return joined.mapInArrow(B.bounded(_kept(min_run)), "k1 long, k2 long, doc_id long, n_bytes long, n_repeated long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")

@@ -235,7 +235,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``k1, k2, a, z``: byte ranges under repeated strings; they may overlap."""
-    rows = saved(keyed(docs, id_col, text_col).mapInArrow(_anchored, _ANCHORS), "anchors")
+    rows = saved(keyed(docs, id_col, text_col).mapInArrow(B.bounded(_anchored), _ANCHORS), "anchors")
     # the range keeps an anchor's rows side by side and still splits a hot one over many tasks
     dealt = rows.repartitionByRange("kh", "c1", "c2", "k1", "k2", "at").sortWithinPartitions("kh")
     some = saved(dealt.mapInArrow(_shared, _ANCHORS), "anchor-rows")
@@ -248,8 +248,8 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     want = contexts.join(mixed, "kh").select("x.k1", "x.k2", F.struct("kh", "n", (F.col("kinds") > ANCHOR_CONTEXTS).alias("many"), "x.at").alias("w"))
     want = want.groupBy("k1", "k2").agg(F.collect_list("w").alias("want"))
     texts = keyed(docs, id_col, text_col).join(want, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("k1", "k2", "text", "want")
-    cut = saved(texts.mapInArrow(_cut_out, "kh long, n long, many boolean, k1 long, k2 long, at long, bytes binary"), "context-bytes")
-    ends = cut.where("not many").drop("many").repartition("kh").sortWithinPartitions("kh").mapInArrow(_expanded, _MARKS)
+    cut = saved(texts.mapInArrow(B.bounded(_cut_out), "kh long, n long, many boolean, k1 long, k2 long, at long, bytes binary"), "context-bytes")
+    ends = cut.where("not many").drop("many").repartition("kh").sortWithinPartitions("kh").mapInArrow(B.bounded(_expanded), _MARKS)
     ends = saved(ends, "end-marks")
     marks = whole.unionByName(ends)
     many = cut.where("many")
@@ -283,4 +283,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``k1, k2, doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans`` of each row."""
     marks = repeated_ranges(docs, id_col, text_col).groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "z")).alias("ranges"))
     joined = keyed(docs, id_col, text_col).join(marks, ["k1", "k2"], "left").select("k1", "k2", "doc_id", "text", "ranges")
-    return joined.mapInArrow(_kept, "k1 long, k2 long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
+    return joined.mapInArrow(B.bounded(_kept), "k1 long, k2 long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
