@@ -89,10 +89,14 @@ def _nearest(top: int):
         out: tuple[list, list, list] = ([], [], [])
         if rows.num_rows and asked.num_rows:
             v, ids = _matrix(rows.column("v")), rows.column("vec_id").to_numpy()
+            repeated = len(np.unique(ids)) < len(ids)
             for q, x in zip(asked.column("vec_id").to_pylist(), _matrix(asked.column("v")), strict=True):
                 gap = v - x
                 dist = np.sqrt((gap * gap).sum(1))
                 dist[ids == q] = np.inf
+                if repeated:  # the nearest row of an id speaks for it
+                    order = np.lexsort((dist, ids))
+                    dist[order[1:][ids[order[1:]] == ids[order[:-1]]]] = np.inf
                 near = np.lexsort((ids, dist))[:top] if len(ids) <= 4 * top else _smallest(dist, ids, top)
                 near = near[np.isfinite(dist[near])]
                 for col, x_ in zip(out, ([q] * len(near), ids[near].tolist(), dist[near].tolist()), strict=True):
@@ -109,12 +113,14 @@ def _smallest(dist: np.ndarray, ids: np.ndarray, top: int) -> np.ndarray:
 
 
 def valid(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    x = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")).where("vec_id is not null and size(v) > 0")
+    kind = dict(rows.dtypes)[vec_col]
+    v = F.col(vec_col) if kind in ("array<float>", "array<double>") else F.col(vec_col).cast("array<double>")
+    x = rows.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and size(v) > 0")
     fine = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0)
     return x.where(F.coalesce(fine, F.lit(False)))
 
 
-def search(rows: DataFrame, queries: DataFrame, top: int = 10, tables: int = 10, depth: int = 1, probes: int = 10,
+def search(rows: DataFrame, queries: DataFrame, top: int = 10, tables: int = 16, depth: int = 1, probes: int = 16,
            bucket_rows: int = 8192, seed: int = 7, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``top`` nearest rows found for each query."""
     rows, asked = valid(rows, id_col, vec_col), valid(queries, id_col, vec_col).dropDuplicates(["vec_id"])
@@ -124,7 +130,7 @@ def search(rows: DataFrame, queries: DataFrame, top: int = 10, tables: int = 10,
     rows, asked = rows.where(F.size("v") == size["d"]), asked.where(F.size("v") == size["d"])
     same = Window.partitionBy(F.xxhash64("v"), "v").orderBy("vec_id")
     rows = rows.withColumn("r", F.dense_rank().over(same)).where(F.col("r") <= top + 1).select("vec_id", "v")
-    schema = "tab int, bucket long, vec_id long, v array<double>"
+    schema = f"tab int, bucket long, vec_id long, v {dict(rows.dtypes)['v']}"
     placed = rows.mapInArrow(_bucketed(tables, depth, 1, seed), schema)
     # at most tables * (2 d)**depth counts, and no more than rows
     parts = saved(placed.groupBy("tab", "bucket").agg(F.ceil(F.count("*") / bucket_rows).cast("int").alias("parts")), "ann-buckets")

@@ -43,8 +43,8 @@ def test_chunks(odd, none):
     found = substring_dedup.dedup_substrings(odd).collect()
     assert Counter(r.doc_id for r in found) == Counter(i for i, _ in TEXTS)
     by = {r.doc_id: r for r in found}
-    assert by[6].n_removed == 0 and by[6].n_repeated > 400_000 and by[7].n_removed > 400_000
-    assert [r.n_removed for r in found if r.doc_id == 1] == [0, 0]
+    assert by[6].n_removed < by[6].n_repeated and by[6].n_repeated > 400_000 and by[7].n_removed > 400_000
+    assert len({(r.n_removed, r.kept_sha256) for r in found if r.doc_id == 1}) == 1
     assert by[3].n_bytes == by[2].n_bytes == 0
     assert substring_dedup.dedup_substrings(none).count() == 0
 
@@ -53,7 +53,7 @@ def test_near(odd, none):
     found = near_dedup.near_duplicates(odd).collect()
     assert len(found) == len(TEXTS)
     by = {(r.doc_id, r.n_shingles): r for r in found}
-    assert [r.component_id for r in found if r.doc_id in (2, 3, 4)].sort() == [2, 3, 4].sort()
+    assert sorted(r.component_id for r in found if r.doc_id in (2, 3, 4)) == [2, 3, 4]
     assert all(r.kept and r.component_id == r.doc_id for r in found if r.n_shingles == 0)
     size = len(brute.shingles(TEXTS[6][1]))
     assert by[(6, size)].component_id == 6 and by[(7, size + 1)].component_id == 6
