@@ -160,5 +160,6 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 2, id_
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = saved(by_task.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "piece-bases")
     counts = {r["length"]: r["n"] for r in bases.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # ``size`` rows at most
-    ranked = pieces.join(bases.drop("n"), ["task", "length"]).withColumn("rank", F.col("base") + F.col("nth"))
+    # the bases grow with the number of tasks, so they are never broadcast
+    ranked = pieces.join(bases.drop("n").hint("merge"), ["task", "length"]).withColumn("rank", F.col("base") + F.col("nth"))
     return ranked.mapInArrow(B.bounded(_placed(plan(counts, size))), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
