@@ -48,14 +48,15 @@ def resolve(rows: DataFrame, book: RuleBook = SAMPLE) -> DataFrame:
     rule = F.when(F.col("norm_key").isin(*book.skip), "skip").when(sig.isin(*book.signatures), "signature")
     zh = F.when(F.col("norm_key").isin(*book.skip), F.lit(None).cast("string")).when(sig.isin(*book.signatures), _from_signature(sig, template, book))
     for i, (pattern, words) in enumerate(book.patterns):
-        rule = rule.when(sig.rlike(pattern), f"pattern{i}")
-        zh = zh.when(sig.rlike(pattern), template if words is None else T.replace_words(template, words))
+        found = sig.rlike(f"^(?:{pattern})")
+        rule = rule.when(found, f"pattern{i}")
+        zh = zh.when(found, template if words is None else T.replace_words(template, words))
     same = sig.rlike(book.identity_prefix) | sig.isin(*book.identity) | ~sig.rlike("[A-Za-z]{2,}") | T.is_symbolic(F.col("text"), runs=True)
     return rows.select("doc", "norm_key", "n", "seen", "sig", "text", zh.when(same, template).alias("zh"), rule.when(same, "identity").otherwise("missing").alias("rule"))
 
 
 def missing_signatures(resolved: DataFrame) -> DataFrame:
-    """``doc, sig, sample``: unanswered signatures, each once, with the first text seen."""
-    first = Window.partitionBy("doc", "sig").orderBy("seen")
+    """``doc, sig, sample``: unanswered signatures, each once over all documents, with the first text seen."""
+    first = Window.partitionBy("sig").orderBy("doc", "seen")
     rows = resolved.where("rule = 'missing'").withColumn("r", F.row_number().over(first)).where("r = 1")
     return rows.select("doc", "sig", F.left("text", F.lit(70)).alias("sample"))

@@ -58,14 +58,16 @@ def pseudo_blocks(lines: DataFrame, merged: DataFrame, translations: DataFrame,
     """``doc, id, parent_id, line_no, text, zh``: each line of a column-merged block as a block of its own.
 
     Blocks stay whole unless they have two lines, are not rotated and their translation has as many lines.
+    Holes take the whole block's numbers.
     """
     if rotated is not None:
         merged = merged.join(rotated.select("doc", "id"), ["doc", "id"], "left_anti")
-    size = lines.groupBy("doc", "id").agg(F.count("*").alias("n"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n")
+    size = lines.groupBy("doc", "id").agg(F.count("*").alias("n"), joined.alias("parent"))
     split = translations.where("zh is not null and zh <> ''").withColumn("parts", F.split("zh", "\n", -1))
-    fit = merged.join(size, ["doc", "id"]).where("n >= 2").join(split, ["doc", "id"]).where(F.size("parts") == F.col("n")).select("doc", "id", "parts")
+    fit = merged.join(size, ["doc", "id"]).where("n >= 2").join(split, ["doc", "id"]).where(F.size("parts") == F.col("n")).select("doc", "id", "parts", "parent")
     rows = lines.join(fit, ["doc", "id"])
-    zh = F.nullif(T.restore_runs(F.element_at("parts", F.col("line_no") + 1), F.col("text"), blank=True), F.lit(""))
+    zh = F.nullif(T.restore_runs(T.strip(F.element_at("parts", F.col("line_no") + 1)), F.col("parent"), blank=True), F.lit(""))
     return rows.select("doc", F.concat("id", F.lit("#"), F.col("line_no").cast("string")).alias("id"), F.col("id").alias("parent_id"), "line_no", "text", zh.alias("zh"))
 
 
@@ -84,9 +86,10 @@ def line_pitch(lines: DataFrame) -> DataFrame:
 
 
 def paragraph_like(widths: Column, width: Column, cfg: EngineConfig = DEFAULT) -> Column:
-    """Most lines nearly fill the block."""
-    full = F.size(F.filter(widths, lambda w: w > width * cfg.paragraph_line_share))
-    return (F.size(widths) > 0) & (full >= F.size(widths) * cfg.paragraph_share)
+    """Three lines or more, most of which but the last nearly fill the block."""
+    n = F.size(widths)
+    full = F.size(F.filter(F.slice(widths, F.lit(1), F.greatest(n - 1, F.lit(0))), lambda w: w > width * cfg.paragraph_line_share))
+    return (n >= 3) & (full >= F.greatest(F.lit(1), F.floor((n - 1) * cfg.paragraph_share)))
 
 
 def cell_expand(blocks: DataFrame, cells: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
@@ -95,5 +98,5 @@ def cell_expand(blocks: DataFrame, cells: DataFrame, cfg: EngineConfig = DEFAULT
     good = cells.where(f"x1 - x0 > {cfg.cell_min_width} and y1 - y0 > {cfg.cell_min_height}").select("doc", "page", "cell_no", *[F.col(c).alias("c" + c) for c in ("x0", "y0", "x1", "y1")])
     near = blocks.join(good, ["doc", "page"]).where((F.col("x0") >= F.col("cx0") - s) & (F.col("x1") <= F.col("cx1") + s) & (F.col("y0") >= F.col("cy0") - s) & (F.col("y1") <= F.col("cy1") + s))
     first = near.groupBy("doc", "id").agg(F.min_by(F.struct("cx0", "cx1"), "cell_no").alias("c"), F.min("x1").alias("x1"), F.min("x0").alias("x0"))
-    wider = (F.col("c.cx1") - F.col("c.cx0")) > (F.col("x1") - F.col("x0")) + 3
+    wider = (F.col("c.cx1") - 2 > F.col("x1") + 3) | (F.col("c.cx0") + 2 < F.col("x0") - 3)
     return first.select("doc", "id", F.when(wider, F.col("c.cx0") + 2).otherwise(F.col("x0")).alias("x0"), F.when(wider, F.col("c.cx1") - 2).otherwise(F.col("x1")).alias("x1"))

@@ -67,9 +67,9 @@ def render_action(blocks: DataFrame, merged: DataFrame, keep: tuple[str, ...], d
     rows = blocks.join(merged, ["doc", "id"], "left")
     s = T.strip(F.col("text"))
     drawn = T.restore_runs(F.col("zh"), F.col("text"))
-    verbatim = s.rlike(r"^[0-9\s.,\-–—/()%]+$") | T.is_symbolic(F.col("text"))
+    verbatim = s.rlike(r"^[0-9\s.,\-–—°×/%≥≤<>+=()^\[\]]+$") | T.is_symbolic(F.col("text"))
     action = (F.when(T.starts_with_any(s, keep), "KEEP").when(T.starts_with_any(s, drop), "DROP")
               .when(F.col("zh") == "__DROP__", "DROP").when(F.coalesce(F.col("zh"), F.lit("")) == "", F.when(verbatim, "VERBATIM").otherwise("UNTRANSLATED"))
-              .when(drawn.contains("⟦"), "UNRESOLVED").otherwise("DRAW"))
+              .when(drawn.rlike("⟦N[0-9]"), "UNRESOLVED").otherwise("DRAW"))
     text = F.when(action == "DRAW", F.when(F.instr("text", "\n") > 0, drawn).otherwise(F.replace(drawn, F.lit("\n"), F.lit(" ")))).when(action == "VERBATIM", F.col("text"))
     return rows.select("doc", "id", action.alias("action"), text.alias("zh"))

@@ -31,7 +31,11 @@ def box_mismatch(boxes: DataFrame, tolerance: float = 0.5) -> DataFrame:
     return rows.groupBy("doc").agg(F.count("*").alias("affected"), F.slice(F.array_sort(F.collect_list("page")), 1, 5).alias("samples"))
 
 
-def operator_balance(streams: DataFrame, opens: str, closes: str) -> DataFrame:
+# fixed values: the operators that save and restore a page's graphics state
+SAVE, RESTORE = r"(?:^|[\s>\]])q(?=[\s<\[]|$)", r"(?:^|[\s>\]])Q(?=[\s<\[]|$)"
+
+
+def operator_balance(streams: DataFrame, opens: str = SAVE, closes: str = RESTORE) -> DataFrame:
     """``doc, n_open, n_close, balanced`` of two patterns in ``text``."""
     rows = streams.groupBy("doc").agg(F.sum(F.regexp_count("text", F.lit(opens))).cast("long").alias("n_open"), F.sum(F.regexp_count("text", F.lit(closes))).cast("long").alias("n_close"))
     return rows.withColumn("balanced", F.col("n_open") == F.col("n_close"))
@@ -56,6 +60,7 @@ def watermarks(spans: DataFrame, hint: str | None = None, top: int = 10, share:
     Texts are grouped without their numbers; the commonest variant of a group is counted.
     """
     n = F.length("text")
+    spans = spans.withColumn("text", T.strip(F.col("text")))
     rows = spans.where((n > cfg.watermark_min_len) & (n < cfg.watermark_max_len)).withColumn("mask", T.digit_mask(F.col("text")))
     modal = first_seen_mode(rows, ["doc", "mask"], "text", "ord")
     pages = spans.groupBy("doc").agg(F.max("page").alias("all_pages"))
@@ -72,7 +77,8 @@ def rotated_top(spans: DataFrame, least: int = 10, top: int = 5) -> DataFrame:
     """``doc, text, n``: the commonest rotated texts, then those that are common enough."""
     from .validate import samples
 
-    rows = spans.where("rotated").groupBy("doc", F.left("text", F.lit(40)).alias("text")).agg(F.count("*").alias("n"), F.min("ord").alias("seen"))
+    s = T.strip(F.col("text"))
+    rows = spans.where(F.col("rotated") & (s != "")).groupBy("doc", F.left(s, F.lit(40)).alias("text")).agg(F.count("*").alias("n"), F.min("ord").alias("seen"))
     return samples(rows, ["doc"], [F.desc("n"), "seen"], top).where(F.col("n") >= least).drop("seen")
 
 

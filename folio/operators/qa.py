@@ -36,18 +36,22 @@ def bad_footers(feet: DataFrame, pattern: str, cfg: EngineConfig = DEFAULT) -> D
     return feet.where((F.col("page") > 2) & (s != "") & T.has_wide_cjk(F.col("text")) & ~F.col("text").rlike(pattern))
 
 
-def overprint(spans: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
+def overprint(spans: DataFrame, cfg: EngineConfig = DEFAULT, wide: bool = True) -> DataFrame:
     """``doc, page, i, j``: pairs on a page that overlap by more than the tolerance each way, with other texts.
 
     Rectangles are dealt over horizontal tiles, so that a dense page is compared tile by tile; a
-    pair is reported in the first tile that both touch.
+    pair is reported in the first tile that both touch.  Only texts of two characters or more count,
+    and only CJK ones if ``wide``; one text drawn twice is bold print.
     """
+    spans = spans.where(F.length(T.strip(F.col("text"))) > 1)
+    if wide:
+        spans = spans.where(T.has_wide_cjk(F.col("text")))
     tile = lambda c: F.floor(F.col(c) / TILE).cast("int")
     rows = spans.select("doc", "page", F.col("ord").alias("i"), "x0", "y0", "x1", "y1", "text", tile("y0").alias("t0"), F.explode(F.sequence(tile("y0"), F.greatest(tile("y0"), tile("y1")))).alias("tile"))
     other = rows.select("doc", "page", "tile", *[F.col(c).alias(n) for c, n in (("i", "j"), ("x0", "u0"), ("y0", "v0"), ("x1", "u1"), ("y1", "v1"), ("text", "other"), ("t0", "s0"))])
     wide = F.least("x1", "u1") - F.greatest("x0", "u0") > cfg.overlap
     high = F.least("y1", "v1") - F.greatest("y0", "v0") > cfg.overlap
-    hit = (F.col("i") < F.col("j")) & (F.col("tile") == F.greatest("t0", "s0")) & wide & high & (T.strip(F.col("text")) != T.strip(F.col("other")))
+    hit = (F.col("i") < F.col("j")) & (F.col("tile") == F.greatest("t0", "s0")) & wide & high & (F.col("text") != F.col("other"))
     return rows.join(other, ["doc", "page", "tile"]).where(hit).select("doc", "page", "i", "j")
 
 
@@ -65,7 +69,7 @@ def cell_coverage(cells: DataFrame, source: DataFrame, target: DataFrame, cfg: E
     asked = inside(source, 0.0, "src").where(F.regexp_count("src", F.lit("[A-Za-z]{3,}")) >= cfg.coverage_min_words)
     rows = asked.join(inside(target, 0.0, "exact"), keys, "left").join(inside(target, t, "near"), keys, "left")
     got = F.coalesce(F.nullif("exact", F.lit("")), "near", F.lit(""))
-    out = rows.groupBy("doc").agg(F.count("*").alias("n_cells"), F.count_if(~T.has_wide_cjk(got)).alias("n_missing"))
+    out = rows.groupBy("doc").agg(F.count("*").alias("n_cells"), F.count_if(~T.has_cjk(got)).alias("n_missing"))
     return out.withColumn("passed", F.col("n_missing") <= cfg.coverage_max_miss * F.col("n_cells"))
 
 
@@ -93,7 +97,7 @@ def summary(spans: DataFrame, allow: tuple[str, ...] = (), wide: bool = True, cf
     """One row a document: counts of each scan and whether all are zero."""
     key = spans.select("doc").distinct()
     count = lambda df, n: df.groupBy("doc").agg(F.count("*").alias(n))
-    parts = [count(overflow(spans, allow, cfg), "n_overflow"), count(residue(spans), "n_residue"), count(tiny(spans, cfg, wide), "n_tiny"), count(overprint(spans, cfg), "n_overprint")]
+    parts = [count(overflow(spans, allow, cfg), "n_overflow"), count(residue(spans), "n_residue"), count(tiny(spans, cfg, wide), "n_tiny"), count(overprint(spans, cfg, wide), "n_overprint")]
     for p in parts:
         key = key.join(p, "doc", "left")
     names = ["n_overflow", "n_residue", "n_tiny", "n_overprint"]

@@ -33,7 +33,7 @@ def same_multiset(a: Column, b: Column) -> Column:
 def flags(cfg: EngineConfig = DEFAULT) -> dict[str, Column]:
     """Flags of a row with ``text`` and a non-null ``zh``."""
     src, out = F.col("text"), F.col("zh")
-    ls, lo = F.length(src), F.length(out)
+    ls, lo = F.length(T.strip(src)), F.length(T.strip(out))
     holes = lambda c: F.regexp_extract_all(c, F.lit(PLACEHOLDER), F.lit(0))
     latin = src.rlike("[A-Za-z]{3,}") & ~T.is_symbolic(src)
     return {

@@ -102,7 +102,7 @@ def q_canonical_resolve(spark, sf_dir):
     return _resolved(spark, sf_dir)
 
 
-@query(f"{RESOLVED} select doc, sig, left(text, 70) as sample from res where rule = 'missing' qualify row_number() over (partition by doc, sig order by seen) = 1")
+@query(f"{RESOLVED} select doc, sig, left(text, 70) as sample from res where rule = 'missing' qualify row_number() over (partition by sig order by doc, seen) = 1")
 def q_missing_sigs(spark, sf_dir):
     return canonical.missing_signatures(_resolved(spark, sf_dir))
 

@@ -68,7 +68,7 @@ def q_fixmap_reorder(spark, sf_dir):
 
 @query(f"""with {BLOCKS_SQL}, {LAYERS}, a as (select b.doc, b.id, b.text, case when m.zh like 'B%' and b.ord % 13 = 4 then '__DROP__' else m.zh end as zh from blocks b left join merged m on b.doc = m.doc and b.id = m.id),
 r as (select *, {STRIPPED.format(t='text')} as s from a)
-select doc, id, case when starts_with(s, 'Released') then 'KEEP' when starts_with(s, 'Zu') then 'DROP' when zh = '__DROP__' then 'DROP' when coalesce(zh, '') = '' then case when regexp_full_match(s, '[0-9\\s.,\\-–—/()%]+') or {symbolic('text')} then 'VERBATIM' else 'UNTRANSLATED' end when contains(zh, '⟦N99⟧') then 'UNRESOLVED' else 'DRAW' end as action from r""")
+select doc, id, case when starts_with(s, 'Released') then 'KEEP' when starts_with(s, 'Zu') then 'DROP' when zh = '__DROP__' then 'DROP' when coalesce(zh, '') = '' then case when regexp_full_match(s, '[0-9\\s.,\\-–—°×/%≥≤<>+=()^\\[\\]]+') or {symbolic('text')} then 'VERBATIM' else 'UNTRANSLATED' end when contains(zh, '⟦N99⟧') then 'UNRESOLVED' else 'DRAW' end as action from r""")
 def q_render_action(spark, sf_dir):
     rows = read_blocks(spark, sf_dir)
     merged = overlay.merge_layers(layers(rows)).join(rows.select("doc", "id", "ord"), ["doc", "id"])
@@ -98,8 +98,8 @@ NITEMS = ITEMS.replace("item as", "item0 as") + f", item as (select doc, chunk,
 _HOLES = "list_sort(regexp_extract_all({t}, '⟦[NP][0-9]+⟧'))"
 _FLAGS = f"""j as (select coalesce(i.doc, o.doc) as doc, coalesce(i.chunk, o.chunk) as chunk, coalesce(i.id, o.id) as id, i.doc is not null as asked, o.doc is not null as given, i.text, o.zh from item i full outer join outp o on i.doc = o.doc and i.chunk = o.chunk and i.id = o.id),
 v as (select *, asked and given as both_, {_HOLES.format(t='text')} <> {_HOLES.format(t='zh')} as bad_placeholder, regexp_matches(zh, '\\\\[ntrfv0]') and not regexp_matches(text, '\\\\[ntrfv0]') as escape_,
- length(text) > 80 and length(zh) > 0 and length(zh) < 0.12 * length(text) and regexp_matches(text, '[A-Za-z]{{3,}}') and not {symbolic('text')} as truncated,
- length(zh) > 0 and length(zh) < 0.3 * length(text) and regexp_matches(text, '(?m)^\\s*(?:[-•*]|[0-9]+[.)]|\\([a-z]\\))\\s') as short_ from j),
+ length({STRIPPED.format(t='text')}) > 80 and length({STRIPPED.format(t='zh')}) > 0 and length({STRIPPED.format(t='zh')}) < 0.12 * length({STRIPPED.format(t='text')}) and regexp_matches(text, '[A-Za-z]{{3,}}') and not {symbolic('text')} as truncated,
+ length({STRIPPED.format(t='zh')}) > 0 and length({STRIPPED.format(t='zh')}) < 0.3 * length({STRIPPED.format(t='text')}) and regexp_matches(text, '(?m)^\\s*(?:[-•*]|[0-9]+[.)]|\\([a-z]\\))\\s') as short_ from j),
 rep as (select doc, chunk, count(*) filter (asked) as n_items, count(*) filter (not given) as n_missing, count(*) filter (not asked) as n_extra, count(*) filter (both_ and zh is null) as n_null,
  count(*) filter (both_ and bad_placeholder) as n_bad_placeholder, count(*) filter (both_ and escape_) as n_escape, count(*) filter (both_ and truncated) as n_truncated, count(*) filter (both_ and short_) as n_short from v group by 1, 2),
 repp as (select *, n_items > 0 and n_missing + n_extra + n_bad_placeholder = 0 as passed from rep)"""
@@ -195,9 +195,9 @@ def q_line_pitch(spark, sf_dir):
     return columns.line_pitch(lines(read_blocks(spark, sf_dir)))
 
 
-@query(f"with {BLOCKS_SQL}, {LINES}, w as (select doc, id, count(*) as n, count(*) filter (x1 - x0 > 60 * 0.82) as f from lines_ group by 1, 2) select doc, id, n > 0 and f >= n * 0.7 as para from w")
+@query(f"with {BLOCKS_SQL}, {LINES}, w as (select doc, id, count(*) as n, count(*) filter (x1 - x0 > 60 * 0.82 and line_no < m) as f from (select *, max(line_no) over (partition by doc, id) as m from lines_) group by 1, 2) select doc, id, n >= 3 and f >= greatest(1, floor((n - 1) * 0.7)) as para from w")
 def q_para_like(spark, sf_dir):
-    ws = lines(read_blocks(spark, sf_dir)).groupBy("doc", "id").agg(F.collect_list(F.col("x1") - F.col("x0")).alias("ws"))
+    ws = lines(read_blocks(spark, sf_dir)).groupBy("doc", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", (F.col("x1") - F.col("x0")).alias("w")))), lambda x: x["w"]).alias("ws"))
     return ws.select("doc", "id", columns.paragraph_like(F.col("ws"), F.lit(60.0)).alias("para"))
 
 
@@ -209,7 +209,7 @@ def cells(rows):
 
 
 @query(f"""with {BLOCKS_SQL}, {CELLS}, n as (select b.doc, b.id, b.x0, b.x1, c.x0 as cx0, c.x1 as cx1, c.cell_no from blocks b join cells c on b.doc = c.doc and b.page = c.page where c.x1 - c.x0 > 20 and c.y1 - c.y0 > 6 and b.x0 >= c.x0 - 2 and b.x1 <= c.x1 + 2 and b.y0 >= c.y0 - 2 and b.y1 <= c.y1 + 2 qualify row_number() over (partition by b.doc, b.id order by cell_no) = 1)
-select doc, id, case when cx1 - cx0 > x1 - x0 + 3 then cx0 + 2 else x0 end as x0, case when cx1 - cx0 > x1 - x0 + 3 then cx1 - 2 else x1 end as x1 from n""")
+select doc, id, case when cx1 - 2 > x1 + 3 or cx0 + 2 < x0 - 3 then cx0 + 2 else x0 end as x0, case when cx1 - 2 > x1 + 3 or cx0 + 2 < x0 - 3 then cx1 - 2 else x1 end as x1 from n""")
 def q_cell_expand(spark, sf_dir):
     rows = read_blocks(spark, sf_dir)
     return columns.cell_expand(rows, cells(rows))
@@ -228,7 +228,7 @@ def spans(rows):
 _OVERFLOW = "x1 > 566 and x0 < 576 and not regexp_matches(text, '^Released')"
 _TINY = f"size < 4.5 and regexp_matches(text, '[一-鿿]') and length({STRIPPED.format(t='text')}) > 1"
 _PAIR = f"""pair as (select a.doc, a.page, a.ord as i, b.ord as j from spans a join spans b on a.doc = b.doc and a.page = b.page and a.ord < b.ord
-where least(a.x1, b.x1) - greatest(a.x0, b.x0) > 2 and least(a.y1, b.y1) - greatest(a.y0, b.y0) > 2 and {STRIPPED.format(t='a.text')} <> {STRIPPED.format(t='b.text')})"""
+where least(a.x1, b.x1) - greatest(a.x0, b.x0) > 2 and least(a.y1, b.y1) - greatest(a.y0, b.y0) > 2 and a.text <> b.text and length({STRIPPED.format(t='a.text')}) > 1 and length({STRIPPED.format(t='b.text')}) > 1)"""
 
 
 @query(f"with {BLOCKS_SQL}, {SPANS} select doc, page, ord from spans where {_OVERFLOW}")
@@ -248,13 +248,13 @@ def q_placeholder_residue(spark, sf_dir):
 
 @query(f"with {BLOCKS_SQL}, {SPANS}, {_PAIR} select * from pair")
 def q_overprint(spark, sf_dir):
-    return qa.overprint(spans(read_blocks(spark, sf_dir)))
+    return qa.overprint(spans(read_blocks(spark, sf_dir)), wide=False)
 
 
-@query(f"""with {BLOCKS_SQL}, {SPANS}, {_PAIR}, d as (select doc, count(*) filter ({_OVERFLOW}) as n_overflow, count(*) filter (contains(text, '⟦')) as n_residue, count(*) filter ({_TINY}) as n_tiny from spans group by 1)
+@query(f"""with {BLOCKS_SQL}, {SPANS}, {_PAIR}, d as (select doc, count(*) filter ({_OVERFLOW}) as n_overflow, count(*) filter (contains(text, '⟦')) as n_residue, count(*) filter (size < 4.5 and length({STRIPPED.format(t='text')}) > 1) as n_tiny from spans group by 1)
 select d.*, coalesce(p.n, 0) as n_overprint, n_overflow + n_residue + n_tiny + coalesce(p.n, 0) = 0 as passed from d left join (select doc, count(*) as n from pair group by 1) p on d.doc = p.doc""")
 def q_qa_summary(spark, sf_dir):
-    return qa.summary(spans(read_blocks(spark, sf_dir)), ("^Released",))
+    return qa.summary(spans(read_blocks(spark, sf_dir)), ("^Released",), wide=False)
 
 
 _FEET = "feet as (select doc, page, case when doc % 5 = 0 then '第 ' || (page + case when page % 4 = 0 then 1 else 0 end) || ' 页' else 'Page ' || page end as text from blocks group by 1, 2)"

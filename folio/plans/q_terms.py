@@ -66,7 +66,7 @@ def q_logo_fonts(spark, sf_dir):
 
 
 # spans of a source's pages: short lines, of which those with a license name recur
-WM = f"wm as (select d.source as doc, d.doc_id as page, d.doc_id * 100000 + b.ord as ord, b.text from blocks b join documents d on b.doc = d.doc_id)"
+WM = f"wm as (select d.source as doc, d.doc_id as page, d.doc_id * 100000 + b.ord as ord, {STRIPPED.format(t='b.text')} as text from blocks b join documents d on b.doc = d.doc_id)"
 
 
 @query(f"""with {BLOCKS_SQL}, {WM}, r as (select *, regexp_replace(text, '[0-9]+', '#', 'g') as mask from wm where length(text) > 3 and length(text) < 80),
@@ -234,25 +234,19 @@ def q_doc_report(spark, sf_dir):
 _WIDTH = r"len(regexp_extract_all({t}, '[一-鿿]')) * 1.0 + len(regexp_extract_all({t}, '[iljtf.,:;''|! ]')) * 0.28 + len(regexp_extract_all({t}, '[mwMW@]')) * 0.85 + len(list_filter(regexp_extract_all({t}, '\p{{Lu}}'), lambda x: x not in ('M', 'W'))) * 0.68 + (length({t}) - len(regexp_extract_all({t}, '[一-鿿]')) - len(regexp_extract_all({t}, '[iljtf.,:;''|! ]')) - len(regexp_extract_all({t}, '[mwMW@]')) - len(list_filter(regexp_extract_all({t}, '\p{{Lu}}'), lambda x: x not in ('M', 'W')))) * 0.52"
 
 
-@query(f"with {BLOCKS_SQL} select doc, ord, round(({_WIDTH.format(t='text')}) * size, 3) as w, case when ({_WIDTH.format(t='text')}) * size > (x1 - x0) * 1.03 then x1 + 9 else x1 end as x1 from blocks")
+@query(f"with {BLOCKS_SQL} select doc, ord, round(({_WIDTH.format(t='text')}) * size, 3) as w, case when x1 - x0 > 300 and ({_WIDTH.format(t='text')}) * size > (x1 - x0 - 2.4) * 1.03 then y1 + 9 else y1 end as y1 from blocks")
 def q_text_width(spark, sf_dir):
-    return read_blocks(spark, sf_dir).select("doc", "ord", F.round(layout.text_width_sql(F.col("text"), F.col("size")), 3).alias("w"), layout.grown_box(F.col("x0"), F.col("x1"), F.col("text"), F.col("size"), F.lit(1)).alias("x1"))
-
-
-def _fit(spark, sf_dir):
-    rows = read_blocks(spark, sf_dir).where("ord % 4 = 0")
-    k = F.col("ord") % 3
-    full = rows.select("doc", "page", "id", F.col("text").alias("zh"), "x0", "y0", "x1", (F.col("y0") + 160).alias("y1"), "size", "bold", F.lit(0xFF8000).alias("color"), F.when(k == 0, "l").when(k == 1, "c").otherwise("r").alias("align"),
-                       F.array("y0").alias("line_ys"), (k == 2).alias("spread"), F.when(F.col("ord") % 16 == 12, 90).alias("rot"), F.array("x0").alias("line_x0s"), F.array(F.col("x1") - F.col("x0")).alias("line_ws"))
-    return layout.fit_blocks(full)
+    return read_blocks(spark, sf_dir).select("doc", "ord", F.round(layout.text_width_sql(F.col("text"), F.col("size")), 3).alias("w"), layout.grown_box(F.col("x0"), F.col("x1"), F.col("y1"), F.col("text"), F.col("size"), F.lit(1)).alias("y1"))
 
 
 @query(None)
 def q_draw_ops(spark, sf_dir):
     """Every fourth block of each document laid out; wrapping has no SQL, tests compare with fixtures."""
-    fit = _fit(spark, sf_dir)
-    flat = layout.placed(fit.where("rot is null")).unionByName(layout.rotated(fit.where("rot is not null")))
-    return layout.draw_ops(flat)
+    rows = read_blocks(spark, sf_dir).where("ord % 4 = 0")
+    k = F.col("ord") % 3
+    full = rows.select("doc", "page", "id", F.col("text").alias("zh"), "x0", "y0", "x1", (F.col("y0") + 160).alias("y1"), "size", (F.col("ord") % 5 + 1).cast("int").alias("nlines"), "bold", F.lit(0xFF8000).alias("color"), F.when(k == 0, "l").when(k == 1, "c").otherwise("r").alias("align"),
+                       F.transform(F.sequence(F.lit(0), F.col("ord") % 5), lambda i: F.col("y0") + i * 30.0).alias("line_ys"), F.when(F.col("ord") % 16 == 12, 90).alias("rot"), F.array("x0").alias("line_x0s"), F.array(F.col("x1") - F.col("x0")).alias("line_ws"), F.array(F.lit(25.0)).alias("line_hs"))
+    return layout.draw_ops(layout.plan_lines(full))
 
 
 @query("""select conv_id as doc, 1 as page, unnest([0, 1, 2]) as seq, unnest(['box', 'text', 'text']) as op, cast(unnest([55.0, 61.0, 61.0]) as double) as x, cast(unnest([630.0, 644.0, 658.0]) as double) as y, unnest(['557,772', 'Notice', 'Unofficial translation.']) as text, cast(unnest([0.0, 10.0, 8.0]) as double) as fs from (select distinct conv_id from conversations)""")

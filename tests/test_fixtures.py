@@ -166,8 +166,8 @@ def spans(spark, rows):
 def test_overflow_overlap_tiny(spark):
     rows = spans(spark, [("d", 1, 0, 500.0, 0.0, 570.0, 5.0, 9.0, "a"), ("d", 1, 1, 576.0, 90.0, 600.0, 95.0, 9.0, "b")])
     assert [r.ord for r in qa.overflow(rows).collect()] == [0]
-    for box, text, want in (((7.0, 7.0), "b", 1), ((8.0, 8.0), "b", 0), ((7.0, 7.0), "a", 0)):
-        rows = spans(spark, [("d", 1, 0, 0.0, 0.0, 10.0, 10.0, 9.0, "a"), ("d", 1, 1, *box, 20.0, 60.0, 9.0, text)])
+    for box, text, want in (((7.0, 7.0), "标题", 1), ((8.0, 8.0), "标题", 0), ((7.0, 7.0), "正文", 0), ((7.0, 7.0), "ab", 0)):
+        rows = spans(spark, [("d", 1, 0, 0.0, 0.0, 10.0, 10.0, 9.0, "正文"), ("d", 1, 1, *box, 20.0, 60.0, 9.0, text)])
         assert qa.overprint(rows).count() == want
     rows = spans(spark, [("d", 1, i, 0.0, 0.0, 9.0, 9.0, 4.4, t) for i, t in enumerate(("中文", "中", "ab"))])
     assert [r.ord for r in qa.tiny(rows).collect()] == [0]
@@ -285,10 +285,50 @@ def test_layout_metric_is_one(spark):
     assert round(one(spark, layout.text_width_sql(F.lit(text), F.lit(10.0))), 6) == round(layout.text_width(text, 10.0), 6)
     lines = layout.wrapped("一二三四五。六七八", 10.0, 50.0)
     assert lines == ["一二三四五。", "六七八"]
-    fit = layout.fitted("word " * 60, 100.0, 60.0, 10.0)
+    fit = layout.fitted("word " * 60, layout.Box(0, 0, 100, 60, 10.0, nlines=3))
     assert fit.size >= max(4.6, 5.5) and all(layout.text_width(x, fit.size) <= 100.0 for x in fit.lines)
 
 
+def test_single_line_floors():
+    text = "a short label"
+    wide = layout.text_width(text, 1.0)
+    cell = layout.fitted(text, layout.Box(0, 0, 5.0 * wide + 2.4, 12, 9.0))
+    assert cell.lines == [text] and 4.2 <= cell.size <= 5.0
+    broad = layout.fitted("x" * 59 + " y", layout.Box(0, 0, 310, 40, 20.0))
+    assert len(broad.lines) > 1  # a wide block does not shrink below 78 percent to stay on one line
+
+
+def test_placement_modes():
+    two = layout.Box(10, 0, 200, 30, 10.0, nlines=2, ys=(0.0, 15.0), xs=(10.0, 60.0), widths=(50.0, 50.0), heights=(12.0, 12.0))
+    assert [round(x, 1) for x, _, _, _ in layout.place("a\nb", two)] == [11.2, 61.2]
+    close = layout.Box(10, 0, 200, 30, 10.0, nlines=2, ys=(0.0, 2.0), xs=(10.0, 60.0), widths=(50.0, 50.0), heights=(12.0, 12.0))
+    assert layout.place("a\nb", close)[0][1] == pytest.approx(0 + (12 - 10) / 2 + layout.ASCENT * 10)  # not lifted by the small pitch
+    table = layout.Box(10, 0, 200, 100, 10.0, nlines=5, ys=(0.0, 20.0, 40.0, 60.0, 80.0), xs=(30.0, 30.0, 10.0, 30.0, 30.0), widths=(40.0,) * 5, heights=(12.0,) * 5)
+    spread = layout.place("a\nb", table)
+    assert spread[1][1] - spread[0][1] == pytest.approx(24.0) and spread[0][0] == pytest.approx(31.2)
+    right = layout.Box(10, 0, 200, 30, 10.0, align="r")
+    (x, _, t, fs), = layout.place("end", right)
+    assert x + layout.text_width(t, fs) == pytest.approx(200 - layout.PAD)
+
+
+@pytest.mark.parametrize("rot", [90, 270])
+def test_rotated_anchors(rot):
+    box = layout.Box(0, 0, 40, 100, 10.0, nlines=2, ys=(0.0, 0.0), xs=(0.0, 20.0), heights=(100.0, 100.0))
+    short, long = layout.place_rotated("ab\n" + "m" * 12, box, rot)
+    w = layout.text_width("ab", 10.0)
+    assert short[1] == pytest.approx(50 + w / 2 - 1.8 if rot == 90 else 50 - w / 2 + 8.5)
+    assert long[1] == pytest.approx(99.0 if rot == 90 else 1.0)
+    stacked = layout.place_rotated("one line only", box, rot)
+    assert len(stacked) == 1 and stacked[0][1] == pytest.approx(99.0 if rot == 90 else 1.0)
+
+
+def test_pseudo_blocks_take_the_blocks_numbers(spark):
+    rows = spark.createDataFrame([("d", "b", 0, "x 1"), ("d", "b", 1, "y 2")], "doc string, id string, line_no int, text string")
+    zh = spark.createDataFrame([("d", "b", "a⟦N0⟧\n b⟦N1⟧⟦N7⟧ ")], "doc string, id string, zh string")
+    got = columns.pseudo_blocks(rows, rows.select("doc", "id").distinct(), zh).orderBy("line_no").collect()
+    assert [(r.id, r.zh) for r in got] == [("b#0", "a1"), ("b#1", "b2")]
+
+
 def test_draw_twice_when_bold(spark):
     rows = spark.createDataFrame([("d", 1, "b", 0, 1.0, 2.0, "t", 9.0, 0, True, 0)], "doc string, page int, id string, seq int, x double, y double, text string, fs double, rot int, bold boolean, color int")
     assert sorted(round(r.x, 2) for r in layout.draw_ops(rows).collect()) == [1.0, 1.28]
