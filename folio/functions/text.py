@@ -38,17 +38,25 @@ def digit_runs(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(DIGITS), F.lit(0))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, not again in every lambda call that uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _joined(pieces: Column, holes: Column, fill) -> Column:
+    """The first piece, then ``fill(hole, i)`` and the piece behind it for each hole."""
+    pairs = lambda p: F.zip_with(holes, F.slice(p, F.lit(2), F.size(p) - 1), lambda h, q: F.struct(h.alias("h"), q.alias("q")))
+    return let(pieces, lambda p: F.concat(F.element_at(p, 1), F.array_join(F.transform(pairs(p), lambda z, i: F.concat(fill(z["h"], i), z["q"])), "")))
+
+
 def number_runs(c: Column, only: Column | None = None) -> Column:
     """Each digit run as ``⟦Ni⟧``, i counting runs from 0; ``only``: an array of the i to replace."""
-    pieces, runs = F.split(c, DIGITS, -1), digit_runs(c)
 
-    def piece(x: Column, i: Column) -> Column:
+    def fill(x: Column, i: Column) -> Column:
         hole = F.concat(F.lit("⟦N"), i.cast("string"), F.lit("⟧"))
-        if only is not None:
-            hole = F.when(F.array_contains(only, i), hole).otherwise(x)
-        return F.concat(hole, F.element_at(pieces, (i + 2).cast("int")))
+        return hole if only is None else F.when(F.array_contains(only, i), hole).otherwise(x)
 
-    return F.concat(F.element_at(pieces, 1), F.array_join(F.transform(runs, piece), ""))
+    return _joined(F.split(c, DIGITS, -1), digit_runs(c), fill)
 
 
 def signature(c: Column) -> Column:
@@ -60,32 +68,36 @@ def digit_mask(c: Column) -> Column:
     return F.regexp_replace(c, DIGITS, "#")
 
 
+def _holes(c: Column) -> Column:
+    return F.regexp_extract_all(c, F.lit(HOLE), F.lit(1))
+
+
 def restore_runs(c: Column, source: Column, blank: bool = False) -> Column:
     """Put the source's digit runs into the holes; holes without one stay, or are blanked."""
-    pieces, at, runs = F.split(c, HOLE, -1), F.regexp_extract_all(c, F.lit(HOLE), F.lit(1)), digit_runs(source)
 
-    def piece(x: Column, i: Column) -> Column:
-        missing = F.lit("") if blank else F.concat(F.lit("⟦N"), x, F.lit("⟧"))
-        return F.concat(F.coalesce(F.try_element_at(runs, x.cast("int") + 1), missing), F.element_at(pieces, (i + 2).cast("int")))
+    def filled(runs: Column) -> Column:
+        def fill(x: Column, i: Column) -> Column:
+            return F.coalesce(F.try_element_at(runs, x.cast("int") + 1), F.lit("") if blank else F.concat(F.lit("⟦N"), x, F.lit("⟧")))
 
-    return F.concat(F.element_at(pieces, 1), F.array_join(F.transform(at, piece), ""))
+        return _joined(F.split(c, HOLE, -1), _holes(c), fill)
+
+    return let(digit_runs(source), filled)
 
 
 def remap_runs(c: Column, holes: Column) -> Column:
     """Renumber holes by a map of int to int; unmapped ones keep their number."""
-    pieces, at = F.split(c, HOLE, -1), F.regexp_extract_all(c, F.lit(HOLE), F.lit(1))
-
-    def piece(x: Column, i: Column) -> Column:
-        to = F.coalesce(F.try_element_at(holes, x.cast("int")), x.cast("int"))
-        return F.concat(F.lit("⟦N"), to.cast("string"), F.lit("⟧"), F.element_at(pieces, (i + 2).cast("int")))
-
-    return F.concat(F.element_at(pieces, 1), F.array_join(F.transform(at, piece), ""))
+    to = lambda x: F.coalesce(F.try_element_at(holes, x.cast("int")), x.cast("int"))
+    return _joined(F.split(c, HOLE, -1), _holes(c), lambda x, i: F.concat(F.lit("⟦N"), to(x).cast("string"), F.lit("⟧")))
 
 
 def permute_lines(c: Column, order: Column) -> Column:
     """Lines in the given order (0-based), if it has as many entries as there are lines."""
-    lines = F.split(c, "\n", -1)
-    return F.when(F.size(order) == F.size(lines), F.array_join(F.transform(order, lambda i: F.try_element_at(lines, i.cast("int") + 1)), "\n")).otherwise(c)
+
+    def moved(lines: Column) -> Column:
+        text = F.array_join(F.transform(order, lambda i: F.try_element_at(lines, i.cast("int") + 1)), "\n")
+        return F.when(F.size(order) == F.size(lines), text).otherwise(c)
+
+    return let(F.split(c, "\n", -1), moved)
 
 
 def replace_words(c: Column, words: dict[str, str]) -> Column:

@@ -19,14 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def blocks(docs: DataFrame, per_page: int = BLOCKS_PER_PAGE) -> DataFrame:
     """``doc, page, ord, id, text`` and geometry: blank blocks dropped, hard spaces made plain."""
-    lines = F.filter(
-        F.transform(F.split(F.replace("text", F.lit("\u00a0"), F.lit(" ")), "\n", -1), lambda t, i: F.struct(i.alias("ord"), F.floor(i / per_page).cast("int").alias("p"), t.alias("text"))),
-        lambda x: x["text"].rlike(r"[^ \t\r\f]"))
-    rows = docs.where("text is not null").select(F.col("doc_id").alias("doc"), lines.alias("ls")).select("doc", "ls", F.explode("ls").alias("b"))
+    raw = docs.where("text is not null").select(F.col("doc_id").alias("doc"), F.split(F.replace("text", F.lit("\u00a0"), F.lit(" ")), "\n", -1).alias("raw"))
+    # pages first, then their few lines: no row carries a whole document
+    page = F.transform(F.sequence(F.lit(0), F.floor((F.size("raw") - 1) / per_page).cast("int")), lambda p: F.struct(p.alias("p"), F.slice("raw", p * per_page + 1, F.lit(per_page)).alias("ls")))
+    pages = raw.select("doc", F.explode(page).alias("x")).select("doc", "x.p", "x.ls")
+    rows = pages.select("doc", "p", "ls", F.posexplode("ls").alias("i", "text")).where(F.col("text").rlike(r"[^ \t\r\f]"))
     # the block's number counts the kept blocks of its page
-    nth = F.size(F.filter("ls", lambda x: (x["p"] == F.col("b.p")) & (x["ord"] < F.col("b.ord"))))
+    nth = F.size(F.filter(F.slice("ls", F.lit(1), F.col("i")), lambda t: t.rlike(r"[^ \t\r\f]")))
+    rows = rows.select("doc", (F.col("p") + 1).alias("page"), (F.col("p") * per_page + F.col("i")).alias("ord"), nth.alias("nth"), "text")
     n = F.length("text")
-    rows = rows.select("doc", (F.col("b.p") + 1).alias("page"), F.col("b.ord").alias("ord"), nth.alias("nth"), F.col("b.text").alias("text"))
     return rows.select(
         "doc", "page", "ord", F.concat(F.lit("p"), F.col("page").cast("string"), F.lit("b"), F.col("nth").cast("string")).alias("id"), "text",
         (F.lit(50) + n % 40).cast("double").alias("x0"), (F.lit(40) + (F.col("ord") % per_page) * 170).cast("double").alias("y0"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 _FENCE = r"(?s)(?:^|(?<=\n))(?:```|~~~).*?(?:\n(?:```|~~~)[ \t]*(?=\n|$)|$)"
 # fixed order: inline code, link targets, bare addresses, anchors
 PROTECTED = r"`[^`\n]+`|(?<=\])\([^)\s]*\)|https?://[^\s)>]+|\{#[^}]*\}"
@@ -23,5 +25,6 @@ def masked(c: Column) -> Column:
 
 
 def unmasked(c: Column, kept: Column) -> Column:
-    pieces, at = F.split(c, "⟦K([0-9]+)⟧", -1), F.regexp_extract_all(c, F.lit("⟦K([0-9]+)⟧"), F.lit(1))
-    return F.concat(F.element_at(pieces, 1), F.array_join(F.transform(at, lambda x, i: F.concat(F.coalesce(F.try_element_at(kept, x.cast("int") + 1), F.lit("")), F.element_at(pieces, (i + 2).cast("int")))), ""))
+    hole = "⟦K([0-9]+)⟧"
+    fill = lambda x, i: F.coalesce(F.try_element_at(kept, x.cast("int") + 1), F.lit(""))
+    return T._joined(F.split(c, hole, -1), F.regexp_extract_all(c, F.lit(hole), F.lit(1)), fill)
