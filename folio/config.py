@@ -49,20 +49,20 @@ class EngineConfig:
     paragraph_line_share: float = 0.82
     paragraph_share: float = 0.70
     page_suppression: int = 2
-    # patterns that projects replace
+    # fixed values: patterns and words that projects replace
     heading_pattern: str = (
         r"^(SECTION [A-Z0-9]|Section [0-9]|Appendix [A-Z]|APPENDIX [A-Z]|[0-9]+\.[0-9]+\s+\S|CHANGES|FOREWORD|CONTENTS|Contents|PART [0-9]"
         r"|Part [A-Z]{1,4}\b|ARTICLE [A-Z]{1,4}-|MANDATORY|NONMANDATORY|Annex [0-9]|Chapter [0-9]|[A-Z]{1,4}-[0-9]+[A-Z]?\b)"
     )
     running_head_pattern: str = r"^(Standard\s+—|Page\s+[0-9]+|[0-9]+/[0-9]+|Changes|Contents$)"
     terminal_pattern: str = r"[.!?:;”’)°]$"
-    hint_pattern: str = r"(?i)(www\.|https?:|\.com|\.org|\.net)"
+    hint_pattern: str = r"(?i)(www\.|http|\.com|\.cn|\.net|免费下载|水印|扫描件|仅供|内部资料)"
     keep_prefixes: tuple[str, ...] = ("This copy of the document",)
     abbreviations: tuple[str, ...] = ("WLL", "ISO", "NDT", "ITP", "WPS", "HVAC")
-    default_title: str = "Start of document"
+    default_title: str = "文档起始"
     joiner: str = " ⏎ "
     toc_parity: bool = False
-    modal_verbs: dict[str, str] = field(default_factory=lambda: {"shall": "must", "should": "ought", "may": "can", "must": "must"})
+    modal_verbs: dict[str, str] = field(default_factory=lambda: {"shall not": "不应", "shall": "应", "should": "宜", "may": "可", "must": "必须"})
 
 
 DEFAULT = EngineConfig()

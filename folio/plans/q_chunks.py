@@ -214,7 +214,7 @@ def _heads(rows):
 
 
 @query(f"""{CHUNKED}, {HEADS}, fp as (select doc, chunk, min(page) as page from chunk_ group by 1, 2)
-select fp.doc, fp.chunk, coalesce((select max_by(title, ord) from hd where hd.doc = fp.doc and hd.page < fp.page), 'Start of document') as title from fp""")
+select fp.doc, fp.chunk, coalesce((select max_by(title, ord) from hd where hd.doc = fp.doc and hd.page < fp.page), '文档起始') as title from fp""")
 def q_heading_asof(spark, sf_dir):
     rows, chunks = _chunks(spark, sf_dir)
     return chunking.titles(chunks, _heads(rows))

@@ -311,6 +311,14 @@ def test_placement_modes():
     assert x + layout.text_width(t, fs) == pytest.approx(200 - layout.PAD)
 
 
+def test_contents_lines():
+    box = layout.Box(0, 0, 200, 20, 10.0)
+    title, dots, number = layout.place_contents("范围 ⟦P12⟧", box)
+    assert title[2] == "范围" and number[2] == "12" and set(dots[2]) == {"."}
+    assert number[0] + layout.text_width("12", 10.0) == pytest.approx(200)
+    assert title[0] + layout.text_width("范围", 10.0) < dots[0] and dots[0] + layout.text_width(dots[2], 10.0) <= number[0] - 2
+
+
 @pytest.mark.parametrize("rot", [90, 270])
 def test_rotated_anchors(rot):
     box = layout.Box(0, 0, 40, 100, 10.0, nlines=2, ys=(0.0, 0.0), xs=(0.0, 20.0), heights=(100.0, 100.0))
