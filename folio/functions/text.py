@@ -122,12 +122,15 @@ def toc_mark(c: Column, parity: bool = DEFAULT.toc_parity) -> Column:
     title = r"^(.*\S)[\s.]{6,}([0-9]{1,4})\s*$" if parity else r"^(.*[^\s.])[\s.]{6,}([0-9]{1,4})\s*$"
     alone = r"^(.*)[\s.]{6,}([0-9]{1,4})\s*$" if parity else r"^[\s.]{6,}([0-9]{1,4})\s*$"
 
-    def line(x: Column) -> Column:
-        s = strip(x)
+    def marked(s: Column, x: Column) -> Column:
         number = F.concat(F.lit("⟦P"), F.regexp_extract(s, r"([0-9]{1,4})\s*$", 1), F.lit("⟧"))
         return (F.when(s.rlike(title), F.concat(F.trim(F.regexp_extract(s, title, 1)), F.lit(" "), number))
                 .when(s.rlike(alone), number).otherwise(x))
 
+    def line(x: Column) -> Column:
+        # few lines end in a number: only those are matched in full
+        return F.when(x.rlike(rf"[0-9]{BLANKS}*$"), let(strip(x), lambda s: marked(s, x))).otherwise(x)
+
     return F.array_join(F.transform(F.split(c, "\n", -1), line), "\n")
 
 
@@ -136,11 +139,13 @@ def is_symbolic(c: Column, runs: bool = False) -> Column:
 
     ``runs``: one character repeated four times or more also counts, before the word test.
     """
-    s = strip(c)
-    core = ~s.rlike("[A-Za-z]{4,}") & s.rlike(f"^(?:{SYMBOLS})$")
+    s, word = strip(c), c.rlike("[A-Za-z]{4,}")
+    clean = (s != "") & ~c.rlike(CJK)
+    # the test that fails for most texts comes first
+    out = ~word & clean & s.rlike(f"^(?:{SYMBOLS})$")
     if runs:
-        core = s.rlike(r"^(.)\1{3,}$") | core
-    return F.coalesce((s != "") & ~s.rlike(CJK) & core, F.lit(False))
+        out = out | (clean & s.rlike(r"^(.)\1{3,}$"))
+    return F.coalesce(out, F.lit(False))
 
 
 def is_heading(text: Column, bold: Column, size: Column, cfg: EngineConfig = DEFAULT) -> Column:
