@@ -17,6 +17,9 @@ from folio.llm.queries import table, tokenizer_path
 from folio.llm.store import saved
 from folio.plans.shipping import ship_package
 
+# of the word shingles of two near-duplicates, the share they have in common; op4's contract has 85
+NEAR_PERCENT = 80
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -32,7 +35,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return near_dedup.one_of_each(docs)
+    return near_dedup.one_of_each(docs, percent=NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

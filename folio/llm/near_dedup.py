@@ -5,7 +5,9 @@ A document is the set of its distinct word shingles.  A signature is ``HASHES``
 loss: ``CHUNKS`` chunks cannot all hold more than ``RADIUS // CHUNKS`` = 1 error, so each
 document's key list has every chunk with each one symbol left out, and two signatures within the
 radius share a key.  A pair at the similarity threshold of 0.85 differs in 9.6 of 64 symbols on
-average and in more than 24 once in several hundred thousand pairs.
+average and in more than 24 once in several hundred thousand pairs.  For thresholds from 0.80 to
+below 0.85 there are ``WIDE_CHUNKS`` chunks for ``WIDE_RADIUS``: a pair at 0.80 differs in 12.8
+symbols on average and in more than 29 with odds of 1.2 in a million.
 
 Equal sets are one node from the start.  Links are only wanted for classes, so no group is
 expanded into pairs: every member of a bucket is first compared with the bucket's smallest and
@@ -35,17 +37,24 @@ from . import bytesops as B
 from .components import components
 from .store import keyed, row_key, saved
 
-HASHES, CHUNKS, RADIUS, LEAST_PERCENT = 64, 13, 24, 85
+HASHES, CHUNKS, RADIUS = 64, 13, 24
+# below NARROW_PERCENT, down to LEAST_PERCENT
+WIDE_CHUNKS, WIDE_RADIUS, NARROW_PERCENT, LEAST_PERCENT = 15, 29, 85, 80
 #: Buckets up to ``SMALL_ROWS`` are compared by signatures; larger ones by sets, ``BLOCK_ROWS`` against as many.
 SMALL_ROWS, BLOCK_ROWS, SHINGLE_BYTES = 64, 1024, 6
 WORD_BYTES = bytes(sorted(set(range(256)) - {0x20, *range(0x09, 0x0E)}))
 _rng = np.random.default_rng(20240229)
 _ODD = _rng.integers(0, 2**64, HASHES, np.uint64, endpoint=False) | np.uint64(1)
 _XOR = _rng.integers(0, 2**64, HASHES, np.uint64, endpoint=False)
-_EDGES = np.linspace(0, HASHES, CHUNKS + 1).round().astype(int)
+_EDGES, _WIDE_EDGES = (np.linspace(0, HASHES, n + 1).round().astype(int) for n in (CHUNKS, WIDE_CHUNKS))
 _SETS = "k1 long, k2 long, doc_id long, n_shingles long, n1 long, n2 long, sig binary"
 
 
+def reach(percent: int) -> tuple[int, np.ndarray]:
+    """Radius and edges of the chunks for a threshold."""
+    return (RADIUS, _EDGES) if percent >= NARROW_PERCENT else (WIDE_RADIUS, _WIDE_EDGES)
+
+
 def shingle_sets(texts: list[str], size: int) -> Iterator[tuple[int, np.ndarray]]:
     """(index of the text, sorted distinct shingle hashes)."""
     classes = B.table(WORD_BYTES)
@@ -92,12 +101,11 @@ def _signed(size: int):
     return run
 
 
-def chunk_keys(sigs: np.ndarray) -> np.ndarray:
+def chunk_keys(sigs: np.ndarray, edges: np.ndarray = _EDGES) -> np.ndarray:
     """Keys (rows x HASHES) of signatures: each chunk with each one of its symbols left out."""
     x = B.mix(sigs.astype(np.uint64) + (np.arange(HASHES, dtype=np.uint64) << np.uint64(16)))
     keys = np.empty_like(x)
-    for c in range(CHUNKS):
-        a, z = _EDGES[c], _EDGES[c + 1]
+    for a, z in zip(edges, edges[1:]):
         whole = x[:, a:z].sum(1, dtype=np.uint64)
         for i in range(a, z):
             keys[:, i] = B.mix(whole - x[:, i] + _ODD[i])
@@ -108,19 +116,25 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, HASHES)
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, 2000):
-            part = b.slice(at, 2000)
-            keys = chunk_keys(_matrix(part.column("sig")))
-            node = np.repeat(part.column("n1").to_numpy(zero_copy_only=False), HASHES)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(node)], names=["key", "n1"])
+def _keyed(edges: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 2000):
+                part = b.slice(at, 2000)
+                keys = chunk_keys(_matrix(part.column("sig")), edges)
+                node = np.repeat(part.column("n1").to_numpy(zero_copy_only=False), HASHES)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(node)], names=["key", "n1"])
+
+    return run
+
 
+def _close(radius: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            far = (_matrix(b.column("sig_a")) != _matrix(b.column("sig_b"))).sum(1) if b.num_rows else np.zeros(0)
+            yield b.filter(pa.array(far <= radius)).drop_columns(["sig_a", "sig_b"])
 
-def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        far = (_matrix(b.column("sig_a")) != _matrix(b.column("sig_b"))).sum(1) if b.num_rows else np.zeros(0)
-        yield b.filter(pa.array(far <= RADIUS)).drop_columns(["sig_a", "sig_b"])
+    return run
 
 
 def _confirmed(size: int, percent: int):
@@ -141,34 +155,39 @@ def _confirmed(size: int, percent: int):
     return run
 
 
-def _first_common(same: np.ndarray) -> np.ndarray:
+def _first_common(same: np.ndarray, edges: np.ndarray = _EDGES) -> np.ndarray:
     """For rows of equal-symbol flags: the index of the first key that both signatures have (or HASHES)."""
-    wrong = np.add.reduceat(~same, _EDGES[:-1], axis=1, dtype=np.int64)
+    wrong = np.add.reduceat(~same, edges[:-1], axis=1, dtype=np.int64)
     chunk = np.argmax(wrong <= 1, axis=1)
     out = np.full(len(same), HASHES)
     for c in np.unique(chunk):
         own = np.flatnonzero((chunk == c) & (wrong[:, c] <= 1))
         # argmax is 0, the chunk's first symbol, where all symbols are equal
-        out[own] = _EDGES[c] + np.argmax(~same[own, _EDGES[c] : _EDGES[c + 1]], axis=1)
+        out[own] = edges[c] + np.argmax(~same[own, edges[c] : edges[c + 1]], axis=1)
     return out
 
 
-def _across(key: tuple, rows: pa.Table) -> pa.Table:
-    """Pairs of different classes within the radius in a small bucket, each in the first bucket it shares."""
-    sig = _matrix(rows.column("sig").combine_chunks())
-    node, label, n = (rows.column(c).to_numpy() for c in ("n1", "label", "n_shingles"))
-    order = np.argsort(node)
-    sig, node, label, n = sig[order], node[order], label[order], n[order]
-    index = int(np.flatnonzero(chunk_keys(sig[:1])[0].view(np.int64) == key[0].as_py())[0])
-    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for x in range(len(node) - 1):
-        y = np.arange(x + 1, len(node))
-        y = y[(label[y] != label[x]) & (100 * np.minimum(n[y], n[x]) >= LEAST_PERCENT * np.maximum(n[y], n[x]))]
-        same = sig[y] == sig[x]
-        y = y[((~same).sum(1) <= RADIUS) & (_first_common(same) == index)] if len(y) else y
-        out_a.append(np.full(len(y), node[x]))
-        out_b.append(node[y])
-    return pa.table({"a": pa.array(np.concatenate(out_a)), "b": pa.array(np.concatenate(out_b))})
+def _across(percent: int):
+    radius, edges = reach(percent)
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        """Pairs of different classes within the radius in a small bucket, each in the first bucket it shares."""
+        sig = _matrix(rows.column("sig").combine_chunks())
+        node, label, n = (rows.column(c).to_numpy() for c in ("n1", "label", "n_shingles"))
+        order = np.argsort(node)
+        sig, node, label, n = sig[order], node[order], label[order], n[order]
+        index = int(np.flatnonzero(chunk_keys(sig[:1], edges)[0].view(np.int64) == key[0].as_py())[0])
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for x in range(len(node) - 1):
+            y = np.arange(x + 1, len(node))
+            y = y[(label[y] != label[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
+            same = sig[y] == sig[x]
+            y = y[((~same).sum(1) <= radius) & (_first_common(same, edges) == index)] if len(y) else y
+            out_a.append(np.full(len(y), node[x]))
+            out_b.append(node[y])
+        return pa.table({"a": pa.array(np.concatenate(out_a)), "b": pa.array(np.concatenate(out_b))})
+
+    return run
 
 
 def _short_sets(size: int):
@@ -256,7 +275,7 @@ class _Join:
         side = lambda x: ends.select(F.col("n1").alias(x), F.struct("n1", "n2").alias(f"k{x}"), F.col("n_shingles").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
         p = self.percent
         near = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {p} * greatest(n_a, n_b)")
-        near = near.select("ka", "kb", "sig_a", "sig_b").mapInArrow(B.bounded(_close), "ka struct<n1:long,n2:long>, kb struct<n1:long,n2:long>")
+        near = near.select("ka", "kb", "sig_a", "sig_b").mapInArrow(B.bounded(_close(reach(p)[0])), "ka struct<n1:long,n2:long>, kb struct<n1:long,n2:long>")
         near = saved(near.select(F.col("ka.n1").alias("a1"), F.col("ka.n2").alias("a2"), F.col("kb.n1").alias("b1"), F.col("kb.n2").alias("b2")), "near-pairs")
         text = self.texts
         b = near.join(text.select(F.col("n1").alias("b1"), F.col("n2").alias("b2"), F.col("text").alias("text_b")), ["b1", "b2"])
@@ -275,7 +294,7 @@ def _mixed_pairs(members: DataFrame, join: _Join, labels: DataFrame) -> DataFram
     mixed = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x <> y").select("key", "n")
     rows = saved(rows.join(mixed, "key"), "near-mixed")
     of = lambda x: x.join(join.nodes.select("n1", "n_shingles", "sig"), "n1")
-    small = of(rows.where(F.col("n") <= SMALL_ROWS)).select("key", "n1", "label", "n_shingles", "sig").groupBy("key").applyInArrow(_across, "a long, b long")
+    small = of(rows.where(F.col("n") <= SMALL_ROWS)).select("key", "n1", "label", "n_shingles", "sig").groupBy("key").applyInArrow(_across(join.percent), "a long, b long")
     # a row of a large bucket meets all of the bucket's blocks, one after another in separate groups
     parts = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
     large = rows.where(F.col("n") > SMALL_ROWS).select("key", "n1", "label", parts.alias("parts"), F.pmod(F.xxhash64("n1"), parts).cast("int").alias("block"))
@@ -293,7 +312,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, id_col
         raise ValueError(f"the signatures' radius holds for {LEAST_PERCENT} percent and more")
     sets = saved(keyed(docs, id_col, text_col).mapInArrow(B.bounded(_signed(shingle)), _SETS), "near-sets")
     join = _Join((docs, id_col, text_col), sets, shingle, percent)
-    keys = join.nodes.select("n1", "sig").mapInArrow(B.bounded(_keyed), "key long, n1 long")
+    keys = join.nodes.select("n1", "sig").mapInArrow(B.bounded(_keyed(reach(percent)[1])), "key long, n1 long")
     shared = keys.groupBy("key").agg(F.min("n1").alias("lo"), F.max("n1").alias("hi")).where("lo <> hi")
     members = saved(keys.join(shared, "key"), "near-members")
     join.lend_texts(members)
