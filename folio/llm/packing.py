@@ -16,6 +16,7 @@ are ignored.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from bisect import bisect_right
 from collections import Counter
@@ -45,16 +46,41 @@ def byte_vocabulary(path: str) -> dict[bytes, int]:
 
 
 def encoder(path: str):
-    """text -> ids; the same ids as the tokenizers library gives for the file, some times faster."""
+    """text -> ids; the same ids as the tokenizers library gives for the file, some times faster.
+
+    Added tokens are split off first, as the library does, and the texts between them are encoded on
+    their own.  Where an added token asks for more than its exact text, the library itself is used.
+    """
     if path not in _tokenizers:
         import public_tokenizers
         import tiktoken
 
-        fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_vocabulary(path), special_tokens={})
-        _tokenizers[path] = fast.encode_ordinary
+        fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_vocabulary(path), special_tokens={}).encode_ordinary
+        with open(path, encoding="utf-8") as f:
+            added = json.load(f).get("added_tokens", [])
+        if any(x[k] for x in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            from tokenizers import Tokenizer
+
+            whole = Tokenizer.from_file(path)
+            _tokenizers[path] = lambda text: whole.encode(text, add_special_tokens=False).ids
+        else:
+            _tokenizers[path] = _split_on({x["content"]: x["id"] for x in added}, fast) if added else fast
     return _tokenizers[path]
 
 
+def _split_on(added: dict[str, int], fast):
+    cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+
+    def encode(text: str) -> list[int]:
+        parts = cut.split(text)
+        if len(parts) == 1:
+            return fast(text)
+        # every second part is an added token
+        return [x for i, part in enumerate(parts) for x in ([added[part]] if i % 2 else fast(part))]
+
+    return encode
+
+
 def _tokenised(path: str, size: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task, seen = encoder(path), TaskContext.get().partitionId(), Counter()
