@@ -2,9 +2,11 @@
 
 Fixed kinds are ``assign`` (a credential name, then its value), ``access`` (an access key id) and
 ``hex`` (a long hexadecimal run).  The method adds ``random``: a run of base64-like characters
-with letters and digits whose characters per token under a tiktoken vocabulary are few, since
-merges learned from text do not fit random strings.  Known digests (hexadecimal of a digest's
-length), UUIDs and identifiers (words joined by ``_``, ``-`` or ``/`` with numbers) are left out.
+with letters whose characters per token under a tiktoken vocabulary are few, since merges learned
+from text do not fit random strings.  Known digests (hexadecimal of a digest's length), UUIDs and
+identifiers (words joined by ``_``, ``-`` or ``/``, also with numbers) are left out.  A run of
+letters in the case of a word (all capitals, or none after the first) may be an unknown word, so
+it has to be below nine tenths of the ratio or have vowels in at most three letters of ten.
 
 Defined cases: a null or empty text has no spans; repeated rows and null ids each get a row; an
 empty table gives no rows; extra columns are ignored.  Offsets are code points, end exclusive.
@@ -32,6 +34,11 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 DIGEST_CHARS = (32, 40, 56, 64, 96, 128)
 _UUID = re.compile(rb"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.I)
 _HEX = re.compile(rb"[0-9a-f]+", re.I)
+_CASED = rb"(?:[A-Z]?[a-z]+|[A-Z]+)"
+_WORD = re.compile(_CASED)
+_WORDS = re.compile(_CASED + rb"(?:[_/+-]+" + _CASED + rb")+")
+_VOWELS = b"aeiouyAEIOUY"
+WORD_RATIO, WORD_VOWELS = 0.9, 0.3
 _IDENTIFIER = re.compile(rb"(?:[a-zA-Z]+|[A-Z]?[a-z]+|[0-9]{1,8})(?:[_/+-]+(?:[a-zA-Z]+|[0-9]{1,8}))*")
 SCHEMA = "k1 long, k2 long, doc_id long, spans array<struct<kind:string,start:int,end:int>>"
 _encodings: dict[str, object] = {}
@@ -49,13 +56,24 @@ def encoding(path: str):
 
 
 def is_random(run: bytes, encode, max_chars_per_token: float) -> bool:
-    if not (re.search(rb"[0-9]", run) and re.search(rb"[A-Za-z]", run)):
+    if not re.search(rb"[A-Za-z]", run):
         return False
+    if not re.search(rb"[0-9]", run):
+        return _is_random_letters(run, encode, max_chars_per_token)
     if (len(run) in DIGEST_CHARS and _HEX.fullmatch(run)) or _UUID.fullmatch(run) or _IDENTIFIER.fullmatch(run):
         return False
     return len(run) <= max_chars_per_token * len(encode(run.decode("ascii")))
 
 
+def _is_random_letters(run: bytes, encode, max_chars_per_token: float) -> bool:
+    if _WORDS.fullmatch(run):
+        return False
+    ratio = len(run) / len(encode(run.decode("ascii")))
+    if not _WORD.fullmatch(run) or len(run) - len(run.translate(None, _VOWELS)) <= WORD_VOWELS * len(run):
+        return ratio <= max_chars_per_token
+    return ratio <= WORD_RATIO * max_chars_per_token
+
+
 def _runs(raw: np.ndarray, kept: bytes, least: int) -> tuple[np.ndarray, np.ndarray]:
     ok = np.zeros(256, np.int8)
     ok[list(kept)] = 1
