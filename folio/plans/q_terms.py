@@ -241,8 +241,8 @@ def q_text_width(spark, sf_dir):
 
 @query(None)
 def q_draw_ops(spark, sf_dir):
-    """Every fourth block of each document laid out; wrapping has no SQL, tests compare with fixtures."""
-    rows = read_blocks(spark, sf_dir).where("ord % 4 = 0")
+    """Every block laid out; wrapping has no SQL, tests compare with fixtures."""
+    rows = read_blocks(spark, sf_dir)
     k = F.col("ord") % 3
     full = rows.select("doc", "page", "id", F.col("text").alias("zh"), "x0", "y0", "x1", (F.col("y0") + 160).alias("y1"), "size", (F.col("ord") % 5 + 1).cast("int").alias("nlines"), "bold", F.lit(0xFF8000).alias("color"), F.when(k == 0, "l").when(k == 1, "c").otherwise("r").alias("align"),
                        F.transform(F.sequence(F.lit(0), F.col("ord") % 5), lambda i: F.col("y0") + i * 30.0).alias("line_ys"), F.when(F.col("ord") % 16 == 12, 90).alias("rot"), F.array("x0").alias("line_x0s"), F.array(F.col("x1") - F.col("x0")).alias("line_ws"), F.array(F.lit(25.0)).alias("line_hs"))
