@@ -2,12 +2,19 @@
 
 Texts of an Arrow batch are joined into slices of about ``SLICE`` bytes with one separator byte
 behind each, so that no array grows with the batch.  One text longer than that is a slice of its
-own.  Hashes are polynomials modulo 2**64 over ``byte + 1`` with a final mix.
+own; work on words cuts it between words instead (``word_runs``).
+
+Words are hashed in blocks of eight bytes, each mixed into the last, in two lanes that share
+nothing; words over ``LONG_WORD`` bytes by BLAKE2.  Runs of words are sums of their words' hashes
+times a random odd number for each place, mixed.  Both lanes together make 128 bits.  Spans of bytes
+(``spans_hash``) are polynomials modulo 2**64; they only choose places, equality is never read
+from them.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,7 +22,12 @@ import pyarrow as pa
 
 SLICE = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
-_GRAM = 0xD6E8FEB86659FD93
+_seeds = np.random.default_rng(0x5EED)
+LANES, LONG_WORD, MOST_GRAM = 2, 64, 32
+_LANE = _seeds.integers(0, 2**64, (LANES, 3), np.uint64, endpoint=False) | np.uint64(1)
+_PLACE = _seeds.integers(0, 2**64, (LANES, MOST_GRAM + 1), np.uint64, endpoint=False) | np.uint64(1)
+# the bytes of a block of eight that belong to a word with so many bytes left
+_HEAD = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
@@ -81,24 +93,70 @@ def table(kept: str | bytes, lower: bool = True) -> np.ndarray:
     return out
 
 
-def words(raw: np.ndarray, starts: np.ndarray, classes: np.ndarray):
-    """Words of a slice: (hash, first byte, end, index of the text); the separators end words."""
+def words(raw: np.ndarray, starts: np.ndarray, classes: np.ndarray, lanes: int = LANES) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a slice: (hash of each lane, first byte, end, index of the text); the separators end words."""
     code = classes[raw]
     inside = np.zeros(len(raw) + 2, np.int8)
     inside[1:-1] = code > 0
     edges = np.flatnonzero(np.diff(inside))
     begin, end = edges[0::2], edges[1::2]
-    sums = prefix(code.astype(np.uint64), _BASE)
-    return spans_hash(sums, begin, end, _BASE), begin, end, np.searchsorted(starts, begin, "right") - 1
-
-
-def grams(word: np.ndarray, n: int, base: int = _GRAM) -> np.ndarray:
-    """Hashes of all runs of n consecutive words (across texts too: mask those)."""
-    if len(word) < n:
-        return np.zeros(0, np.uint64)
-    sums = prefix(word, base)
-    at = np.arange(len(word) - n + 1)
-    return spans_hash(sums, at, at + n, base)
+    size = end - begin
+    plain = np.zeros(len(raw) + 8, np.uint8)
+    plain[: len(raw)] = code - np.uint16(1)
+    block = np.lib.stride_tricks.sliding_window_view(plain, 8)
+
+    def eight(rows: np.ndarray | slice, k: int) -> np.ndarray:
+        """The k-th block of eight bytes of some words, zero behind the word."""
+        return block[begin[rows] + 8 * k].view("<u8").ravel() & _HEAD[np.minimum(size[rows] - 8 * k, 8)]
+
+    first = eight(slice(None), 0) if len(begin) else np.zeros(0, np.uint64)
+    found = [mix((first ^ (size.astype(np.uint64) * c)) * b + a) for a, b, c in _LANE[:lanes]]
+    for k in range(1, LONG_WORD // 8):
+        rows = np.flatnonzero(size > 8 * k)
+        if not len(rows):
+            break
+        more = eight(rows, k)
+        for h, (a, b, _) in zip(found, _LANE):
+            h[rows] = mix((h[rows] * b + a) ^ more)
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        name = hashlib.blake2b(plain[begin[i] : end[i]].tobytes(), digest_size=16).digest()
+        for h, value in zip(found, np.frombuffer(name, "<u8")):
+            h[i] = value
+    return found, begin, end, np.searchsorted(starts, begin, "right") - 1
+
+
+def grams(word: np.ndarray, n: int, lane: int = 0, at: np.ndarray | None = None) -> np.ndarray:
+    """Hashes in one lane of all runs of n consecutive words (across texts too: mask those), or of those that start ``at``."""
+    m = max(0, len(word) - n + 1)
+    out = np.full(m if at is None else len(at), int(_PLACE[lane, MOST_GRAM]) * n % 2**64, np.uint64)
+    if len(out):
+        for i in range(n):
+            out += (word[i : i + m] if at is None else word[at + i]) * _PLACE[lane, i]
+    return mix(out)
+
+
+def word_runs(texts: list[str], classes: np.ndarray) -> Iterator[tuple[int, bool, bool, list[np.ndarray], np.ndarray]]:
+    """(index of the first text, its words go on from the run before, its words end here, hash of each lane, words of each text).
+
+    A text of more than twice ``SLICE`` bytes comes in several runs, cut between words, so memory
+    does not grow with it; every other text is whole in one run.
+    """
+    for first, raw, starts in slices(texts):
+        at, stop = 0, len(raw)
+        while at < len(raw):
+            if len(starts) == 2 and len(raw) - at > 2 * SLICE:
+                stop = at + SLICE
+                while stop < len(raw):  # behind the last separator, or as far as the word goes
+                    blank = np.flatnonzero(classes[raw[at:stop]] == 0)
+                    if len(blank):
+                        stop = at + int(blank[-1]) + 1
+                        break
+                    stop = min(stop + SLICE, len(raw))
+            else:
+                stop = len(raw)
+            found, _, _, doc = words(raw[at:stop], np.maximum(starts - at, 0), classes)
+            yield first, at > 0, stop == len(raw), found, np.bincount(doc, minlength=len(starts) - 1)
+            at = stop
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:

@@ -145,7 +145,7 @@ def fit(texts: list[str], langs: list[str], steps_of: int = 48, epochs: int = 3,
     owners, feats, gold, offset = [], [], [], 0
     runs: list[tuple[int, int]] = []
     for first, raw, starts in B.slices(texts):
-        word, begin, end, doc = B.words(raw, starts, B.table(LETTER_BYTES))
+        (word,), begin, end, doc = B.words(raw, starts, B.table(LETTER_BYTES), 1)
         owner, feature = word_features(raw, begin, end, word)
         owners.append((owner + offset).astype(np.int32))
         feats.append(feature.astype(np.int32))
@@ -231,7 +231,7 @@ def _predicted(shared, with_text: bool):
 
 def predict(model: Model, texts: list[str], raw: np.ndarray, starts: np.ndarray) -> tuple[list[str], np.ndarray]:
     n, k = len(starts) - 1, len(model.labels)
-    word, begin, end, doc = B.words(raw, starts, B.table(LETTER_BYTES))
+    (word,), begin, end, doc = B.words(raw, starts, B.table(LETTER_BYTES), 1)
     count = np.bincount(doc, minlength=n)
     first = np.cumsum(count) - count
     mean = np.zeros((n, k))

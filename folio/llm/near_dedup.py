@@ -11,10 +11,15 @@ symbols on average and in more than 29 with odds of 1.2 in a million.
 
 Equal sets are one node from the start.  Links are only wanted for classes, so no group is
 expanded into pairs: every member of a bucket is first compared with the bucket's smallest and
-largest node, and the classes this gives are contracted.  Buckets that still hold several classes
-are then compared completely between classes: small ones by signatures, large ones by their sets
-in blocks of bounded size, of which only a spanning forest of links leaves a task.  Every
-candidate is confirmed on the full sets.
+largest node, and the classes this gives are contracted.  Buckets whose other members are still
+of several classes are then compared completely between classes, all of them in the same way: the
+members of the bucket's largest class stay in their block, the rest meet all blocks, and blocks
+are bounded in rows and in bytes.  Signatures find the pairs within the radius that the bucket
+owns (it has the first key that both share); texts are sent only for members of such pairs, and
+the task that holds both texts settles the pair and returns links that join different classes.
+
+A shingle is 128 bits, in two lanes that share nothing.  Every candidate is confirmed on the full
+sets in both lanes.  Links are final when they are made.
 
 Defined cases: texts that are null or have no word have an empty set and are linked with nothing;
 texts of fewer words than a shingle are one shingle of all their words; rows that repeat an id
@@ -40,8 +45,8 @@ from .store import keyed, row_key, saved
 HASHES, CHUNKS, RADIUS = 64, 13, 24
 # below NARROW_PERCENT, down to LEAST_PERCENT
 WIDE_CHUNKS, WIDE_RADIUS, NARROW_PERCENT, LEAST_PERCENT = 15, 29, 85, 80
-#: Buckets up to ``SMALL_ROWS`` are compared by signatures; larger ones by sets, ``BLOCK_ROWS`` against as many.
-SMALL_ROWS, BLOCK_ROWS, SHINGLE_BYTES = 64, 1024, 6
+#: Rows and shingles in a block of a bucket (more only where one text has more), and pairs of one text in a task.
+BLOCK_ROWS, BLOCK_SHINGLES, HUB_PAIRS = 1024, 1 << 19, 512
 WORD_BYTES = bytes(sorted(set(range(256)) - {0x20, *range(0x09, 0x0E)}))
 _rng = np.random.default_rng(20240229)
 _ODD = _rng.integers(0, 2**64, HASHES, np.uint64, endpoint=False) | np.uint64(1)
@@ -55,19 +60,53 @@ def reach(percent: int) -> tuple[int, np.ndarray]:
     return (RADIUS, _EDGES) if percent >= NARROW_PERCENT else (WIDE_RADIUS, _WIDE_EDGES)
 
 
-def shingle_sets(texts: list[str], size: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(index of the text, sorted distinct shingle hashes)."""
-    classes = B.table(WORD_BYTES)
-    for first, raw, starts in B.slices(texts):
-        word, _, _, doc = B.words(raw, starts, classes)
-        count = np.bincount(doc, minlength=len(starts) - 1)
-        begin = np.cumsum(count) - count
-        by_size = {n: B.grams(word, n) for n in range(1, size + 1)}
-        for i, (a, n) in enumerate(zip(begin.tolist(), count.tolist(), strict=True)):
-            if n >= size:
-                yield first + i, np.unique(by_size[size][a : a + n - size + 1])
-            else:
-                yield first + i, by_size[n][a : a + 1] if n else np.zeros(0, np.uint64)
+Set = tuple[np.ndarray, np.ndarray]
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> Set:
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = a[1:] != a[:-1]
+    if (b[1:] != b[:-1])[~new[1:]].any():  # equal in one lane alone
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
+def _grams(word: list[np.ndarray], size: int) -> Set:
+    """Shingles of a text's words; of all its words where they are fewer than ``size``."""
+    n = min(size, len(word[0]))
+    return tuple(B.grams(x, n, lane) if n else x for lane, x in enumerate(word))
+
+
+def shingle_sets(texts: list[str], size: int) -> Iterator[tuple[int, Set]]:
+    """(index of the text, its distinct shingles in both lanes, sorted by the first)."""
+    parts: list[Set] = []  # of a long text
+    left: list[np.ndarray] = []  # its words that no later shingle may miss
+    for first, more, ends, found, count in B.word_runs(texts, B.table(WORD_BYTES)):
+        if ends and not more:
+            whole = [B.grams(x, size, lane) for lane, x in enumerate(found)]
+            begin = np.cumsum(count) - count
+            for i, (a, n) in enumerate(zip(begin.tolist(), count.tolist(), strict=True)):
+                yield first + i, _distinct(*(x[a : a + n - size + 1] for x in whole)) if n >= size else _grams([x[a : a + n] for x in found], size)
+            continue
+        own = [np.concatenate(x) for x in zip(left, found, strict=True)] if more else found
+        if len(own[0]) >= size:
+            parts.append(_distinct(*_grams(own, size)))
+        left = [x[max(0, len(x) - size + 1) :] for x in own]
+        if ends:
+            yield first, _distinct(*map(np.concatenate, zip(*parts))) if parts else _grams(left, size)
+            parts, left = [], []
+
+
+def common(a: Set, b: Set) -> int:
+    """Size of the intersection of two sets."""
+    if not len(a[0]) or not len(b[0]):
+        return 0
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    return int(((b[0][at] == a[0]) & (b[1][at] == a[1])).sum())
 
 
 def signature(shingles: np.ndarray) -> bytes:
@@ -82,11 +121,11 @@ def _signed(size: int):
         known: dict[bytes, bytes] = {}
         for b in batches:
             rows = []
-            for i, s in shingle_sets(b.column("text").to_pylist(), size):
+            for _, (s, t) in shingle_sets(b.column("text").to_pylist(), size):
                 if not len(s):
                     rows.append((0, None, None, None))
                     continue
-                name = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+                name = hashlib.blake2b(t, digest_size=16, key=hashlib.blake2b(s, digest_size=32).digest()).digest()
                 if name not in known:
                     if len(known) >= 20_000:
                         known.clear()
@@ -148,107 +187,95 @@ def _confirmed(size: int, percent: int):
             for i, (k, sb) in enumerate(zip(a_key, sets_b, strict=True)):
                 if held[0] != k:
                     held = (k, next(shingle_sets([a_text[i].as_py()], size))[1])
-                both = len(np.intersect1d(held[1], sb, assume_unique=True))
-                keep.append(100 * both >= percent * (len(held[1]) + len(sb) - both))
+                keep.append(linked(held[1], sb, percent))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _first_common(same: np.ndarray, edges: np.ndarray = _EDGES) -> np.ndarray:
-    """For rows of equal-symbol flags: the index of the first key that both signatures have (or HASHES)."""
-    wrong = np.add.reduceat(~same, edges[:-1], axis=1, dtype=np.int64)
-    chunk = np.argmax(wrong <= 1, axis=1)
-    out = np.full(len(same), HASHES)
-    for c in np.unique(chunk):
-        own = np.flatnonzero((chunk == c) & (wrong[:, c] <= 1))
-        # argmax is 0, the chunk's first symbol, where all symbols are equal
-        out[own] = edges[c] + np.argmax(~same[own, edges[c] : edges[c + 1]], axis=1)
-    return out
+def linked(a: Set, b: Set, percent: int) -> bool:
+    both = common(a, b)
+    return 100 * both >= percent * (len(a[0]) + len(b[0]) - both)
 
 
-def _across(percent: int):
+def first_keys(x: np.ndarray, others: np.ndarray, edges: np.ndarray, chunk: int, symbol: int, radius: int) -> np.ndarray:
+    """Which rows of ``others`` are within the radius of ``x`` and have the key of ``chunk`` without ``symbol`` as the first common one."""
+    left = np.arange(len(others))
+    for c in range(chunk):  # an earlier chunk with one error at most owns the pair
+        wrong = (others[left, edges[c] : edges[c + 1]] != x[edges[c] : edges[c + 1]]).sum(1)
+        left = left[wrong > 1]
+    differs = others[left, edges[chunk] : edges[chunk + 1]] != x[edges[chunk] : edges[chunk + 1]]
+    # without an error in the chunk all of its keys are common, and the first of them is the one without the first symbol
+    at = symbol - edges[chunk]
+    own = (differs.sum(1) == 1) & differs[:, at] if at else (differs[:, 1:].sum(1) == 0)
+    left = left[own]
+    return left[(others[left] != x).sum(1) <= radius]
+
+
+def _owned(key: tuple, rows: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, other rows): pairs of two blocks of a bucket, of different classes, that may be linked and that the bucket owns."""
     radius, edges = reach(percent)
+    sig = _matrix(rows.column("sig").combine_chunks())
+    n, label, block = (rows.column(c).to_numpy() for c in ("n_shingles", "label", "block"))
+    index = int(np.flatnonzero(chunk_keys(sig[:1], edges)[0].view(np.int64) == key[0].as_py())[0])
+    chunk = int(np.searchsorted(edges, index, "right")) - 1
+    within = key[1].as_py() == key[2].as_py()
+    left, right = (np.flatnonzero(block == k.as_py()) for k in key[1:])
+    for i, x in enumerate(left.tolist()):
+        y = right[i + 1 :] if within else right
+        y = y[(label[y] != label[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
+        y = y[first_keys(sig[x], sig[y], edges, chunk, index, radius)] if len(y) else y
+        if len(y):
+            yield x, y
 
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        """Pairs of different classes within the radius in a small bucket, each in the first bucket it shares."""
-        sig = _matrix(rows.column("sig").combine_chunks())
-        node, label, n = (rows.column(c).to_numpy() for c in ("n1", "label", "n_shingles"))
-        order = np.argsort(node)
-        sig, node, label, n = sig[order], node[order], label[order], n[order]
-        index = int(np.flatnonzero(chunk_keys(sig[:1], edges)[0].view(np.int64) == key[0].as_py())[0])
-        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for x in range(len(node) - 1):
-            y = np.arange(x + 1, len(node))
-            y = y[(label[y] != label[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
-            same = sig[y] == sig[x]
-            y = y[((~same).sum(1) <= radius) & (_first_common(same, edges) == index)] if len(y) else y
-            out_a.append(np.full(len(y), node[x]))
-            out_b.append(node[y])
-        return pa.table({"a": pa.array(np.concatenate(out_a)), "b": pa.array(np.concatenate(out_b))})
 
-    return run
+_BLOCK = "key long, i int, j int, block int, n1 long, n2 long, label long, n_shingles long, sig binary"
 
 
-def _short_sets(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            packed = [np.ascontiguousarray(s).view(np.uint8).reshape(-1, 8)[:, :SHINGLE_BYTES].tobytes() for _, s in shingle_sets(b.column("text").to_pylist(), size)]
-            yield pa.RecordBatch.from_arrays([b.column("n1"), pa.array(packed, pa.binary())], names=["n1", "shingles"])
+def _asked(percent: int):
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        """The members of two blocks that are in a pair to be settled there."""
+        used = np.zeros(rows.num_rows, bool)
+        for x, y in _owned(key, rows, percent):
+            used[x] = True
+            used[y] = True
+        return rows.filter(pa.array(used))
 
     return run
 
 
-def _unpacked(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // SHINGLE_BYTES, 8), np.uint8)
-    wide[:, :SHINGLE_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, SHINGLE_BYTES)
-    return wide.view(np.uint64).ravel()
+class _Classes:
+    """Union and find over a few numbers."""
+
+    def __init__(self, items: np.ndarray):
+        self.up = {x: x for x in items.tolist()}
 
+    def root(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
 
-def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Sizes of all intersections between two lists of sets, by products of slices of their incidence matrix."""
-    size = np.array([len(x) for x in sets])
-    owner = np.repeat(np.arange(len(sets)), size)
-    _, col, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    often = times[col] > 1  # a shingle in one set is in no intersection
-    owner, col = owner[often], np.unique(col[often], return_inverse=True)[1]
-    order = np.argsort(col, kind="stable")
-    owner, col = owner[order], col[order]
-    out = np.zeros((len(left), len(right)), np.float32)
-    for at in range(0, int(col[-1]) + 1 if len(col) else 0, 2048):
-        a, z = np.searchsorted(col, [at, at + 2048])
-        part = np.zeros((len(sets), 2048), np.float32)
-        part[owner[a:z], col[a:z] - at] = 1
-        out += part[left] @ part[right].T
-    return out
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.up[x] = y
+        return x != y
 
 
-def _joined_classes(percent: int):
+def _settled(size: int, percent: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        """A spanning forest of the links between classes, for two blocks of a large bucket."""
-        node, label, side, n = (rows.column(c).to_numpy() for c in ("n1", "label", "block", "n_shingles"))
-        out: list[tuple[int, int]] = []
-        if len(np.unique(label)) > 1:
-            sets = [_unpacked(x) for x in rows.column("shingles").to_pylist()]
-            left, right = np.flatnonzero(side == key[1].as_py()), np.flatnonzero(side == key[2].as_py())
-            both = common_counts(sets, left, right)
-            linked = (100 * both >= percent * (n[left][:, None] + n[right][None, :] - both)) & (label[left][:, None] != label[right][None, :])
-            parent = {x: x for x in label.tolist()}
-
-            def root(x: int) -> int:
-                while parent[x] != x:
-                    parent[x] = parent[parent[x]]
-                    x = parent[x]
-                return x
-
-            for i, j in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
-                a, b = root(int(label[left[i]])), root(int(label[right[j]]))
-                if a != b:
-                    parent[a] = b
-                    x, y = int(node[left[i]]), int(node[right[j]])
-                    out.append((min(x, y), max(x, y)))
-        cols = list(zip(*out)) or [[], []]
-        return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64())})
+        """A spanning forest of the links between classes for two blocks of a bucket."""
+        sets = [s for _, s in shingle_sets(rows.column("text").to_pylist(), size)]
+        label = rows.column("label").to_numpy()
+        classes, out = _Classes(label), []
+        n1, n2 = rows.column("n1").to_pylist(), rows.column("n2").to_pylist()
+        for x, others in _owned(key, rows, percent):
+            for y in others.tolist():
+                if classes.root(int(label[x])) != classes.root(int(label[y])) and linked(sets[x], sets[y], percent):
+                    classes.join(int(label[x]), int(label[y]))
+                    out.append((n1[x], n2[x], n1[y], n2[y]))
+        cols = list(zip(*out)) or [[]] * 4
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("a1", "a2", "b1", "b2"), cols, strict=True)})
 
     return run
 
@@ -256,7 +283,7 @@ def _joined_classes(percent: int):
 class _Join:
     """The tables that both passes over candidates need."""
 
-    def __init__(self, docs: DataFrame, sets: DataFrame, size: int, percent: int):
+    def __init__(self, docs: tuple, sets: DataFrame, size: int, percent: int):
         self.docs, self.size, self.percent = docs, size, percent
         self.nodes = saved(sets.where("n_shingles > 0").select("n1", "n2", "n_shingles", "sig").dropDuplicates(["n1", "n2"]), "near-nodes")
         self.sets = sets
@@ -264,9 +291,8 @@ class _Join:
     def lend_texts(self, members: DataFrame) -> None:
         """Keep one text of each node that shares a bucket; all later comparisons read these."""
         used = self.nodes.join(members.select("n1").distinct(), "n1", "left_semi").select("n1", "n2")
-        row = self.sets.join(used, ["n1", "n2"]).groupBy("n1", "n2").agg(F.min("k1").alias("k1"))
-        row = self.sets.join(row, ["n1", "n2", "k1"]).groupBy("n1", "n2", "k1").agg(F.min("k2").alias("k2"))
-        texts = keyed(*self.docs).join(row, ["k1", "k2"]).select("n1", "n2", "text")
+        row = self.sets.join(used, ["n1", "n2"]).groupBy("n1", "n2").agg(F.min(F.struct("k1", "k2")).alias("k")).select("n1", "n2", "k.*")
+        texts = keyed(*self.docs).join(row, ["k1", "k2"]).select("n1", "n2", "text").dropDuplicates(["n1", "n2"])
         self.texts = saved(texts, "near-texts")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
@@ -276,34 +302,55 @@ class _Join:
         p = self.percent
         near = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {p} * greatest(n_a, n_b)")
         near = near.select("ka", "kb", "sig_a", "sig_b").mapInArrow(B.bounded(_close(reach(p)[0])), "ka struct<n1:long,n2:long>, kb struct<n1:long,n2:long>")
-        near = saved(near.select(F.col("ka.n1").alias("a1"), F.col("ka.n2").alias("a2"), F.col("kb.n1").alias("b1"), F.col("kb.n2").alias("b2")), "near-pairs")
-        text = self.texts
-        b = near.join(text.select(F.col("n1").alias("b1"), F.col("n2").alias("b2"), F.col("text").alias("text_b")), ["b1", "b2"])
-        both = b.join(text.select(F.col("n1").alias("a1"), F.col("n2").alias("a2"), F.col("text").alias("text_a")), ["a1", "a2"])
-        both = both.select(F.struct("a1", "a2").alias("a"), F.struct("b1", "b2").alias("b"), F.concat_ws(":", "a1", "a2").alias("ka"), "text_a", "text_b")
-        kind = "struct<n1:long,n2:long>"
-        linked = both.mapInArrow(B.bounded(_confirmed(self.size, p)), "a struct<a1:long,a2:long>, b struct<b1:long,b2:long>")
-        return saved(linked.select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b")), "near-links")
-
-
-def _mixed_pairs(members: DataFrame, join: _Join, labels: DataFrame) -> DataFrame:
-    """Candidates between different classes of one bucket that decide whether the classes are linked."""
-    # a class is named by one long here; colliding names would only hide a pair with odds of 2**-64
+        near = saved(near, "near-pairs")
+        # a text in very many pairs is lent in several parts
+        busy = near.select(F.explode(F.array("ka", "kb")).alias("k")).groupBy("k").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("parts")).where("parts > 1")
+        busy = saved(busy, "near-busy")
+        text = self.texts.select(F.struct("n1", "n2").alias("k"), "text").join(busy, "k", "left")
+        text = text.select("k", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), "text")
+        for x, other in (("ka", "kb"), ("kb", "ka")):
+            parts = busy.select(F.col("k").alias(x), "parts")
+            near = near.join(parts, x, "left").withColumn(f"part_{x}", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+        lent = lambda x: text.select(F.col("k").alias(f"k{x}"), F.col("part").alias(f"part_k{x}"), F.col("text").alias(f"text_{x}"))
+        both = near.join(lent("b"), ["kb", "part_kb"]).join(lent("a"), ["ka", "part_ka"])
+        both = both.select(F.col("ka").alias("a"), F.col("kb").alias("b"), F.concat_ws(":", "ka.n1", "ka.n2").alias("ka"), "text_a", "text_b")
+        return saved(both.mapInArrow(B.bounded(_confirmed(self.size, p)), f"a {_NAME}, b {_NAME}"), "near-links")
+
+
+_NAME = "struct<n1:long,n2:long>"
+
+
+def _links_between(members: DataFrame, join: _Join, labels: DataFrame) -> DataFrame:
+    """Links ``a, b`` that join different classes whose members share a bucket (``key, n1``, without its smallest and largest)."""
+    # in a bucket one long stands for a class; equal ones would only hide a pair, with odds of 2**-64
     label = labels.select(F.col("node.n1").alias("n1"), F.xxhash64("root.n1", "root.n2").alias("label")).dropDuplicates(["n1"])
-    rows = members.join(label, "n1", "left").withColumn("label", F.coalesce("label", F.xxhash64("n1")))
-    mixed = rows.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x <> y").select("key", "n")
-    rows = saved(rows.join(mixed, "key"), "near-mixed")
-    of = lambda x: x.join(join.nodes.select("n1", "n_shingles", "sig"), "n1")
-    small = of(rows.where(F.col("n") <= SMALL_ROWS)).select("key", "n1", "label", "n_shingles", "sig").groupBy("key").applyInArrow(_across(join.percent), "a long, b long")
-    # a row of a large bucket meets all of the bucket's blocks, one after another in separate groups
-    parts = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
-    large = rows.where(F.col("n") > SMALL_ROWS).select("key", "n1", "label", parts.alias("parts"), F.pmod(F.xxhash64("n1"), parts).cast("int").alias("block"))
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j"))))
-    sets = join.texts.mapInArrow(B.bounded(_short_sets(join.size)), "n1 long, shingles binary")
-    sent = large.select("key", "n1", "label", "block", pair.alias("p")).join(sets, "n1").join(join.nodes.select("n1", "n_shingles"), "n1")
-    sent = sent.select("key", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "block", "n1", "label", "n_shingles", "shingles")
-    forest = sent.groupBy("key", "i", "j").applyInArrow(_joined_classes(join.percent), "a long, b long")
-    return small.unionByName(forest).distinct()
+    weight = join.nodes.select("n1", "n_shingles")
+    rows = members.join(label, "n1", "left").withColumn("label", F.coalesce("label", F.xxhash64("n1"))).join(weight, "n1").select("key", "n1", "label", "n_shingles")
+    size = rows.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    blocks = lambda n, w: F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(w / BLOCK_SHINGLES)).cast("int")
+    mixed = size.groupBy("key").agg(F.count("*").alias("classes"), F.max(F.struct("n", "w", "label")).alias("most"), F.sum("n").alias("n"), F.sum("w").alias("w")).where("classes > 1")
+    mixed = mixed.select("key", F.col("most.label").alias("large"), blocks(F.col("most.n"), F.col("most.w")).alias("own"), blocks(F.col("n") - F.col("most.n"), F.col("w") - F.col("most.w")).alias("rest"))
+    rows = rows.join(mixed, "key").withColumn("is_large", F.col("label") == F.col("large"))
+    # blocks of the largest class come behind the others; they meet those but not each other
+    block = F.when(F.col("is_large"), F.col("rest") + F.pmod(F.xxhash64("n1"), F.col("own"))).otherwise(F.pmod(F.xxhash64("n1"), F.col("rest"))).cast("int")
+    rows = rows.withColumn("block", block)
+    last = F.when(F.col("is_large"), F.col("rest")).otherwise(F.col("rest") + F.col("own")) - 1
+    met = F.explode(F.transform(F.sequence(F.lit(0), last), lambda x: F.struct(F.greatest(x, F.col("block")).alias("i"), F.least(x, F.col("block")).alias("j"))))
+    sent = rows.join(join.nodes.select("n1", "n2", "sig"), "n1").select("key", "n1", "n2", "label", "n_shingles", "sig", "block", met.alias("at"))
+    sent = sent.select("key", "at.i", "at.j", "block", "n1", "n2", "label", "n_shingles", "sig")
+    asked = saved(sent.groupBy("key", "i", "j").applyInArrow(_asked(join.percent), _BLOCK), "near-asked")
+    found = asked.join(join.texts, ["n1", "n2"]).select(*asked.columns, "text").groupBy("key", "i", "j").applyInArrow(_settled(join.size, join.percent), "a1 long, a2 long, b1 long, b2 long")
+    return saved(found.select(F.struct(F.col("a1").alias("n1"), F.col("a2").alias("n2")).alias("a"), F.struct(F.col("b1").alias("n1"), F.col("b2").alias("n2")).alias("b")), "near-more")
+
+
+def _classes(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """``labels`` after the links ``more`` have joined some of their classes."""
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+    joined = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    roots = components(joined)
+    up = roots.select(F.col("node").alias("root"), F.col("root").alias("up"))
+    old = labels.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+    return old.unionByName(roots.join(labels.select("node"), "node", "left_anti"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -318,11 +365,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, id_col
     join.lend_texts(members)
     ends = F.explode(F.array("lo", "hi"))
     stars = members.select("n1", ends.alias("c")).where("n1 <> c").select(F.least("n1", "c").alias("a"), F.greatest("n1", "c").alias("b")).distinct()
-    links = join.confirmed(stars)
-    labels = components(links)
-    more = join.confirmed(_mixed_pairs(members.select("key", "n1"), join, labels))
+    labels = components(join.confirmed(stars))
+    # the bucket's smallest and largest have met all of its members
+    more = _links_between(members.where("n1 <> lo and n1 <> hi").select("key", "n1"), join, labels)
     if not more.isEmpty():
-        labels = components(links.unionByName(more))
+        labels = _classes(labels, more)
     named = sets.where("n_shingles > 0").groupBy("n1", "n2").agg(F.min("doc_id").alias("least"))
     named = named.join(labels.select(F.col("node.n1").alias("n1"), F.col("node.n2").alias("n2"), "root"), ["n1", "n2"], "left")
     named = named.withColumn("root", F.coalesce("root", F.struct("n1", "n2")))

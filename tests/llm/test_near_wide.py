@@ -6,6 +6,7 @@ import brute
 import corpus_pipeline
 import numpy as np
 import pytest
+from test_contracts import assert_owned_once
 
 from folio.llm import near_dedup
 
@@ -23,12 +24,12 @@ def pairs_between():
     return out
 
 
-@pytest.mark.parametrize("small_rows", [1, 64])
-def test_stage_links_pairs_from_eighty_percent(spark, small_rows, monkeypatch):
+@pytest.mark.parametrize("rows", [1, 1024])
+def test_stage_links_pairs_from_eighty_percent(spark, rows, monkeypatch):
     docs = pairs_between()
     want = {i for i, (_, c) in brute.components(docs, 80).items() if i == c}
     assert len(want) == len(docs) // 2 and len(brute.components(docs)) == len(docs)
-    monkeypatch.setattr(near_dedup, "SMALL_ROWS", small_rows)
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", rows)
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     assert {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, frame, "").collect()} == want
 
@@ -41,6 +42,4 @@ def test_wide_keys_find_all_within_the_radius():
     b = a.copy()
     for row in b:
         row[rng.choice(near_dedup.HASHES, radius, replace=False)] ^= 1
-    first = near_dedup._first_common(a == b, edges)
-    for i, (x, y) in enumerate(zip(near_dedup.chunk_keys(a, edges), near_dedup.chunk_keys(b, edges))):
-        assert x[first[i]] == y[first[i]] and not (x[: first[i]] == y[: first[i]]).any()
+    assert_owned_once(a, b, edges, radius)
