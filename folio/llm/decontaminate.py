@@ -2,12 +2,16 @@
 
 Words are runs of digits, ASCII letters (lower-cased) and non-ASCII characters.  A window is
 ``window`` consecutive words of an item; an item with fewer words is one window of all of them.
-A fingerprint is the smallest hash of ``window - gram + 1`` consecutive ``gram``-word hashes, so
-every run of ``window`` shared words has a fingerprint that both sides keep.  A Bloom filter of
-the benchmark's fingerprints (at most ``BLOOM_BITS`` bits, whatever the benchmark's size) lets
-each document keep only fingerprints that can match; around those the full windows are extended
-with 128-bit hashes and joined with the benchmark's.  Short items are found by hashing all runs
-of their length, since no fingerprint is guaranteed for them.
+The fingerprint of a window is the smallest hash of the ``window - gram + 1`` runs of ``gram``
+words in it, so every run of ``window`` shared words has a fingerprint that both sides keep.  The
+documents' fingerprints are joined with the benchmark's; around each hit the windows that the
+fingerprint stands for are extended to their full length, word by word to both sides, and their
+128-bit hashes are joined with those of the benchmark's windows.  Items shorter than a window have
+no such fingerprint; they are found by all runs of their length.
+
+A benchmark of up to ``LOCAL_MARKS`` fingerprints goes to every task as one sorted array, so the
+documents are read once and never shuffled.  A larger one is joined by a shuffle of the
+documents' fingerprints.
 
 Defined cases: null or wordless texts have no words and are clean; wordless items never occur;
 repeated rows each get the result; a null id is a document by its text; null item ids count as
@@ -27,18 +31,28 @@ from pyspark.sql import functions as F
 from . import bytesops as B
 from .store import keyed, row_key, saved
 
-#: Bound of the broadcast filter, 16 MB; a benchmark too large for it only passes more candidates.
-BLOOM_BITS = 1 << 27
-#: Below this many benchmark windows (about 64 MB) the window table is broadcast, else shuffled.
+#: Fingerprints (8 bytes each) that are sent to every task at most.
+LOCAL_MARKS = 2_000_000
+#: Up to this many benchmark windows (about 64 MB) the window table is broadcast, else shuffled.
 BROADCAST_WINDOWS = 1_000_000
 WORD_BYTES = bytes([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
-_SECOND = 0xA0761D6478BD642F
+_NEAR = "near array<struct<start:int,size:int,w1:long,w2:long>>"
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def fingerprints(word: np.ndarray, window: int, gram: int) -> np.ndarray:
+    """Of each window of consecutive words, across texts too."""
+    return B.sliding_min(B.grams(word, gram), window - gram + 1)
+
+
+def _inside(doc: np.ndarray, n: int) -> np.ndarray:
+    """Which runs of n words lie in one text."""
+    return doc[: len(doc) - n + 1] == doc[n - 1 :] if len(doc) >= n else np.zeros(0, bool)
+
+
 def _item_windows(window: int, gram: int):
     classes = B.table(WORD_BYTES)
 
@@ -47,116 +61,108 @@ def _item_windows(window: int, gram: int):
             for first, raw, starts in B.slices(b.column("text").to_pylist()):
                 word, _, _, doc = B.words(raw, starts, classes)
                 count = np.bincount(doc, minlength=len(starts) - 1)
-                for i, (a, n) in enumerate(zip(np.cumsum(count) - count, count, strict=True)):
-                    if not n:
-                        continue
-                    own, size = word[a : a + n], min(window, int(n))
-                    g = B.grams(own, gram) if n >= window else None
-                    marks = np.unique(B.sliding_min(g, window - gram + 1)) if g is not None else np.zeros(0, np.uint64)
-                    w1, w2 = B.grams(own, size), B.grams(own, size, _SECOND)
-                    item = b.column("item_id")[first + i].as_py()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([item] * len(w1), pa.string()), pa.array([size] * len(w1), pa.int32()), _signed(w1), _signed(w2),
-                         pa.array([marks.view(np.int64).tolist() if j == 0 else [] for j in range(len(w1))], pa.list_(pa.int64()))],
-                        names=["item_id", "size", "w1", "w2", "marks"])
+                for n in sorted({min(window, x) for x in count.tolist() if x}):
+                    # an item of fewer words than a window is one window of its own
+                    at = np.flatnonzero(_inside(doc, n) & (n == window or count[doc[: len(doc) - n + 1]] == n))
+                    w1, w2 = (B.grams(x, n, lane, at) for lane, x in enumerate(word))
+                    mark = fingerprints(word[0], window, gram)[at] if n == window else w1
+                    item = b.column("item_id").take(pa.array(first + doc[at]))
+                    yield pa.RecordBatch.from_arrays([item, pa.array(np.full(len(at), n, np.int32)), _signed(w1), _signed(w2), _signed(mark)], names=["item_id", "size", "w1", "w2", "mark"])
 
     return run
 
 
 def item_windows(items: DataFrame, window: int, gram: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     rows = items.select(F.col(id_col).cast("string").alias("item_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(_item_windows(window, gram), "item_id string, size int, w1 long, w2 long, marks array<long>")
-
-
-def _bloom_at(x: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    return x & np.uint64(bits - 1), (x >> np.uint64(32)) & np.uint64(bits - 1)
-
-
-def _bloom_parts(bits: int):
+    return rows.mapInArrow(_item_windows(window, gram), "item_id string, size int, w1 long, w2 long, mark long")
+
+
+def _runs(texts: list[str], window: int) -> Iterator[tuple[int, bool, int, int, list[np.ndarray], np.ndarray, np.ndarray]]:
+    """(first text, last run of it, words before, words that an earlier run had, hashes, text of each word, words of each text)."""
+    left: list[np.ndarray] = []
+    before = 0
+    for first, more, ends, found, count in B.word_runs(texts, B.table(WORD_BYTES)):
+        own = [np.concatenate(x) for x in zip(left, found, strict=True)] if more else found
+        old = len(left[0]) if more else 0
+        before = before if more else 0
+        yield first, ends, before - old, old, own, np.repeat(np.arange(len(count)), count) if not more else np.zeros(len(own[0]), np.int64), count
+        before += int(count[0])
+        left = [x[max(0, len(x) - window + 1) :] for x in own]
+
+
+def _marks(word: list[np.ndarray], doc: np.ndarray, old: int, sizes: list[int], window: int, gram: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, starts, fingerprints) of the windows that may be the benchmark's; ``old`` words were there before."""
+    if window in sizes and len(doc) >= window:
+        at = np.flatnonzero(_inside(doc, window))
+        yield window, at, fingerprints(word[0], window, gram)[at]
+    for n in sizes:
+        if n < window and len(doc) >= n:
+            at = np.flatnonzero(_inside(doc, n))
+            at = at[at + n > old]
+            yield n, at, B.grams(word[0], n, 0, at)
+
+
+def _kept_marks(sizes: list[int], window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = np.zeros(bits // 8, np.uint8)
         for b in batches:
-            x = b.column("mark").to_numpy(zero_copy_only=False).view(np.uint64)
-            for at in _bloom_at(x, bits):
-                np.bitwise_or.at(whole, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7))).astype(np.uint8))
-        used = np.flatnonzero(whole)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(whole[used].astype(np.int16))], names=["at", "byte"])
+            for first, _, _, old, word, doc, count in _runs(b.column("text").to_pylist(), window):
+                for _, at, mark in _marks(word, doc, old, sizes, window, gram):
+                    # neighbouring windows mostly share a fingerprint
+                    new = np.flatnonzero(np.append(True, (mark[1:] != mark[:-1]) | (doc[at[1:]] != doc[at[:-1]]))[: len(at)])
+                    row = pa.array(first + doc[at[new]])
+                    yield pa.RecordBatch.from_arrays([b.column("k1").take(row), b.column("k2").take(row), _signed(mark[new])], names=["k1", "k2", "mark"])
 
     return run
 
 
-def bloom(marks: DataFrame, n: int) -> tuple[np.ndarray, int]:
-    """A filter of about 32 bits a mark, ``BLOOM_BITS`` at most; its set bytes are merged by address."""
-    bits = 1 << 16
-    while bits < 32 * n and bits < BLOOM_BITS:
-        bits *= 2
-    whole = np.zeros(bits // 8, np.uint8)
-    parts = marks.mapInArrow(_bloom_parts(bits), "at int, byte short").groupBy("at").agg(F.bit_or("byte").alias("byte"))
-    got = parts.toPandas()
-    whole[got["at"].to_numpy(np.int64)] = got["byte"].to_numpy(np.uint8)
-    return whole, bits
+def _extended(shared, sizes: list[int], window: int, gram: int):
+    """Per document: its number of words, and the windows whose fingerprint the benchmark has.
 
-
-def _candidates(shared, bits: int, sizes: list[int], window: int, gram: int):
-    """Per document: its number of words, and the windows that may be the benchmark's."""
-    classes = B.table(WORD_BYTES)
-
-    def passes(x: np.ndarray) -> np.ndarray:
-        whole = shared.value
-        ok = np.ones(len(x), bool)
-        for at in _bloom_at(x, bits):
-            ok &= (whole[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
-        return ok
-
-    def found(word: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        if len(word) >= window:
-            span = window - gram + 1
-            g = B.grams(word, gram)
-            least = B.sliding_min(g, span)
-            # a window's fingerprint is its smallest gram; windows across texts are not windows
-            ok = (doc[: len(least)] == doc[window - 1 :]) & passes(least)
-            at = np.flatnonzero(ok)
-            yield window, at, B.grams(word, window)[at], B.grams(word, window, _SECOND)[at]
-        for n in sizes:
-            if n < window and len(word) >= n:
-                w1 = B.grams(word, n)
-                at = np.flatnonzero((doc[: len(w1)] == doc[n - 1 :]) & passes(w1))
-                yield n, at, w1[at], B.grams(word, n, _SECOND)[at]
+    ``shared``: the benchmark's fingerprints, sorted; none: each row brings those of its hits.
+    """
+    hit_type = pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, raw, starts in B.slices(b.column("text").to_pylist()):
-                word, _, _, doc = B.words(raw, starts, classes)
-                n = len(starts) - 1
-                count = np.bincount(doc, minlength=n)
-                before = np.cumsum(count) - count
-                hits: list[list[dict]] = [[] for _ in range(n)]
-                for size, at, w1, w2 in found(word, doc):
-                    for p, x, y in zip(at.tolist(), w1.view(np.int64).tolist(), w2.view(np.int64).tolist(), strict=True):
-                        d = doc[p]
-                        hits[d].append({"start": p - int(before[d]), "size": size, "w1": x, "w2": y})
-                part = b.slice(first, n)
-                hit_type = pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([part.column("k1"), part.column("k2"), part.column("doc_id"), pa.array(count.astype(np.int64)), pa.array(hits, hit_type)], names=["k1", "k2", "doc_id", "n_words", "near"])
+            known = shared.value if shared is not None else np.unique(b.column("marks").flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+            n_words = np.zeros(b.num_rows, np.int64)
+            hits: list[list[dict]] = [[] for _ in range(b.num_rows)]
+            for first, _, base, old, word, doc, count in _runs(b.column("text").to_pylist(), window):
+                n_words[first : first + len(count)] += count
+                begin = np.cumsum(count) - count - base
+                for size, at, mark in _marks(word, doc, old, sizes, window, gram):
+                    if not len(known):
+                        break
+                    at = at[known[np.minimum(np.searchsorted(known, mark), len(known) - 1)] == mark]
+                    w1, w2 = (B.grams(x, size, lane, at).view(np.int64).tolist() for lane, x in enumerate(word))
+                    for p, d, x, y in zip((at - begin[doc[at]]).tolist(), doc[at].tolist(), w1, w2, strict=True):
+                        hits[first + d].append({"start": p, "size": size, "w1": x, "w2": y})
+            yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), b.column("doc_id"), pa.array(n_words), pa.array(hits, hit_type)], names=["k1", "k2", "doc_id", "n_words", "near"])
 
     return run
 
 
+def near_windows(docs: DataFrame, marks: DataFrame, sizes: list[int], window: int, gram: int) -> DataFrame:
+    """``k1, k2, doc_id, n_words, near`` of keyed documents; ``near``: windows whose fingerprint is one of ``marks``."""
+    spark = docs.sparkSession
+    marks = saved(marks.distinct(), "bench-marks")
+    fields = f"k1 long, k2 long, doc_id long, n_words long, {_NEAR}"
+    if marks.count() <= LOCAL_MARKS:
+        sent = np.sort(marks.toArrow().column("mark").to_numpy().view(np.uint64))
+        return docs.mapInArrow(B.bounded(_extended(spark.sparkContext.broadcast(sent), sizes, window, gram)), fields)
+    kept = docs.select("k1", "k2", "text").mapInArrow(B.bounded(_kept_marks(sizes, window, gram)), "k1 long, k2 long, mark long")
+    hits = kept.join(marks, "mark").groupBy("k1", "k2").agg(F.collect_set("mark").alias("marks"))
+    rows = docs.join(hits, ["k1", "k2"], "left").withColumn("marks", F.coalesce("marks", F.array().cast("array<long>")))
+    return rows.select("k1", "k2", "doc_id", "text", "marks").mapInArrow(B.bounded(_extended(None, sizes, window, gram)), fields)
+
+
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, gram: int = 5, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``k1, k2, doc_id, n_words, n_hit, items`` (sorted item ids) for each row of ``docs``."""
-    spark = docs.sparkSession
     windows = saved(item_windows(items, window, gram, item_col, item_text_col), "bench-windows")
-    marks = windows.select(F.explode("marks").alias("mark")).unionByName(windows.where(F.col("size") < window).select(F.col("w1").alias("mark")))
-    sizes = [r[0] for r in windows.select("size").distinct().collect()]  # at most ``window`` values
-    n_marks, n_windows = marks.count(), windows.count()
-    whole, bits = bloom(marks, n_marks)
-    shared = spark.sparkContext.broadcast(whole)
-    near = keyed(docs, id_col, text_col).mapInArrow(
-        B.bounded(_candidates(shared, bits, sorted(sizes), window, gram)),
-        "k1 long, k2 long, doc_id long, n_words long, near array<struct<start:int,size:int,w1:long,w2:long>>")
-    near = saved(near, "bench-near")
-    hint = F.broadcast if n_windows <= BROADCAST_WINDOWS else (lambda x: x)
+    sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # at most ``window`` values
+    near = saved(near_windows(keyed(docs, id_col, text_col), windows.select("mark"), sizes, window, gram), "bench-near")
+    hint = F.broadcast if windows.count() <= BROADCAST_WINDOWS else (lambda x: x)
     keys = ["size", "w1", "w2"]
     at = near.where(F.size("near") > 0).select("k1", "k2", F.explode("near").alias("x")).select("k1", "k2", "x.*")
     true = at.join(hint(windows.select(*keys).distinct()), keys).dropDuplicates(["k1", "k2", "start", "size"])

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folio.llm import ann, bytesops, langid, line_dedup, near_dedup, packing, queries, secret_scan, substring_dedup, suffix_dedup, warc
+from folio.llm import ann, bytesops, decontaminate, langid, line_dedup, near_dedup, packing, queries, secret_scan, substring_dedup, suffix_dedup, warc
 
 
 def table(spark, sf, name, *cols):
@@ -117,7 +117,7 @@ def test_code_switching_and_blocks():
     de, en = "der die und nicht ein mit ", "the of and to in that "
     model = langid.fit([de * 60, en * 60], ["de", "en"], epochs=4)
     _, raw, starts = next(bytesops.slices([en * 4 + de * 4 + en * 4]))
-    word, begin, end, _ = bytesops.words(raw, starts, bytesops.table(langid.LETTER_BYTES))
+    (word,), begin, end, _ = bytesops.words(raw, starts, bytesops.table(langid.LETTER_BYTES), 1)
     scores = langid.word_scores(model.weights, *langid.word_features(raw, begin, end, word), len(word))
     p = langid.posteriors(scores, model.transition, np.array([0]), np.array([len(word)]))
     labels = [model.labels[i] for i in p.argmax(1)]
@@ -148,9 +148,9 @@ def test_op4(spark, sf, docs):
     assert got(queries.op4_near_dedup(spark, sf), "doc_id", "n_shingles", "component_id", "kept") == want
 
 
-@pytest.mark.parametrize("small_rows", [2, 64])
-def test_near_copies_of_one_text(spark, small_rows, monkeypatch):
-    """A family of copies with few to many changes: large and small buckets give the same classes as all pairs."""
+@pytest.mark.parametrize(("rows", "shingles"), [(3, 1 << 19), (1024, 1 << 19), (1024, 400)])
+def test_near_copies_of_one_text(spark, rows, shingles, monkeypatch):
+    """A family of copies with few to many changes: any size of blocks gives the same classes as all pairs."""
     rng = random.Random(3)
     base = [f"w{rng.randint(0, 400)}" for _ in range(160)]
     docs = []
@@ -159,7 +159,9 @@ def test_near_copies_of_one_text(spark, small_rows, monkeypatch):
         for _ in range(rng.choice([0, 1, 2, 3, 4, 6, 8, 12])):
             own[rng.randrange(len(own))] = f"z{rng.randint(0, 9999)}"
         docs.append((i, " ".join(own)))
-    monkeypatch.setattr(near_dedup, "SMALL_ROWS", small_rows)
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", shingles)
+    monkeypatch.setattr(near_dedup, "HUB_PAIRS", 7)
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     rows = near_dedup.near_duplicates(frame)
     assert got(rows, "doc_id", "component_id") == sorted((i, c) for i, (_, c) in brute.components(docs).items())
@@ -173,10 +175,73 @@ def test_keys_find_all_within_the_radius():
         at = rng.choice(near_dedup.HASHES, rng.integers(0, near_dedup.RADIUS + 1), replace=False)
         row[at] ^= 1
     assert all(set(x) & set(y) for x, y in zip(near_dedup.chunk_keys(a), near_dedup.chunk_keys(b)))
-    same = a == b
-    first = near_dedup._first_common(same)
-    for i, (x, y) in enumerate(zip(near_dedup.chunk_keys(a), near_dedup.chunk_keys(b))):
-        assert x[first[i]] == y[first[i]] and not (x[: first[i]] == y[: first[i]]).any()
+    assert_owned_once(a, b, near_dedup._EDGES, near_dedup.RADIUS)
+
+
+def assert_owned_once(a, b, edges, radius):
+    """Each pair belongs to the first of its common keys and to no other."""
+    for x, y, kx, ky in zip(a, b, near_dedup.chunk_keys(a, edges), near_dedup.chunk_keys(b, edges)):
+        owned = [i for i in range(near_dedup.HASHES) if len(near_dedup.first_keys(x, y[None], edges, int(np.searchsorted(edges, i, "right")) - 1, i, radius))]
+        assert owned == [int(np.flatnonzero(kx == ky)[0])]
+
+
+def thue_morse(n):
+    """Two words that polynomials modulo 2**64 cannot tell apart."""
+    word = [0]
+    while len(word) < n:
+        word += [1 - x for x in word]
+    return "".join("ab"[x] for x in word), "".join("ba"[x] for x in word)
+
+
+def test_words_that_polynomials_confuse(spark):
+    x, y = thue_morse(2048)
+    shared = "one two three four"
+    docs = [(0, f"{x} {shared}"), (1, f"{y} {shared}"), (2, f"{y} {shared}")]
+    rows = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert got(rows, "doc_id", "component_id") == [(0, 0), (1, 1), (2, 1)]
+
+
+def test_word_hashes():
+    """Neither the slice, the place in it nor the case matters; length and every byte do."""
+    rng, classes = random.Random(4), bytesops.table(near_dedup.WORD_BYTES)
+    words = ["".join(rng.choice("abcé-0") for _ in range(n)) for n in [*range(1, 80), 500] for _ in range(3)]
+    words += [w[:-1] + "z" for w in words] + [w + "\0" for w in words]
+    hashes = {}
+    for sep in (" ", "\t\n  "):
+        _, raw, starts = next(bytesops.slices(["", sep.join(words) + sep, " ".join(words).upper()]))
+        (h1, h2), begin, _, doc = bytesops.words(raw, starts, classes)
+        for w, a, b in zip(words, h1[doc == 1].tolist(), h2[doc == 1].tolist(), strict=True):
+            assert hashes.setdefault(w, (a, b)) == (a, b)
+    assert len({a for a, _ in hashes.values()}) == len({b for _, b in hashes.values()}) == len(set(words))
+
+
+def test_long_texts_have_the_shingles_of_short_ones(monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["", "ab", "c" * rng.randint(1, 90), "d", "\n"]) for _ in range(n)) for n in (0, 3, 4, 5, 40, 900)] + ["x" * 700, "", "one two three four"]
+    want = [near_dedup.shingle_sets([t], 5) for t in texts]
+    want = [[s.tolist() for s in next(x)[1]] for x in want]
+    for size in (16, 64, 200):
+        monkeypatch.setattr(bytesops, "SLICE", size)
+        monkeypatch.setattr(bytesops.slices, "__defaults__", (size,))
+        found = list(near_dedup.shingle_sets(texts, 5))
+        assert [i for i, _ in found] == list(range(len(texts)))
+        assert [[s.tolist() for s in x] for _, x in found] == want
+        assert [len(x[0]) for x in want] == [len(brute.shingles(t)) for t in texts]
+
+
+def test_no_link_hides_behind_another(spark):
+    """Two classes with many links whose signatures differ much or little are joined whatever link is met first."""
+    rng, docs = random.Random(12), []
+    base = [f"w{i}" for i in range(130)]
+    for side in (0, 1):  # each side is a chain of copies; sides are linked by some pairs only
+        for step in range(12):
+            own = list(base)
+            for j in range(step % 4 + side):
+                own[(17 * side + 31 * step + 7 * j) % 130] = f"z{side}{step}{j}"
+            docs.append((len(docs), " ".join(own)))
+    rng.shuffle(docs)
+    want = sorted((i, c) for i, (_, c) in brute.components(docs).items())
+    assert got(near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)), "doc_id", "component_id") == want
 
 
 def test_op5(spark, sf, docs):
@@ -312,3 +377,45 @@ def test_random_strings(spark):
 def test_op10(spark, sf, docs):
     want = brute.contamination(docs, table(spark, sf, "benchmark", "item_id", "text"))
     assert got(queries.op10_decontamination(spark, sf), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == sorted(want)
+
+
+@pytest.mark.parametrize("local", [0, 10**6])
+def test_fingerprints_sent_or_shuffled(spark, local, monkeypatch):
+    """Short items, item ends, hits across the runs of a long text: both joins find what brute force finds."""
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randint(0, 30)}"
+    items = [(f"i{i}", " ".join(word() for _ in range(rng.choice([1, 2, 3, 9, 10, 11, 25])))) for i in range(40)] + [("none", "?!"), ("null", None), (None, "w1 w2 w3 w4")]
+    docs = [(i, " ".join(word() for _ in range(rng.randint(0, 400)))) for i in range(60)]
+    for i in range(60, 90):
+        docs.append((i, " ".join(x for _ in range(6) for x in (items[rng.randrange(40)][1], word(), word().upper() + "!"))))
+    docs += [(90, None), (91, ""), (92, "W1, w2; w3 w4")]
+    monkeypatch.setattr(decontaminate, "LOCAL_MARKS", local)
+    want = sorted(brute.contamination(docs, [x for x in items if x[0]] + [("", "w1 w2 w3 w4")]))
+    for size in (bytesops.SLICE, 300):
+        monkeypatch.setattr(bytesops, "SLICE", size)
+        monkeypatch.setattr(bytesops.slices, "__defaults__", (size,))
+        near = [(first, count.tolist()) for first, ends, _, _, _, _, count in decontaminate._runs([t for _, t in docs], 10) if ends]
+        assert sum(len(c) for _, c in near) == len(docs)
+        out = b"".join(_batch_bytes(docs, items))
+        assert out == _batch_bytes.seen.setdefault("out", out)
+    found = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_hit) for r in found) == [w[:3] for w in want]
+
+
+def _batch_bytes(docs, items):
+    """What the tasks find, without Spark: the workers do not see a test's changes to the module."""
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_pylist([{"item_id": i, "text": t or ""} for i, t in items], pa.schema([("item_id", pa.string()), ("text", pa.string())]))
+    windows = pa.Table.from_batches(list(decontaminate._item_windows(10, 5)([rows])))
+    marks = np.sort(np.unique(windows.column("mark").to_numpy()).view(np.uint64))
+    sizes = sorted(set(windows.column("size").to_pylist()))
+    batch = pa.RecordBatch.from_pylist([{"k1": i, "k2": 0, "doc_id": i, "text": t or ""} for i, t in docs])
+    shared = type("Shared", (), {"value": marks})
+    for out in decontaminate._extended(shared, sizes, 10, 5)([batch]):
+        for x in out.to_pylist():
+            x["near"].sort(key=lambda h: (h["size"], h["start"]))
+            yield repr(x).encode()
+
+
+_batch_bytes.seen = {}
