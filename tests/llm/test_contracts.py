@@ -296,7 +296,7 @@ def test_ann_odd_rows(spark):
     bad = [(None, [1.0, 0.0]), (50, None), (51, []), (52, [0.0, 0.0]), (53, [None, 1.0]), (54, [float("nan"), 1.0]), (55, [float("inf"), 1.0]), (56, [1.0, 2.0, 3.0])]
     same = [(i, [0.6, 0.8]) for i in range(30)]
     rows = spark.createDataFrame(bad + same + same[:1] + [(40, [-1.0, 1e-3])], "vec_id long, embedding array<double>")
-    found = ann.search(rows, rows.where("vec_id in (0, 29, 40, 52)"), top=4, bucket_rows=7).collect()
+    found = ann.search(rows, rows.where("vec_id in (0, 29, 40, 52)"), top=4, group_rows=7).collect()
     by = {q: [(r.rank, r.vec_id) for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == q] for q in (0, 29, 40, 52)}
     assert by == {0: [(1, 1), (2, 2), (3, 3), (4, 4)], 29: [(1, 0), (2, 1), (3, 2), (4, 3)], 40: [(1, 0), (2, 1), (3, 2), (4, 3)], 52: []}
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [-1.0, 0.0])], "vec_id long, embedding array<double>")
@@ -304,6 +304,35 @@ def test_ann_odd_rows(spark):
     assert ann.search(few.limit(0), few).count() == 0
 
 
+@pytest.mark.parametrize("factor", [1e200, 1e-200, 1e307])
+def test_ann_sizes_of_vectors(spark, factor):
+    """Squares out of range lose no row; ids, ranks and distances are those of the small vectors, scaled."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(40, 8)) / 4
+    rows = spark.createDataFrame([(i, (x * factor).tolist(), "c", 1) for i, x in enumerate(v)], "vec_id long, embedding array<double>, rank string, q int")
+    found = ann.search(rows, rows.where("vec_id % 10 = 0"), recall=1.0).collect()
+    want = brute.neighbours(list(range(40)), v, range(0, 40, 10))
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in found) == [(q, k + 1, i) for q, near in sorted(want.items()) for k, (i, _) in enumerate(near)]
+    assert all(abs(r.score / factor - want[r.query_id][r["rank"] - 1][1]) < 1e-12 for r in found)
+
+
+def test_ann_tight_clusters(spark):
+    """Neighbours much nearer than a rounded vector can tell are still ranked exactly, and groups may be split."""
+    rng = np.random.default_rng(6)
+    v = np.repeat(rng.normal(size=(6, 16)), 60, axis=0) + rng.normal(size=(360, 16)) * 1e-6
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(5)
+    found = ann.search(rows, rows.where("vec_id % 50 = 0"), group_rows=25).collect()
+    want = brute.neighbours(list(range(360)), v, range(0, 360, 50))
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in found) == [(q, k + 1, i) for q, near in sorted(want.items()) for k, (i, _) in enumerate(near)]
+
+
+@pytest.mark.parametrize("d", [1, 2, 64, 100, 256])
+def test_turns_are_rotations(d):
+    x = np.random.default_rng(d).normal(size=(5, ann.width(d)))
+    y = ann.turned(x, np.random.default_rng(1))
+    assert np.allclose(x @ x.T, y @ y.T) and (d == 1 or not np.allclose(x, y))
+
+
 def test_op7(spark, sf):
     assert got(queries.op7_warc_archive(spark, sf), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == sorted(brute.warc(table(spark, sf, "pages", "page_id", "html")))
 
