@@ -1,6 +1,7 @@
 """The registered queries against brute force on the small tables."""
 
 import random
+from datetime import UTC, datetime
 
 import brute
 import numpy as np
@@ -340,19 +341,47 @@ def test_op7(spark, sf):
 def test_warc_records(spark, tmp_path):
     pages = [(1, "http://a\r\nX: 1", "é" * 60), (2, "http://b", "é" * 60), (3, None, None), (4, "u", "short"), (5, "u", "short"), (None, "n", "é" * 60), (1, "again", "é" * 60)]
     frame = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, digest string")
-    warc.write_archive(frame, str(tmp_path / "w"))
+    warc.write_archive(frame, str(tmp_path / "w"), date=datetime(2020, 2, 29, 12, tzinfo=UTC))
     assert spark.read.parquet(str(tmp_path / "w/payloads")).count() == 3
     records = warc.read_archive(spark, str(tmp_path / "w"))
     rows = sorted((r.page_id or 0, r.record_type, r.refers_to or 0, r.payload_bytes) for r in warc.parsed(records).collect())
     assert rows == [(0, "revisit", 1, 120), (1, "response", 0, 120), (1, "response", 0, 120), (2, "revisit", 1, 120), (3, "response", 0, 0), (4, "response", 0, 5), (5, "response", 0, 5)]
-    raw = [bytes(r.record) for r in warc.record_bytes(records).collect()]
+    raw = sorted(bytes(r.record) for r in warc.record_bytes(records).collect())
     assert all(x.startswith(b"WARC/1.1\r\n") and x.endswith(b"\r\n\r\n") for x in raw)
+    http = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: 5\r\n\r\n"
+    head = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:4>\r\nWARC-Date: 2020-02-29T12:00:00Z\r\nWARC-Target-URI: u\r\n"
+    assert f"{head}WARC-Payload-Digest: sha256:{brute.sha('short')}\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: {len(http) + 5}\r\n\r\n{http}short\r\n\r\n".encode() in raw
+    for x in raw:  # a revisit has the HTTP header alone
+        fields, _, payload = warc.parse_record(x)
+        assert (fields["warc-type"] == "revisit") == ("warc-refers-to" in fields) and (fields["warc-type"] != "revisit" or payload == b"")
     spark.createDataFrame([("0" * 64, bytearray(b"x"))], "digest string, payload binary").write.mode("overwrite").parquet(str(tmp_path / "w/payloads"))
     spark.createDataFrame([("0" * 64, "WARC/1.1\r\n")], "digest string, header string").write.mode("overwrite").parquet(str(tmp_path / "w/headers"))
     with pytest.raises(Exception, match="does not match"):
         warc.read_archive(spark, str(tmp_path / "w")).collect()
 
 
+def test_urls_bring_no_header_lines(spark, tmp_path):
+    ends = ["\r\n", "\n", "\r", "\u2028", "\u2029", "\x85", "\x0b", "\x00"]
+    urls = [f"http://a{e}WARC-Refers-To: <urn:page:5>" for e in ends] + ["http://é/%20?q=+", "a b", ""]
+    frame = spark.createDataFrame([(i, u, "x" * 200 if i % 2 else f"\r\n\r\n{i}") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    warc.write_archive(frame, str(tmp_path / "w"))
+    rows = {r.page_id: r for r in warc.parsed(warc.read_archive(spark, str(tmp_path / "w"))).collect()}
+    assert [rows[i].refers_to for i in range(len(urls))] == [1 if i % 2 and i > 1 else None for i in range(len(urls))]
+    assert [rows[i].url for i in range(len(urls))][-4:] == ["http://a%00WARC-Refers-To:%20<urn:page:5>", "http://é/%20?q=+", "a%20b", None]
+    assert rows[3].url == "http://a%E2%80%A8WARC-Refers-To:%20<urn:page:5>" and rows[0].url.startswith("http://a%0D%0AWARC")
+    assert all(bytes(r.payload) == (b"x" * 200 if i % 2 else f"\r\n\r\n{i}".encode()) for i, r in rows.items())
+
+
+def test_warc_of_nothing_and_of_a_long_page(spark, tmp_path):
+    schema = "page_id long, url string, html string"
+    warc.write_archive(spark.createDataFrame([], schema), str(tmp_path / "none"))
+    assert warc.parsed(warc.read_archive(spark, str(tmp_path / "none"))).count() == 0
+    long = "é\r\n\r\n" * 2_000_000
+    warc.write_archive(spark.createDataFrame([(1, "a", long), (2, "b", long)], schema), str(tmp_path / "long"))
+    rows = warc.parsed(warc.read_archive(spark, str(tmp_path / "long"))).drop("payload").collect()
+    assert sorted((r.page_id, r.payload_bytes, r.payload_digest, r.refers_to) for r in rows) == [(1, 12_000_000, brute.sha(long), None), (2, 12_000_000, brute.sha(long), 1)]
+
+
 def test_op8(spark, sf, docs):
     assert got(queries.op8_line_dedup(spark, sf), "doc_id", "n_lines", "n_dropped", "kept_sha256") == sorted(brute.lines(docs))
 
