@@ -43,9 +43,19 @@ def gear(raw: np.ndarray) -> np.ndarray:
     return h
 
 
+def cut_places(raw: np.ndarray) -> np.ndarray:
+    """Ends of the bytes whose hash asks for a cut; worked out in parts, so memory does not grow with a text."""
+    found = []
+    for a in range(0, len(raw), B.SLICE):
+        lead = min(a, 15)
+        h = gear(raw[a - lead : a + B.SLICE])[lead:]
+        found.append(np.flatnonzero((h & _CUT) == 0) + a + 1)
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
 def chunk_ends(raw: np.ndarray, starts: np.ndarray) -> Iterator[list[int]]:
     """Ends of the chunks of each text of a slice."""
-    cuts = (np.flatnonzero((gear(raw) & _CUT) == 0) + 1).tolist()
+    cuts = cut_places(raw).tolist()
     at = 0
     for begin, stop in zip(starts[:-1].tolist(), (starts[1:] - 1).tolist(), strict=True):
         ends, last = [], begin

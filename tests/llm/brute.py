@@ -162,3 +162,44 @@ def repeats(docs, size=200):
         kept = bytes(np.frombuffer(b, np.uint8)[~off]) if len(b) else b""
         out.append((i, len(b), int(off.sum()), runs, sha(kept)))
     return out
+
+
+def chunks(data, gear, cut, least, most):
+    """Ends of content-defined chunks, byte by byte."""
+    ends, last = [], 0
+    for i in range(len(data)):
+        size = i + 1 - last
+        h = sum(int(gear[data[i - j]]) << j for j in range(16) if i >= j) & 0xFFFFFFFF
+        if size == most or (size >= least and not h & cut):
+            ends.append(i + 1)
+            last = i + 1
+    return ends + [len(data)] * (last < len(data))
+
+
+def substrings(docs, cdc, min_run=80):
+    """op1 for documents with ids of their own (rows may repeat): doc_id -> (bytes, repeated, removed, runs, digest)."""
+    parts, seen = {}, defaultdict(list)
+    for i, t in docs:
+        raw, at = (t or "").encode(), 0
+        parts[i] = []
+        for z in cdc(raw):
+            parts[i].append((at, raw[at:z]))
+            seen[raw[at:z]].append((i, at))
+            at = z
+    out = {}
+    for i, t in docs:
+        raw = (t or "").encode()
+        gone, repeated = np.zeros(len(raw), bool), 0
+        run = []
+        for at, piece in [*parts[i], (None, None)]:
+            if piece is not None and len(seen[piece]) > 1:
+                run.append((at, piece))
+                continue
+            if sum(len(p) for _, p in run) >= min_run:
+                for a, p in run:
+                    repeated += len(p)
+                    gone[a : a + len(p)] = min(seen[p]) != (i, a)
+            run = []
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
+        out[i] = (len(raw), repeated, int(gone.sum()), len(edges) // 2, sha(bytes(np.frombuffer(raw, np.uint8)[~gone]) if len(raw) else b""))
+    return out

@@ -67,6 +67,7 @@ def test_op2(spark, sf, docs):
             assert offset == at
             at += length
         assert at <= 1024
+    assert sorted(1024 - sum(n for _, n in parts) for parts in bins.values()) == best_fit_decreasing([w[3] for w in want], 1024)
 
 
 def best_fit_decreasing(lengths, size):
