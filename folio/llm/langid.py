@@ -8,8 +8,8 @@ forward-backward over the whole text, and a document takes the language with the
 probability.
 
 Fitting uses ``rows_per_label`` rows a label of at most ``max_chars`` characters, those with the
-smallest hash of their id, whole; that bounds the driver's memory.  Prediction reads nothing but
-the text.
+smallest hash of their id, whole; that bounds the driver's memory.  A label with longer rows alone
+is learned from its shortest one.  Prediction reads nothing but the text.
 
 Defined cases: text that is null or has no letter is ``und`` with score 0; rows with a null id may
 be predicted and never train; repeated rows each get the result; with no labelled row every text
@@ -198,10 +198,10 @@ def held_out(id_col: str) -> Column:
 
 
 def training_rows(docs: DataFrame, rows_per_label: int, max_chars: int, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= max_chars) & ~held_out(id_col))
-    rows = rows.select(F.col(label_col).alias("lang"), F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col)).alias("h"), *row_key(id_col, text_col))
-    pick = Window.partitionBy("lang").orderBy("h", "doc_id", "k2")
-    chosen = rows.withColumn("r", F.row_number().over(pick)).where(F.col("r") <= rows_per_label).select("k1", "k2", "lang", "h").distinct()
+    rows = docs.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
+    rows = rows.select(F.col(label_col).alias("lang"), F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col)).alias("h"), F.greatest(F.length(text_col) - max_chars, F.lit(0)).alias("over"), *row_key(id_col, text_col))
+    pick = Window.partitionBy("lang").orderBy("over", "h", "doc_id", "k2")
+    chosen = rows.withColumn("r", F.row_number().over(pick)).where((F.col("r") == 1) | (F.col("over") == 0) & (F.col("r") <= rows_per_label)).select("k1", "k2", "lang", "h").distinct()
     texts = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text"))
     # rows_per_label rows a label: small enough to be sent to every task
     return texts.join(F.broadcast(chosen), ["k1", "k2"]).dropDuplicates(["k1", "k2", "lang"]).select("h", "k2", "lang", "text")

@@ -1,8 +1,11 @@
 """The pipeline's stages against brute force, each on its own input."""
 
+import zlib
+
 import brute
 import corpus_pipeline
 
+from folio.llm import langid
 from folio.llm.store import saved
 
 
@@ -33,3 +36,20 @@ def test_run_and_registration(spark, sf):
 
     assert [n.split("_")[0] for n in entry.queries() if n.startswith("op")] == [f"op{i}" for i in range(1, 11)]
     assert entry.queries()["pipeline"](spark, sf).count() > 0
+
+
+def test_labels_with_long_rows_alone_are_learned(spark):
+    docs = [(i, "the cat and the dog of the house", "en") for i in range(9)] + [(i, "der hund und die katze im haus " * i, "de") for i in range(900, 930)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    rows = langid.training_rows(frame, 120, 300).collect()
+    assert sorted({r.lang for r in rows}) == ["de", "en"] and [len(r.text) for r in rows if r.lang == "de"] == [min(len(t) for i, t, x in docs if x == "de" and not held(i))]
+
+
+def held(i):
+    return zlib.crc32(str(i).encode()) % 4 == 2
+
+
+def test_run_of_nothing(spark, sf, tmp_path):
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
