@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 
 from .store import saved
 
-RADIX, ROWS = 64, 4096
+#: Axes in one step of the transform, rows hashed at once, and candidates ranked at once.
+RADIX, ROWS, CANDIDATES = 64, 4096, 1 << 15
 _H = np.ones((1, 1))
 while len(_H) < RADIX:
     _H = np.block([[_H, _H], [_H, -_H]])
@@ -181,31 +182,49 @@ _FOUND_SQL = "query_id long, ids array<long>, dist array<double>, slack array<do
 
 def _nearest(top: int):
     def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        out: list[tuple] = []
+        """For each query the rows of its buckets, without those that cannot be among the ``top`` where they are many."""
+        out = [_FOUND.empty_table()]
         if rows.num_rows and asked.num_rows:
             rows = rows.sort_by("bucket")
             bucket, ids = rows.column("bucket").to_numpy(), rows.column("vec_id").to_numpy()
             (v, off), (x, x_off) = _restored(rows), _restored(asked)
-            lists = asked.column("buckets")
-            for i, q in enumerate(asked.column("vec_id").to_pylist()):
-                if (wanted := lists[i].values) is None:  # every row
-                    at = np.arange(len(ids))
-                else:
-                    wanted = wanted.to_numpy()
-                    first, stop = np.searchsorted(bucket, wanted, "left"), np.searchsorted(bucket, wanted, "right")
-                    size = stop - first
-                    at = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                at = at[ids[at] != q]
-                if len(at):
-                    dist, slack = np.sqrt(np.square(v[at] - x[i]).sum(1)), off[at] + x_off[i]
-                    near = _least(ids[at], dist, slack, top)
-                    out.append((q, ids[at[near]].tolist(), dist[near].tolist(), slack[near].tolist()))
-        cols = list(zip(*out)) or [[]] * 4
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _FOUND, strict=True)], schema=_FOUND)
+            names, lists = asked.column("vec_id").to_numpy(), asked.column("buckets")
+            every = np.unique(bucket)
+            wanted = [every if (w := q.values) is None else w.to_numpy() for q in lists]
+            held, size = [], 0
+            for i, w in enumerate(wanted):
+                first, stop = np.searchsorted(bucket, w, "left"), np.searchsorted(bucket, w, "right")
+                count = stop - first
+                at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                held.append((i, at[ids[at] != names[i]]))
+                size += len(at)
+                if size >= CANDIDATES or i == len(wanted) - 1:
+                    out.append(_ranked(held, names, ids, v, off, x, x_off, top))
+                    held, size = [], 0
+        return pa.concat_tables(out)
 
     return run
 
 
+def _ranked(held: list[tuple[int, np.ndarray]], names: np.ndarray, ids: np.ndarray, v: np.ndarray, off: np.ndarray, x: np.ndarray, x_off: np.ndarray, top: int) -> pa.Table:
+    query = np.array([i for i, _ in held])
+    count = np.array([len(at) for _, at in held])
+    at, owner = np.concatenate([at for _, at in held]), np.repeat(query, count)
+    dist, slack = np.sqrt(np.square(v[at] - x[owner]).sum(1)), off[at] + x_off[owner]
+    keep = np.ones(len(at), bool)
+    end = np.cumsum(count)
+    for i in np.flatnonzero(count > 4 * top).tolist():
+        own = slice(end[i] - count[i], end[i])
+        near = _least(ids[at[own]], dist[own], slack[own], top)
+        keep[own] = False
+        keep[own.start + near] = True
+    edges = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], end])]
+    some = np.flatnonzero(np.diff(edges))
+    offsets = pa.array(np.append(edges[some], edges[-1]), pa.int32())
+    cols = [pa.ListArray.from_arrays(offsets, pa.array(c[keep])) for c in (ids[at], dist, slack)]
+    return pa.Table.from_arrays([pa.array(names[query[some]]), *cols], schema=_FOUND)
+
+
 def _merged(top: int):
     def run(rows: pa.Table) -> pa.Table:
         flat = [rows.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("ids", "dist", "slack")]
