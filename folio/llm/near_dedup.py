@@ -305,7 +305,7 @@ class _Join:
         near = saved(near, "near-pairs")
         # a text in very many pairs is lent in several parts
         busy = near.select(F.explode(F.array("ka", "kb")).alias("k")).groupBy("k").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("parts")).where("parts > 1")
-        busy = saved(busy, "near-busy")
+        busy = saved(busy, "near-busy", 1)
         text = self.texts.select(F.struct("n1", "n2").alias("k"), "text").join(busy, "k", "left")
         text = text.select("k", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), "text")
         for x, other in (("ka", "kb"), ("kb", "ka")):
@@ -321,11 +321,15 @@ _NAME = "struct<n1:long,n2:long>"
 
 
 def _links_between(members: DataFrame, join: _Join, labels: DataFrame) -> DataFrame:
-    """Links ``a, b`` that join different classes whose members share a bucket (``key, n1``, without its smallest and largest)."""
+    """Links ``a, b`` that join different classes whose members (``key, n1, lo, hi``) share a bucket."""
     # in a bucket one long stands for a class; equal ones would only hide a pair, with odds of 2**-64
     label = labels.select(F.col("node.n1").alias("n1"), F.xxhash64("root.n1", "root.n2").alias("label")).dropDuplicates(["n1"])
-    weight = join.nodes.select("n1", "n_shingles")
-    rows = members.join(label, "n1", "left").withColumn("label", F.coalesce("label", F.xxhash64("n1"))).join(weight, "n1").select("key", "n1", "label", "n_shingles")
+    # classes and sizes are joined to nodes, each with its buckets, not to every member of a bucket
+    nodes = members.groupBy("n1").agg(F.collect_list(F.struct("key", "lo", "hi")).alias("at"))
+    nodes = nodes.join(join.nodes.groupBy("n1").agg(F.max("n_shingles").alias("n_shingles")), "n1").join(label, "n1", "left")
+    rows = nodes.select("n1", "n_shingles", F.coalesce("label", F.xxhash64("n1")).alias("label"), F.explode("at").alias("at")).select("at.key", "n1", "label", "n_shingles", "at.lo", "at.hi")
+    # the bucket's smallest and largest have met all of its members
+    rows = rows.where("n1 <> lo and n1 <> hi").drop("lo", "hi")
     size = rows.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
     blocks = lambda n, w: F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(w / BLOCK_SHINGLES)).cast("int")
     mixed = size.groupBy("key").agg(F.count("*").alias("classes"), F.max(F.struct("n", "w", "label")).alias("most"), F.sum("n").alias("n"), F.sum("w").alias("w")).where("classes > 1")
@@ -335,9 +339,10 @@ def _links_between(members: DataFrame, join: _Join, labels: DataFrame) -> DataFr
     block = F.when(F.col("is_large"), F.col("rest") + F.pmod(F.xxhash64("n1"), F.col("own"))).otherwise(F.pmod(F.xxhash64("n1"), F.col("rest"))).cast("int")
     rows = rows.withColumn("block", block)
     last = F.when(F.col("is_large"), F.col("rest")).otherwise(F.col("rest") + F.col("own")) - 1
-    met = F.explode(F.transform(F.sequence(F.lit(0), last), lambda x: F.struct(F.greatest(x, F.col("block")).alias("i"), F.least(x, F.col("block")).alias("j"))))
-    sent = rows.join(join.nodes.select("n1", "n2", "sig"), "n1").select("key", "n1", "n2", "label", "n_shingles", "sig", "block", met.alias("at"))
-    sent = sent.select("key", "at.i", "at.j", "block", "n1", "n2", "label", "n_shingles", "sig")
+    met_by = F.transform(F.sequence(F.lit(0), last), lambda x: F.struct(F.greatest(x, F.col("block")).alias("i"), F.least(x, F.col("block")).alias("j"))).alias("met")
+    sent = rows.groupBy("n1").agg(F.collect_list(F.struct("key", "label", "block", met_by)).alias("at")).join(join.nodes, "n1")
+    sent = sent.select("n1", "n2", "n_shingles", "sig", F.explode("at").alias("at")).select("at.key", "n1", "n2", "at.label", "n_shingles", "sig", "at.block", F.explode("at.met").alias("met"))
+    sent = sent.select("key", "met.i", "met.j", "block", "n1", "n2", "label", "n_shingles", "sig")
     asked = saved(sent.groupBy("key", "i", "j").applyInArrow(_asked(join.percent), _BLOCK), "near-asked")
     found = asked.join(join.texts, ["n1", "n2"]).select(*asked.columns, "text").groupBy("key", "i", "j").applyInArrow(_settled(join.size, join.percent), "a1 long, a2 long, b1 long, b2 long")
     return saved(found.select(F.struct(F.col("a1").alias("n1"), F.col("a2").alias("n2")).alias("a"), F.struct(F.col("b1").alias("n1"), F.col("b2").alias("n2")).alias("b")), "near-more")
@@ -366,8 +371,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, id_col
     ends = F.explode(F.array("lo", "hi"))
     stars = members.select("n1", ends.alias("c")).where("n1 <> c").select(F.least("n1", "c").alias("a"), F.greatest("n1", "c").alias("b")).distinct()
     labels = components(join.confirmed(stars))
-    # the bucket's smallest and largest have met all of its members
-    more = _links_between(members.where("n1 <> lo and n1 <> hi").select("key", "n1"), join, labels)
+    more = _links_between(members, join, labels)
     if not more.isEmpty():
         labels = _classes(labels, more)
     named = sets.where("n_shingles > 0").groupBy("n1", "n2").agg(F.min("doc_id").alias("least"))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NO_ID = -(2**63)
+#: Rows of a few numbers that make a file worth its while.
+ROWS_PER_FILE = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,13 +26,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/folio-{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This cuts the lineage: a later loss of executors costs only the tasks that ran there.
+    ``rows``: a bound of the number of rows, where it is known; small tables get few files.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
+    if rows is not None:
+        df = df.coalesce(-(-rows // ROWS_PER_FILE) or 1)
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._folio_path = path
