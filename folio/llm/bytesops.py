@@ -77,6 +77,18 @@ def slices(texts: list[str], limit: int = SLICE) -> Iterator[tuple[int, np.ndarr
         yield first, *_joined(held)
 
 
+def pieces(texts: list[str], overlap: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``slices`` with the place in the first text where they begin: long texts come in parts that share ``overlap`` bytes."""
+    for first, raw, starts in slices(texts):
+        if len(starts) > 2 or len(raw) <= 2 * SLICE:
+            yield first, 0, raw, starts
+            continue
+        body = raw[:-1]
+        for a in range(0, len(body) - overlap, SLICE):
+            part = body[a : a + SLICE + overlap]
+            yield first, a, part, np.array([0, len(part) + 1])
+
+
 def _joined(held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     starts = np.zeros(len(held) + 1, np.int64)
     np.cumsum([len(x) + 1 for x in held], out=starts[1:])

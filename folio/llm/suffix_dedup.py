@@ -4,12 +4,16 @@ Every byte under a ``SIZE``-byte string that also starts elsewhere goes.  Equal
 brought together by content: the smallest hash of ``GRAM`` bytes inside a window of ``SIZE``
 bytes is its anchor, the same wherever the window stands, and the neighbouring windows with one
 anchor form its context.  Anchors that occur once cannot belong to a repeated string and are left
-out first.  A context that occurs more than once is repeated as a whole.  What is left, the
-contexts at the ends of repeats, goes to tasks by anchor: each builds suffix order and transform
-of a bounded batch of contexts and expands intervals breadth-first by backward extension, which
-finds the boundaries between suffixes by increasing length of their common prefixes and stops at
-``SIZE``; suffixes that no boundary parts are repeated.  Anchors with too many distinct contexts
-for one batch are settled by digests of their windows, spread over all tasks.
+out first.  Of equal contexts one stands for all, with their number as its weight.  The contexts go
+to tasks by anchor: each builds suffix order and transform of a bounded batch of contexts and
+expands intervals breadth-first by backward extension, which finds the boundaries between suffixes
+by increasing length of their common prefixes and stops at ``SIZE``; suffixes that no boundary
+parts, or that have more weight than one, are repeated.
+
+An anchor whose contexts are too many for one batch is refined: its windows are split by where the
+anchor stands in them, first roughly, then to the byte, and the bytes that all windows of a part
+must share become the part's own anchor.  In the end a part is one string, so every group comes to
+fit a batch.
 
 Defined cases: a null text is empty; rows that repeat id and text are occurrences like any other,
 so their long strings all go; null ids are documents by their text; an empty table gives no rows;
@@ -30,18 +34,21 @@ from . import bytesops as B
 from .store import discard, keyed, saved
 
 SIZE, GRAM = 200, 32
-#: Bytes of contexts in one transform, and contexts of one anchor that may share one.
-BATCH_BYTES, ANCHOR_CONTEXTS = 2 << 20, 4096
-_PART, _START = 16, 7
+#: Bytes of contexts in one transform (more only where one anchor's go a little beyond), and the widths of the parts of refined anchors.
+BATCH_BYTES, WIDTHS = 2 << 20, (64, 16, 4, 1)
+_START = 7
+# a place packs the first window's start, its distance to the anchor and the number of windows
+_FIRST, _BYTE = 16, 8
 _ANCHORS = "kh long, c1 long, c2 long, k1 long, k2 long, at long"
+_UNITS = "kh long, c1 long, c2 long, n long, dist int, bytes binary"
 
 
-def anchors(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of the anchor, first window's start, number of windows) of each context of a slice."""
+def anchors(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of the anchor, first window's start, number of windows, anchor's distance from that start) of each context of a slice."""
     n = len(raw) - SIZE + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
-        return none.astype(np.uint64), none, none
+        return none.astype(np.uint64), none, none, none
     sums = B.prefix(raw.astype(np.uint64) + np.uint64(1), B._BASE)
     at = np.arange(len(raw) - GRAM + 1)
     h = B.spans_hash(sums, at, at + GRAM, B._BASE)
@@ -58,20 +65,24 @@ def anchors(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     new[1:] &= (place[1:] != place[:-1]) | ~ok[:-1]
     begin = np.flatnonzero(new)
     last = np.flatnonzero(ok & np.append(new[1:] | ~ok[1:], True))
-    return h[place[begin]], begin, last - begin + 1
+    return h[place[begin]], begin, last - begin + 1, place[begin] - begin
+
+
+def _digests(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    names = np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in parts]), "<i8").reshape(-1, 2)
+    return np.ascontiguousarray(names[:, 0]), np.ascontiguousarray(names[:, 1])
 
 
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         k1, k2 = b.column("k1").to_numpy(), b.column("k2").to_numpy()
-        for first, raw, starts in B.slices(b.column("text").to_pylist()):
-            kh, begin, count = anchors(raw, starts)
+        for first, offset, raw, starts in B.pieces(b.column("text").to_pylist(), SIZE - 1):
+            kh, begin, count, dist = anchors(raw, starts)
             data = raw.tobytes()
-            names = b"".join([hashlib.blake2b(data[a : a + n + SIZE - 1], digest_size=16).digest() for a, n in zip(begin.tolist(), count.tolist(), strict=True)])
-            c = np.frombuffer(names, "<i8").reshape(-1, 2)
+            c1, c2 = _digests([data[a : a + n + SIZE - 1] for a, n in zip(begin.tolist(), count.tolist(), strict=True)])
             doc = np.searchsorted(starts, begin, "right") - 1
-            at = (begin - starts[doc]) << _PART | count
-            yield pa.RecordBatch.from_arrays([pa.array(kh.view(np.int64)), pa.array(np.ascontiguousarray(c[:, 0])), pa.array(np.ascontiguousarray(c[:, 1])), pa.array(k1[first + doc]), pa.array(k2[first + doc]), pa.array(at)], names=["kh", "c1", "c2", "k1", "k2", "at"])
+            at = ((begin - starts[doc] + offset) << _FIRST) | (dist << _BYTE) | count
+            yield pa.RecordBatch.from_arrays([pa.array(kh.view(np.int64)), pa.array(c1), pa.array(c2), pa.array(k1[first + doc]), pa.array(k2[first + doc]), pa.array(at)], names=["kh", "c1", "c2", "k1", "k2", "at"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,10 +138,10 @@ def suffix_order(sym: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     return sa, first
 
 
-def repeated(sym: np.ndarray, valid: np.ndarray, size: int = SIZE) -> np.ndarray:
+def repeated(sym: np.ndarray, valid: np.ndarray, size: int = SIZE, many: np.ndarray | None = None) -> np.ndarray:
     """Which positions of ``valid`` start a string of ``size`` symbols that another one starts too.
 
-    ``sym``: bytes plus 1 in uint64, with 0 between contexts.
+    ``sym``: bytes plus 1 in uint64, with 0 between contexts; ``many``: positions that stand for several.
     """
     n = len(sym)
     sa, first = suffix_order(sym, size)
@@ -159,27 +170,17 @@ def repeated(sym: np.ndarray, valid: np.ndarray, size: int = SIZE) -> np.ndarray
     out = np.zeros(n, bool)
     out[sa[1:][joined]] = True
     out[sa[:-1][joined]] = True
-    return out
-
-
-def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-    return list(zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True))
-
-
-_MARKS = "k1 long, k2 long, a long, z long"
+    return out if many is None else out | (valid & many)
 
 
-def _marks(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) or [[]] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["k1", "k2", "a", "z"])
+_MARKS = "kh long, c1 long, c2 long, s int, e int"
 
 
 def _expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marks of single contexts; rows come sorted by anchor, and anchors are never split."""
+    """Ranges of repeated windows of each context; rows come sorted by anchor, and anchors are never split."""
 
-    def settle(rows: list[dict]) -> pa.RecordBatch:
-        texts = [r["bytes"] for r in rows]
+    def settle(rows: list[tuple]) -> pa.RecordBatch:
+        texts = [r[4] for r in rows]
         sizes = np.array([len(t) + 1 for t in texts])
         begin = np.cumsum(sizes) - sizes
         sym = np.zeros(sizes.sum(), np.uint64)
@@ -187,50 +188,96 @@ def _expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, t in zip(begin.tolist(), texts, strict=True):
             sym[a : a + len(t)] = np.frombuffer(t, np.uint8).astype(np.uint64) + np.uint64(1)
             valid[a : a + len(t) - SIZE + 1] = True
-        found = repeated(sym, valid)
-        out = []
-        for a, r in zip(begin.tolist(), rows, strict=True):
-            if r["n"] == 1:
-                at = r["at"] >> _PART
-                out += [(r["k1"], r["k2"], at + s, at + e + SIZE - 1) for s, e in _runs(found[a : a + len(r["bytes"]) - SIZE + 1])]
-        return _marks(out)
-
-    held: list[dict] = []
+        found = repeated(sym, valid, SIZE, np.repeat(np.array([r[3] for r in rows]) > 1, sizes))
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], found.astype(np.int8), [0]])))
+        start, stop = edge[0::2], edge[1::2]  # a run never passes a context's end, where no window starts
+        own = np.searchsorted(begin, start, "right") - 1
+        cols = [pa.array([rows[i][k] for i in own.tolist()], pa.int64()) for k in range(3)]
+        return pa.RecordBatch.from_arrays([*cols, pa.array((start - begin[own]).astype(np.int32)), pa.array((stop - begin[own]).astype(np.int32))], names=["kh", "c1", "c2", "s", "e"])
+
+    held: list[tuple] = []
     size, last = 0, None
     for b in batches:
-        for r in b.to_pylist():
-            if size >= BATCH_BYTES and r["kh"] != last:
+        for r in zip(*(b.column(c).to_pylist() for c in ("kh", "c1", "c2", "n", "bytes")), strict=True):
+            if size >= BATCH_BYTES and r[0] != last:
                 yield settle(held)
                 held, size = [], 0
             held.append(r)
-            size += len(r["bytes"])
-            last = r["kh"]
+            size += len(r[4])
+            last = r[0]
     if held:
         yield settle(held)
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
     for b in batches:
         out: list[tuple] = []
-        for k1, k2, text, want in zip(*(b.column(c).to_pylist() for c in ("k1", "k2", "text", "want")), strict=True):
+        for text, want in zip(b.column("text").to_pylist(), b.column("want").to_pylist(), strict=True):
             raw = text.encode("utf-8", "surrogatepass")
             for w in want:
-                a, n = w["at"] >> _PART, w["at"] & 0xFFFF
-                out.append((w["kh"], w["n"], w["many"], k1, k2, w["at"], raw[a : a + n + SIZE - 1]))
-        cols = list(zip(*out)) or [[]] * 7
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["kh", "n", "many", "k1", "k2", "at", "bytes"])
+                a, dist, n = w["at"] >> _FIRST, w["at"] >> _BYTE & 0xFF, w["at"] & 0xFF
+                out.append((w["kh"], w["c1"], w["c2"], w["n"], dist, raw[a : a + n + SIZE - 1]))
+        cols = list(zip(*out)) or [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["kh", "c1", "c2", "n", "dist", "bytes"])
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out: list[tuple] = []
-        for r in b.to_pylist():
-            for s in range(len(r["bytes"]) - SIZE + 1):
-                d = np.frombuffer(hashlib.blake2b(r["bytes"][s : s + SIZE], digest_size=16).digest(), "<i8")
-                out.append((int(d[0]), int(d[1]), r["n"], r["k1"], r["k2"], (r["at"] >> _PART) + s))
-        cols = list(zip(*out)) or [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["w1", "w2", "n", "k1", "k2", "s"])
+def refined(data: bytes, dist: int, wide: int) -> Iterator[tuple[int, int, int, bytes, bytes]]:
+    """(part, first window, its distance to the anchor, bytes of its windows, bytes that all windows of the part share) of a context.
+
+    A part holds the windows whose distance to the anchor is the same multiple of ``wide``; equal
+    windows have equal distances, so they come into one part and share those bytes.
+    """
+    first, n = 0, len(data) - SIZE + 1
+    while first < n:
+        part = (dist - first) // wide
+        stop = min(n, dist - part * wide + 1)  # behind the last window of the part
+        shared = data[dist - part * wide : dist - part * wide - wide + 1 + SIZE]
+        yield part, first, dist - first, data[first : stop + SIZE - 1], shared
+        first = stop
+
+
+def _refined(wide: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out, keys, parts = [], [], []
+            for kh, c1, c2, n, dist, data in zip(*(b.column(c).to_pylist() for c in ("kh", "c1", "c2", "n", "dist", "bytes")), strict=True):
+                for part, first, d, own, shared in refined(data, dist, wide):
+                    out.append((kh, c1, c2, first, n, d, own))
+                    keys.append(b"%d,%d," % (kh, part) + shared)
+                    parts.append(own)
+            cols = list(zip(*out)) or [[]] * 7
+            kinds = [pa.int64()] * 3 + [pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+            names = [_digests(keys)[0], *_digests(parts)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, names), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["kh", "c1", "c2", "up_kh", "up_c1", "up_c2", "first", "n", "dist", "bytes"])
+
+    return run
+
+
+def _repeated_windows(units: DataFrame) -> DataFrame:
+    """``kh, c1, c2, s, e``: the repeated windows of distinct contexts ``units``, as ranges from each context's first one."""
+    ready, origins = None, []
+    name = ["kh", "c1", "c2"]
+    for wide in (*WIDTHS, None):
+        hot = saved(units.groupBy("kh").agg(F.sum(F.length("bytes")).alias("size")).where(F.col("size") > BATCH_BYTES).select("kh"), "hot-anchors") if wide else None
+        if hot is None or hot.isEmpty():
+            ready = units if ready is None else ready.unionByName(units)
+            break
+        cold = units.join(hot, "kh", "left_anti")
+        ready = cold if ready is None else ready.unionByName(cold)
+        split = units.join(hot, "kh", "left_semi").mapInArrow(B.bounded(_refined(wide)), "kh long, c1 long, c2 long, up_kh long, up_c1 long, up_c2 long, first int, n long, dist int, bytes binary")
+        split = saved(split, "context-parts")
+        origins.append(split.select(*name, "up_kh", "up_c1", "up_c2", "first"))
+        units = saved(split.groupBy(*name).agg(F.sum("n").alias("n"), F.first("dist").alias("dist"), F.first("bytes").alias("bytes")), "part-bytes")
+    found = ready.repartition("kh").sortWithinPartitions("kh").mapInArrow(B.bounded(_expanded), _MARKS)
+    if not origins:
+        return found
+    # what was found in parts goes back level by level, to the contexts they were cut from
+    found = saved(found, "found-windows")
+    for origin in reversed(origins):
+        up = found.join(origin, name).select(*(F.col(f"up_{c}").alias(c) for c in name), (F.col("s") + F.col("first")).alias("s"), (F.col("e") + F.col("first")).alias("e"))
+        found = found.unionByName(up)
+    return found
 
 
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,24 +287,13 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = rows.repartitionByRange("kh", "c1", "c2", "k1", "k2", "at").sortWithinPartitions("kh")
     some = saved(dealt.mapInArrow(_shared, _ANCHORS), "anchor-rows")
     discard(rows)
-    contexts = saved(some.groupBy("kh", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "at")).alias("x")), "contexts")
-    whole = some.join(contexts.where("n > 1").select("kh", "c1", "c2"), ["kh", "c1", "c2"])
-    start, count = F.shiftright("at", _PART), F.col("at").bitwiseAND(0xFFFF)
-    whole = whole.select("k1", "k2", start.alias("a"), (start + count + SIZE - 1).alias("z"))
-    mixed = contexts.groupBy("kh").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("least = 1 and kinds > 1")
-    want = contexts.join(mixed, "kh").select("x.k1", "x.k2", F.struct("kh", "n", (F.col("kinds") > ANCHOR_CONTEXTS).alias("many"), "x.at").alias("w"))
-    want = want.groupBy("k1", "k2").agg(F.collect_list("w").alias("want"))
-    texts = keyed(docs, id_col, text_col).join(want, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("k1", "k2", "text", "want")
-    cut = saved(texts.mapInArrow(B.bounded(_cut_out), "kh long, n long, many boolean, k1 long, k2 long, at long, bytes binary"), "context-bytes")
-    ends = cut.where("not many").drop("many").repartition("kh").sortWithinPartitions("kh").mapInArrow(B.bounded(_expanded), _MARKS)
-    ends = saved(ends, "end-marks")
-    marks = whole.unionByName(ends)
-    many = cut.where("many")
-    if not many.isEmpty():
-        windows = saved(many.mapInArrow(_windows, "w1 long, w2 long, n long, k1 long, k2 long, s long"), "windows")
-        twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2")
-        marks = marks.unionByName(windows.where("n = 1").join(twice, ["w1", "w2"]).select("k1", "k2", F.col("s").alias("a"), (F.col("s") + SIZE).alias("z")))
-    return marks
+    contexts = some.groupBy("kh", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "at")).alias("x"))
+    want = contexts.groupBy("x.k1", "x.k2").agg(F.collect_list(F.struct("kh", "c1", "c2", "n", "x.at")).alias("want"))
+    texts = keyed(docs, id_col, text_col).join(want, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("text", "want")
+    units = saved(texts.mapInArrow(B.bounded(_cut_out), _UNITS), "context-bytes")
+    found = saved(_repeated_windows(units), "end-marks")
+    start = F.shiftright("at", _FIRST)
+    return some.join(found, ["kh", "c1", "c2"]).select("k1", "k2", (start + F.col("s")).alias("a"), (start + F.col("e") + SIZE - 1).alias("z"))
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

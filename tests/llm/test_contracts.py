@@ -269,14 +269,47 @@ def test_intervals_find_repeats(seed):
     assert (suffix_dedup.repeated(sym, valid, size) == want).all()
 
 
-@pytest.mark.parametrize("limit", [1, 4096])
-def test_large_anchor_groups(spark, limit, monkeypatch):
+@pytest.mark.parametrize(("limit", "piece"), [(2 << 20, 1 << 19), (900, 1 << 19), (1, 700)])
+def test_large_anchor_groups(spark, limit, piece, monkeypatch):
+    """Refined to any depth, and with texts in pieces of any size, the result is that of brute force."""
     rng = random.Random(9)
     core = "".join(rng.choice("abcdefghijkl ") for _ in range(260))
     docs = [(i, "".join(rng.choice("xyz") for _ in range(rng.randint(0, 90))) + core[rng.randint(0, 50) :] + str(i) * 30) for i in range(40)]
-    monkeypatch.setattr(suffix_dedup, "ANCHOR_CONTEXTS", limit)
+    docs += [(i, docs[i - 40][1]) for i in range(40, 55)] + [(60, core * 4), (61, "q" * 900), (62, "q" * 199), (63, "")]
+    monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", limit)
     rows = suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(4))
     assert got(rows, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(brute.repeats(docs))
+    monkeypatch.setattr(bytesops, "SLICE", piece)
+    monkeypatch.setattr(bytesops.slices, "__defaults__", (piece,))
+    seen = {}
+    for first, offset, raw, starts in bytesops.pieces([t for _, t in docs], 199):
+        for _, begin, count, _ in zip(*suffix_dedup.anchors(raw, starts)):
+            doc = int(np.searchsorted(starts, begin, "right")) - 1
+            at = int(begin - starts[doc]) + offset
+            for s in range(at, at + count):
+                assert seen.setdefault((first + doc, s), True) is True and not seen.pop((first + doc, s, "twice"), False)
+                seen[first + doc, s, "twice"] = True
+    assert sum(len(k) == 2 for k in seen) == sum(max(0, len(t.encode()) - 199) for _, t in docs)
+
+
+@pytest.mark.parametrize("wide", suffix_dedup.WIDTHS)
+def test_refined_contexts(wide):
+    """Parts hold each window once, and equal windows of two contexts of one anchor get equal parts and shared bytes."""
+    rng = np.random.default_rng(wide)
+    core = rng.integers(97, 123, 400, np.uint8).tobytes()
+    by_window = {}
+    for _ in range(60):
+        anchor = 190  # the place of the anchor in the core
+        first = int(rng.integers(anchor - 168, anchor + 1))
+        n = int(rng.integers(1, anchor - first + 2))
+        data = core[first : first + n + 199]
+        seen = []
+        for part, j, dist, own, shared in suffix_dedup.refined(data, anchor - first, wide):
+            assert dist == anchor - first - j and len(shared) == 201 - wide and shared in own
+            for k in range(len(own) - 199):
+                seen.append(j + k)
+                assert by_window.setdefault(own[k : k + 200], (part, shared)) == (part, shared)
+        assert seen == list(range(n))
 
 
 def test_op6(spark, sf):
