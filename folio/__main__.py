@@ -1,57 +1,135 @@
-"""python -m folio COMMAND ...: the engine's stages over JSON documents.
+"""python -m folio COMMAND ...: the engine's stages over JSON documents and Parquet tables.
 
-    chunk EXTRACTS OUT       extracts to chunk items and headers (Parquet) and a summary (JSON)
-    canonical EXTRACTS OUT   recurring templates (Parquet) and unanswered signatures (TSV)
-    profile EXTRACTS OUT     text layer, characters and watermarks (JSON)
-    validate CHUNKS TRANS    exit code 1 unless every chunk passes
-    qa SPANS                 a Parquet table of laid-out spans; exit code 1 unless every document passes
+    extract FILES OUT               blocks of PDF files as extracts (JSON); --parser module:function
+    profile EXTRACTS OUT            text layer, characters and watermarks (JSON)
+    chunk EXTRACTS OUT              extracts to chunk items and headers (Parquet) and a summary (JSON)
+    canonical EXTRACTS OUT          recurring templates (Parquet, JSON), unanswered signatures (TSV), chunk items without what templates answer
+    validate CHUNKS TRANS           exit code 1 unless every chunk passes
+    columns EXTRACTS TRANS OUT      column-merged blocks as blocks a line: the pseudo-block layer (Parquet)
+    build EXTRACTS TRANS OUT        actions, redactions and draw commands (Parquet); --fixes, --recurring, --drop
+    qa SPANS                        a Parquet table of laid-out spans; exit code 1 unless every document passes
+    coverage CELLS SOURCE TARGET    Parquet tables of cells and spans; exit code 1 unless every document passes
+    pick MARKS OUT                  the pages to look at, by their marks (JSON)
 """
 
 from __future__ import annotations
 
 import argparse
+import importlib
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import canonical
+from .operators import canonical, columns, overlay, qa
 from .plans.engine import Engine
 from .plans.shipping import ship_package
-from .sources import jsonio
+from .sources import jsonio, pdf
+
+PATHS = {"extract": 2, "profile": 2, "chunk": 2, "canonical": 2, "validate": 2, "columns": 3, "build": 3, "qa": 1, "coverage": 3, "pick": 2}
 
 
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="folio", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    parser.add_argument("command", choices=["chunk", "canonical", "profile", "validate", "qa"])
+    parser.add_argument("command", choices=list(PATHS))
     parser.add_argument("paths", nargs="+")
-    parser.add_argument("--allow", action="append", default=[], help="pattern of texts that may cross the margin")
+    parser.add_argument("--allow", action="append", default=[], help="qa: pattern of texts that may cross the margin")
+    parser.add_argument("--parser", help="extract: module:function that yields a file's spans")
+    parser.add_argument("--fixes", default="", help="build: JSON file of a project's fixes")
+    parser.add_argument("--recurring", help="build: Parquet table of recurring templates")
+    parser.add_argument("--drop", action="append", default=[], help="build: prefix of texts to drop")
+    parser.add_argument("--pages", type=int, default=8, help="pick: pages a document")
     opts = parser.parse_args(args)
+    if len(opts.paths) != PATHS[opts.command]:
+        parser.error(f"{opts.command} takes {PATHS[opts.command]} paths")
     spark = SparkSession.builder.appName("folio").getOrCreate()
     ship_package(spark)
-    engine, source = Engine(rules=canonical.SAMPLE), opts.paths[0]
-    if opts.command == "chunk":
-        done = engine.ingest(jsonio.read_extracts(spark, source))
-        jsonio.write_chunks(done.items, f"{opts.paths[1]}/items")
-        done.headers.write.mode("overwrite").parquet(f"{opts.paths[1]}/headers")
-        jsonio.write_json_report(done.summary, f"{opts.paths[1]}/summary")
-    elif opts.command == "canonical":
-        table, missing = engine.canonicalise(jsonio.read_extracts(spark, source))
-        table.write.mode("overwrite").parquet(f"{opts.paths[1]}/recurring")
-        jsonio.write_missing(missing, f"{opts.paths[1]}/missing")
-    elif opts.command == "profile":
-        for name, report in engine.profile(jsonio.read_extracts(spark, source)).items():
-            jsonio.write_json_report(report, f"{opts.paths[1]}/{name}")
-    elif opts.command == "validate":
-        items = jsonio.read_chunks(spark, source).select("doc", F.col("chunk").cast("int").alias("chunk"), "id", "text")
-        out = jsonio.read_translations(spark, opts.paths[1]).where("not bad and id is not null").select("doc", "chunk", "id", "zh")
-        return _verdict(engine.validate(items, out))
-    else:
-        return _verdict(engine.check(spark.read.parquet(source), tuple(opts.allow)))
+    return globals()[f"_{opts.command}"](spark, Engine(rules=canonical.SAMPLE), opts, *opts.paths)
+
+
+def _extract(spark, engine, opts, files: str, out: str) -> int:
+    module, _, name = (opts.parser or "").partition(":")
+    if not name:
+        raise SystemExit("extract needs --parser module:function")
+    spans = pdf.read_spans(spark, files, getattr(importlib.import_module(module), name))
+    jsonio.write_extracts(pdf.spans_to_blocks(spans, engine.cfg), out)
+    return 0
+
+
+def _profile(spark, engine, opts, extracts: str, out: str) -> int:
+    for name, report in engine.profile(jsonio.read_extracts(spark, extracts)).items():
+        jsonio.write_json_report(report, f"{out}/{name}")
+    return 0
+
+
+def _chunk(spark, engine, opts, extracts: str, out: str) -> int:
+    done = engine.ingest(jsonio.read_extracts(spark, extracts))
+    jsonio.write_chunks(done.items, f"{out}/items")
+    done.headers.write.mode("overwrite").parquet(f"{out}/headers")
+    jsonio.write_json_report(done.summary, f"{out}/summary")
+    return 0
+
+
+def _canonical(spark, engine, opts, extracts: str, out: str) -> int:
+    blocks = jsonio.read_extracts(spark, extracts)
+    table, missing = engine.canonicalise(blocks)
+    table.write.mode("overwrite").parquet(f"{out}/recurring")
+    jsonio.write_recurring(table, f"{out}/recurring_json")
+    jsonio.write_missing(missing, f"{out}/missing")
+    jsonio.write_chunks(engine.slim(engine.ingest(blocks), table), f"{out}/items")
+    return 0
+
+
+def _translations(spark, path: str) -> DataFrame:
+    return jsonio.read_translations(spark, path).where("not bad and id is not null").select("doc", "chunk", "id", "zh")
+
+
+def _validate(spark, engine, opts, chunks: str, trans: str) -> int:
+    items = jsonio.read_chunks(spark, chunks).select("doc", F.col("chunk").cast("int").alias("chunk"), "id", "text")
+    return _verdict(engine.validate(items, _translations(spark, trans)))
+
+
+def _columns(spark, engine, opts, extracts: str, trans: str, out: str) -> int:
+    blocks = jsonio.read_extracts(spark, extracts)
+    at = lambda c, other: F.coalesce(F.try_element_at(c, F.col("line_no") + 1), other)
+    lines = blocks.where("nlines >= 2").select("*", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    lines = lines.select("doc", "id", "line_no", F.col("line").alias("text"), at("line_ys", F.col("y0")).alias("y"), at("line_x0s", F.col("x0")).alias("x0"), (at("line_x0s", F.col("x0")) + at("line_ws", F.lit(0.0))).alias("x1"))
+    merged = columns.merged_columns(lines, columns.row_clusters(lines, engine.cfg), engine.cfg)
+    zh = _translations(spark, trans).groupBy("doc", "id").agg(F.max_by("zh", F.coalesce("chunk", F.lit(-1))).alias("zh"))
+    jsonio.write_layer(columns.pseudo_blocks(lines, merged, zh, blocks.where("rot is not null")).where("zh is not null"), out, "cZZ")
+    return 0
+
+
+def _build(spark, engine, opts, extracts: str, trans: str, out: str) -> int:
+    fixes = jsonio.fix_tables(spark, jsonio.read_config(opts.fixes))
+    blocks = engine.prepare(jsonio.read_extracts(spark, extracts), fixes, tuple(opts.drop))
+    layers = _translations(spark, trans).select("doc", "id", "zh", F.coalesce("chunk", F.lit(0)).alias("priority"))
+    layers = layers.unionByName(jsonio.read_translations(spark, trans, pseudo=True).where("not bad and id is not null").select("doc", "id", "zh", F.lit(2**31 - 1).alias("priority")))
+    table = spark.read.parquet(opts.recurring) if opts.recurring else spark.createDataFrame([], "doc string, norm_key string, template string")
+    actions = engine.build(blocks, table, layers, fixes["overrides"], tuple(opts.drop))
+    actions.write.mode("overwrite").parquet(f"{out}/actions")
+    actions = spark.read.parquet(f"{out}/actions")
+    overlay.redactions(blocks, actions).write.mode("overwrite").parquet(f"{out}/redactions")
+    engine.draw(blocks, actions).write.mode("overwrite").parquet(f"{out}/draw")
+    for row in actions.groupBy("action").count().orderBy("action").collect():
+        print(row["action"], row["count"])
+    return 0
+
+
+def _qa(spark, engine, opts, spans: str) -> int:
+    return _verdict(engine.check(spark.read.parquet(spans), tuple(opts.allow)))
+
+
+def _coverage(spark, engine, opts, cells: str, source: str, target: str) -> int:
+    return _verdict(qa.cell_coverage(*(spark.read.parquet(x) for x in (cells, source, target)), engine.cfg))
+
+
+def _pick(spark, engine, opts, marks: str, out: str) -> int:
+    jsonio.write_json_report(qa.page_pick(qa.page_scores(spark.read.parquet(marks)), opts.pages, engine.cfg), out)
     return 0
 
 
-def _verdict(report) -> int:
+def _verdict(report: DataFrame) -> int:
     """Print the rows that fail, 20 at most; nothing to check is a failure too."""
     failed = report.where("not passed").limit(20).collect()
     for row in failed:

@@ -49,6 +49,9 @@ class EngineConfig:
     paragraph_line_share: float = 0.82
     paragraph_share: float = 0.70
     page_suppression: int = 2
+    sample_text: int = 40
+    sample_streams: int = 30
+    sample_characters: int = 60
     # fixed values: patterns and words that projects replace
     heading_pattern: str = (
         r"^(SECTION [A-Z0-9]|Section [0-9]|Appendix [A-Z]|APPENDIX [A-Z]|[0-9]+\.[0-9]+\s+\S|CHANGES|FOREWORD|CONTENTS|Contents|PART [0-9]"

@@ -103,9 +103,7 @@ def permute_lines(c: Column, order: Column) -> Column:
 def replace_words(c: Column, words: dict[str, str]) -> Column:
     """Whole-word replacements in the given order; the border is asked for beside word characters only."""
     for word, to in words.items():
-        before = r"\b" if word[:1].isalnum() or word[:1] == "_" else ""
-        after = r"\b" if word[-1:].isalnum() or word[-1:] == "_" else ""
-        c = F.regexp_replace(c, before + _quoted(word) + after, to.replace("\\", "\\\\").replace("$", "\\$"))
+        c = F.regexp_replace(c, word_pattern(word), literal(to))
     return c
 
 
@@ -113,8 +111,24 @@ def _quoted(word: str) -> str:
     return "".join("\\" + ch if not (ch.isalnum() or ch.isspace() or ord(ch) > 127) else ch for ch in word)
 
 
+def word_pattern(word: str) -> str:
+    """A whole word as a pattern; letters of all scripts are word characters."""
+    border = lambda ch: r"\b" if ch.isalnum() or ch == "_" else ""
+    return f"(?U:{border(word[:1])}{_quoted(word)}{border(word[-1:])})"
+
+
+def class_member(ch: str) -> str:
+    """One character inside ``[...]``."""
+    return "\\" + ch if ch in "\\[]^-&" else ch
+
+
+def literal(to: str) -> str:
+    """A replacement without references to groups."""
+    return to.replace("\\", "\\\\").replace("$", "\\$")
+
+
 def has_word(c: Column, word: str) -> Column:
-    return c.rlike(rf"\b{_quoted(word)}\b")
+    return c.contains(word) & c.rlike(word_pattern(word))
 
 
 def toc_mark(c: Column, parity: bool = DEFAULT.toc_parity) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,10 +23,26 @@ def items(blocks: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     return rows.select("doc", "page", "ord", "id", T.toc_mark(F.col("text"), cfg.toc_parity).alias("text"))
 
 
+def _edge(cfg: EngineConfig) -> tuple[Column, Column]:
+    """What a boundary looks at in a body block, and where it stands (null: no body block)."""
+    inner = ~T.is_kept(F.col("text"), cfg) & (F.col("size") > cfg.header_max_size) & ~T.strip(F.col("text")).rlike(cfg.running_head_pattern)
+    return F.struct("text", "size", "bold", (F.col("x1") - F.col("x0")).alias("width")), F.when(inner, F.col("ord"))
+
+
+def _chars(cfg: EngineConfig) -> Column:
+    n = F.when(~T.is_kept(F.col("text"), cfg) & ~T.is_symbolic(F.col("text")), F.length(T.toc_mark(F.col("text"), cfg.toc_parity))).otherwise(0)
+    return F.sum(n).cast("long").alias("chars")
+
+
+def pages(blocks: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """``doc, page, chars, first, last`` in one aggregate: item characters, first and last body block of every page."""
+    edge, at = _edge(cfg)
+    return blocks.groupBy("doc", "page").agg(_chars(cfg), F.min_by(edge, at).alias("first"), F.max_by(edge, at).alias("last"))
+
+
 def page_chars(blocks: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """``doc, page, chars``: every page, also those without items."""
-    n = F.when(~T.is_kept(F.col("text"), cfg) & ~T.is_symbolic(F.col("text")), F.length(T.toc_mark(F.col("text"), cfg.toc_parity))).otherwise(0)
-    return blocks.groupBy("doc", "page").agg(F.sum(n).cast("long").alias("chars"))
+    return blocks.groupBy("doc", "page").agg(_chars(cfg))
 
 
 def table_continuation(tables: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
@@ -38,45 +57,68 @@ def table_continuation(tables: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFr
     return prev.where((F.col("lp") == F.col("page") - 1) & (F.col("ll.y1") > cfg.bottom_limit) & (F.col("ll.shape") == F.col("first"))).select("doc", "page")
 
 
-def safe_boundary(blocks: DataFrame, continued: DataFrame | None = None, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """``doc, page, safe, reason`` for every page but a document's first."""
-    edge = F.struct("text", "size", "bold", (F.col("x1") - F.col("x0")).alias("width"))
-    inner = ~T.is_kept(F.col("text"), cfg) & (F.col("size") > cfg.header_max_size) & ~T.strip(F.col("text")).rlike(cfg.running_head_pattern)
-    at = F.when(inner, F.col("ord"))  # nulls are no candidates
-    pages = blocks.groupBy("doc", "page").agg(F.min_by(edge, at).alias("first"), F.max_by(edge, at).alias("last"))
+def _reason(pages_: DataFrame, continued: DataFrame | Column | None, cfg: EngineConfig) -> DataFrame:
+    """``pages`` with ``reason`` why no chunk may end before the page (empty: it may; null: a document's first).
+
+    ``continued``: the pages that go on with a table, as rows or as a condition.
+    """
     w = Window.partitionBy("doc").orderBy("page")
-    rows = pages.withColumns({"prev": F.lag("last").over(w), "nth": F.row_number().over(w)}).where("nth > 1")
-    if continued is None:
-        rows = rows.withColumn("cont", F.lit(False))
-    else:
-        rows = rows.join(continued.select("doc", "page", F.lit(True).alias("cont")), ["doc", "page"], "left").withColumn("cont", F.coalesce("cont", F.lit(False)))
+    rows, cont = pages_, F.lit(False) if continued is None else continued
+    if isinstance(continued, DataFrame):
+        rows = pages_.join(continued.select("doc", "page", F.lit(True).alias("cont")), ["doc", "page"], "left")
+        cont = F.coalesce("cont", F.lit(False))
+    rows = rows.withColumns({"prev": F.lag("last").over(w), "nth": F.row_number().over(w)})
     first, prev = F.col("first"), F.col("prev")
     opens = T.is_heading(first["text"], first["bold"], first["size"], cfg) | (first["bold"] & (first["size"] >= cfg.heading_min_size))
     flows = F.coalesce(~T.ends_sentence(prev["text"], cfg) & ~opens & (prev["width"] > cfg.full_width), F.lit(False))
-    reason = F.when(F.col("cont"), "table goes on").when(flows, "paragraph goes on").otherwise("")
-    return rows.select("doc", "page", (reason == "").alias("safe"), reason.alias("reason"))
-
+    return rows.withColumn("reason", F.when(F.col("nth") > 1, F.when(cont, "table goes on").when(flows, "paragraph goes on").otherwise("")))
 
-def chunks(pages: DataFrame, boundaries: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """``doc, page, chunk, forced``: pages folded greedily in order; one small struct a page is gathered for a document."""
-    rows = pages.join(boundaries.select("doc", "page", "safe"), ["doc", "page"], "left")
-    per = rows.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("page", F.col("chars").alias("c"), F.coalesce("safe", F.lit(True)).alias("safe")))).alias("ps"))
-    long = lambda v: F.lit(v).cast("long")
-    zero = F.struct(long(1).alias("k"), long(0).alias("c"), long(0).alias("n"), F.array().cast("array<struct<page:int,chunk:bigint,forced:boolean>>").alias("out"))
 
-    def step(z: Column, x: Column) -> Column:
-        cut = (z["n"] > 0) & (z["c"] >= cfg.chunk_target) & x["safe"]
-        k = z["k"] + cut.cast("long")
-        c = F.when(cut, x["c"]).otherwise(z["c"] + x["c"])
+def safe_boundary(blocks: DataFrame, continued: DataFrame | None = None, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """``doc, page, safe, reason`` for every page but a document's first."""
+    edge, at = _edge(cfg)
+    pages_ = blocks.groupBy("doc", "page").agg(F.min_by(edge, at).alias("first"), F.max_by(edge, at).alias("last"))
+    return _reason(pages_, continued, cfg).where("reason is not null").select("doc", "page", (F.col("reason") == "").alias("safe"), "reason")
+
+
+def fold_pages(chars: list[int], safe: list[bool], target: int, hard: int) -> tuple[list[int], list[bool]]:
+    """(chunk, whether the hard limit ended it) of each page, folded greedily in order."""
+    chunk, size, held = 1, 0, 0
+    chunks_, forced = [], []
+    for i, (n, ok) in enumerate(zip(chars, safe, strict=True)):
+        cut = held > 0 and size >= target and ok
+        chunk += cut
+        size, held = (n, 1) if cut else (size + n, held + 1)
         # the hard limit is looked at when a page is added to a chunk, not when it opens a document or follows a cut
-        forced = ~cut & (F.size(z["out"]) > 0) & (c >= cfg.chunk_hard)
-        row = F.struct(x["page"].alias("page"), k.alias("chunk"), forced.alias("forced"))
-        return F.struct(
-            (k + forced.cast("long")).alias("k"), F.when(forced, long(0)).otherwise(c).alias("c"),
-            F.when(forced, long(0)).when(cut, long(1)).otherwise(z["n"] + 1).alias("n"), F.concat(z["out"], F.array(row)).alias("out"))
+        end = not cut and i > 0 and size >= hard
+        chunks_.append(chunk)
+        forced.append(end)
+        if end:
+            chunk, size, held = chunk + 1, 0, 0
+    return chunks_, forced
+
+
+def _folded(rows: DataFrame, cfg: EngineConfig) -> DataFrame:
+    target, hard, kind = cfg.chunk_target, cfg.chunk_hard, dict(rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [fold_pages(c, s, target, hard) for c, s in zip(b.column("chars").to_pylist(), b.column("safe").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("page"), pa.array([k for k, _ in out], pa.list_(pa.int64())), pa.array([f for _, f in out], pa.list_(pa.bool_()))], names=["doc", "page", "chunk", "forced"])
+
+    per = rows.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("page", "chars", F.coalesce("safe", F.lit(True)).alias("safe")))).alias("ps"))
+    found = per.select("doc", "ps.page", "ps.chars", "ps.safe").mapInArrow(run, f"doc {kind['doc']}, page array<{kind['page']}>, chunk array<long>, forced array<boolean>")
+    return found.select("doc", F.explode(F.arrays_zip("page", "chunk", "forced")).alias("r")).select("doc", "r.page", "r.chunk", "r.forced")
+
+
+def chunks(pages_: DataFrame, boundaries: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """``doc, page, chunk, forced``: pages folded greedily in order; three numbers a page are gathered for a document."""
+    return _folded(pages_.join(boundaries.select("doc", "page", "safe"), ["doc", "page"], "left"), cfg)
+
 
-    folded = per.select("doc", F.explode(F.aggregate("ps", zero, step, lambda z: z["out"])).alias("r"))
-    return folded.select("doc", "r.page", "r.chunk", "r.forced")
+def chunks_of(pages_: DataFrame, continued: DataFrame | Column | None = None, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """``chunks`` from ``pages`` alone: characters and boundaries come from the same rows."""
+    return _folded(_reason(pages_, continued, cfg).select("doc", "page", "chars", (F.coalesce("reason", F.lit("")) == "").alias("safe")), cfg)
 
 
 def chunk_items(items_: DataFrame, chunks_: DataFrame) -> DataFrame:
@@ -95,15 +137,15 @@ def chunk_summary(chunks_: DataFrame, pages: DataFrame, items_: DataFrame) -> Da
 
 def contexts(chunk_items_: DataFrame, chunks_: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """``doc, chunk, first_page, last_page, context_before, context_after``."""
-    pages = chunks_.groupBy("doc", "chunk").agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"))
-    # only the items at a chunk's ends are gathered
-    head = Window.partitionBy("doc", "chunk").orderBy("ord")
-    tail = Window.partitionBy("doc", "chunk").orderBy(F.desc("ord"))
-    ends = chunk_items_.withColumns({"h": F.row_number().over(head), "t": F.row_number().over(tail)}).where((F.col("h") <= cfg.after_items) | (F.col("t") <= cfg.before_items))
-    joined = lambda flag: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(flag, F.struct("ord", "text")))), lambda x: x["text"]), cfg.joiner)
-    text = ends.groupBy("doc", "chunk").agg(joined(F.col("h") <= cfg.after_items).alias("lead"), joined(F.col("t") <= cfg.before_items).alias("trail"))
+    pages_ = chunks_.groupBy("doc", "chunk").agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"))
+    # a chunk is bounded by the hard limit, and of its items only as much is gathered as a context can show
+    shown = F.array_sort(F.collect_list(F.struct("ord", F.left("text", F.lit(cfg.after_chars)).alias("head"), F.right("text", F.lit(cfg.before_chars)).alias("tail"))))
+    joined = lambda c, part: F.array_join(F.transform(c, lambda x: x[part]), cfg.joiner)
+    ends = chunk_items_.groupBy("doc", "chunk").agg(shown.alias("x"))
+    last = F.reverse(F.slice(F.reverse("x"), 1, cfg.before_items))
+    text = ends.select("doc", "chunk", joined(F.slice("x", 1, cfg.after_items), "head").alias("lead"), joined(last, "tail").alias("trail"))
     w = Window.partitionBy("doc").orderBy("chunk")
-    rows = pages.join(text, ["doc", "chunk"], "left").withColumns({"b": F.lag("trail").over(w), "a": F.lead("lead").over(w)})
+    rows = pages_.join(text, ["doc", "chunk"], "left").withColumns({"b": F.lag("trail").over(w), "a": F.lead("lead").over(w)})
     return rows.select("doc", "chunk", "first_page", "last_page", F.right(F.coalesce("b", F.lit("")), F.lit(cfg.before_chars)).alias("context_before"), F.left(F.coalesce("a", F.lit("")), F.lit(cfg.after_chars)).alias("context_after"))
 
 

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
 from ..functions import text as T
 
+TILE = 24.0
+
 
 def envelopes(lines: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, x0, y0, x1, y1`` over non-blank lines."""
@@ -34,17 +40,40 @@ def rotation(dirs: Column) -> Column:
     return F.when(F.size(turned) > 0, F.when((best["dx"] == 0) & (best["dy"] == -1), 90).otherwise(270))
 
 
-def seeds(ys: Column, tolerance: float = DEFAULT.row_tolerance) -> Column:
-    """First-fit row seeds of line tops in their order; a line joins the first seed near enough, not a neighbour."""
-    return F.aggregate(ys, F.array().cast("array<double>"), lambda z, y: F.when(F.exists(z, lambda s: F.abs(s - y) <= tolerance), z).otherwise(F.concat(z, F.array(y))))
+def first_fit(ys: list[float], tolerance: float = DEFAULT.row_tolerance) -> list[int]:
+    """Row of each line top, in their order: the first seed near enough, else a new seed.
+
+    Seeds lie more than the tolerance apart, so a sorted list finds the few that can be near.
+    """
+    seeds: list[float] = []
+    number: dict[float, int] = {}
+    out = []
+    for y in ys:
+        at = bisect_left(seeds, y)
+        near = [number[s] for s in seeds[max(0, at - 2) : at + 2] if abs(s - y) <= tolerance]
+        if not near:
+            seeds.insert(at, y)
+            near = [number.setdefault(y, len(number))]
+        out.append(min(near))
+    return out
 
 
 def row_clusters(lines: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """``doc, id, line_no, row`` for lines ``doc, id, line_no, y``: the row is the first seed within tolerance."""
+    """``doc, id, line_no, row`` for lines ``doc, id, line_no, y``: the row is the first seed within tolerance.
+
+    The lines of one block are gathered; their rows are found in one pass over them.
+    """
+    tolerance = cfg.row_tolerance
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [first_fit(ys, tolerance) for ys in b.column("ys").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("id"), b.column("ns"), pa.array(rows, pa.list_(pa.int32()))], names=["doc", "id", "ns", "rows"])
+
+    kind = dict(lines.dtypes)
     per = lines.groupBy("doc", "id").agg(F.array_sort(F.collect_list(F.struct("line_no", F.col("y").cast("double").alias("y")))).alias("ls"))
-    per = per.withColumn("seeds", seeds(F.transform("ls", lambda x: x["y"]), cfg.row_tolerance))
-    near = lambda y: F.array_position(F.transform("seeds", lambda s: F.abs(s - y) <= cfg.row_tolerance), True)
-    return per.select("doc", "id", F.explode(F.transform("ls", lambda x: F.struct(x["line_no"].alias("line_no"), (near(x["y"]) - 1).cast("int").alias("row")))).alias("r")).select("doc", "id", "r.line_no", "r.row")
+    found = per.select("doc", "id", F.col("ls.line_no").alias("ns"), F.col("ls.y").alias("ys")).mapInArrow(run, f"doc {kind['doc']}, id {kind['id']}, ns array<{kind['line_no']}>, rows array<int>")
+    return found.select("doc", "id", F.explode(F.arrays_zip("ns", "rows")).alias("r")).select("doc", "id", F.col("r.ns").alias("line_no"), F.col("r.rows").alias("row"))
 
 
 def merged_columns(lines: DataFrame, rows: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
@@ -96,7 +125,10 @@ def cell_expand(blocks: DataFrame, cells: DataFrame, cfg: EngineConfig = DEFAULT
     """``doc, id, x0, x1``: single-line blocks inside a table cell take the first such cell's width."""
     s = cfg.cell_slack
     good = cells.where(f"x1 - x0 > {cfg.cell_min_width} and y1 - y0 > {cfg.cell_min_height}").select("doc", "page", "cell_no", *[F.col(c).alias("c" + c) for c in ("x0", "y0", "x1", "y1")])
-    near = blocks.join(good, ["doc", "page"]).where((F.col("x0") >= F.col("cx0") - s) & (F.col("x1") <= F.col("cx1") + s) & (F.col("y0") >= F.col("cy0") - s) & (F.col("y1") <= F.col("cy1") + s))
+    # a block's top is inside a cell of its own tile: no page is a cross product
+    tile = lambda c: F.floor(c / TILE)
+    good = good.withColumn("tile", F.explode(F.sequence(tile(F.col("cy0") - s), tile(F.col("cy1") + s))))
+    near = blocks.withColumn("tile", tile(F.col("y0"))).join(good, ["doc", "page", "tile"]).where((F.col("x0") >= F.col("cx0") - s) & (F.col("x1") <= F.col("cx1") + s) & (F.col("y0") >= F.col("cy0") - s) & (F.col("y1") <= F.col("cy1") + s))
     first = near.groupBy("doc", "id").agg(F.min_by(F.struct("cx0", "cx1"), "cell_no").alias("c"), F.min("x1").alias("x1"), F.min("x0").alias("x0"))
     wider = (F.col("c.cx1") - 2 > F.col("x1") + 3) | (F.col("c.cx0") + 2 < F.col("x0") - 3)
     return first.select("doc", "id", F.when(wider, F.col("c.cx0") + 2).otherwise(F.col("x0")).alias("x0"), F.when(wider, F.col("c.cx1") - 2).otherwise(F.col("x1")).alias("x1"))

@@ -43,9 +43,11 @@ def split_lines(blocks: DataFrame, splits: DataFrame) -> DataFrame:
     kept = blocks.join(splits.select("doc", "id").distinct(), ["doc", "id"], "left_anti")
     s = splits.select("doc", "id", "line", "new_id", F.col("size").alias("s_size"), F.col("color").alias("s_color"), F.coalesce("dy", F.lit(0.0)).alias("dy"))
     rows = blocks.join(s, ["doc", "id"]).withColumn("ln", F.try_element_at("lines", F.col("line") + 1)).where("ln is not null")
-    y = F.col("ln.y") + F.col("dy")
-    new = {"id": F.col("new_id"), "text": F.col("ln.text"), "x0": F.col("ln.x0"), "y0": y, "x1": F.col("ln.x0") + F.col("ln.w"), "y1": y + F.col("ln.h"),
-           "size": F.coalesce("s_size", "size"), "color": F.coalesce("s_color", "color"), "lines": F.array(F.struct(y.alias("y"), F.col("ln.x0").alias("x0"), F.col("ln.w").alias("w"), F.col("ln.h").alias("h"), F.col("ln.text").alias("text")))}
+    y, h = F.col("ln.y") + F.col("dy"), F.when(F.col("s_size").isNotNull(), F.col("s_size") * 1.2).otherwise(F.col("ln.h"))
+    one = {"nlines": F.lit(1), "line_ys": F.array(y), "line_x0s": F.array("ln.x0"), "line_ws": F.array("ln.w"), "line_hs": F.array(h)}
+    new = one | {"id": F.col("new_id"), "text": F.col("ln.text"), "y0": y - 1, "y1": y + h + 1, "size": F.coalesce("s_size", "size"), "color": F.coalesce("s_color", "color"),
+                 "lines": F.array(F.struct(y.alias("y"), F.col("ln.x0").alias("x0"), F.col("ln.w").alias("w"), h.alias("h"), F.col("ln.text").alias("text")))}
+    new = {c: v.cast(kind) if kind != "null" else v for c, kind in blocks.dtypes if (v := new.get(c)) is not None}
     return kept.unionByName(rows.select(*[new.get(c, F.col(c)).alias(c) for c in blocks.columns]))
 
 
@@ -62,6 +64,24 @@ def output_name(display: Column, doc: Column) -> Column:
     return F.coalesce(F.nullif(display, F.lit("")), doc)
 
 
+def source_name(source: Column, display: Column, doc: Column, files: DataFrame, names: DataFrame) -> DataFrame:
+    """``names`` with ``source``: the first of the given file, the display name's and the document's that is in ``files(name)``; null: none is."""
+    tried = F.array_distinct(F.array_compact(F.array(F.nullif(source, F.lit("")), F.concat(output_name(display, doc), F.lit(".pdf")), F.concat(doc, F.lit(".pdf")))))
+    rows = names.select(*names.columns, F.posexplode(tried).alias("nth", "name")).join(files.select("name").distinct(), "name", "left_semi")
+    best = rows.groupBy(doc.alias("doc")).agg(F.min_by("name", "nth").alias("source"))
+    return names.select(doc.alias("doc"), output_name(display, doc).alias("output")).join(best, "doc", "left")
+
+
+def redactions(blocks: DataFrame, actions: DataFrame, margin: float = 0.5) -> DataFrame:
+    """``doc, page, id, x0, y0, x1, y1``: what a writer clears before it draws; only text goes, lines and images stay.
+
+    Blocks that are drawn anew and blocks that are dropped are cleared, with a margin; kept ones are not.
+    """
+    gone = actions.where("action in ('DRAW', 'VERBATIM', 'DROP')").select("doc", "id", (F.col("action") != "DROP").cast("double").alias("m"))
+    m = F.col("m") * margin
+    return blocks.join(gone, ["doc", "id"]).select("doc", "page", "id", (F.col("x0") - m).alias("x0"), (F.col("y0") - m).alias("y0"), (F.col("x1") + m).alias("x1"), (F.col("y1") + m).alias("y1"))
+
+
 def render_action(blocks: DataFrame, merged: DataFrame, keep: tuple[str, ...], drop: tuple[str, ...]) -> DataFrame:
     """``doc, id, action, zh``: the first rule that holds decides, in this order."""
     rows = blocks.join(merged, ["doc", "id"], "left")

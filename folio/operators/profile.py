@@ -15,6 +15,11 @@ def stride_sample(pages: DataFrame, counts: DataFrame, k: int) -> DataFrame:
     return pages.join(counts.select("doc", "n"), "doc").where(F.expr(f"pmod(page - 1, greatest(1, n div {k})) = 0")).drop("n")
 
 
+def sampled(rows: DataFrame, k: int | None) -> DataFrame:
+    """``rows(doc, page, ...)`` of the sampled pages; all where ``k`` is none."""
+    return rows if k is None else stride_sample(rows, rows.groupBy("doc").agg(F.max("page").alias("n")), k)
+
+
 def text_layer(page_chars: DataFrame, k: int = 40, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """``doc, sampled, empty, verdict`` from ``doc, page, chars``."""
     counts = page_chars.groupBy("doc").agg(F.max("page").alias("n"))
@@ -35,21 +40,22 @@ def box_mismatch(boxes: DataFrame, tolerance: float = 0.5) -> DataFrame:
 SAVE, RESTORE = r"(?:^|[\s>\]])q(?=[\s<\[]|$)", r"(?:^|[\s>\]])Q(?=[\s<\[]|$)"
 
 
-def operator_balance(streams: DataFrame, opens: str = SAVE, closes: str = RESTORE) -> DataFrame:
-    """``doc, n_open, n_close, balanced`` of two patterns in ``text``."""
-    rows = streams.groupBy("doc").agg(F.sum(F.regexp_count("text", F.lit(opens))).cast("long").alias("n_open"), F.sum(F.regexp_count("text", F.lit(closes))).cast("long").alias("n_close"))
+def operator_balance(streams: DataFrame, opens: str = SAVE, closes: str = RESTORE, k: int | None = None) -> DataFrame:
+    """``doc, n_open, n_close, balanced`` of two patterns in ``text``; ``k``: on sampled pages."""
+    rows = sampled(streams, k).groupBy("doc").agg(F.sum(F.regexp_count("text", F.lit(opens))).cast("long").alias("n_open"), F.sum(F.regexp_count("text", F.lit(closes))).cast("long").alias("n_close"))
     return rows.withColumn("balanced", F.col("n_open") == F.col("n_close"))
 
 
-def character_audit(texts: DataFrame, suspects: dict[str, str]) -> DataFrame:
-    """``ch, n, stands_for`` of suspect characters, in one pass over the texts."""
-    found = texts.select(F.explode(F.regexp_extract_all("text", F.lit("[" + "".join(suspects) + "]"), F.lit(0))).alias("ch"))
+def character_audit(texts: DataFrame, suspects: dict[str, str], k: int | None = None) -> DataFrame:
+    """``ch, n, stands_for`` of suspect characters, in one pass over the texts; ``k``: on sampled pages."""
+    found = sampled(texts, k).select(F.explode(F.regexp_extract_all("text", F.lit("[" + "".join(map(T.class_member, suspects)) + "]"), F.lit(0))).alias("ch"))
     meaning = F.create_map(*[F.lit(x) for kv in suspects.items() for x in kv])
     return found.groupBy("ch").agg(F.count("*").alias("n")).withColumn("stands_for", meaning[F.col("ch")])
 
 
 def suspect_fonts(fonts: DataFrame, n: int = 10) -> DataFrame:
     """``doc, names``: the first type-3 or logo-like fonts by name."""
+    # fixed value: what names of logo fonts hold
     hit = (F.col("ftype") == "Type3") | F.col("name").rlike("(?i)logo|brand|mark")
     return fonts.where(hit).groupBy("doc").agg(F.slice(F.array_sort(F.collect_set("name")), 1, n).alias("names"))
 

@@ -11,19 +11,27 @@ from ..functions import text as T
 TILE = 24.0
 
 
-def overflow(spans: DataFrame, allow: tuple[str, ...] = (), cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """Lines that start before the right margin and end beyond it; texts that match an allowed pattern are exempt."""
+def _overflows(allow: tuple[str, ...], cfg: EngineConfig) -> Column:
     hit = (F.col("x1") > cfg.right_margin) & (F.col("x0") < cfg.right_margin + 10)
     for pattern in allow:
         hit = hit & ~F.col("text").rlike(pattern)
-    return spans.where(hit)
+    return hit
 
 
-def tiny(spans: DataFrame, cfg: EngineConfig = DEFAULT, wide: bool = True) -> DataFrame:
-    """CJK text (``wide``; else any) of two characters or more below the smallest size; narrow cells have their own."""
+def overflow(spans: DataFrame, allow: tuple[str, ...] = (), cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """Lines that start before the right margin and end beyond it; texts that match an allowed pattern are exempt."""
+    return spans.where(_overflows(allow, cfg))
+
+
+def _is_tiny(spans: DataFrame, cfg: EngineConfig, wide: bool) -> Column:
     least = F.when(F.col("x1") - F.col("x0") < 60, cfg.narrow_text_size).otherwise(cfg.min_text_size) if "narrow_cells" in spans.columns else F.lit(cfg.min_text_size)
     script = T.has_wide_cjk(F.col("text")) if wide else F.lit(True)
-    return spans.where((F.col("size") < least) & script & (F.length(T.strip(F.col("text"))) > 1))
+    return (F.col("size") < least) & script & (F.length(T.strip(F.col("text"))) > 1)
+
+
+def tiny(spans: DataFrame, cfg: EngineConfig = DEFAULT, wide: bool = True) -> DataFrame:
+    """CJK text (``wide``; else any) of two characters or more below the smallest size; narrow cells have their own."""
+    return spans.where(_is_tiny(spans, cfg, wide))
 
 
 def residue(spans: DataFrame) -> DataFrame:
@@ -56,21 +64,24 @@ def overprint(spans: DataFrame, cfg: EngineConfig = DEFAULT, wide: bool = True)
 
 
 def cell_coverage(cells: DataFrame, source: DataFrame, target: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """``doc, n_cells, n_missing, passed``: source cells with enough words whose place in the target has no CJK, exactly or nearby."""
-    t = cfg.coverage_tolerance
-
-    def inside(texts: DataFrame, slack: float, name: str) -> DataFrame:
-        at = texts.select("doc", "page", "ord", "text", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
-        hit = (F.col("cx") >= F.col("x0") - slack) & (F.col("cx") <= F.col("x1") + slack) & (F.col("cy") >= F.col("y0") - slack) & (F.col("cy") <= F.col("y1") + slack)
-        rows = cells.join(at, ["doc", "page"]).where(hit).groupBy("doc", "page", "cell_no").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("x"))
-        return rows.select("doc", "page", "cell_no", T.collapse_blanks(F.array_join(F.transform("x", lambda v: v["text"]), " ")).alias(name))
+    """``doc, n_cells, n_missing, passed``: source cells with enough words whose place in the target has no CJK, exactly or nearby.
 
-    keys = ["doc", "page", "cell_no"]
-    asked = inside(source, 0.0, "src").where(F.regexp_count("src", F.lit("[A-Za-z]{3,}")) >= cfg.coverage_min_words)
-    rows = asked.join(inside(target, 0.0, "exact"), keys, "left").join(inside(target, t, "near"), keys, "left")
-    got = F.coalesce(F.nullif("exact", F.lit("")), "near", F.lit(""))
-    out = rows.groupBy("doc").agg(F.count("*").alias("n_cells"), F.count_if(~T.has_cjk(got)).alias("n_missing"))
-    return out.withColumn("passed", F.col("n_missing") <= cfg.coverage_max_miss * F.col("n_cells"))
+    Cells with the tolerance around them are dealt over horizontal tiles and a text has the tile of
+    its middle, so each text meets the cells near it only, and each cell's texts come from one join.
+    """
+    t = cfg.coverage_tolerance
+    middle = ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy")
+    texts = source.select("doc", "page", "ord", "text", *middle, F.lit(False).alias("out")).unionByName(target.select("doc", "page", "ord", "text", *middle, F.lit(True).alias("out")))
+    texts = texts.withColumn("tile", F.floor(F.col("cy") / TILE))
+    dealt = cells.withColumn("tile", F.explode(F.sequence(F.floor((F.col("y0") - t) / TILE), F.floor((F.greatest("y0", "y1") + t) / TILE))))
+    inside = lambda s: (F.col("cx") >= F.col("x0") - s) & (F.col("cx") <= F.col("x1") + s) & (F.col("cy") >= F.col("y0") - s) & (F.col("cy") <= F.col("y1") + s)
+    rows = dealt.join(texts, ["doc", "page", "tile"]).where(inside(t))
+    kept = lambda cond: T.collapse_blanks(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("ord", "text")))), lambda v: v["text"]), " "))
+    out = F.col("out")
+    got = rows.groupBy("doc", "page", "cell_no").agg(kept(~out & inside(0.0)).alias("src"), kept(out & inside(0.0)).alias("exact"), kept(out).alias("near"))
+    asked = got.where(F.regexp_count("src", F.lit("[A-Za-z]{3,}")) >= cfg.coverage_min_words)
+    found = asked.groupBy("doc").agg(F.count("*").alias("n_cells"), F.count_if(~T.has_cjk(F.coalesce(F.nullif("exact", F.lit("")), "near"))).alias("n_missing"))
+    return found.withColumn("passed", F.col("n_missing") <= cfg.coverage_max_miss * F.col("n_cells"))
 
 
 def baseline_diff(found: DataFrame, source: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
@@ -95,14 +106,12 @@ def page_number_gaps(feet: DataFrame, pattern: str = "([0-9]+)") -> DataFrame:
 
 def summary(spans: DataFrame, allow: tuple[str, ...] = (), wide: bool = True, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """One row a document: counts of each scan and whether all are zero."""
-    key = spans.select("doc").distinct()
-    count = lambda df, n: df.groupBy("doc").agg(F.count("*").alias(n))
-    parts = [count(overflow(spans, allow, cfg), "n_overflow"), count(residue(spans), "n_residue"), count(tiny(spans, cfg, wide), "n_tiny"), count(overprint(spans, cfg, wide), "n_overprint")]
-    for p in parts:
-        key = key.join(p, "doc", "left")
+    flag = lambda c, n: F.count_if(c).alias(n)
+    per = spans.groupBy("doc").agg(flag(_overflows(allow, cfg), "n_overflow"), flag(F.col("text").contains("⟦"), "n_residue"), flag(_is_tiny(spans, cfg, wide), "n_tiny"))
+    pairs = overprint(spans, cfg, wide).groupBy("doc").agg(F.count("*").alias("n_overprint"))
     names = ["n_overflow", "n_residue", "n_tiny", "n_overprint"]
-    key = key.select("doc", *[F.coalesce(n, F.lit(0).cast("long")).alias(n) for n in names])
-    return key.withColumn("passed", sum((F.col(n) for n in names), F.lit(0)) == 0)
+    out = per.join(pairs, "doc", "left").withColumn("n_overprint", F.coalesce("n_overprint", F.lit(0).cast("long")))
+    return out.select("doc", *names).withColumn("passed", sum((F.col(n) for n in names), F.lit(0)) == 0)
 
 
 def page_scores(pages: DataFrame) -> DataFrame:
@@ -112,7 +121,10 @@ def page_scores(pages: DataFrame) -> DataFrame:
 
 def page_pick(scores: DataFrame, k: int, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """``doc, page, pick``: best pages first (later page of equals), none near one already picked, none without score."""
-    per = scores.where("score > 0").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("score", "page")), asc=False).alias("ps"))
+    # a picked page hides at most so many, itself included: the best rows decide, whatever the number of pages
+    enough = k * (2 * cfg.page_suppression + 1)
+    best = scores.where("score > 0").withColumn("r", F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("score"), F.desc("page")))).where(F.col("r") <= enough)
+    per = best.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("score", "page")), asc=False).alias("ps"))
     zero = F.array().cast("array<int>")
     step = lambda z, x: F.when((F.size(z) < k) & ~F.exists(z, lambda q: F.abs(q - x["page"]) <= cfg.page_suppression), F.concat(z, F.array(x["page"].cast("int")))).otherwise(z)
     return per.select("doc", F.posexplode(F.aggregate("ps", zero, step)).alias("pick", "page")).select("doc", "page", "pick")

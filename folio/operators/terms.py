@@ -10,23 +10,24 @@ from ..functions import text as T
 
 def ngrams(texts: DataFrame, sizes: tuple[int, ...] = (2, 3, 4), stop: tuple[str, ...] = (), least: int = 2) -> DataFrame:
     """``size, gram, n``: runs of lower-case words that neither begin nor end with a stop word."""
-    words = texts.select(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w"))
+    # behind the explode the words are a column, not an expression that every use repeats
+    words = texts.select(F.explode(F.array(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("w"))
+    stops = F.array(*map(F.lit, stop)) if stop else F.array().cast("array<string>")
 
     def runs(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.struct(F.lit(n).alias("size"), F.array_join(F.slice("w", i, n), " ").alias("gram")))
-
-    grams = F.flatten(F.array(*map(runs, sizes)))
-    ok = words.where(F.size("w") >= max(sizes))
-    rows = ok.select(F.explode(grams).alias("g")).select("g.size", "g.gram")
-    if stop:
-        edge = "|".join(stop)
-        rows = rows.where(~F.col("gram").rlike(f"^(?:{edge}) | (?:{edge})$"))
+        inner = lambda i: ~F.array_contains(stops, F.element_at("w", i)) & ~F.array_contains(stops, F.element_at("w", i + n - 1))
+        at = F.sequence(F.lit(1), F.size("w") - n + 1)
+        kept = F.filter(at, inner) if stop else at
+        found = F.transform(kept, lambda i: F.struct(F.lit(n).alias("size"), F.array_join(F.slice("w", i, n), " ").alias("gram")))
+        return F.when(F.size("w") >= n, found).otherwise(F.array().cast("array<struct<size:int,gram:string>>"))
+
+    rows = words.select(F.explode(F.flatten(F.array(*map(runs, sizes)))).alias("g")).select("g.size", "g.gram")
     return rows.groupBy("size", "gram").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
 def acronyms(blocks: DataFrame, stop: tuple[str, ...] = ()) -> DataFrame:
     """``doc, acronym, n, page, ord, sample``: count and first place in the document."""
-    rows = blocks.select("doc", "page", "ord", "text", F.explode(F.regexp_extract_all("text", F.lit(r"\b[A-Z]{2,}[0-9]*\b"), F.lit(0))).alias("acronym")).where(~F.col("acronym").isin(*stop))
+    rows = blocks.select("doc", "page", "ord", "text", F.explode(F.regexp_extract_all("text", F.lit(r"(?U)\b[A-Z]{2,}[0-9]*\b"), F.lit(0))).alias("acronym")).where(~F.col("acronym").isin(*stop))
     return rows.groupBy("doc", "acronym").agg(F.count("*").alias("n"), F.min_by("page", "ord").alias("page"), F.min("ord").alias("ord"), F.min_by(F.left("text", F.lit(40)), "ord").alias("sample"))
 
 
@@ -83,17 +84,17 @@ def drift(texts: DataFrame, variants: dict[str, tuple[str, ...]]) -> DataFrame:
 
 def modal_counts(pairs: DataFrame, verbs: dict[str, str]) -> DataFrame:
     """``verb, n_source, n_output``: how often each modal verb and its fixed translation occur."""
-    rows = [F.struct(F.lit(v).alias("verb"), F.regexp_count("text", F.lit(rf"\b{v}\b")).alias("a"), F.regexp_count("zh", F.lit(rf"\b{o}\b")).alias("b")) for v, o in verbs.items()]
+    rows = [F.struct(F.lit(v).alias("verb"), F.regexp_count("text", F.lit(T.word_pattern(v))).alias("a"), F.regexp_count("zh", F.lit(T.word_pattern(o))).alias("b")) for v, o in verbs.items()]
     return pairs.select(F.explode(F.array(*rows)).alias("x")).groupBy(F.col("x.verb").alias("verb")).agg(F.sum("x.a").cast("long").alias("n_source"), F.sum("x.b").cast("long").alias("n_output"))
 
 
 def expand_first(items: DataFrame, meanings: dict[str, str]) -> DataFrame:
-    """Items with each abbreviation spelled out in the document's first item that has it."""
+    """Items with each abbreviation spelled out in the document's first item that has it, on whatever line."""
     w = Window.partitionBy("doc").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
     out = F.col("text")
     for a, full in meanings.items():
         seen = F.coalesce(F.max(T.has_word(F.col("text"), a)).over(w), F.lit(False))
-        out = F.when(~seen, F.regexp_replace(out, rf"^(.*?)\b{a}\b", f"$1{full} ({a})")).otherwise(out)
+        out = F.when(~seen, F.regexp_replace(out, rf"(?s)^(.*?){T.word_pattern(a)}", f"$1{T.literal(f'{full} ({a})')}")).otherwise(out)
     return items.withColumn("text", out)
 
 

@@ -137,8 +137,11 @@ def q_page_chars(spark, sf_dir):
     return chunking.page_chars(read_blocks(spark, sf_dir))
 
 
+GOES_ON = "page % 6 = 0 and page > 1"
+
+
 def continued(rows):
-    return rows.where("page % 6 = 0 and page > 1").select("doc", "page").distinct()
+    return rows.where(GOES_ON).select("doc", "page").distinct()
 
 
 @query(f"with {BLOCKS_SQL}, {CONT}, {SAFE} select doc, page, reason = '' as safe, reason from safe")
@@ -147,15 +150,14 @@ def q_safe_boundary(spark, sf_dir):
     return chunking.safe_boundary(rows, continued(rows))
 
 
-_TAB = "tab as (select doc, page, ord as table_no, 50.0 + doc % 2 as x0, 550.0 as x1, case when ord % 3 = 1 then 600.0 else 700.0 end as y1, length(text) % 2 + 3 as cols from blocks where ord % 4 in (0, 3))"
+_TAB = "tab as (select doc, page, ord as table_no, 50.0 + doc % 2 as x0, 550.0 as x1, case when ord % 3 = 1 then 600.0 else 700.0 end as y1, length(text) % 2 + 3 as cols from blocks)"
 
 
 @query(f"""with {BLOCKS_SQL}, {_TAB}, f as (select doc, page, min_by({{'a': round(x0), 'b': round(x1), 'c': cols}}, table_no) as f, max_by({{'a': round(x0), 'b': round(x1), 'c': cols}}, table_no) as l, max_by(y1, table_no) as y from tab group by 1, 2),
 g as (select *, lag(page) over w as lp, lag(l) over w as ll, lag(y) over w as ly from f window w as (partition by doc order by page)) select doc, page from g where lp = page - 1 and ly > 655 and ll = f""")
 def q_table_continuation(spark, sf_dir):
     o = F.col("ord")
-    rows = read_blocks(spark, sf_dir).where("ord % 4 in (0, 3)")
-    tables = rows.select("doc", "page", o.alias("table_no"), (F.col("doc") % 2 + 50.0).alias("x0"), F.lit(550.0).alias("x1"), F.when(o % 3 == 1, 600.0).otherwise(700.0).alias("y1"), (F.length("text") % 2 + 3).alias("cols"))
+    tables = read_blocks(spark, sf_dir).select("doc", "page", o.alias("table_no"), (F.col("doc") % 2 + 50.0).alias("x0"), F.lit(550.0).alias("x1"), F.when(o % 3 == 1, 600.0).otherwise(700.0).alias("y1"), (F.length("text") % 2 + 3).alias("cols"))
     return chunking.table_continuation(tables)
 
 
@@ -173,7 +175,7 @@ CHUNKED = f"with recursive {BLOCKS_SQL}, {FOLD}"
 
 def _chunks(spark, sf_dir):
     rows = read_blocks(spark, sf_dir)
-    return rows, chunking.chunks(chunking.page_chars(rows), chunking.safe_boundary(rows, continued(rows)))
+    return rows, chunking.chunks_of(chunking.pages(rows), F.expr(GOES_ON))
 
 
 @query(f"{CHUNKED} select * from chunk_")

@@ -136,12 +136,12 @@ def q_validate_files(spark, sf_dir):
 
 
 # words of a block as its lines: x by length, four to a row
-LINES = """ln as (select doc, id, ord, unnest(ws) as text, unnest(range(len(ws))) as k from (select doc, id, ord, list_filter(string_split(text, ' '), lambda x: x <> '')[1:12] as ws from blocks where ord % 3 = 0)),
+LINES = """ln as (select doc, id, ord, unnest(ws) as text, unnest(range(len(ws))) as k from (select doc, id, ord, list_filter(string_split(text, ' '), lambda x: x <> '') as ws from blocks)),
 lines_ as (select doc, id, cast(k as int) as line_no, text, cast(50 + (k % 4) * 100 as double) as x0, 50 + (k % 4) * 100 + length(text) * 5.0 + 20 as x1, 40 + (k // 4) * 12 + (k % 4) * cast(0.9 as double) as y, 40 + (k // 4) * 12 + (k % 4) * cast(0.9 as double) as y0, 50 + (k // 4) * 12 + (k % 4) * cast(0.9 as double) as y1, cast(10.0 as double) as h, cast(9.0 + k % 4 as double) as size from ln)"""
 
 
 def lines(rows):
-    words = rows.where("ord % 3 = 0").select("doc", "id", F.posexplode(F.slice(F.filter(F.split("text", " ", -1), lambda x: x != ""), 1, 12)).alias("k", "text"))
+    words = rows.select("doc", "id", F.posexplode(F.filter(F.split("text", " ", -1), lambda x: x != "")).alias("k", "text"))
     k, col = F.col("k"), F.col("k") % 4
     y = F.lit(40.0) + F.floor(k / 4) * 12 + col * F.lit(0.9)
     x0 = (F.lit(50) + col * 100).cast("double")
@@ -159,13 +159,14 @@ def q_align_detect(spark, sf_dir):
     return columns.alignment(read_blocks(spark, sf_dir), ["doc", "page"])
 
 
-_ROWS = f"""step as (select doc, id, line_no, y, [y] as seeds, 0 as slot from lines_ where line_no = 0
- union all select l.doc, l.id, l.line_no, l.y, case when len(list_filter(s.seeds, lambda z: abs(z - l.y) <= 2.5)) > 0 then s.seeds else list_append(s.seeds, l.y) end,
- case when len(list_filter(s.seeds, lambda z: abs(z - l.y) <= 2.5)) > 0 then list_position(list_transform(s.seeds, lambda z: abs(z - l.y) <= 2.5), true) - 1 else len(s.seeds) end from step s join lines_ l on l.doc = s.doc and l.id = s.id and l.line_no = s.line_no + 1),
-row_ as (select doc, id, line_no, cast(slot as int) as "row" from step)"""
+# the fold's state: s the seeds, r the rows so far; an element brings its line's top as its only seed
+_NEAR = "list_transform(a.s, lambda z: abs(z - x.s[1]) <= 2.5)"
+_ROWS = f"""fold as (select doc, id, list_reduce(list_prepend({{'s': cast([] as double[]), 'r': cast([] as int[])}}, list({{'s': [y], 'r': cast([] as int[])}} order by line_no)),
+ lambda a, x: {{'s': case when list_contains({_NEAR}, true) then a.s else list_append(a.s, x.s[1]) end, 'r': list_append(a.r, cast(case when list_contains({_NEAR}, true) then list_position({_NEAR}, true) - 1 else len(a.s) end as int))}}).r as r from lines_ group by 1, 2),
+row_ as (select doc, id, cast(unnest(range(len(r))) as int) as line_no, unnest(r) as "row" from fold)"""
 
 
-@query(f"with recursive {BLOCKS_SQL}, {LINES}, {_ROWS} select * from row_")
+@query(f"with {BLOCKS_SQL}, {LINES}, {_ROWS} select * from row_")
 def q_row_cluster(spark, sf_dir):
     return columns.row_clusters(lines(read_blocks(spark, sf_dir)))
 
@@ -173,13 +174,13 @@ def q_row_cluster(spark, sf_dir):
 _GAP = 'gap as (select distinct doc, id from (select l.doc, l.id, x1, lead(x0) over (partition by l.doc, l.id, r."row" order by x0, l.line_no) as nx from lines_ l join row_ r on l.doc = r.doc and l.id = r.id and l.line_no = r.line_no) where nx - x1 > 2)'
 
 
-@query(f"with recursive {BLOCKS_SQL}, {LINES}, {_ROWS}, {_GAP} select * from gap")
+@query(f"with {BLOCKS_SQL}, {LINES}, {_ROWS}, {_GAP} select * from gap")
 def q_column_merge(spark, sf_dir):
     ls = lines(read_blocks(spark, sf_dir))
     return columns.merged_columns(ls, columns.row_clusters(ls))
 
 
-@query(f"""with recursive {BLOCKS_SQL}, {LINES}, {_ROWS}, {_GAP}, tr as (select doc, id, list(case when line_no % 4 = 1 then '' else 'T' || text end order by line_no) as parts, count(*) as n from lines_ where doc % 9 > 0 or line_no > 0 group by 1, 2),
+@query(f"""with {BLOCKS_SQL}, {LINES}, {_ROWS}, {_GAP}, tr as (select doc, id, list(case when line_no % 4 = 1 then '' else 'T' || text end order by line_no) as parts, count(*) as n from lines_ where doc % 9 > 0 or line_no > 0 group by 1, 2),
 sz as (select doc, id, count(*) as m from lines_ group by 1, 2)
 select l.doc, l.id || '#' || l.line_no as id, l.id as parent_id, l.line_no, l.text, nullif(parts[l.line_no + 1], '') as zh from lines_ l join gap g on l.doc = g.doc and l.id = g.id join sz on sz.doc = l.doc and sz.id = l.id join tr on tr.doc = l.doc and tr.id = l.id and tr.n = sz.m where m >= 2""")
 def q_pseudo_blocks(spark, sf_dir):

@@ -50,10 +50,11 @@ def q_balance_check(spark, sf_dir):
     return profile.operator_balance(rows, "<(?:div|p)[ >]", "</(?:div|p)>")
 
 
-_SUSPECT = {"é": "e", "ñ": "n", "ü": "u", "ß": "ss", "ç": "c"}
+# some of them mean something inside a character class
+_SUSPECT = {"é": "e", "ñ": "n", "^": "up", "ß": "ss", "]": "right", "-": "dash", "ç": "c"}
 
 
-@query("with c as (select unnest(regexp_extract_all(text, '[éñüßç]')) as ch from documents) select ch, count(*) as n, case ch when 'é' then 'e' when 'ñ' then 'n' when 'ü' then 'u' when 'ß' then 'ss' else 'c' end as stands_for from c group by 1")
+@query("with c as (select unnest(regexp_extract_all(text, '[éñ^ßç\\]-]')) as ch from documents) select ch, count(*) as n, case ch when 'é' then 'e' when 'ñ' then 'n' when '^' then 'up' when 'ß' then 'ss' when ']' then 'right' when '-' then 'dash' else 'c' end as stands_for from c group by 1")
 def q_ligature_audit(spark, sf_dir):
     return profile.character_audit(table(spark, sf_dir, "documents"), _SUSPECT)
 
@@ -114,12 +115,11 @@ def q_page_pick(spark, sf_dir):
     return qa.page_pick(_scores(spark, sf_dir), 4)
 
 
-@query("""with w as (select regexp_extract_all(lower(text), '[a-z]+') as w from documents where lang = 'en'), g as (select unnest([2, 3, 4]) as size, w from w where len(w) >= 4),
+@query("""with w as (select regexp_extract_all(lower(text), '\\pL+') as w from documents), g as (select unnest([2, 3, 4]) as size, w from w),
 e as (select size, array_to_string(list_slice(w, i, i + size - 1), ' ') as gram from (select size, w, unnest(range(1, len(w) - size + 2)) as i from g))
 select cast(size as int) as size, gram, count(*) as n from e where not regexp_matches(gram, '^(?:the|of) | (?:the|of)$') group by 1, 2 having count(*) >= 20""")
 def q_ngrams(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
-    return terms.ngrams(docs, stop=("the", "of"), least=20)
+    return terms.ngrams(table(spark, sf_dir, "documents"), stop=("the", "of"), least=20)
 
 
 @query(f"with {BLOCKS_SQL}, a as (select doc, page, ord, text, unnest(list_filter(regexp_extract_all(regexp_replace(text, '[^\\pL0-9_]+', ' ', 'g'), '[\\pL0-9_]+'), lambda x: regexp_full_match(x, '[A-Z]{{2,}}[0-9]*'))) as acronym from blocks) select doc, acronym, count(*) as n, min_by(page, ord) as page, min(ord) as ord, min_by(left(text, 40), ord) as sample from a where acronym not in ('THE') group by 1, 2")
@@ -142,12 +142,16 @@ def q_domain_vote(spark, sf_dir):
     return terms.domain_vote(docs, {"de": [(" der ", 2), (" und ", 3)], "en": [(" the ", 2)], "fr": [(" de ", 2)]})
 
 
-LOG = "log as (select source as doc, left(split_part(text, ' ', 1), 4) as term, split_part(text, ' ', 2) as zh, doc_id as seq, doc_id % 2 as lane from documents where length(text) > 20)"
+# a text as a log: every word, cut short, with the word behind it as its translation
+LOG = """pair as (select source, doc_id, ws, unnest(range(1, len(ws))) as i from (select source, doc_id, string_split(text, ' ') as ws from documents where text is not null)),
+log as (select source as doc, left(ws[i], 4) as term, ws[i + 1] as zh, doc_id * 100000 + i as seq, doc_id % 2 as lane from pair)"""
 
 
 def log(spark, sf_dir):
-    part = lambda i: F.split_part("text", F.lit(" "), F.lit(i))
-    return table(spark, sf_dir, "documents").where("length(text) > 20").select(F.col("source").alias("doc"), F.left(part(1), F.lit(4)).alias("term"), part(2).alias("zh"), F.col("doc_id").alias("seq"), (F.col("doc_id") % 2).alias("lane"))
+    ws = F.split("text", " ", -1)
+    pair = F.explode(F.transform(F.arrays_zip(ws.alias("a"), F.slice(ws, F.lit(2), F.size(ws)).alias("b")), lambda x, i: F.struct(x["a"].alias("a"), x["b"].alias("b"), (i + 1).alias("i"))))
+    rows = table(spark, sf_dir, "documents").where("text is not null").select("source", "doc_id", pair.alias("x")).where("x.b is not null")
+    return rows.select(F.col("source").alias("doc"), F.left("x.a", F.lit(4)).alias("term"), F.col("x.b").alias("zh"), (F.col("doc_id") * 100_000 + F.col("x.i")).alias("seq"), (F.col("doc_id") % 2).alias("lane"))
 
 
 @query(f"with {LOG} select doc, term, min_by(zh, seq) as first, count(distinct zh) as n_variants from log group by 1, 2 having count(distinct zh) > 1")
@@ -187,9 +191,9 @@ def q_glossary_merge(spark, sf_dir):
     return terms.merge_glossary(g.where("n < 12"), g.where("n >= 3"))
 
 
-@query(f"with {GLOSS}, r as (select *, row_number() over (partition by industry order by n desc, term) as r from gl where source_rank <> 1) select industry, avg(case when tier = 'verified' then 1.0 else 0.0 end) as share, avg(case when tier = 'verified' then 1.0 else 0.0 end) >= 0.7 as passed from r where r <= 5 group by 1")
+@query(f"with {GLOSS}, r as (select *, row_number() over (partition by industry order by n desc, term) as r from gl) select industry, avg(case when tier = 'verified' then 1.0 else 0.0 end) as share, avg(case when tier = 'verified' then 1.0 else 0.0 end) >= 0.7 as passed from r where r <= 5 group by 1")
 def q_verified_share(spark, sf_dir):
-    return terms.verified_share(glossary(spark, sf_dir).where("source_rank <> 1"), top=5)
+    return terms.verified_share(glossary(spark, sf_dir), top=5)
 
 
 @query(f"with {BLOCKS_SQL} select doc, id, 'en' as variant from blocks where contains(replace(replace(text, 'ten', ''), 'ment', ''), 'en') union all select doc, id, 'xy' from blocks where contains(text, 'xy')")
@@ -203,11 +207,15 @@ def q_modal_verbs(spark, sf_dir):
     return terms.modal_counts(rows, {"the": "of", "is": "it"})
 
 
-@query(f"""with {BLOCKS_SQL}, h as (select *, coalesce(max(case when regexp_matches(text, '(^|[^\\pL0-9_])MIT([^\\pL0-9_]|$)') then 1 end) over (partition by doc order by ord rows between unbounded preceding and 1 preceding), 0) = 1 as seen from blocks)
-select doc, ord, case when not seen and regexp_matches(text, '(^|[^\\pL0-9_])MIT([^\\pL0-9_]|$)') then regexp_replace(text, '^(.*?(?:^|[^\\pL0-9_]))MIT([^\\pL0-9_]|$)', '\\1Institute (MIT)\\2') else text end as text from h where contains(text, 'MIT')""")
+# the abbreviation stands on the second line of every third block
+_HAS = "regexp_matches(text, '(^|[^\\pL0-9_])MIT([^\\pL0-9_]|$)')"
+
+
+@query(f"""with {BLOCKS_SQL}, t as (select doc, ord, case when ord % 3 = 2 then 'A line' || chr(10) || text else text end as text from blocks), h as (select *, coalesce(max(case when {_HAS} then 1 end) over (partition by doc order by ord rows between unbounded preceding and 1 preceding), 0) = 1 as seen from t)
+select doc, ord, case when not seen and {_HAS} then regexp_replace(text, '(?s)^(.*?(?:^|[^\\pL0-9_]))MIT([^\\pL0-9_]|$)', '\\1$1 \\\\ Institute (MIT)\\2') else text end as text from h where contains(text, 'MIT')""")
 def q_first_expansion(spark, sf_dir):
-    rows = read_blocks(spark, sf_dir).select("doc", "ord", "text")
-    return terms.expand_first(rows, {"MIT": "Institute"}).where(F.col("text").contains("MIT"))
+    rows = read_blocks(spark, sf_dir).select("doc", "ord", F.when(F.col("ord") % 3 == 2, F.concat(F.lit("A line\n"), "text")).otherwise(F.col("text")).alias("text"))
+    return terms.expand_first(rows, {"MIT": "$1 \\ Institute"}).where(F.col("text").contains("MIT"))
 
 
 RUNS = "runs as (select conv_id as doc, turn as ord, text, case when turn % 3 = 0 then 'a' else 'b' end as style from conversations)"
@@ -255,11 +263,15 @@ def q_notice_box(spark, sf_dir):
     return layout.notice_box(docs, "Notice", "Unofficial translation.")
 
 
-@query("""with f as (select doc_id as doc, string_split('# T `x` [a](u)' || chr(10) || 'see https://e.x/' || doc_id || ' now', chr(10)) as ls from documents)
-select doc, cast(unnest([0, 1]) as int) as ord, unnest(['# T ⟦K0⟧ [a]⟦K1⟧', 'see ⟦K0⟧ now']) as text, unnest(ls) as back from f""")
+_PROTECTED = "`[^`\\n]+`|https?://[^\\s)>]+|\\{#[^}]*\\}"
+
+
+@query(f"""with f as (select doc_id as doc, list_prepend('# T `x` [a](u)', list_filter(string_split(coalesce(text, '') || chr(10) || 'see https://e.x/' || doc_id || ' now', chr(10)), lambda x: trim(x) <> '')) as ls from documents),
+l as (select doc, cast(unnest(range(len(ls))) as int) as ord, unnest(ls) as back from f)
+select doc, ord, case when ord = 0 then '# T ⟦K0⟧ [a]⟦K1⟧' else array_to_string(list_transform(string_split_regex(back, '{_PROTECTED}'), lambda p, i: case when i = 1 then p else '⟦K' || (i - 2) || '⟧' || p end), '') end as text, back from l""")
 def q_markdown_segments(spark, sf_dir):
-    k = F.col("doc_id").cast("string")
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.concat(F.lit("# T `x` [a](u)\n```\ncode https://no\n```\nsee https://e.x/"), k, F.lit(" now\n")).alias("md"))
+    md = F.concat(F.lit("# T `x` [a](u)\n```\ncode https://no\n```\n"), F.coalesce("text", F.lit("")), F.lit("\nsee https://e.x/"), F.col("doc_id").cast("string"), F.lit(" now"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), md.alias("md"))
     rows = markdown.segments(docs, "doc", "md")
     return rows.select("doc", "ord", "text", markdown.unmasked(F.col("text"), F.col("kept")).alias("back"))
 
@@ -284,9 +296,9 @@ def q_zip_by_place(spark, sf_dir):
     return columns.zipped_by_place(rows, other)
 
 
-@query(f"with {BLOCKS_SQL} select doc, id, [y0 + 1.5, y1 - 2.0][1] as first_y, y0 - 2.0 as y0, y1 + 1.5 as y1 from blocks where ord = 0")
+@query(f"with {BLOCKS_SQL} select doc, id, [y0 + 1.5, y1 - 2.0][1] as first_y, y0 - 2.0 as y0, y1 + 1.5 as y1 from blocks")
 def q_line_shift(spark, sf_dir):
-    rows = read_blocks(spark, sf_dir).where("ord = 0")
+    rows = read_blocks(spark, sf_dir)
     moved = overlay.shift_lines(F.array("y0", "y1"), F.array(F.lit(1.5), F.lit(-2.0), F.lit(9.0)), F.col("y0"), F.col("y1"))
     return rows.select("doc", "id", moved.alias("m")).select("doc", "id", F.element_at("m.ys", 1).alias("first_y"), "m.y0", "m.y1")
 
@@ -306,7 +318,7 @@ def q_drop_blocks(spark, sf_dir):
     return overlay.drop_blocks(rows, rows.where("ord % 7 = 3"), ("Released",)).select("doc", "id")
 
 
-@query("select page_id % 5 as page, a.page_id as doc_a, b.page_id as doc_b from (select page_id from pages where page_id < 40) a join (select page_id as page_id from pages where page_id < 20) b using (page_id)".replace("page_id % 5 as page, a.page_id as doc_a, b.page_id as doc_b", "a.page_id as page, 'src' as doc_a, 'out' as doc_b").replace("using (page_id)", "on a.page_id = b.page_id"))
+@query("select a.page_id as page, 'src' as doc_a, 'out' as doc_b from pages a join pages b on a.page_id = b.page_id")
 def q_side_by_side(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select(F.col("page_id").alias("page"))
-    return qa.side_by_side(p.where("page < 40").withColumn("doc", F.lit("src")), p.where("page < 20").withColumn("doc", F.lit("out")))
+    return qa.side_by_side(p.withColumn("doc", F.lit("src")), p.withColumn("doc", F.lit("out")))

@@ -161,13 +161,23 @@ def q_names_and_units(spark, sf_dir):
     return rows.select("doc_id", T.base_name(F.col("x.p")).alias("base"), label.alias("label"), T.doc_of_label(label).alias("doc"), color["b"].alias("blue"), color["g"].alias("green"), crop["x0"].alias("crop_x0"))
 
 
-@query("""select k, out from (values ('lig', 'offiti(x)'), ('mix', '第 3 册 ABC，好'), ('word', 'the must shallow'), ('order', 'b' || chr(10) || 'a'), ('mask', 'a#b#')) as t(k, out)""")
-def q_text_fixtures(spark, sf_dir):
-    """Ligatures, CJK spacing, whole words, line order and digit masks on fixed texts."""
-    one = spark.range(1)
-    made = {"lig": T.normalise_ligatures(F.lit("oﬃƟðxÞ")), "mix": T.cjk_spacing(F.lit("第3册ABC，好")), "word": T.replace_words(F.lit("the shall shallow"), {"shall": "must"}),
-            "order": T.permute_lines(F.lit("a\nb"), F.array(F.lit(1), F.lit(0))), "mask": T.digit_mask(F.lit("a1b22"))}
-    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("out")) for k, v in made.items()])).alias("x")).select("x.*")
+_LIG = "replace(replace(text, 'fi', 'ﬁ'), 'ti', 'Ɵ')"
+for _bad, _good in T.LIGATURES.items():
+    _LIG = f"replace({_LIG}, '{_bad}', '{_good}')"
+_MIX = r"regexp_replace(regexp_replace(replace(text, 'e', '好'), '([一-鿿])([A-Za-z0-9])', '\1 \2', 'g'), '([A-Za-z0-9])([一-鿿])', '\1 \2', 'g')"
+for _half, _full in ((",", "，"), (";", "；"), (":", "："), ("!", "！"), (r"\?", "？")):
+    _MIX = rf"regexp_replace({_MIX}, '([一-鿿]){_half}', '\1{_full}', 'g')"
+_WORD = "text"
+for _word, _to in (("the", r"d\\$"), ("the", r"d\\$"), ("la", "die"), ("la", "die")):  # twice: a border belongs to one match alone
+    _WORD = rf"regexp_replace({_WORD}, '(^|[^\pL0-9_]){_word}([^\pL0-9_]|$)', '\1{_to}\2', 'g')"
+
+
+@query(f"with {BLOCKS_SQL} select doc, ord, {_LIG} as lig, {_MIX} as mix, {_WORD} as word, regexp_replace(text, '[0-9]+', '#', 'g') as mask from blocks")
+def q_text_rewrites(spark, sf_dir):
+    """Ligatures, CJK spacing, whole words and digit masks of every block."""
+    c = F.col("text")
+    lig = T.normalise_ligatures(F.replace(F.replace(c, F.lit("fi"), F.lit("ﬁ")), F.lit("ti"), F.lit("Ɵ")))
+    return read_blocks(spark, sf_dir).select("doc", "ord", lig.alias("lig"), T.cjk_spacing(F.replace(c, F.lit("e"), F.lit("好"))).alias("mix"), T.replace_words(c, {"the": "d\\$", "la": "die"}).alias("word"), T.digit_mask(c).alias("mask"))
 
 
 @query(f"with {BLOCKS_SQL} select doc, ord, list_sort(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*')) = list_sort(regexp_extract_all(case when ord % 7 = 0 then regexp_replace(text, '[0-9]', '') else text end, '[0-9]+(?:[.,][0-9]+)*')) as same_numbers from blocks where regexp_matches(text, '[0-9]')")

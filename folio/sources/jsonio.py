@@ -57,6 +57,37 @@ def write_chunks(items: DataFrame, path: str) -> None:
     items.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc").parquet(path)
 
 
+def write_extracts(blocks: DataFrame, path: str) -> None:
+    """One extract a document as a line of JSON, characters as they are."""
+    b = F.struct("ord", "id", "text", F.array("x0", "y0", "x1", "y1").alias("bbox"), *[c for c in ("size", "bold", "italic", "color", "align", "nlines", "line_ys", "line_x0s", "line_ws", "line_hs", "rot", "keep") if c in blocks.columns])
+    pages = blocks.groupBy("doc", "page").agg(F.array_sort(F.collect_list(b)).alias("blocks"))
+    docs = pages.groupBy("doc").agg(F.max("page").alias("npages"), F.array_sort(F.collect_list(F.struct("page", "blocks"))).alias("pages"))
+    docs.select(F.to_json(F.struct("doc", "npages", "pages")).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_recurring(spark: SparkSession, path: str) -> DataFrame:
+    """``doc, norm_key, template`` of a JSON document that maps documents to keys and templates."""
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,map<string,string>>").alias("m"))
+    return raw.select(F.explode("m").alias("doc", "t")).select("doc", F.explode("t").alias("norm_key", "template"))
+
+
+def write_recurring(table: DataFrame, path: str) -> None:
+    """A line of JSON a document, which ``read_recurring`` reads."""
+    per = table.groupBy("doc").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("norm_key", "template")))).alias("t"))
+    per.select(F.to_json(F.create_map(F.col("doc").cast("string"), "t")).alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+
+
+def write_layer(rows: DataFrame, path: str, layer: str) -> None:
+    """Translations ``doc, id, zh`` as the layer's own version: ``path/layer=...``; no other layer is touched."""
+    rows.select("doc", "id", "zh", F.lit(layer).alias("layer")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("layer").parquet(path)
+
+
+def read_layers(spark: SparkSession, path: str, order: list[str]) -> DataFrame:
+    """``doc, id, zh, priority`` of the layers that ``write_layer`` wrote, later names in ``order`` before earlier ones."""
+    rank = F.array_position(F.array(*map(F.lit, order)), F.col("layer")).cast("int")
+    return spark.read.parquet(path).where(F.col("layer").isin(*order)).select("doc", "id", "zh", rank.alias("priority"))
+
+
 def write_missing(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").csv(path, sep="\t", header=True)
 
@@ -74,7 +105,7 @@ def read_config(path: str) -> dict:
 
 
 def fix_tables(spark: SparkSession, fixes: dict) -> dict[str, DataFrame]:
-    """A fix registry as tables: ``overrides``, ``splits``, ``drops`` and ``shifts``."""
+    """A fix registry as tables: ``overrides``, ``splits``, ``drops``, ``prefixes`` and ``shifts``."""
     over, splits, drops, shifts = [], [], [], []
     for doc, x in fixes.items():
         for i, v in x.get("trans_overrides", {}).items():
@@ -86,4 +117,4 @@ def fix_tables(spark: SparkSession, fixes: dict) -> dict[str, DataFrame]:
         shifts += [(doc, i, [float(y) for y in v]) for i, v in x.get("lys_shift", {}).items()]
     make = spark.createDataFrame
     return {"overrides": make(over, "doc string, id string, set_to string, append string"), "splits": make(splits, "doc string, id string, line int, new_id string, size double, color int, dy double"),
-            "drops": make(drops, "doc string, id string"), "shifts": make(shifts, "doc string, id string, shift array<double>")}
+            "drops": make(drops, "doc string, id string"), "prefixes": make([(d, p) for d, x in fixes.items() for p in x.get("drop_prefixes", [])], "doc string, prefix string"), "shifts": make(shifts, "doc string, id string, shift array<double>")}

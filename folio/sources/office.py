@@ -8,7 +8,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 UNITS = "path string, part string, ord int, kind string, style_key string, text string"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+_M = "{http://schemas.openxmlformats.org/markup-compatibility/2006}"
 _A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 Unit = tuple[str, int, str, str, str]
@@ -27,6 +28,23 @@ def _parts(z: zipfile.ZipFile, pattern: str) -> list[str]:
     return sorted((n for n in z.namelist() if re.fullmatch(pattern, n)), key=lambda n: (re.sub(r"\d+", "", n), number(n)))
 
 
+def _walk(node: ElementTree.Element, skip: Callable[[ElementTree.Element], bool]) -> Iterator[ElementTree.Element]:
+    """A node and what is below it, in order, without skipped parts; of alternatives the fallback only where it is alone."""
+    yield node
+    alone = node.tag == f"{_M}AlternateContent" and node.find(f"{_M}Choice") is None
+    for child in node:
+        if not skip(child) and (alone or child.tag != f"{_M}Fallback"):
+            yield from _walk(child, skip)
+
+
+def _paragraph_runs(p: ElementTree.Element) -> Iterator[ElementTree.Element]:
+    """The runs of a paragraph, also those in links, insertions and controls; deleted text and nested paragraphs are not its own."""
+    skip = lambda x: x.tag in (f"{_W}p", f"{_W}del", f"{_W}moveFrom")
+    for x in _walk(p, skip):
+        if x.tag == f"{_W}r":
+            yield x
+
+
 def docx_units(data: bytes) -> Iterator[Unit]:
     """Runs of paragraphs, table cells, heads, feet and text boxes; the style key is the run's properties."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
@@ -35,8 +53,8 @@ def docx_units(data: bytes) -> Iterator[Unit]:
             in_table = {id(p) for t in root.iter(f"{_W}tbl") for p in t.iter(f"{_W}p")}
             in_box = {id(p) for t in root.iter(f"{_W}txbxContent") for p in t.iter(f"{_W}p")}
             kind = "header" if "header" in part else "footer" if "footer" in part else "note" if "notes" in part else ""
-            for n, p in enumerate(root.iter(f"{_W}p")):
-                for r in p.findall(f"{_W}r"):
+            for n, p in enumerate(x for x in _walk(root, lambda x: False) if x.tag == f"{_W}p"):
+                for r in _paragraph_runs(p):
                     if text := "".join(t.text or "" for t in r.findall(f"{_W}t")):
                         style = r.find(f"{_W}rPr")
                         key = "" if style is None else ElementTree.tostring(style, encoding="unicode")

@@ -1,7 +1,9 @@
 """Plug-in boundary for PDF: parsers and renderers are functions that run in tasks.
 
-A parser takes a file's bytes and yields span records; the engine groups them to lines and blocks.
-No parser ships with the engine.
+A parser takes a file's name and bytes and yields the records of one kind (``RECORDS``); the
+engine does the rest.  Files are read as binary rows, so a file is the unit of work and of
+recovery.  No parser ships with the engine, and page images, metadata and bookmarks stay with the
+renderer.
 """
 
 from __future__ import annotations
@@ -9,27 +11,47 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
 from ..functions import text as T
 from ..operators import columns, recurring
 
-SPANS = "doc string, page int, block int, line int, ord int, x0 double, y0 double, x1 double, y1 double, dx double, dy double, size double, flags int, color int, font string, text string"
+_BOX = "x0 double, y0 double, x1 double, y1 double"
+SPANS = f"doc string, page int, block int, line int, ord int, {_BOX}, dx double, dy double, size double, flags int, color int, font string, text string"
+#: What a parser may yield, by kind: text spans, table cells, fonts, page boxes, content streams, counts of drawings and images.
+RECORDS = {
+    "spans": SPANS,
+    "cells": f"doc string, page int, table_no int, row_no int, cell_no int, {_BOX}, cols int",
+    "fonts": "doc string, page int, ftype string, name string",
+    "boxes": "doc string, page int, " + ", ".join(f"{k}_{c} double" for k in ("media", "crop") for c in ("x0", "y0", "x1", "y1")) + ", rotation int",
+    "streams": "doc string, page int, text string",
+    "marks": "doc string, page int, drawings int, images int, short_lines int",
+}
 Parser = Callable[[str, bytes], Iterable[tuple]]
 
 
-def read_spans(spark: SparkSession, path: str, parser: Parser) -> DataFrame:
-    """Spans of every file under ``path``, parsed file by file in tasks."""
-    names = [x.split()[0] for x in SPANS.split(", ")]
+def read_records(spark: SparkSession, path: str, kind: str, parser: Parser) -> DataFrame:
+    """Records of one kind of every file under ``path``, parsed file by file in tasks."""
+    names = [x.split()[0] for x in RECORDS[kind].split(", ")]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             for name, data in zip(p.path, p.content, strict=True):
-                yield pd.DataFrame(list(parser(name, bytes(data))), columns=names)
+                rows = [tuple(x.decode("latin-1") if isinstance(x, bytes) else x for x in r) for r in parser(name, bytes(data))]
+                yield pd.DataFrame(rows, columns=names)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, RECORDS[kind])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, SPANS)
+
+def read_spans(spark: SparkSession, path: str, parser: Parser) -> DataFrame:
+    return read_records(spark, path, "spans", parser)
+
+
+def tables_of(cells: DataFrame) -> DataFrame:
+    """``doc, page, table_no, x0, x1, y1, cols`` of each table: what decides whether it goes on over the page."""
+    return cells.groupBy("doc", "page", "table_no").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.max("cols").alias("cols"))
 
 
 def spans_to_blocks(spans: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
@@ -47,8 +69,6 @@ def spans_to_blocks(spans: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     color = recurring.first_seen_mode(seen, key, "color", "seen").drop("n")
     style = rows.groupBy(*key).agg(*[(F.count_if(F.col("flags").bitwiseAND(bit) > 0) * 2 > F.count(place)).alias(n) for n, bit in (("bold", 16), ("italic", 2))])
     out = block.join(size, key).join(color, key).join(style, key).join(columns.alignment(line, key, cfg), key)
-    from pyspark.sql import Window
-
     nth = F.row_number().over(Window.partitionBy("doc", "page").orderBy("block")) - 1
     return out.select("doc", "page", F.col("block").alias("ord"), F.concat(F.lit("p"), F.col("page").cast("string"), F.lit("b"), nth.cast("string")).alias("id"), "text", "x0", "y0", "x1", "y1", "size", "bold", "italic", "color", "align", "nlines", "line_ys", "line_x0s", columns.rotation(F.col("dirs")).alias("rot"), T.is_kept(F.col("text"), cfg).alias("keep"))
 

@@ -1,6 +1,7 @@
 """Hand-derived cases for single operators."""
 
 import io
+import random
 import zipfile
 
 import pytest
@@ -128,8 +129,18 @@ def test_line_shift(spark):
     assert (got.ys, got.y0, got.y1) == ([10.0, 10.0], -2.0, 30.0)
 
 
-def test_seeds_are_not_transitive(spark):
-    assert one(spark, columns.seeds(F.array(*[F.lit(float(y)) for y in (10, 12, 14, 10.5, 16.4)]))) == [10.0, 14.0]
+def test_seeds_are_not_transitive():
+    assert columns.first_fit([10, 12, 14, 10.5, 16.4]) == [0, 0, 1, 0, 1]
+    rng = random.Random(2)
+    for _ in range(50):
+        ys, seeds, want = [rng.choice([rng.uniform(0, 60), rng.randint(0, 24) * 2.5]) for _ in range(80)], [], []
+        for y in ys:
+            near = [i for i, s in enumerate(seeds) if abs(s - y) <= 2.5]
+            if not near:
+                near = [len(seeds)]
+                seeds.append(y)
+            want.append(near[0])
+        assert columns.first_fit(ys) == want
 
 
 @pytest.mark.parametrize(("x", "want"), [(52.5, 1), (51.5, 0)])
@@ -276,8 +287,8 @@ def test_translation_files(spark, tmp_path):
 
 
 def test_fix_registry(spark):
-    t = jsonio.fix_tables(spark, {"d": {"trans_overrides": {"a": "x", "b": {"append": "y"}}, "drop_ids": ["c"], "line_splits": {"e": {"line": 0, "new_id": "n"}}, "lys_shift": {"f": [1, 2]}}})
-    assert {k: v.count() for k, v in t.items()} == {"overrides": 2, "splits": 1, "drops": 1, "shifts": 1}
+    t = jsonio.fix_tables(spark, {"d": {"trans_overrides": {"a": "x", "b": {"append": "y"}}, "drop_ids": ["c"], "drop_prefixes": ["p", "q"], "line_splits": {"e": {"line": 0, "new_id": "n"}}, "lys_shift": {"f": [1, 2]}}})
+    assert {k: v.count() for k, v in t.items()} == {"overrides": 2, "splits": 1, "drops": 1, "prefixes": 2, "shifts": 1}
 
 
 def test_layout_metric_is_one(spark):
