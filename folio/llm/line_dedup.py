@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .store import keyed, row_key, saved
+from .store import discard, keyed, row_key, saved
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANK = " \t\n\x0b\x0c\r"
@@ -114,9 +114,11 @@ def dropped_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_
 
     ``keep_first``: the first line of each such key, by document and position, stays.
     """
-    lines = line_keys(keyed(docs, id_col, text_col), min_chars)
+    # dealing by range reads its rows twice, so the lines are split once and kept as hashes
+    lines = saved(line_keys(keyed(docs, id_col, text_col), min_chars), "line-keys")
     dealt = lines.repartitionByRange("h1", "h2", "k1", "k2", "pos").sortWithinPartitions("h1", "h2", "k1", "k2", "pos")
     runs = saved(dealt.mapInArrow(_stream(min_docs), _RUNS), "line-runs")
+    discard(lines)
     open_ = runs.where(F.col("kind") == OPEN)
     # at most two short runs a partition are open, so this aggregate and join are small
     settled = (
