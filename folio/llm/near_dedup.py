@@ -295,14 +295,14 @@ class _Join:
         texts = keyed(*self.docs).join(row, ["k1", "k2"]).select("n1", "n2", "text").dropDuplicates(["n1", "n2"])
         self.texts = saved(texts, "near-texts")
 
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Of candidates ``a, b`` (first halves of node names) the linked ones, as whole names."""
+    def confirmed(self, pairs: DataFrame, most: int) -> DataFrame:
+        """Of candidates ``a, b`` (first halves of node names), ``most`` of them at most, the linked ones, as whole names."""
         ends = self.nodes.select("n1", "n2", "n_shingles", "sig")
         side = lambda x: ends.select(F.col("n1").alias(x), F.struct("n1", "n2").alias(f"k{x}"), F.col("n_shingles").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
         p = self.percent
         near = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {p} * greatest(n_a, n_b)")
         near = near.select("ka", "kb", "sig_a", "sig_b").mapInArrow(B.bounded(_close(reach(p)[0])), "ka struct<n1:long,n2:long>, kb struct<n1:long,n2:long>")
-        near = saved(near, "near-pairs")
+        near = saved(near, "near-pairs", most)
         # a text in very many pairs is lent in several parts
         busy = near.select(F.explode(F.array("ka", "kb")).alias("k")).groupBy("k").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("parts")).where("parts > 1")
         busy = saved(busy, "near-busy", 1)
@@ -370,7 +370,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, id_col
     join.lend_texts(members)
     ends = F.explode(F.array("lo", "hi"))
     stars = members.select("n1", ends.alias("c")).where("n1 <> c").select(F.least("n1", "c").alias("a"), F.greatest("n1", "c").alias("b")).distinct()
-    labels = components(join.confirmed(stars))
+    labels = components(join.confirmed(stars, 2 * members.count()))
     more = _links_between(members, join, labels)
     if not more.isEmpty():
         labels = _classes(labels, more)
