@@ -24,7 +24,7 @@ def test_stages(spark, sf):
             want = {r[0]: r[3] for r in brute.lines(pairs)}
             assert all(brute.sha(r.text) == want[i] and r.n_chars == len(r.text) for i, r in after.items())
         elif name == "near_dedup":
-            assert set(after) == {i for i, (_, c) in brute.components(pairs).items() if i == c}
+            assert set(after) == {i for i, (_, c) in brute.components(pairs, corpus_pipeline.NEAR_PERCENT).items() if i == c}
         elif name == "decontamination":
             assert set(after) == {r[0] for r in brute.contamination(pairs, items) if not r[5]}
         else:
