@@ -49,6 +49,18 @@ class EngineConfig:
     paragraph_line_share: float = 0.82
     paragraph_share: float = 0.70
     page_suppression: int = 2
+    # fixed values: sizes and line heights of a layout, as shares of the font size or in points
+    size_min: float = 4.6
+    size_share: float = 0.55
+    one_line_chars: int = 60
+    one_line_size: float = 4.7
+    one_line_share: float = 0.78
+    wide_block: float = 300.0
+    narrow_block: float = 60.0
+    single_line_height: float = 1.30
+    line_height_min: float = 1.22
+    line_height_max: float = 1.45
+    line_height_table: float = 2.2
     sample_text: int = 40
     sample_streams: int = 30
     sample_characters: int = 60

@@ -96,7 +96,7 @@ class Engine:
     def draw(self, blocks: DataFrame, actions: DataFrame) -> DataFrame:
         """Draw commands of the blocks to be drawn."""
         text = actions.where("action in ('DRAW', 'VERBATIM')").select("doc", "id", "zh")
-        return layout.draw_ops(layout.plan_lines(blocks.join(text, ["doc", "id"])))
+        return layout.draw_ops(layout.plan_lines(blocks.join(text, ["doc", "id"]), self.cfg))
 
     def check(self, spans: DataFrame, allow: tuple[str, ...] = ()) -> DataFrame:
         return qa.summary(spans, allow, cfg=self.cfg)

@@ -247,12 +247,32 @@ def q_text_width(spark, sf_dir):
     return read_blocks(spark, sf_dir).select("doc", "ord", F.round(layout.text_width_sql(F.col("text"), F.col("size")), 3).alias("w"), layout.grown_box(F.col("x0"), F.col("x1"), F.col("y1"), F.col("text"), F.col("size"), F.lit(1)).alias("y1"))
 
 
+_UNITS = "list_sum(list_transform(string_split(t, ''), lambda c: case when regexp_matches(c, '[\\x{2E80}-\\x{9FFF}\\x{F900}-\\x{FAFF}\\x{FF00}-\\x{FF60}]') then 100 when contains('iljtf.,:;''|! ', c) then 28 when contains('mwMW@', c) then 85 when regexp_matches(c, '\\p{Lu}') then 68 else 52 end))"
+_MARKS = "regexp_extract(x[1], '^[，。、；：？！”’』」〉》】〕〕·…—–\\-．％‰℃°×]+')"
+
+
+@query(f"""with {BLOCKS_SQL}, tk as (select doc, ord, size, 60.0 + ord % 3 * 90 as room, regexp_extract_all({STRIPPED.format(t="case when ord % 4 = 1 then replace(text, ' t', '。t') else text end")}, '(?s)[A-Za-z0-9@./%°§\\[\\]()\\-+–—'':;,_^<>«»×·≥≤=≈]+|.') as ts from blocks),
+fold as (select doc, ord, list_reduce(list_prepend({{'l': cast([] as varchar[]), 'c': '', 'u': cast(0 as bigint), 'm': room * 100 / size}}, list_transform(ts, lambda t: {{'l': cast([] as varchar[]), 'c': t, 'u': cast({_UNITS} as bigint), 'm': room * 100 / size}})), lambda a, x:
+ {{'l': case when trim(a.c) <> '' and a.u + x.u > a.m then list_append(a.l, rtrim(a.c)) else a.l end,
+   'c': case when trim(a.c) <> '' and a.u + x.u > a.m then case when trim(x.c) = '' then '' else x.c end else a.c || x.c end,
+   'u': case when trim(a.c) <> '' and a.u + x.u > a.m then case when trim(x.c) = '' then 0 else x.u end else a.u + x.u end, 'm': a.m}}) as f from tk),
+li as (select doc, ord, list_append(f.l, rtrim(f.c)) as ls from fold),
+mv as (select doc, ord, list_reduce(list_transform(ls, lambda t: [t]), lambda a, x: case when {_MARKS} <> '' and a[-1] <> '' then list_concat(a[1:len(a) - 1], [a[-1] || {_MARKS}, substr(x[1], length({_MARKS}) + 1)]) else list_append(a, x[1]) end) as ls from li)
+select doc, ord, cast(len(ls) as int) as n_lines, array_to_string(ls, '|') as lines from mv""")
+def q_wrap(spark, sf_dir):
+    """Every block wrapped into a narrow or wide column, some with marks that may not begin a line."""
+    text = F.when(F.col("ord") % 4 == 1, F.replace("text", F.lit(" t"), F.lit("。t"))).otherwise(F.col("text"))
+    rows = read_blocks(spark, sf_dir).select("doc", "ord", text.alias("text"), "size", (F.col("ord") % 3 * 90 + 60.0).alias("room"))
+    return layout.wrap_lines(rows, ["doc", "ord"]).select("doc", "ord", F.size("lines").alias("n_lines"), F.array_join("lines", "|").alias("lines"))
+
+
 @query(None)
 def q_draw_ops(spark, sf_dir):
-    """Every block laid out; wrapping has no SQL, tests compare with fixtures."""
+    """Every block laid out, some as contents lines; fitting and placing have no SQL, tests compare with fixtures."""
     rows = read_blocks(spark, sf_dir)
     k = F.col("ord") % 3
-    full = rows.select("doc", "page", "id", F.col("text").alias("zh"), "x0", "y0", "x1", (F.col("y0") + 160).alias("y1"), "size", (F.col("ord") % 5 + 1).cast("int").alias("nlines"), "bold", F.lit(0xFF8000).alias("color"), F.when(k == 0, "l").when(k == 1, "c").otherwise("r").alias("align"),
+    zh = F.when(F.col("ord") % 16 == 5, F.concat(F.left("text", F.lit(30)), F.lit(" ⟦P"), F.col("page").cast("string"), F.lit("⟧"))).otherwise(F.col("text"))
+    full = rows.select("doc", "page", "id", zh.alias("zh"), "x0", "y0", "x1", (F.col("y0") + 160).alias("y1"), "size", (F.col("ord") % 5 + 1).cast("int").alias("nlines"), "bold", F.lit(0xFF8000).alias("color"), F.when(k == 0, "l").when(k == 1, "c").otherwise("r").alias("align"),
                        F.transform(F.sequence(F.lit(0), F.col("ord") % 5), lambda i: F.col("y0") + i * 30.0).alias("line_ys"), F.when(F.col("ord") % 16 == 12, 90).alias("rot"), F.array("x0").alias("line_x0s"), F.array(F.col("x1") - F.col("x0")).alias("line_ws"), F.array(F.lit(25.0)).alias("line_hs"))
     return layout.draw_ops(layout.plan_lines(full))
 
