@@ -12,17 +12,13 @@ def ngrams(texts: DataFrame, sizes: tuple[int, ...] = (2, 3, 4), stop: tuple[str
     """``size, gram, n``: runs of lower-case words that neither begin nor end with a stop word."""
     # behind the explode the words are a column, not an expression that every use repeats
     words = texts.select(F.explode(F.array(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("w"))
-    stops = F.array(*map(F.lit, stop)) if stop else F.array().cast("array<string>")
-
-    def runs(n: int) -> Column:
-        inner = lambda i: ~F.array_contains(stops, F.element_at("w", i)) & ~F.array_contains(stops, F.element_at("w", i + n - 1))
-        at = F.sequence(F.lit(1), F.size("w") - n + 1)
-        kept = F.filter(at, inner) if stop else at
-        found = F.transform(kept, lambda i: F.struct(F.lit(n).alias("size"), F.array_join(F.slice("w", i, n), " ").alias("gram")))
-        return F.when(F.size("w") >= n, found).otherwise(F.array().cast("array<struct<size:int,gram:string>>"))
-
-    rows = words.select(F.explode(F.flatten(F.array(*map(runs, sizes)))).alias("g")).select("g.size", "g.gram")
-    return rows.groupBy("size", "gram").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    # a row a word, with the words behind it beside it
+    ahead = [F.slice("w", F.lit(i + 1), F.greatest(F.size("w") - i, F.lit(0))).alias(f"w{i}") for i in range(max(sizes))]
+    rows = words.select(F.explode(F.arrays_zip(*ahead)).alias("z")).select("z.*")
+    fine = lambda i: ~F.col(f"w{i}").isin(*stop) if stop else F.lit(True)
+    gram = [F.struct(F.lit(n).alias("size"), F.when(F.col(f"w{n - 1}").isNotNull() & fine(0) & fine(n - 1), F.concat_ws(" ", *(f"w{i}" for i in range(n)))).alias("gram")) for n in sizes]
+    found = rows.select(F.explode(F.array(*gram)).alias("g")).select("g.size", "g.gram").where("gram is not null")
+    return found.groupBy("size", "gram").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
 def acronyms(blocks: DataFrame, stop: tuple[str, ...] = ()) -> DataFrame:
