@@ -201,7 +201,9 @@ def training_rows(docs: DataFrame, rows_per_label: int, max_chars: int, id_col:
     rows = docs.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col))
     rows = rows.select(F.col(label_col).alias("lang"), F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col)).alias("h"), F.greatest(F.length(text_col) - max_chars, F.lit(0)).alias("over"), *row_key(id_col, text_col))
     pick = Window.partitionBy("lang").orderBy("over", "h", "doc_id", "k2")
-    chosen = rows.withColumn("r", F.row_number().over(pick)).where((F.col("r") == 1) | (F.col("over") == 0) & (F.col("r") <= rows_per_label)).select("k1", "k2", "lang", "h").distinct()
+    # the plain bound comes first, so that each task passes on no more rows a label than that
+    first = rows.withColumn("r", F.row_number().over(pick)).where(F.col("r") <= rows_per_label)
+    chosen = first.where((F.col("r") == 1) | (F.col("over") == 0)).select("k1", "k2", "lang", "h").distinct()
     texts = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text"))
     # rows_per_label rows a label: small enough to be sent to every task
     return texts.join(F.broadcast(chosen), ["k1", "k2"]).dropDuplicates(["k1", "k2", "lang"]).select("h", "k2", "lang", "text")
