@@ -14,9 +14,12 @@ ROWS_PER_FILE = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where that is unset (tests, one machine) a temporary folder."""
+    """``spark.checkpoint.dir``; where that is unset and all runs in one process, as in tests, a temporary folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         path = "file://" + tempfile.mkdtemp(prefix="folio-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -8,7 +8,7 @@ import pytest
 from conftest import rows as odd_rows
 from pyspark.sql import functions as F
 
-from folio.llm import decontaminate, langid, line_dedup, near_dedup, packing, queries, secret_scan, substring_dedup, suffix_dedup
+from folio.llm import ann, decontaminate, langid, line_dedup, near_dedup, packing, queries, secret_scan, store, substring_dedup, suffix_dedup
 
 TEXTS = [(r[0], r[1]) for r in odd_rows()]
 key = lambda t: tuple((x is not None, x) for x in t)
@@ -97,7 +97,28 @@ def test_language(odd, none):
 def test_secrets(odd, none):
     path = queries.tokenizer_path("byte_bpe_50k.tiktoken")
     found = secret_scan.secret_spans(odd, path)
-    assert found.count() == len(TEXTS) and secret_scan.secret_spans(none, path).count() == 0
+    got = [(r.doc_id, *(sum(x.kind == k for x in r.spans) for k in secret_scan.KINDS[:3]), secret_scan.base_digest([x.asDict() for x in r.spans])) for r in found.collect()]
+    assert sorted(got, key=key) == sorted(brute.secrets(TEXTS), key=key)
+    assert secret_scan.secret_spans(none, path).count() == 0
+
+
+def test_neighbours_beside_other_columns(spark):
+    rows = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i)], "a", 1, None, 0.5) for i in range(60)], "vec_id long, embedding array<double>, tab string, bucket int, v string, score double")
+    found = ann.search(rows, rows.where("vec_id % 20 = 0"))
+    assert found.columns == ["query_id", "rank", "vec_id", "score"] and found.count() == 30
+    assert ann.search(rows.limit(0), rows).count() == ann.search(rows, rows.limit(0)).count() == 0
+
+
+def test_intermediate_tables_need_a_shared_folder():
+    class Session:
+        class conf:
+            set_ = {"spark.master": "spark://host:7077"}
+            get = staticmethod(lambda k, other=None: Session.conf.set_.get(k, other))
+
+    with pytest.raises(ValueError, match="shares"):
+        store.shared_dir(Session)
+    Session.conf.set_["spark.checkpoint.dir"] = "hdfs://host/tmp/"
+    assert store.shared_dir(Session) == "hdfs://host/tmp"
 
 
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
