@@ -179,6 +179,10 @@ _MARKS = "kh long, c1 long, c2 long, s int, e int"
 def _expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Ranges of repeated windows of each context; rows come sorted by anchor, and anchors are never split."""
 
+    def ranges(rows: list[tuple], own: list[int], start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
+        cols = [pa.array([rows[i][k] for i in own], pa.int64()) for k in range(3)]
+        return pa.RecordBatch.from_arrays([*cols, pa.array(start, pa.int32()), pa.array(stop, pa.int32())], names=["kh", "c1", "c2", "s", "e"])
+
     def settle(rows: list[tuple]) -> pa.RecordBatch:
         texts = [r[4] for r in rows]
         sizes = np.array([len(t) + 1 for t in texts])
@@ -192,19 +196,31 @@ def _expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edge = np.flatnonzero(np.diff(np.concatenate([[0], found.astype(np.int8), [0]])))
         start, stop = edge[0::2], edge[1::2]  # a run never passes a context's end, where no window starts
         own = np.searchsorted(begin, start, "right") - 1
-        cols = [pa.array([rows[i][k] for i in own.tolist()], pa.int64()) for k in range(3)]
-        return pa.RecordBatch.from_arrays([*cols, pa.array((start - begin[own]).astype(np.int32)), pa.array((stop - begin[own]).astype(np.int32))], names=["kh", "c1", "c2", "s", "e"])
+        return ranges(rows, own.tolist(), start - begin[own], stop - begin[own])
 
-    held: list[tuple] = []
-    size, last = 0, None
+    held: list[tuple] = []  # anchors with several contexts
+    group: list[tuple] = []  # contexts of the last anchor
+    size = 0
     for b in batches:
+        lone = []
         for r in zip(*(b.column(c).to_pylist() for c in ("kh", "c1", "c2", "n", "bytes")), strict=True):
-            if size >= BATCH_BYTES and r[0] != last:
+            if group and r[0] != group[0][0]:
+                if len(group) > 1:
+                    held += group
+                    size += sum(len(x[4]) for x in group)
+                elif group[0][3] > 1:
+                    lone.append(group[0])
+                group = []
+            group.append(r)
+            if size >= BATCH_BYTES:
                 yield settle(held)
                 held, size = [], 0
-            held.append(r)
-            size += len(r[4])
-            last = r[0]
+        # all windows of one context differ, and its anchor has no other: only its weight counts
+        yield ranges(lone, list(range(len(lone))), np.zeros(len(lone), np.int32), np.array([len(r[4]) - SIZE + 1 for r in lone], np.int32))
+    if len(group) > 1:
+        held += group
+    elif group and group[0][3] > 1:
+        yield ranges(group, [0], np.zeros(1, np.int32), np.array([len(group[0][4]) - SIZE + 1], np.int32))
     if held:
         yield settle(held)
 
