@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
 from ..functions import text as T
-from .recurring import first_seen_mode
 
 
 def stride_sample(pages: DataFrame, counts: DataFrame, k: int) -> DataFrame:
@@ -65,15 +64,17 @@ def watermarks(spans: DataFrame, hint: str | None = None, top: int = 10, share:
 
     Texts are grouped without their numbers; the commonest variant of a group is counted.
     """
-    n = F.length("text")
-    spans = spans.withColumn("text", T.strip(F.col("text")))
-    rows = spans.where((n > cfg.watermark_min_len) & (n < cfg.watermark_max_len)).withColumn("mask", T.digit_mask(F.col("text")))
-    modal = first_seen_mode(rows, ["doc", "mask"], "text", "ord")
-    pages = spans.groupBy("doc").agg(F.max("page").alias("all_pages"))
+    # one aggregate, first by page, carries all that is asked for; texts of other lengths only count pages
+    s = T.strip(F.col("text"))
+    rows = spans.select("doc", "page", "ord", s.alias("s")).select("doc", "page", "ord", F.when((F.length("s") > cfg.watermark_min_len) & (F.length("s") < cfg.watermark_max_len), F.col("s")).alias("text"))
+    by_page = rows.groupBy("doc", "text", "page").agg(F.count("*").alias("n"), F.min("ord").alias("seen"))
+    by_text = by_page.groupBy("doc", "text").agg(F.sum("n").alias("n"), F.count("*").alias("pages"), F.min("seen").alias("seen"), F.max("page").alias("last"))
+    pages = by_text.groupBy("doc").agg(F.max("last").alias("all_pages"))
+    best = F.max_by(F.struct("text", "n", "pages", "seen"), F.struct("n", -F.col("seen"))).alias("x")
+    modal = by_text.where("text is not null").groupBy("doc", T.digit_mask(F.col("text")).alias("mask")).agg(best).select("doc", "x.*").join(pages, "doc")
     share = cfg.watermark_share if share is None else share
-    modal = modal.join(pages, "doc").where((F.col("n") >= F.greatest(F.lit(cfg.watermark_min_count).cast("double"), F.col("all_pages") * share)) & F.col("text").rlike(hint or cfg.hint_pattern))
-    seen = rows.join(modal.select("doc", "text"), ["doc", "text"], "left_semi").groupBy("doc", "text").agg(F.count_distinct("page").alias("pages"), F.min("ord").alias("seen"))
-    out = modal.join(seen, ["doc", "text"]).select("doc", "text", F.col("n").alias("occurrences"), "pages", (F.col("n") / F.col("all_pages")).alias("frac"), "seen")
+    out = modal.where((F.col("n") >= F.greatest(F.lit(cfg.watermark_min_count).cast("double"), F.col("all_pages") * share)) & F.col("text").rlike(hint or cfg.hint_pattern))
+    out = out.select("doc", "text", F.col("n").alias("occurrences"), "pages", (F.col("n") / F.col("all_pages")).alias("frac"), "seen")
     from .validate import samples
 
     return samples(out, ["doc"], [F.desc("occurrences"), "seen"], top).drop("seen")
