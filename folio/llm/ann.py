@@ -102,10 +102,10 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.square(gap / scale[:, None]).sum(1)) * scale
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for at in range(0, b.num_rows, ROWS):
-            yield b.slice(at, ROWS)
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def _rounded(v: np.ndarray, unit: float) -> tuple[pa.Array, pa.Array]:
@@ -128,7 +128,7 @@ class _Index:
 
     def __init__(self, tables: int, depth: int, axes: int, d: int, unit: float, seed: int):
         self.tables, self.depth, self.seed, self.unit = tables, depth, seed, unit
-        self.below = (2 * width(d)) ** (depth - axes)
+        self.axes, self.below = 2 * width(d), (2 * width(d)) ** (depth - axes)
 
     def counted(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
@@ -146,8 +146,11 @@ class _Index:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), t, np.int32)), pa.array(bucket // self.below), pa.array(bucket), b.column("vec_id"), codes, step], names=["tab", "grp", "bucket", "vec_id", "codes", "step"])
 
     def probed(self, probes: int):
+        # a query weighs every pair of its best buckets so far and the next hash's axes
+        at_once = max(1, (1 << 22) // (min(probes, self.axes ** max(1, self.depth - 1)) * min(probes, self.axes)))
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in _slices(batches):
+            for b in _slices(batches, at_once):
                 v = _matrix(b.column("v"))
                 codes, step = _rounded(v, self.unit)
                 for t in range(self.tables):
