@@ -5,8 +5,8 @@
     chunk EXTRACTS OUT              extracts to chunk items and headers (Parquet) and a summary (JSON)
     canonical EXTRACTS OUT          recurring templates (Parquet, JSON), unanswered signatures (TSV), chunk items without what templates answer
     validate CHUNKS TRANS           exit code 1 unless every chunk passes
-    columns EXTRACTS TRANS OUT      column-merged blocks as blocks a line: the pseudo-block layer (Parquet)
-    build EXTRACTS TRANS OUT        actions, redactions and draw commands (Parquet); --fixes, --recurring, --drop
+    columns EXTRACTS TRANS OUT      column-merged blocks as blocks a line: new extracts (JSON) and their layer (Parquet)
+    build EXTRACTS TRANS OUT        actions, redactions and draw commands (Parquet); --layer, --fixes, --recurring, --drop
     qa SPANS                        a Parquet table of laid-out spans; exit code 1 unless every document passes
     coverage CELLS SOURCE TARGET    Parquet tables of cells and spans; exit code 1 unless every document passes
     pick MARKS OUT                  the pages to look at, by their marks (JSON)
@@ -26,6 +26,8 @@ from .plans.engine import Engine
 from .plans.shipping import ship_package
 from .sources import jsonio, pdf
 
+#: The name of the layer that holds translations of single lines.
+PSEUDO = "cZZ"
 PATHS = {"extract": 2, "profile": 2, "chunk": 2, "canonical": 2, "validate": 2, "columns": 3, "build": 3, "qa": 1, "coverage": 3, "pick": 2}
 
 
@@ -35,6 +37,7 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("paths", nargs="+")
     parser.add_argument("--allow", action="append", default=[], help="qa: pattern of texts that may cross the margin")
     parser.add_argument("--parser", help="extract: module:function that yields a file's spans")
+    parser.add_argument("--layer", help="build: the layer that columns wrote")
     parser.add_argument("--fixes", default="", help="build: JSON file of a project's fixes")
     parser.add_argument("--recurring", help="build: Parquet table of recurring templates")
     parser.add_argument("--drop", action="append", default=[], help="build: prefix of texts to drop")
@@ -96,7 +99,9 @@ def _columns(spark, engine, opts, extracts: str, trans: str, out: str) -> int:
     lines = lines.select("doc", "id", "line_no", F.col("line").alias("text"), at("line_ys", F.col("y0")).alias("y"), at("line_x0s", F.col("x0")).alias("x0"), (at("line_x0s", F.col("x0")) + at("line_ws", F.lit(0.0))).alias("x1"))
     merged = columns.merged_columns(lines, columns.row_clusters(lines, engine.cfg), engine.cfg)
     zh = _translations(spark, trans).groupBy("doc", "id").agg(F.max_by("zh", F.coalesce("chunk", F.lit(-1))).alias("zh"))
-    jsonio.write_layer(columns.pseudo_blocks(lines, merged, zh, blocks.where("rot is not null")).where("zh is not null"), out, "cZZ")
+    pseudo = columns.pseudo_blocks(lines, merged, zh, blocks.where("rot is not null"))
+    jsonio.write_layer(pseudo.where("zh is not null"), f"{out}/layer", PSEUDO)
+    jsonio.write_extracts(columns.split_blocks(blocks, pseudo), f"{out}/extracts")
     return 0
 
 
@@ -105,6 +110,8 @@ def _build(spark, engine, opts, extracts: str, trans: str, out: str) -> int:
     blocks = engine.prepare(jsonio.read_extracts(spark, extracts), fixes, tuple(opts.drop))
     layers = _translations(spark, trans).select("doc", "id", "zh", F.coalesce("chunk", F.lit(0)).alias("priority"))
     layers = layers.unionByName(jsonio.read_translations(spark, trans, pseudo=True).where("not bad and id is not null").select("doc", "id", "zh", F.lit(2**31 - 1).alias("priority")))
+    if opts.layer:
+        layers = layers.unionByName(jsonio.read_layers(spark, opts.layer, [PSEUDO]).withColumn("priority", F.lit(2**31 - 1)))
     table = spark.read.parquet(opts.recurring) if opts.recurring else spark.createDataFrame([], "doc string, norm_key string, template string")
     actions = engine.build(blocks, table, layers, fixes["overrides"], tuple(opts.drop))
     actions.write.mode("overwrite").parquet(f"{out}/actions")

@@ -100,6 +100,17 @@ def pseudo_blocks(lines: DataFrame, merged: DataFrame, translations: DataFrame,
     return rows.select("doc", F.concat("id", F.lit("#"), F.col("line_no").cast("string")).alias("id"), F.col("id").alias("parent_id"), "line_no", "text", zh.alias("zh"))
 
 
+def split_blocks(blocks: DataFrame, pseudo: DataFrame) -> DataFrame:
+    """``blocks`` with each block that ``pseudo`` names as a parent replaced by its lines, which keep the parent's other attributes."""
+    kept = blocks.join(pseudo.select("doc", F.col("parent_id").alias("id")).distinct(), ["doc", "id"], "left_anti")
+    lines = pseudo.select("doc", F.col("parent_id").alias("id"), F.col("id").alias("line_id"), "line_no", F.col("text").alias("line"))
+    rows = blocks.join(lines, ["doc", "id"])
+    at = lambda c, other: F.coalesce(F.try_element_at(c, F.col("line_no") + 1), other)
+    y, x, w, h = at("line_ys", F.col("y0")), at("line_x0s", F.col("x0")), at("line_ws", F.col("x1") - F.col("x0")), at("line_hs", F.col("size") * 1.2)
+    new = {"id": F.col("line_id"), "text": F.col("line"), "align": F.lit("l"), "nlines": F.lit(1), "x0": x, "y0": y, "x1": x + w, "y1": y + h, "line_ys": F.array(y), "line_x0s": F.array(x), "line_ws": F.array(w), "line_hs": F.array(h)}
+    return kept.unionByName(rows.select(*[new[c].cast(k).alias(c) if c in new else F.col(c) for c, k in blocks.dtypes]))
+
+
 def zipped_by_place(a: DataFrame, b: DataFrame) -> DataFrame:
     """Pages whose two block lists have equal length, joined by place: ``doc, page, ord`` and both texts."""
     count = lambda x, n: x.withColumn(n, F.count("*").over(Window.partitionBy("doc", "page")))

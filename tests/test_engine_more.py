@@ -149,7 +149,12 @@ def test_commands_that_build(spark, extracts, tmp_path):
     (tmp_path / "fixes.json").write_text(json.dumps(FIXES))
     trans = f"{tmp_path}/trans/*.json"
     assert main(["columns", str(extracts), trans, f"{tmp_path}/layers"]) == 0
-    assert sorted((r.id, r.zh) for r in jsonio.read_layers(spark, f"{tmp_path}/layers", ["cZZ"]).collect()) == [("p1b3#0", "L 1"), ("p1b3#1", "R 2")]
+    assert sorted((r.id, r.zh) for r in jsonio.read_layers(spark, f"{tmp_path}/layers/layer", ["cZZ"]).collect()) == [("p1b3#0", "L 1"), ("p1b3#1", "R 2")]
+    split = {r.id: r for r in jsonio.read_extracts(spark, f"{tmp_path}/layers/extracts").collect()}
+    assert set(split) == {"p1b0", "p1b1", "p1b2", "p1b3#0", "p1b3#1", "p1b4"}
+    assert [(split[i].text, split[i].nlines, split[i].x0, split[i].line_ys) for i in ("p1b3#0", "p1b3#1")] == [("left 1", 1, 50.0, [60.0]), ("right 2", 1, 200.0, [60.5])]
+    assert main(["build", f"{tmp_path}/layers/extracts", trans, f"{tmp_path}/lines", "--layer", f"{tmp_path}/layers/layer"]) == 0
+    assert {(r.id, r.text) for r in spark.read.parquet(f"{tmp_path}/lines/draw").collect()} >= {("p1b3#0", "L 1"), ("p1b3#1", "R 2"), ("p1b2", "Moved text")}
     assert main(["build", str(extracts), trans, f"{tmp_path}/out", "--fixes", f"{tmp_path}/fixes.json"]) == 0
     actions = {r.id: r.action for r in spark.read.parquet(f"{tmp_path}/out/actions").collect()}
     assert actions == {"n0": "DRAW", "n1": "UNTRANSLATED", "p1b2": "DRAW", "p1b3": "DRAW"}
