@@ -12,8 +12,9 @@ by it.  The depth grows with the logarithm of the number of rows, which keeps bu
 number of probes is the least that finds ``recall`` of the true neighbours of ``sample`` queries,
 which are compared with all rows.
 
-Buckets that share their first axes are one group; groups with more than ``group_rows`` rows are
-split by a salt, and queries visit all parts, so no task holds an unbounded group.  Of equal
+Buckets that share their first axes are one group, of about ``group_rows`` rows (a small table is
+one whole); groups with more are split by a salt, and queries visit all parts, so no task holds an
+unbounded group.  Of equal
 vectors only the ``top + 1`` smallest ids can be an answer, so the rest are set aside before
 hashing; queries are never set aside.
 
@@ -303,7 +304,7 @@ def search(rows: DataFrame, queries: DataFrame, top: int = 10, tables: int = 24,
     rows = saved(rows.withColumn("r", F.dense_rank().over(same)).where(F.col("r") <= top + 1).select("vec_id", "v"), "ann-rows")
     base = log(2 * width(d))
     depth = depth or max(2, round(log(n) / base))
-    index = _Index(tables, depth, min(depth, max(1, int(log(max(1, n / group_rows)) / base))), d, float(size["most"]), seed)
+    index = _Index(tables, depth, min(depth, max(0, round(log(max(1, n / group_rows)) / base))), d, float(size["most"]), seed)
     parts = rows.mapInArrow(index.counted, "tab int, grp long, n long").groupBy("tab", "grp").agg(F.ceil(F.sum("n") / group_rows).cast("int").alias("parts"))
     parts = saved(parts, "ann-groups")
     placed = rows.mapInArrow(index.placed, "tab int, grp long, bucket long, vec_id long, codes binary, step double")
