@@ -1,8 +1,8 @@
 """Line dedup: range-partitioned line hashes, secondary sort, keep bitmaps.
 
-Every line's key (ends stripped of ASCII white space, A-Z lower-cased) is hashed to 128 bits.
-The rows (hash, document, position) are range-partitioned and sorted by all three, so a very
-frequent line spreads over as many partitions as it needs.  One streaming pass over each sorted
+Every line's key (ends stripped of ASCII white space, A-Z lower-cased) is named by 128 bits of its
+SHA-256.  The rows (hash, document, position) are range-partitioned and sorted by all three, so a
+very frequent line spreads over as many partitions as it needs.  One streaming pass over each sorted
 partition counts the documents of each hash and returns the lines to drop; a run of equal hashes
 that touches a partition's edge and is not decided there is settled afterwards from at most two
 short runs a partition.  Decisions come back as one compressed bitmap per document; the text is
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesops as B
-from .store import discard, keyed, row_key, saved
+from .store import digest_lanes, discard, keyed, row_key, saved
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANK = " \t\n\x0b\x0c\r"
@@ -36,8 +36,8 @@ DROPPED, OPEN, FREQUENT = 0, 1, 2
 def line_keys(rows: DataFrame, min_chars: int) -> DataFrame:
     lines = rows.select("k1", "k2", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     lines = lines.withColumn("key", F.translate(F.btrim("line", F.lit(_BLANK)), _UPPER, _LOWER))
-    return lines.where(F.length("key") >= min_chars).select(
-        F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), F.col("key")).alias("h2"), "k1", "k2", "pos")
+    h1, h2 = digest_lanes(F.col("key"))
+    return lines.where(F.length("key") >= min_chars).select(h1.alias("h1"), h2.alias("h2"), "k1", "k2", "pos")
 
 
 def _stream(min_docs: int):
