@@ -66,16 +66,15 @@ def write_archive(pages: DataFrame, path: str, min_revisit: int = 100, date: dat
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
                         F.coalesce(F.encode(F.col(payload_col), "UTF-8"), F.lit(b"")).alias("payload"))
-    rows = rows.withColumns({"digest": F.sha2("payload", 256), "n": F.length("payload").cast("long")})
-    firsts = rows.groupBy("digest").agg(F.min("page_id").alias("first_id"))
+    rows = rows.withColumns({"digest": F.sha2("payload", 256), "n": F.length("payload").cast("long"), "place": F.struct(F.col("page_id").isNull().alias("none"), "page_id")})
+    firsts = rows.groupBy("digest").agg(F.min("place")["page_id"].alias("first_id"))
     heads = rows.select("page_id", "url", "digest", "n").join(firsts, "digest")
     kind = F.when((F.col("n") >= min_revisit) & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")), "revisit").otherwise("response")
     stamp = (date or datetime.now(UTC)).astimezone(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     heads.select("digest", _header(kind, stamp).alias("header")).write.parquet(f"{path}/headers")
-    # one row of each digest holds the bytes; only repeated ids leave more than one to choose from.
-    # no id is below the first one, so "<=" finds it and the rows stay dealt by digest alone
-    once = rows.select("digest", "payload", "page_id").join(firsts, "digest").where("page_id <= first_id or first_id is null")
-    once.dropDuplicates(["digest"]).select("digest", "payload").write.parquet(f"{path}/payloads")
+    # each task keeps one row of a digest before payloads move, so copies of one page never meet in one task
+    once = rows.groupBy("digest").agg(F.min_by("payload", "place").alias("payload"))
+    once.write.parquet(f"{path}/payloads")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
