@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, line_dedup, near_dedup, oracles, packing, secret_scan, substring_dedup, suffix_dedup, warc
+from . import ann, decontaminate, langid, lexical, line_dedup, near_dedup, oracles, packing, quality, secret_scan, substring_dedup, suffix_dedup, vector_codes, warc
 from .store import new_path
 
 
@@ -76,7 +76,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    names = F.lit(books.digest() if books else None).cast("string").alias("codebooks_sha256")
+    return vector_codes.with_label_errors(codes).select("vec_id", "code", "error", "label_error", names)
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.clean_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_best_fit_packing, op3_language_id, op4_near_dedup, op5_suffix_dedup, op6_nearest_neighbours, op7_warc_archive, op8_line_dedup, op9_secret_scan, op10_decontamination)
+    f.__name__: f for f in (op1_substring_dedup, op2_best_fit_packing, op3_language_id, op4_near_dedup, op5_suffix_dedup, op6_nearest_neighbours, op7_warc_archive, op8_line_dedup, op9_secret_scan, op10_decontamination, op11_vector_codes, op12_quality_rules, op13_lexical_search)
 }
-SQL: dict[str, str] = {"op4_near_dedup": oracles.OP4, "op7_warc_archive": oracles.OP7, "op8_line_dedup": oracles.OP8, "op10_decontamination": oracles.OP10}
+SQL: dict[str, str] = {"op4_near_dedup": oracles.OP4, "op7_warc_archive": oracles.OP7, "op8_line_dedup": oracles.OP8, "op10_decontamination": oracles.OP10, "op11_vector_codes": oracles.OP11, "op12_quality_rules": oracles.OP12, "op13_lexical_search": oracles.OP13}
