@@ -1,8 +1,8 @@
 """Ranked lexical search with block-max pruning.
 
 The index is a table of blocks.  A block is a range of documents as the table stores them, so
-building it shuffles nothing.  It holds a forward index (each document's terms and their numbers)
-and for each of its terms the number of its documents that have it, the largest number of
+building it shuffles nothing.  It holds a compressed forward index (each document's terms and their
+numbers), which is read only when the block is scored, and for each of its terms the number of its documents that have it, the largest number of
 occurrences and the shortest of those documents.  The last two bound the term's part of any score
 in the block, whatever the corpus's statistics are; blocks may be added later.
 
@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -47,13 +48,12 @@ from .store import saved, small_batches
 
 #: Documents and postings that close a block, bytes of a text that are split at once, blocks in an Arrow batch.
 BLOCK_DOCS, BLOCK_POSTINGS, PIECE, BLOCKS = 16, 1 << 14, 1 << 20, 64
+_NO_DOC = 2**63 - 1  # behind all ids
 #: Terms of the queries that are answered together.
 BATCH_TERMS = 1 << 16
 _TERM = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _GAP = re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
-_INTS, _LONGS = pa.list_(pa.int32()), pa.list_(pa.int64())
-_INDEX = pa.schema([("docs", _LONGS), ("n", _INTS), ("terms", pa.list_(pa.binary())), ("df", _INTS), ("most", _INTS), ("least", _INTS), ("ends", _INTS), ("term", _INTS), ("tf", _INTS)])
-_INDEX_SQL = "docs array<long>, n array<int>, terms array<binary>, df array<int>, most array<int>, least array<int>, ends array<int>, term array<int>, tf array<int>"
+_INDEX = "docs binary, terms binary, heads binary, lists binary, n_docs int, n_terms long"
 _FOUND = "item_id long, doc_id long, score long"
 
 
@@ -72,20 +72,30 @@ def term_counts(text: str | None) -> Counter:
     return found
 
 
+def _packed(*columns: np.ndarray) -> bytes:
+    return zlib.compress(np.concatenate(columns).astype("<i4").tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), "<i4").astype(np.int64)
+
+
 def _block(held: list[tuple[int | None, Counter]]) -> tuple:
+    """A row of the index: ids; terms, parted by line ends; three numbers a term; the forward index."""
     names: dict[bytes, int] = {}
     term, tf, ends = [], [], []
     for _, counts in held:
         term += [names.setdefault(t, len(names)) for t in counts]
         tf += counts.values()
         ends.append(len(term))
-    n = np.array([c.total() for _, c in held], np.int32)
+    n = np.array([c.total() for _, c in held])
     owner = np.repeat(np.arange(len(held)), np.diff(ends, prepend=0))
-    at, times = np.array(term), np.array(tf, np.int32)
-    most, least = np.zeros(len(names), np.int32), np.full(len(names), n.max(), np.int32)
+    at, times = np.array(term), np.array(tf)
+    most, least = np.zeros(len(names), np.int64), np.full(len(names), n.max())
     np.maximum.at(most, at, times)
     np.minimum.at(least, at, n[owner])
-    return [i for i, _ in held], n, list(names), np.bincount(at), most, least, ends, term, times
+    docs = np.array([_NO_DOC if i is None else i for i, _ in held], "<i8")
+    return docs.tobytes(), zlib.compress(b"\n".join(names), 1), _packed(np.bincount(at), most, least), _packed(n, np.array(ends), at, times), len(held), int(n.sum())
 
 
 def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +104,8 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     postings = 0
 
     def out() -> pa.RecordBatch:
-        rows = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*blocks), _INDEX, strict=True)], schema=_INDEX)
+        kinds = [pa.binary()] * 4 + [pa.int32(), pa.int64()]
+        rows = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*blocks), kinds, strict=True)], names=[f.split()[0] for f in _INDEX.split(", ")])
         blocks.clear()
         return rows
 
@@ -129,9 +140,8 @@ def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> In
     """Build the index of all rows of ``docs``, in the shared folder."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    blocks = saved(rows.mapInArrow(B.bounded(_indexed), _INDEX_SQL), "lexical-blocks")
-    total = F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)
-    size = blocks.agg(F.sum(F.size("n")).alias("documents"), F.sum(total).alias("terms")).first()
+    blocks = saved(rows.mapInArrow(B.bounded(_indexed), _INDEX), "lexical-blocks")
+    size = blocks.agg(F.sum("n_docs").alias("documents"), F.sum("n_terms").alias("terms")).first()
     return Index(blocks, size["documents"] or 0, size["terms"] or 0)
 
 
@@ -166,12 +176,18 @@ def _batches(items: DataFrame, id_col: str, text_col: str, most: int) -> Iterato
         yield batch
 
 
-def _frequencies(terms: pa.Array):
+def _known(terms: bytes, vocabulary: dict[bytes, int]) -> np.ndarray:
+    """The vocabulary's number of each of a block's terms, -1 for others."""
+    return np.array([vocabulary.get(t, -1) for t in zlib.decompress(terms).split(b"\n")])
+
+
+def _frequencies(vocabulary: dict[bytes, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(terms), np.int64)
+        total = np.zeros(len(vocabulary), np.int64)
         for b in batches:
-            at = pc.fill_null(pc.index_in(b.column("terms").flatten(), value_set=terms), -1).to_numpy()
-            np.add.at(total, at[at >= 0], b.column("df").flatten().to_numpy()[at >= 0])
+            for terms, heads in zip(b.column("terms"), b.column("heads"), strict=True):
+                at = _known(terms.as_py(), vocabulary)
+                total[at[at >= 0]] += _unpacked(heads.as_py())[: len(at)][at >= 0]
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["term", "df"])
 
@@ -205,7 +221,7 @@ class _Search:
 
     def __init__(self, index: Index, batch: _Batch, df: dict[int, int], top: int):
         self.documents, self.length, self.top = index.documents, index.terms, top
-        self.ids, self.terms = batch.ids, pa.array(list(batch.vocabulary), pa.binary())
+        self.ids, self.vocabulary = batch.ids, batch.vocabulary
         weights = np.array([weight(self.documents, df[t]) if t in df else 0 for t in range(len(batch.vocabulary))], np.int64)
         self.starts, self.entries, self.weights = np.array(batch.starts), np.array(batch.entries), weights
 
@@ -215,43 +231,33 @@ class _Search:
         m = np.array([50 + 50 * x * self.documents // self.length for x in sizes.tolist()], np.int64)
         return 1_000_000_000 * tf // (1000 * tf + 20 * m[of])
 
-    def decoded(self, b: pa.RecordBatch) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
-        """(bound of each block and query; documents, their first postings, terms and shares of each block) of a batch."""
-        col = {c: b.column(c).flatten() for c in _INDEX.names}
-        edge = {c: (b.column(c).offsets.to_numpy() - b.column(c).offsets[0].as_py()).tolist() for c in ("docs", "terms", "term")}
-        known = pc.fill_null(pc.index_in(col["terms"], value_set=self.terms), -1).to_numpy()
-        docs = pc.fill_null(col["docs"], _NO_DOC).to_numpy()
-        number = {c: col[c].to_numpy().astype(np.int64) for c in ("n", "most", "least", "ends", "term", "tf")}
-        asked = known >= 0
-        share = np.zeros(len(known), np.int64)
-        share[asked] = self.part(number["most"][asked], number["least"][asked])
-        bounds, blocks = np.zeros((b.num_rows, len(self.ids)), np.int64), []
-        dense = np.zeros(len(self.terms), np.int64)
-        for i in range(b.num_rows):
-            own = slice(edge["terms"][i], edge["terms"][i + 1])
-            at = known[own]
-            dense[at[at >= 0]] = share[own][at >= 0]
-            bounds[i] = np.add.reduceat((dense * self.weights)[self.entries], self.starts)
-            dense[at[at >= 0]] = 0
-            mine, rows = slice(edge["docs"][i], edge["docs"][i + 1]), slice(edge["term"][i], edge["term"][i + 1])
-            blocks.append((docs[mine], number["n"][mine], number["ends"][mine], at, number["term"][rows], number["tf"][rows]))
-        return bounds, blocks
-
-    def opened(self, block: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def bounds(self, terms: bytes, heads: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of a block's terms, the most that any of its documents can score for each query)."""
+        at = _known(terms, self.vocabulary)
+        asked = at >= 0
+        _, most, least = _unpacked(heads).reshape(3, -1)
+        dense = np.zeros(len(self.weights), np.int64)
+        dense[at[asked]] = self.part(most[asked], least[asked])
+        return at, np.add.reduceat((dense * self.weights)[self.entries], self.starts)
+
+    def opened(self, docs: bytes, lists: bytes, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(documents, first posting of each, terms, shares) of a block, without what no query asks for."""
-        docs, n, ends, names, term, tf = block
-        owner = np.repeat(np.arange(len(docs)), np.diff(ends, prepend=0))
+        ids, flat = np.frombuffer(docs, "<i8"), _unpacked(lists)
+        n, ends, rest = flat[: len(ids)], flat[len(ids) : 2 * len(ids)], flat[2 * len(ids) :]
+        term, tf = rest.reshape(2, -1)
+        owner = np.repeat(np.arange(len(ids)), np.diff(ends, prepend=0))
         at = names[term]
         asked = at >= 0
         owner, at = owner[asked], at[asked]
         has, first = np.unique(owner, return_index=True)
-        return docs[has], first, at, self.part(tf[asked], n[owner])
+        return ids[has], first, at, self.part(tf[asked], n[owner])
 
     def run(self, best: list[_Best], b: pa.RecordBatch, only_first: bool) -> None:
-        bounds, blocks = self.decoded(b)
+        found = [self.bounds(t.as_py(), h.as_py()) for t, h in zip(b.column("terms"), b.column("heads"), strict=True)]
+        bounds = np.stack([x for _, x in found])
         order = np.argsort(-bounds, axis=0, kind="stable")
         opened: dict[int, tuple] = {}
-        weights = np.zeros(len(self.terms), np.int64)
+        weights = np.zeros_like(self.weights)
         ends = np.append(self.starts[1:], len(self.entries))
         for q, own in enumerate(best):
             terms = self.entries[self.starts[q] : ends[q]]
@@ -260,7 +266,7 @@ class _Search:
                 if bounds[i, q] < own.least:
                     break
                 if i not in opened:
-                    opened[i] = self.opened(blocks[i])
+                    opened[i] = self.opened(b.column("docs")[i].as_py(), b.column("lists")[i].as_py(), found[i][0])
                 docs, first, at, share = opened[i]
                 own.add(np.add.reduceat(share * weights[at], first), docs)
             weights[terms] = 0
@@ -282,18 +288,16 @@ class _Search:
         return run
 
 
-_NO_DOC = 2**63 - 1  # behind all ids
-
-
 def _answered(index: Index, batch: _Batch, top: int) -> DataFrame:
-    found = index.blocks.select("terms", "df").mapInArrow(_frequencies(pa.array(list(batch.vocabulary), pa.binary())), "term int, df long")
+    found = index.blocks.select("terms", "heads").mapInArrow(B.bounded(_frequencies(batch.vocabulary)), "term int, df long")
     df = {r["term"]: r["df"] for r in found.groupBy("term").agg(F.sum("df").alias("df")).collect()}  # a number a term of the batch
     search = _Search(index, batch, df, top)
     fields = "q int, " + _FOUND
     nth = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))
-    seeds = index.blocks.mapInArrow(B.bounded(search.task({}, True)), fields).withColumn("nth", nth).where(F.col("nth") <= top)
+    blocks = index.blocks.select("docs", "terms", "heads", "lists")
+    seeds = blocks.mapInArrow(B.bounded(search.task({}, True)), fields).withColumn("nth", nth).where(F.col("nth") <= top)
     least = {r["q"]: r["score"] for r in seeds.where(F.col("nth") == top).collect()}  # a row a query
-    rows = index.blocks.mapInArrow(B.bounded(search.task(least, False)), fields)
+    rows = blocks.mapInArrow(B.bounded(search.task(least, False)), fields)
     order = Window.partitionBy("q").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     ranked = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return ranked.select("item_id", "rank", "doc_id", "score")
