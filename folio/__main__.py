@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .operators import canonical, columns, overlay, qa
 from .plans.engine import Engine
 from .plans.shipping import ship_package
-from .sources import jsonio, pdf
+from .sources import jsonio, paged, pdf
 
 #: The name of the layer that holds translations of single lines.
 PSEUDO = "cZZ"
@@ -36,7 +36,7 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("command", choices=list(PATHS))
     parser.add_argument("paths", nargs="+")
     parser.add_argument("--allow", action="append", default=[], help="qa: pattern of texts that may cross the margin")
-    parser.add_argument("--parser", help="extract: module:function that yields a file's spans")
+    parser.add_argument("--parser", help="extract: module:function that yields a file's spans, or module:class of a page parser, which reads large files in ranges")
     parser.add_argument("--layer", help="build: the layer that columns wrote")
     parser.add_argument("--fixes", default="", help="build: JSON file of a project's fixes")
     parser.add_argument("--recurring", help="build: Parquet table of recurring templates")
@@ -54,7 +54,8 @@ def _extract(spark, engine, opts, files: str, out: str) -> int:
     module, _, name = (opts.parser or "").partition(":")
     if not name:
         raise SystemExit("extract needs --parser module:function")
-    spans = pdf.read_spans(spark, files, getattr(importlib.import_module(module), name))
+    found = getattr(importlib.import_module(module), name)
+    spans = paged.read_pages(spark, files, "spans", opts.parser) if isinstance(found, type) else pdf.read_spans(spark, files, found)
     jsonio.write_extracts(pdf.spans_to_blocks(spans, engine.cfg), out)
     return 0
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_chunks, q_overlay, q_terms, q_text
+from . import q_chunks, q_overlay, q_sources, q_terms, q_text
 
-_MODULES = (q_text, q_chunks, q_overlay, q_terms)
+_MODULES = (q_text, q_chunks, q_overlay, q_terms, q_sources)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -18,10 +18,11 @@ def read_extracts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def flatten_extracts(docs: DataFrame) -> DataFrame:
-    """One row a block; ``ord`` is the block's, or else its place in the document's order."""
-    pages = docs.select("doc", F.posexplode("pages").alias("pi", "p")).select("doc", "pi", "p.page", F.posexplode("p.blocks").alias("bi", "b"))
+    """One row a block; ``ord`` is the block's, or else its place in the document."""
+    whole = F.flatten(F.transform("pages", lambda p: F.transform(p["blocks"], lambda b: F.struct(p["page"].alias("page"), b.alias("b")))))
+    pages = docs.select("doc", F.posexplode(whole).alias("place", "x")).select("doc", "place", "x.page", "x.b")
     at = lambda i: F.try_element_at("b.bbox", F.lit(i))
-    return pages.select("doc", "page", F.coalesce("b.ord", F.col("pi") * 100_000 + F.col("bi")).alias("ord"), "b.id", "b.text", "b.size", "b.bold", "b.italic", "b.color", "b.align", "b.nlines",
+    return pages.select("doc", "page", F.coalesce("b.ord", "place").alias("ord"), "b.id", "b.text", "b.size", "b.bold", "b.italic", "b.color", "b.align", "b.nlines",
                         at(1).alias("x0"), at(2).alias("y0"), at(3).alias("x1"), at(4).alias("y1"), "b.line_ys", "b.line_x0s", "b.line_ws", "b.line_hs", "b.rot", F.coalesce("b.keep", F.lit(False)).alias("keep"))
 
 

@@ -2,8 +2,8 @@
 
 A parser takes a file's name and bytes and yields the records of one kind (``RECORDS``); the
 engine does the rest.  Files are read as binary rows, so a file is the unit of work and of
-recovery.  No parser ships with the engine, and page images, metadata and bookmarks stay with the
-renderer.
+recovery; parsers that can open a file at any page read large files in ranges (``paged``).  No
+PDF parser ships with the engine, and page images stay with the renderer.
 """
 
 from __future__ import annotations
@@ -64,7 +64,7 @@ def spans_to_blocks(spans: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     joined = T.strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n"))
     in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("line", F.col(c).alias("v")))), lambda x: x["v"])
     block = line.groupBy(*key).agg(joined.alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("nlines"), in_order("y0").alias("line_ys"), in_order("x0").alias("line_x0s"), in_order("dir").alias("dirs"))
-    seen = rows.withColumn("seen", F.col("line") * 100_000 + F.col("ord"))
+    seen = rows.withColumn("seen", F.shiftleft(F.col("line").cast("long"), 32) + F.col("ord"))
     size = recurring.first_seen_mode(seen, key, "size", "seen").drop("n")
     color = recurring.first_seen_mode(seen, key, "color", "seen").drop("n")
     style = rows.groupBy(*key).agg(*[(F.count_if(F.col("flags").bitwiseAND(bit) > 0) * 2 > F.count(place)).alias(n) for n, bit in (("bold", 16), ("italic", 2))])
