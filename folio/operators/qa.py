@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
+from ..functions import automaton as A
 from ..functions import text as T
 
 TILE = 24.0
@@ -91,8 +92,13 @@ def baseline_diff(found: DataFrame, source: DataFrame, cfg: EngineConfig = DEFAU
     return found.join(s, near, "left_anti")
 
 
-def residual_language(spans: DataFrame, pattern: str, allowed: DataFrame) -> DataFrame:
-    """``doc, page, ord, word``: source-language words left in the output, minus a list of allowed words."""
+def residual_language(spans: DataFrame, pattern: str, allowed: DataFrame, phrases: A.Terms | None = None) -> DataFrame:
+    """``doc, page, ord, word``: source-language words left in the output, minus a list of allowed words.
+
+    ``phrases``: names of several words that may stay; words inside them do not count.
+    """
+    if phrases is not None:
+        spans = spans.withColumn("text", A.mask_terms(F.col("text"), phrases))
     words = spans.select("doc", "page", "ord", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("word")).distinct()
     return words.join(allowed.select("word").distinct(), "word", "left_anti").select("doc", "page", "ord", "word")
 

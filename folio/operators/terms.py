@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import automaton as A
 from ..functions import text as T
 
 
@@ -72,10 +73,18 @@ def backfill(log: DataFrame, glossary: DataFrame, least: int) -> DataFrame:
 
 
 def drift(texts: DataFrame, variants: dict[str, tuple[str, ...]]) -> DataFrame:
-    """``doc, id, variant``: forbidden variants outside their legal superstrings."""
-    rest = {v: F.regexp_replace("text", "|".join(T._quoted(s) for s in legal), "") if legal else F.col("text") for v, legal in variants.items()}
-    hits = F.array_compact(F.array(*[F.when(c.contains(v), F.lit(v)) for v, c in rest.items()]))
-    return texts.select("doc", "id", F.explode(hits).alias("variant"))
+    """``doc, id, variant``: forbidden variants outside their legal superstrings; one pass, however many variants."""
+    return texts.select("doc", "id", F.explode(A.forbidden(F.col("text"), variants)).alias("variant"))
+
+
+def marked_terms(texts: DataFrame, glossary: A.Terms) -> DataFrame:
+    """``doc, id, start, end, term``: whole-word occurrences of glossary terms, longest first."""
+    return texts.select("doc", "id", F.explode(A.find_terms(F.col("text"), glossary)).alias("m")).select("doc", "id", "m.*")
+
+
+def apply_glossary(texts: DataFrame, glossary: A.Terms) -> DataFrame:
+    """``texts`` with every glossary term as its translation."""
+    return texts.withColumn("text", A.replace_terms(F.col("text"), glossary))
 
 
 def modal_counts(pairs: DataFrame, verbs: dict[str, str]) -> DataFrame:

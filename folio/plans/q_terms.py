@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import automaton
 from ..functions import text as T
 from ..operators import chunking, columns, layout, overlay, profile, qa, terms
 from ..sources import markdown
@@ -201,6 +202,31 @@ def q_term_drift(spark, sf_dir):
     return terms.drift(read_blocks(spark, sf_dir), {"en": ("ten", "ment"), "xy": ()})
 
 
+# the glossary: all words of four letters or more of the benchmark, some thousands
+_GLOSSARY = "gs as (select distinct unnest(regexp_extract_all(text, '[\\pL]{4,}')) as term from benchmark)"
+_RUNS = "regexp_extract_all(text, '[\\pL\\pM\\p{Nd}\\p{Nl}\\p{Pc}]+|[^\\pL\\pM\\p{Nd}\\p{Nl}\\p{Pc}]+')"
+
+
+def _benchmark_terms(spark, sf_dir):
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}{4,}"), F.lit(0))).alias("term"))
+    return automaton.from_table(words.withColumn("to", F.concat(F.lit("<"), "term", F.lit(">"))), to="to")
+
+
+@query(f"""with {BLOCKS_SQL}, {_GLOSSARY}, r as (select doc, id, unnest({_RUNS}) as t, unnest(range(len({_RUNS}))) as i from blocks)
+select doc, id, string_agg(case when gs.term is not null then '<' || t || '>' else t end, '' order by i) as text from r left join gs on gs.term = t group by 1, 2""")
+def q_glossary_apply(spark, sf_dir):
+    """Every glossary word of every block replaced, in one pass."""
+    rows = read_blocks(spark, sf_dir).select("doc", "id", "text")
+    return terms.apply_glossary(rows, _benchmark_terms(spark, sf_dir))
+
+
+@query(f"with {BLOCKS_SQL}, {_GLOSSARY}, r as (select doc, id, unnest(regexp_extract_all(text, '[\\pL\\pM\\p{{Nd}}\\p{{Nl}}\\p{{Pc}}]+')) as t from blocks) select doc, t as term, count(*) as n from r join gs on gs.term = t group by 1, 2")
+def q_glossary_marks(spark, sf_dir):
+    """How often each glossary word stands in each document."""
+    found = terms.marked_terms(read_blocks(spark, sf_dir), _benchmark_terms(spark, sf_dir))
+    return found.groupBy("doc", "term").agg(F.count("*").alias("n"))
+
+
 @query("with w as (select unnest(regexp_extract_all(text, '[\\pL0-9_]+')) as x from documents) select * from (values ('the', (select count(*) from w where x = 'the'), (select count(*) from w where x = 'of')), ('is', (select count(*) from w where x = 'is'), (select count(*) from w where x = 'it'))) as t(verb, n_source, n_output)")
 def q_modal_verbs(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("text", F.col("text").alias("zh"))
