@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
 from ..functions import text as T
-
-TILE = 24.0
+from . import sweep
 
 
 def envelopes(lines: DataFrame, keys: list[str]) -> DataFrame:
@@ -136,10 +135,12 @@ def cell_expand(blocks: DataFrame, cells: DataFrame, cfg: EngineConfig = DEFAULT
     """``doc, id, x0, x1``: single-line blocks inside a table cell take the first such cell's width."""
     s = cfg.cell_slack
     good = cells.where(f"x1 - x0 > {cfg.cell_min_width} and y1 - y0 > {cfg.cell_min_height}").select("doc", "page", "cell_no", *[F.col(c).alias("c" + c) for c in ("x0", "y0", "x1", "y1")])
-    # a block's top is inside a cell of its own tile: no page is a cross product
-    tile = lambda c: F.floor(c / TILE)
-    good = good.withColumn("tile", F.explode(F.sequence(tile(F.col("cy0") - s), tile(F.col("cy1") + s))))
-    near = blocks.withColumn("tile", tile(F.col("y0"))).join(good, ["doc", "page", "tile"]).where((F.col("x0") >= F.col("cx0") - s) & (F.col("x1") <= F.col("cx1") + s) & (F.col("y0") >= F.col("cy0") - s) & (F.col("y1") <= F.col("cy1") + s))
+    # a sweep brings a block's first corner together with the cells it is in: no page is a cross product
+    corner = blocks.select("doc", "page", "id", *[F.col(c).alias(f"b{c}") for c in sweep.EDGES], "x0", "y0", F.col("x0").alias("x1"), F.col("y0").alias("y1"))
+    boxes = good.select("doc", "page", "cell_no", "cx0", "cy0", "cx1", "cy1", *[(F.col(f"c{c}") + d).alias(c) for c, d in zip(sweep.EDGES, (-s, -s, s, s), strict=True)])
+    met = sweep.meeting(corner, boxes)
+    near = met.select("doc", F.col("a_id").alias("id"), *[F.col(f"a_b{c}").alias(c) for c in sweep.EDGES], "b_cell_no", *[F.col(f"b_c{c}").alias(f"c{c}") for c in sweep.EDGES]).withColumnRenamed("b_cell_no", "cell_no")
+    near = near.where((F.col("x0") >= F.col("cx0") - s) & (F.col("x1") <= F.col("cx1") + s) & (F.col("y0") >= F.col("cy0") - s) & (F.col("y1") <= F.col("cy1") + s))
     first = near.groupBy("doc", "id").agg(F.min_by(F.struct("cx0", "cx1"), "cell_no").alias("c"), F.min("x1").alias("x1"), F.min("x0").alias("x0"))
     wider = (F.col("c.cx1") - 2 > F.col("x1") + 3) | (F.col("c.cx0") + 2 < F.col("x0") - 3)
     return first.select("doc", "id", F.when(wider, F.col("c.cx0") + 2).otherwise(F.col("x0")).alias("x0"), F.when(wider, F.col("c.cx1") - 2).otherwise(F.col("x1")).alias("x1"))

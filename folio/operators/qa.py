@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, EngineConfig
 from ..functions import automaton as A
 from ..functions import text as T
-
-TILE = 24.0
+from . import sweep
 
 
 def _overflows(allow: tuple[str, ...], cfg: EngineConfig) -> Column:
@@ -48,35 +47,32 @@ def bad_footers(feet: DataFrame, pattern: str, cfg: EngineConfig = DEFAULT) -> D
 def overprint(spans: DataFrame, cfg: EngineConfig = DEFAULT, wide: bool = True) -> DataFrame:
     """``doc, page, i, j``: pairs on a page that overlap by more than the tolerance each way, with other texts.
 
-    Rectangles are dealt over horizontal tiles, so that a dense page is compared tile by tile; a
-    pair is reported in the first tile that both touch.  Only texts of two characters or more count,
-    and only CJK ones if ``wide``; one text drawn twice is bold print.
+    A plane sweep compares a rectangle with those it can touch.  Only texts of two characters or
+    more count, and only CJK ones if ``wide``; one text drawn twice is bold print.
     """
     spans = spans.where(F.length(T.strip(F.col("text"))) > 1)
     if wide:
         spans = spans.where(T.has_wide_cjk(F.col("text")))
-    tile = lambda c: F.floor(F.col(c) / TILE).cast("int")
-    rows = spans.select("doc", "page", F.col("ord").alias("i"), "x0", "y0", "x1", "y1", "text", tile("y0").alias("t0"), F.explode(F.sequence(tile("y0"), F.greatest(tile("y0"), tile("y1")))).alias("tile"))
-    other = rows.select("doc", "page", "tile", *[F.col(c).alias(n) for c, n in (("i", "j"), ("x0", "u0"), ("y0", "v0"), ("x1", "u1"), ("y1", "v1"), ("text", "other"), ("t0", "s0"))])
-    wide = F.least("x1", "u1") - F.greatest("x0", "u0") > cfg.overlap
-    high = F.least("y1", "v1") - F.greatest("y0", "v0") > cfg.overlap
-    hit = (F.col("i") < F.col("j")) & (F.col("tile") == F.greatest("t0", "s0")) & wide & high & (F.col("text") != F.col("other"))
-    return rows.join(other, ["doc", "page", "tile"]).where(hit).select("doc", "page", "i", "j")
+    near = sweep.meeting(spans.select("doc", "page", "ord", "x0", "y0", "x1", "y1", "text"), least=cfg.overlap)
+    over = lambda p, q: F.least(f"a_{q}", f"b_{q}") - F.greatest(f"a_{p}", f"b_{p}") > cfg.overlap
+    hit = over("x0", "x1") & over("y0", "y1") & (F.col("a_text") != F.col("b_text")) & (F.col("a_ord") != F.col("b_ord"))
+    return near.where(hit).select("doc", "page", F.least("a_ord", "b_ord").alias("i"), F.greatest("a_ord", "b_ord").alias("j"))
 
 
 def cell_coverage(cells: DataFrame, source: DataFrame, target: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """``doc, n_cells, n_missing, passed``: source cells with enough words whose place in the target has no CJK, exactly or nearby.
 
-    Cells with the tolerance around them are dealt over horizontal tiles and a text has the tile of
-    its middle, so each text meets the cells near it only, and each cell's texts come from one join.
+    A plane sweep brings each cell, with the tolerance around it, together with the middles of the texts inside.
     """
     t = cfg.coverage_tolerance
     middle = ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy")
     texts = source.select("doc", "page", "ord", "text", *middle, F.lit(False).alias("out")).unionByName(target.select("doc", "page", "ord", "text", *middle, F.lit(True).alias("out")))
-    texts = texts.withColumn("tile", F.floor(F.col("cy") / TILE))
-    dealt = cells.withColumn("tile", F.explode(F.sequence(F.floor((F.col("y0") - t) / TILE), F.floor((F.greatest("y0", "y1") + t) / TILE))))
+    points = texts.select("doc", "page", "ord", "text", "out", F.col("cx").alias("x0"), F.col("cy").alias("y0"), F.col("cx").alias("x1"), F.col("cy").alias("y1"))
+    boxes = cells.select("doc", "page", "cell_no", *[F.col(c).cast("double").alias(f"c{c}") for c in sweep.EDGES], *[(F.col(c) + d).alias(c) for c, d in zip(sweep.EDGES, (-t, -t, t, t), strict=True)])
+    met = sweep.meeting(boxes, points)
+    rows = met.select("doc", "page", F.col("a_cell_no").alias("cell_no"), *[F.col(f"a_c{c}").alias(c) for c in sweep.EDGES], F.col("b_ord").alias("ord"), F.col("b_text").alias("text"), F.col("b_out").alias("out"), F.col("b_x0").alias("cx"), F.col("b_y0").alias("cy"))
     inside = lambda s: (F.col("cx") >= F.col("x0") - s) & (F.col("cx") <= F.col("x1") + s) & (F.col("cy") >= F.col("y0") - s) & (F.col("cy") <= F.col("y1") + s)
-    rows = dealt.join(texts, ["doc", "page", "tile"]).where(inside(t))
+    rows = rows.where(inside(t))
     kept = lambda cond: T.collapse_blanks(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("ord", "text")))), lambda v: v["text"]), " "))
     out = F.col("out")
     got = rows.groupBy("doc", "page", "cell_no").agg(kept(~out & inside(0.0)).alias("src"), kept(out & inside(0.0)).alias("exact"), kept(out).alias("near"))
