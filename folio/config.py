@@ -61,6 +61,26 @@ class EngineConfig:
     line_height_min: float = 1.22
     line_height_max: float = 1.45
     line_height_table: float = 2.2
+    line_height_spread: float = 2.4
+    own_height: float = 1.2
+    row_height_share: float = 0.9
+    span_slack: float = 3.0
+    hanging_least: float = 4.0
+    hanging_room: float = 20.0
+    hanging_slack: float = 2.0
+    hanging_height: float = 1.24
+    strip_least: float = 4.0
+    strip_share: float = 0.95
+    turned_full: float = 0.72
+    turned_up: float = 0.18
+    turned_down: float = 0.85
+    turned_middle: float = 0.4
+    stack_least: float = 5.0
+    stack_share: float = 0.72
+    stack_inset: float = 0.8
+    contents_gap: float = 4.0
+    grow_from: float = 1.03
+    grow_by: float = 9.0
     sample_text: int = 40
     sample_streams: int = 30
     sample_characters: int = 60

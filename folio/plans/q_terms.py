@@ -292,6 +292,37 @@ def q_wrap(spark, sf_dir):
     return layout.wrap_lines(rows, ["doc", "ord"]).select("doc", "ord", F.size("lines").alias("n_lines"), F.array_join("lines", "|").alias("lines"))
 
 
+_STEPS = "greatest(0, cast(ceil((size - {floor}) / 0.25 - 1e-9) as int))"
+_COUNT = """list_reduce(list_prepend({{'n': cast(1 as bigint), 'u': cast(0 as bigint), 'e': true, 'm': cast(floor(room * 100 / s) as bigint)}}, ts), lambda a, x:
+ {{'n': a.n + case when not a.e and a.u + x.u > a.m then 1 else 0 end, 'u': case when not a.e and a.u + x.u > a.m then case when x.e then 0 else x.u end else a.u + x.u end,
+   'e': case when not a.e and a.u + x.u > a.m then x.e else a.e and x.e end, 'm': a.m}}).n"""
+
+
+def _ladder(name: str, floor: str, where: str) -> str:
+    """Common table expressions: the lines of each text at each size from its own down to a floor."""
+    return f"""{name}s as (select *, {floor} as low, unnest(range({_STEPS.format(floor=floor)} + 1)) as k from tk where {where}),
+{name} as (select doc, ord, k, s, {_COUNT.format()} as n from (select *, case when k < {_STEPS.format(floor='low')} then size - 0.25 * k else least(size, low) end as s from {name}s))"""
+
+
+@query(f"""with {BLOCKS_SQL}, tk as (select *, x1 - x0 as wide, x1 - x0 - 2.4 as room, list_transform(regexp_extract_all({STRIPPED.format(t='text')}, '(?s)[A-Za-z0-9@./%°§\\[\\]()\\-+–—'':;,_^<>«»×·≥≤=≈]+|.'), lambda t: {{'n': cast(0 as bigint), 'u': cast({_UNITS} as bigint), 'e': trim(t) = '', 'm': cast(0 as bigint)}}) as ts
+ from (select doc, ord, text, x0, x1, size, length(text) as len, ord % 5 + 1 as nlines, 20.0 + ord % 7 * 30 as high, ord % 2 = 1 and ord % 5 >= 2 as prose from blocks)),
+{_ladder('big', 'greatest(4.6, 0.55 * size)', 'true')}, {_ladder('one', 'case when wide > 300 then greatest(4.7, 0.78 * size) when wide < 60 then 4.2 else 4.7 end', 'nlines = 1 and len <= 60')},
+own as (select doc, ord, case when nlines > 1 then high / nlines else size * 1.3 end as own from tk),
+fits as (select big.*, tk.high, tk.nlines, tk.prose, greatest(s * 1.22, least(own, s * 1.45)) as h from big join tk using (doc, ord) join own using (doc, ord)),
+best as (select doc, ord, coalesce(min(k) filter (n * h <= high + case when nlines = 1 and n = 1 then 2.0 else 0.0 end), max(k)) as k from fits group by 1, 2),
+small as (select doc, ord, min(k) filter (n = 1) as k from one group by 1, 2 having max(n) filter (k = 0) > 1 and count(*) filter (n = 1) > 0),
+got as (select f.doc, f.ord, f.n, f.s, f.h, f.high, f.nlines, f.prose from fits f join best using (doc, ord, k) where not exists (select 1 from small z where z.doc = f.doc and z.ord = f.ord)
+ union all select o.doc, o.ord, o.n, o.s, greatest(o.s * 1.22, least(own, o.s * 1.45)), tk.high, tk.nlines, tk.prose from one o join small using (doc, ord, k) join own using (doc, ord) join tk using (doc, ord))
+select doc, ord, cast(n as int) as n_lines, s as fs, round(case when nlines >= 3 and n > 1 and n < nlines and not prose then least(greatest(h, high / n), 2.2 * s) else h end, 6) as height from got""")
+def q_fit(spark, sf_dir):
+    """The size, lines and line height of every block in a box of its own width and some height."""
+    o = F.col("ord")
+    # lines that nearly fill the block or not: prose or a table's group
+    ws = F.transform(F.sequence(F.lit(0), o % 5), lambda i: (F.col("x1") - F.col("x0")) * F.when(o % 2 == 1, 0.9).otherwise(0.5))
+    rows = read_blocks(spark, sf_dir).select("doc", "ord", F.col("text").alias("zh"), "x0", F.lit(0.0).alias("y0"), "x1", (o % 7 * 30 + 20.0).alias("y1"), "size", (o % 5 + 1).alias("nlines"), ws.alias("line_ws"))
+    return layout.fit_blocks(rows, ["doc", "ord"]).withColumn("height", F.round("height", 6))
+
+
 @query(None)
 def q_draw_ops(spark, sf_dir):
     """Every block laid out, some as contents lines; fitting and placing have no SQL, tests compare with fixtures."""
