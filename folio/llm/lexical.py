@@ -36,6 +36,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +50,8 @@ from .store import saved, small_batches
 #: Documents and postings that close a block, bytes of a text that are split at once, blocks in an Arrow batch.
 BLOCK_DOCS, BLOCK_POSTINGS, PIECE, BLOCKS = 16, 1 << 14, 1 << 20, 64
 _NO_DOC = 2**63 - 1  # behind all ids
-#: Terms of the queries that are answered together.
-BATCH_TERMS = 1 << 16
+#: Terms of the queries that are answered together, and files that hold the queries.
+BATCH_TERMS, QUERY_FILES = 1 << 16, 8
 _TERM = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _GAP = re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
 _INDEX = "docs binary, terms binary, heads binary, lists binary, n_docs int, n_terms long"
@@ -154,24 +155,23 @@ class _Batch:
     entries: list[int] = field(default_factory=list)
     vocabulary: dict[bytes, int] = field(default_factory=dict)
 
-    def add(self, item: int | None, term: str) -> None:
-        if not self.ids or self.ids[-1] != item:
-            self.ids.append(item)
-            self.starts.append(len(self.entries))
-        self.entries.append(self.vocabulary.setdefault(term.encode("utf-8", "surrogatepass"), len(self.vocabulary)))
+    def add(self, item: int | None, terms: list[str]) -> None:
+        self.ids.append(item)
+        self.starts.append(len(self.entries))
+        self.entries += [self.vocabulary.setdefault(t.encode("utf-8", "surrogatepass"), len(self.vocabulary)) for t in terms]
 
 
 def _batches(items: DataFrame, id_col: str, text_col: str, most: int) -> Iterator[_Batch]:
     """The queries, so many at once that they have about ``most`` terms; only these are on the driver."""
     lower = F.translate(text_col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     found = F.regexp_extract_all(lower, F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"), F.lit(0))
-    terms = saved(items.select(F.col(id_col).cast("long").alias("item"), F.explode(found).alias("term")).distinct(), "lexical-queries")
+    terms = items.select(F.col(id_col).cast("long").alias("item"), F.explode(F.array_distinct(found)).alias("term")).groupBy("item").agg(F.collect_set("term").alias("terms"))
     batch = _Batch()
-    for row in terms.orderBy("item", "term").toLocalIterator():
-        if len(batch.entries) >= most and row["item"] != batch.ids[-1]:
+    for row in saved(terms.coalesce(QUERY_FILES), "lexical-queries").toLocalIterator():
+        if len(batch.entries) >= most:
             yield batch
             batch = _Batch()
-        batch.add(row["item"], row["term"])
+        batch.add(row["item"], row["terms"])
     if batch.ids:
         yield batch
 
@@ -306,9 +306,9 @@ def _answered(index: Index, batch: _Batch, top: int) -> DataFrame:
 def search(index: Index, queries: DataFrame, top: int = 50, id_col: str = "item_id", text_col: str = "text", batch_terms: int = BATCH_TERMS) -> DataFrame:
     """``item_id, rank, doc_id, score``: the ``top`` documents with the highest scores for each query."""
     spark = index.blocks.sparkSession
-    found = None
+    found: list[DataFrame] = []
     for batch in _batches(queries, id_col, text_col, batch_terms) if index.documents else ():
-        # kept batch by batch, so that many batches do not become one long plan
-        rows = saved(_answered(index, batch, top), "lexical-found")
-        found = rows if found is None else found.unionByName(rows)
-    return spark.createDataFrame([], "item_id long, rank int, doc_id long, score long") if found is None else found
+        if found:  # kept batch by batch, so that many do not become one long plan
+            found[-1] = saved(found[-1], "lexical-found")
+        found.append(_answered(index, batch, top))
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
