@@ -8,7 +8,8 @@ out first.  Of equal contexts one stands for all, with their number as its weigh
 to tasks by anchor: each builds suffix order and transform of a bounded batch of contexts and
 expands intervals breadth-first by backward extension, which finds the boundaries between suffixes
 by increasing length of their common prefixes and stops at ``SIZE``; suffixes that no boundary
-parts, or that have more weight than one, are repeated.
+parts are one string, which is repeated if their weights sum to more than one.  Nothing is settled
+in another way.
 
 An anchor whose contexts are too many for one batch is refined: its windows are split by where the
 anchor stands in them, first roughly, then to the byte, and the bytes that all windows of a part
@@ -119,33 +120,35 @@ def suffix_order(sym: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     first = new.copy()
     rank = np.empty(n + 1, np.int64)
     rank[n] = -1
-    head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank[sa] = head
+    rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     h = _START
+    at = np.arange(n)  # places whose suffix is not told apart from its neighbours yet
     while h < order:
-        alone = new & np.append(new[1:], True)
-        at = np.flatnonzero(~alone)
+        head = new[at]
+        # places of one group stand side by side, so a head followed by a head is alone
+        at = at[~(head & np.append(head[1:], True))]
         if not len(at):
             break
         own = sa[at]
-        pair = (head[at].astype(np.uint64) << np.uint64(32)) | (rank[np.minimum(own + h, n)] + 1).astype(np.uint64)
+        pair = (rank[own].astype(np.uint64) << np.uint64(32)) | (rank[np.minimum(own + h, n)] + 1).astype(np.uint64)
         by = np.argsort(pair, kind="stable")
-        sa[at], pair = own[by], pair[by]
+        own, pair = own[by], pair[by]
+        sa[at] = own
         new[at[1:]] |= pair[1:] != pair[:-1]
-        head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        rank[sa[at]] = head[at]
+        rank[own] = np.maximum.accumulate(np.where(new[at], at, 0))
         h *= 2
     return sa, first
 
 
-def repeated(sym: np.ndarray, valid: np.ndarray, size: int = SIZE, many: np.ndarray | None = None) -> np.ndarray:
-    """Which positions of ``valid`` start a string of ``size`` symbols that another one starts too.
+def repeated(sym: np.ndarray, valid: np.ndarray, size: int = SIZE, weight: np.ndarray | None = None) -> np.ndarray:
+    """Which positions of ``valid`` start a string of ``size`` symbols that occurs twice or more.
 
-    ``sym``: bytes plus 1 in uint64, with 0 between contexts; ``many``: positions that stand for several.
+    ``sym``: bytes plus 1 in uint64, with 0 between contexts; ``weight``: how many occurrences a
+    position stands for (one each, if not given).  The weights under an interval are summed.
     """
     n = len(sym)
     sa, first = suffix_order(sym, size)
-    last_symbol = np.where(sa > 0, sym[sa - 1], 0).astype(np.int64)  # the transform
+    last_symbol = np.where(sa > 0, sym[sa - 1], 0).astype(np.uint16)  # the transform
     step = np.empty(n, np.int64)
     step[np.argsort(last_symbol, kind="stable")] = np.arange(n)
     parted = np.append(first, True)  # parted[i]: a boundary below suffix i is known
@@ -157,20 +160,22 @@ def repeated(sym: np.ndarray, valid: np.ndarray, size: int = SIZE, many: np.ndar
         width = rb - lb + 1
         owner = np.repeat(np.arange(len(lb)), width)
         at = np.arange(width.sum()) + np.repeat(lb - (np.cumsum(width) - width), width)
-        key = owner * 512 + last_symbol[at]
-        by = np.argsort(key, kind="stable")
-        key, to = key[by], step[at[by]]
-        edge = np.flatnonzero(key[1:] != key[:-1])
+        symbol = last_symbol[at]
+        # rows stand in the order of their intervals, so sorting by symbol brings the parts of each together
+        by = np.argsort(symbol, kind="stable")
+        symbol, owner, to = symbol[by], owner[by], step[at[by]]
+        edge = np.flatnonzero((symbol[1:] != symbol[:-1]) | (owner[1:] != owner[:-1]))
         left, right = to[np.insert(edge + 1, 0, 0)], to[np.append(edge, len(to) - 1)]
         fresh = ~parted[right + 1]
         lb, rb = left[fresh], right[fresh]
         parted[rb + 1] = True
-    ok = valid[sa]
-    joined = ~parted[1:n] & ok[1:] & ok[:-1]
+    # suffixes that no boundary parts have the same first ``size`` symbols
+    own = np.where(valid[sa], 1 if weight is None else weight[sa], 0)
+    begin = np.flatnonzero(parted[:n])
+    total = np.add.reduceat(own, begin) if n else own
     out = np.zeros(n, bool)
-    out[sa[1:][joined]] = True
-    out[sa[:-1][joined]] = True
-    return out if many is None else out | (valid & many)
+    out[sa] = np.repeat(total > 1, np.diff(np.append(begin, n))) & valid[sa]
+    return out
 
 
 _MARKS = "kh long, c1 long, c2 long, s int, e int"
@@ -179,48 +184,41 @@ _MARKS = "kh long, c1 long, c2 long, s int, e int"
 def _expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Ranges of repeated windows of each context; rows come sorted by anchor, and anchors are never split."""
 
-    def ranges(rows: list[tuple], own: list[int], start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
-        cols = [pa.array([rows[i][k] for i in own], pa.int64()) for k in range(3)]
-        return pa.RecordBatch.from_arrays([*cols, pa.array(start, pa.int32()), pa.array(stop, pa.int32())], names=["kh", "c1", "c2", "s", "e"])
-
     def settle(rows: list[tuple]) -> pa.RecordBatch:
-        texts = [r[4] for r in rows]
-        sizes = np.array([len(t) + 1 for t in texts])
+        sizes = np.array([len(r[4]) + 1 for r in rows])
         begin = np.cumsum(sizes) - sizes
-        sym = np.zeros(sizes.sum(), np.uint64)
-        valid = np.zeros(len(sym), bool)
-        for a, t in zip(begin.tolist(), texts, strict=True):
-            sym[a : a + len(t)] = np.frombuffer(t, np.uint8).astype(np.uint64) + np.uint64(1)
-            valid[a : a + len(t) - SIZE + 1] = True
-        found = repeated(sym, valid, SIZE, np.repeat(np.array([r[3] for r in rows]) > 1, sizes))
+        sym = np.frombuffer(b"\x00".join([*(r[4] for r in rows), b""]), np.uint8).astype(np.uint64) + np.uint64(1)
+        sym[begin + sizes - 1] = 0
+        owner = np.repeat(np.arange(len(rows)), sizes)
+        valid = np.arange(len(sym)) < (begin + sizes - SIZE)[owner]
+        found = repeated(sym, valid, SIZE, np.array([r[3] for r in rows])[owner])
         edge = np.flatnonzero(np.diff(np.concatenate([[0], found.astype(np.int8), [0]])))
         start, stop = edge[0::2], edge[1::2]  # a run never passes a context's end, where no window starts
-        own = np.searchsorted(begin, start, "right") - 1
-        return ranges(rows, own.tolist(), start - begin[own], stop - begin[own])
+        own = owner[start]
+        cols = [pa.array([rows[i][k] for i in own.tolist()], pa.int64()) for k in range(3)]
+        return pa.RecordBatch.from_arrays([*cols, pa.array(start - begin[own], pa.int32()), pa.array(stop - begin[own], pa.int32())], names=["kh", "c1", "c2", "s", "e"])
 
-    held: list[tuple] = []  # anchors with several contexts
+    held: list[tuple] = []  # contexts of whole anchors
     group: list[tuple] = []  # contexts of the last anchor
     size = 0
+
+    def close() -> int:
+        """Take the last anchor's contexts in, unless they are one occurrence, which repeats nothing."""
+        if len(group) == 1 and group[0][3] == 1:
+            return 0
+        held.extend(group)
+        return sum(len(x[4]) for x in group)
+
     for b in batches:
-        lone = []
         for r in zip(*(b.column(c).to_pylist() for c in ("kh", "c1", "c2", "n", "bytes")), strict=True):
             if group and r[0] != group[0][0]:
-                if len(group) > 1:
-                    held += group
-                    size += sum(len(x[4]) for x in group)
-                elif group[0][3] > 1:
-                    lone.append(group[0])
+                size += close()
                 group = []
+                if size >= BATCH_BYTES:
+                    yield settle(held)
+                    held, size = [], 0
             group.append(r)
-            if size >= BATCH_BYTES:
-                yield settle(held)
-                held, size = [], 0
-        # all windows of one context differ, and its anchor has no other: only its weight counts
-        yield ranges(lone, list(range(len(lone))), np.zeros(len(lone), np.int32), np.array([len(r[4]) - SIZE + 1 for r in lone], np.int32))
-    if len(group) > 1:
-        held += group
-    elif group and group[0][3] > 1:
-        yield ranges(group, [0], np.zeros(1, np.int32), np.array([len(group[0][4]) - SIZE + 1], np.int32))
+    close()
     if held:
         yield settle(held)
 
