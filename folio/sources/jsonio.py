@@ -8,6 +8,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .versions import VersionedTable
+
 BLOCK = "struct<ord:int,id:string,text:string,bbox:array<double>,size:double,bold:boolean,italic:boolean,color:int,align:string,nlines:int,line_ys:array<double>,line_x0s:array<double>,line_ws:array<double>,line_hs:array<double>,rot:int,keep:boolean>"
 EXTRACT = f"doc string, source string, npages int, table_cont_pages array<int>, pages array<struct<page:int,blocks:array<{BLOCK}>>>"
 CHUNK = "doc string, chunk int, title string, pages array<int>, context_before string, context_after string, first_abbrevs array<string>, items array<struct<id:string,page:int,text:string>>"
@@ -78,15 +80,20 @@ def write_recurring(table: DataFrame, path: str) -> None:
     per.select(F.to_json(F.create_map(F.col("doc").cast("string"), "t")).alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
 
 
-def write_layer(rows: DataFrame, path: str, layer: str) -> None:
-    """Translations ``doc, id, zh`` as the layer's own version: ``path/layer=...``; no other layer is touched."""
-    rows.select("doc", "id", "zh", F.lit(layer).alias("layer")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("layer").parquet(path)
+def layers(spark: SparkSession, path: str) -> VersionedTable:
+    """The versioned table of translation layers under ``path``."""
+    return VersionedTable(spark, path, ("doc", "id"), by="layer")
+
+
+def write_layer(rows: DataFrame, path: str, layer: str) -> int:
+    """Translations ``doc, id, zh`` as the whole of a layer from now on: a new version, in which no other layer is touched."""
+    return layers(rows.sparkSession, path).overwrite(rows.select("doc", "id", "zh", F.lit(layer).alias("layer")), layer)
 
 
-def read_layers(spark: SparkSession, path: str, order: list[str]) -> DataFrame:
-    """``doc, id, zh, priority`` of the layers that ``write_layer`` wrote, later names in ``order`` before earlier ones."""
+def read_layers(spark: SparkSession, path: str, order: list[str], version: int | None = None) -> DataFrame:
+    """``doc, id, zh, priority`` of layers, later names in ``order`` before earlier ones; the last version, or a given one."""
     rank = F.array_position(F.array(*map(F.lit, order)), F.col("layer")).cast("int")
-    return spark.read.parquet(path).where(F.col("layer").isin(*order)).select("doc", "id", "zh", rank.alias("priority"))
+    return layers(spark, path).read(version, only=order).select("doc", "id", "zh", rank.alias("priority"))
 
 
 def write_missing(rows: DataFrame, path: str) -> None:
