@@ -17,10 +17,12 @@ from __future__ import annotations
 import argparse
 import importlib
 import sys
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from .config import DEFAULT
 from .operators import canonical, columns, overlay, qa
 from .plans.engine import Engine
 from .plans.shipping import ship_package
@@ -31,6 +33,10 @@ PSEUDO = "cZZ"
 PATHS = {"extract": 2, "profile": 2, "chunk": 2, "canonical": 2, "validate": 2, "columns": 3, "build": 3, "qa": 1, "coverage": 3, "pick": 2}
 
 
+#: Options and the settings they stand for.
+KNOBS = {"margin": "right_margin", "min-size": "min_text_size", "tolerance": "coverage_tolerance", "min-words": "coverage_min_words"}
+
+
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="folio", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     parser.add_argument("command", choices=list(PATHS))
@@ -41,13 +47,19 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("--fixes", default="", help="build: JSON file of a project's fixes")
     parser.add_argument("--recurring", help="build: Parquet table of recurring templates")
     parser.add_argument("--drop", action="append", default=[], help="build: prefix of texts to drop")
+    for name, knob in KNOBS.items():
+        parser.add_argument(f"--{name}", type=type(getattr(DEFAULT, knob)), default=getattr(DEFAULT, knob), help=f"qa, coverage: {knob} of the configuration")
+    parser.add_argument("--footer", help="qa: pattern that a page's lowest text has to match from the third page on")
+    parser.add_argument("--rules", help="canonical: JSON file of a project's rules (signatures, patterns, identity, identity_prefix, skip)")
+    parser.add_argument("--also", type=int, action="append", default=[], help="pick: page to look at besides the picked ones")
     parser.add_argument("--pages", type=int, default=8, help="pick: pages a document")
     opts = parser.parse_args(args)
     if len(opts.paths) != PATHS[opts.command]:
         parser.error(f"{opts.command} takes {PATHS[opts.command]} paths")
     spark = SparkSession.builder.appName("folio").getOrCreate()
     ship_package(spark)
-    return globals()[f"_{opts.command}"](spark, Engine(rules=canonical.SAMPLE), opts, *opts.paths)
+    engine = Engine(replace(DEFAULT, **{knob: getattr(opts, name.replace("-", "_")) for name, knob in KNOBS.items()}), canonical.read_rules(spark, opts.rules) if opts.rules else canonical.SAMPLE)
+    return globals()[f"_{opts.command}"](spark, engine, opts, *opts.paths)
 
 
 def _extract(spark, engine, opts, files: str, out: str) -> int:
@@ -107,7 +119,7 @@ def _columns(spark, engine, opts, extracts: str, trans: str, out: str) -> int:
 
 
 def _build(spark, engine, opts, extracts: str, trans: str, out: str) -> int:
-    fixes = jsonio.fix_tables(spark, jsonio.read_config(opts.fixes))
+    fixes = jsonio.read_fixes(spark, opts.fixes)
     blocks = engine.prepare(jsonio.read_extracts(spark, extracts), fixes, tuple(opts.drop))
     layers = _translations(spark, trans).select("doc", "id", "zh", F.coalesce("chunk", F.lit(0)).alias("priority"))
     layers = layers.unionByName(jsonio.read_translations(spark, trans, pseudo=True).where("not bad and id is not null").select("doc", "id", "zh", F.lit(2**31 - 1).alias("priority")))
@@ -115,34 +127,50 @@ def _build(spark, engine, opts, extracts: str, trans: str, out: str) -> int:
         layers = layers.unionByName(jsonio.read_layers(spark, opts.layer, [PSEUDO]).withColumn("priority", F.lit(2**31 - 1)))
     table = spark.read.parquet(opts.recurring) if opts.recurring else spark.createDataFrame([], "doc string, norm_key string, template string")
     actions = engine.build(blocks, table, layers, fixes["overrides"], tuple(opts.drop))
-    actions.write.mode("overwrite").parquet(f"{out}/actions")
+    # the write itself counts
+    seen = Observation("actions")
+    counted = actions.observe(seen, *[F.count_if(F.col("action") == a).alias(a) for a in overlay.ACTIONS])
+    counted.write.mode("overwrite").parquet(f"{out}/actions")
     actions = spark.read.parquet(f"{out}/actions")
     overlay.redactions(blocks, actions).write.mode("overwrite").parquet(f"{out}/redactions")
     engine.draw(blocks, actions).write.mode("overwrite").parquet(f"{out}/draw")
-    for row in actions.groupBy("action").count().orderBy("action").collect():
-        print(row["action"], row["count"])
+    for action, n in sorted(seen.get.items()):
+        if n:
+            print(action, n)
     return 0
 
 
 def _qa(spark, engine, opts, spans: str) -> int:
-    return _verdict(engine.check(spark.read.parquet(spans), tuple(opts.allow)))
+    rows = spark.read.parquet(spans)
+    report = engine.check(rows, tuple(opts.allow))
+    if opts.footer:
+        # the lowest text of a page is its foot
+        feet = rows.groupBy("doc", "page").agg(F.max_by("text", F.struct("y1", "ord")).alias("text"))
+        bad = qa.bad_footers(feet, opts.footer, engine.cfg).groupBy("doc").agg(F.count("*").alias("n_footer"))
+        report = report.join(bad, "doc", "left").withColumn("n_footer", F.coalesce("n_footer", F.lit(0).cast("long"))).withColumn("passed", F.col("passed") & (F.col("n_footer") == 0))
+    return _verdict(report)
 
 
 def _coverage(spark, engine, opts, cells: str, source: str, target: str) -> int:
-    return _verdict(qa.cell_coverage(*(spark.read.parquet(x) for x in (cells, source, target)), engine.cfg))
+    return _verdict(qa.cell_coverage(*(spark.read.parquet(x) for x in (cells, source, target)), engine.cfg, whole=True))
 
 
 def _pick(spark, engine, opts, marks: str, out: str) -> int:
-    jsonio.write_json_report(qa.page_pick(qa.page_scores(spark.read.parquet(marks)), opts.pages, engine.cfg), out)
+    scores = qa.page_scores(spark.read.parquet(marks))
+    jsonio.write_json_report(qa.with_pages(qa.page_pick(scores, opts.pages, engine.cfg), scores, opts.also), out)
     return 0
 
 
 def _verdict(report: DataFrame) -> int:
-    """Print the rows that fail, 20 at most; nothing to check is a failure too."""
-    failed = report.where("not passed").limit(20).collect()
+    """Print the rows that fail, 20 at most; nothing to check is a failure too.  One job: the rows are counted on their way."""
+    seen = Observation("verdict")
+    keys = [F.to_json(F.struct(*report.columns))]
+    failed = report.observe(seen, F.count("*").alias("rows"), F.count_if(~F.col("passed")).alias("failed")).where("not passed").orderBy(*keys).limit(20).collect()
     for row in failed:
         print(row.asDict())
-    return int(bool(failed) or report.isEmpty())
+    if (n := seen.get["failed"]) > len(failed):
+        print(f"{n} rows fail")
+    return int(bool(failed) or not seen.get["rows"])
 
 
 if __name__ == "__main__":

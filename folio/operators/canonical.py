@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import automaton as A
@@ -32,6 +33,12 @@ SAMPLE = RuleBook(
     identity=("Les.",), identity_prefix=r"^(De|La) ", skip=("Nicht.",))
 
 
+def read_rules(spark: SparkSession, path: str) -> RuleBook:
+    """A project's book from a JSON file: ``signatures``, ``patterns`` (pairs of pattern and words or null), ``identity``, ``identity_prefix``, ``skip``."""
+    x = json.loads(spark.read.text(path, wholetext=True).first()["value"])
+    return RuleBook(x.get("signatures", {}), tuple((p, w) for p, w in x.get("patterns", [])), tuple(x.get("identity", [])), x.get("identity_prefix", "^$"), tuple(x.get("skip", [])))
+
+
 #: Rules and words that a plan holds as ``CASE`` arms and nested replacements; larger books run as one function.
 PLAN_RULES = 64
 

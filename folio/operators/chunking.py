@@ -178,3 +178,36 @@ def outline(headings_: DataFrame, pages: DataFrame) -> DataFrame:
     last = pages.groupBy("doc").agg(F.max("page").alias("end"))
     rows = headings_.withColumn("next", F.lead("page").over(w)).join(last, "doc")
     return rows.select("doc", "ord", "title", F.col("page").alias("first_page"), F.greatest("page", F.coalesce(F.col("next") - 1, F.col("end"))).alias("last_page"))
+
+
+#: Levels that an outline may have; deeper headings count as the last.
+MOST_LEVELS = 9
+
+
+def heading_level(title: Column, numbered: str = r"^([0-9]+(?:\.[0-9]+)*)\b") -> Column:
+    """A numbered heading's level is that of its number (``2.1.3``: 3); all others are on the first."""
+    number = F.regexp_extract(title, numbered, 1)
+    return F.when(number == "", 1).otherwise(F.least(F.size(F.split(number, r"\.")), F.lit(MOST_LEVELS)))
+
+
+def outline_tree(headings_: DataFrame, pages: DataFrame) -> DataFrame:
+    """``doc, ord, title, level, parent, first_page, last_page`` for headings with a ``level`` from 1 on.
+
+    The parent (its ``ord``) is the last heading before that has a smaller level; a heading reaches to
+    the page before the next one that is not below it, so the pages of a part lie inside its parent's.
+    """
+    ahead, behind = (Window.partitionBy("doc").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1) for by in (("page", "ord"), (F.desc("page"), F.desc("ord"))))
+    level = F.least("level", F.lit(MOST_LEVELS))
+    of = lambda n, c: F.when(level == n, F.col(c))
+    above = F.greatest(F.lit(None).cast("int"), *[F.when(level > n, F.last(of(n, "ord"), ignorenulls=True).over(ahead)) for n in range(1, MOST_LEVELS)])
+    # seen from the end, the last heading of a level is the next one
+    after = F.least(F.lit(None).cast("int"), *[F.when(level >= n, F.last(of(n, "page"), ignorenulls=True).over(behind)) for n in range(1, MOST_LEVELS + 1)])
+    rows = headings_.withColumns({"parent": above, "next": after}).join(pages.groupBy("doc").agg(F.max("page").alias("end")), "doc")
+    return rows.select("doc", "ord", "title", level.cast("int").alias("level"), "parent", F.col("page").alias("first_page"), F.greatest("page", F.coalesce(F.col("next") - 1, F.col("end"))).alias("last_page"))
+
+
+def bookmarks(tree: DataFrame, translated: DataFrame) -> DataFrame:
+    """``doc, ord, level, parent, title, page``: an outline with its titles as ``translated(doc, ord, zh)`` has them, else as they are."""
+    rows = tree.join(translated.select("doc", "ord", "zh"), ["doc", "ord"], "left")
+    title = F.coalesce(F.nullif(T.strip(F.replace("zh", F.lit("\n"), F.lit(" "))), F.lit("")), "title")
+    return rows.select("doc", "ord", "level", "parent", title.alias("title"), F.col("first_page").alias("page"))

@@ -82,6 +82,10 @@ def redactions(blocks: DataFrame, actions: DataFrame, margin: float = 0.5) -> Da
     return blocks.join(gone, ["doc", "id"]).select("doc", "page", "id", (F.col("x0") - m).alias("x0"), (F.col("y0") - m).alias("y0"), (F.col("x1") + m).alias("x1"), (F.col("y1") + m).alias("y1"))
 
 
+#: What may happen to a block.
+ACTIONS = ("KEEP", "DROP", "VERBATIM", "UNTRANSLATED", "UNRESOLVED", "DRAW")
+
+
 def render_action(blocks: DataFrame, merged: DataFrame, keep: tuple[str, ...], drop: tuple[str, ...]) -> DataFrame:
     """``doc, id, action, zh``: the first rule that holds decides, in this order."""
     rows = blocks.join(merged, ["doc", "id"], "left")

@@ -59,9 +59,10 @@ def overprint(spans: DataFrame, cfg: EngineConfig = DEFAULT, wide: bool = True)
     return near.where(hit).select("doc", "page", F.least("a_ord", "b_ord").alias("i"), F.greatest("a_ord", "b_ord").alias("j"))
 
 
-def cell_coverage(cells: DataFrame, source: DataFrame, target: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
+def cell_coverage(cells: DataFrame, source: DataFrame, target: DataFrame, cfg: EngineConfig = DEFAULT, whole: bool = False) -> DataFrame:
     """``doc, n_cells, n_missing, passed``: source cells with enough words whose place in the target has no CJK, exactly or nearby.
 
+    ``whole``: a row for every document, those without such cells have passed.
     A plane sweep brings each cell, with the tolerance around it, together with the middles of the texts inside.
     """
     t = cfg.coverage_tolerance
@@ -78,6 +79,9 @@ def cell_coverage(cells: DataFrame, source: DataFrame, target: DataFrame, cfg: E
     got = rows.groupBy("doc", "page", "cell_no").agg(kept(~out & inside(0.0)).alias("src"), kept(out & inside(0.0)).alias("exact"), kept(out).alias("near"))
     asked = got.where(F.regexp_count("src", F.lit("[A-Za-z]{3,}")) >= cfg.coverage_min_words)
     found = asked.groupBy("doc").agg(F.count("*").alias("n_cells"), F.count_if(~T.has_cjk(F.coalesce(F.nullif("exact", F.lit("")), "near"))).alias("n_missing"))
+    if whole:  # a document without such cells has missed none
+        none = F.lit(0).cast("long")
+        found = cells.select("doc").unionByName(source.select("doc")).distinct().join(found, "doc", "left").select("doc", F.coalesce("n_cells", none).alias("n_cells"), F.coalesce("n_missing", none).alias("n_missing"))
     return found.withColumn("passed", F.col("n_missing") <= cfg.coverage_max_miss * F.col("n_cells"))
 
 
@@ -116,6 +120,16 @@ def summary(spans: DataFrame, allow: tuple[str, ...] = (), wide: bool = True, cf
     return out.select("doc", *names).withColumn("passed", sum((F.col(n) for n in names), F.lit(0)) == 0)
 
 
+def document_report(blocks: DataFrame, spans: DataFrame, allow: tuple[str, ...] = (), cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """``doc, n_blocks, n_pages, chars, n_overflow, n_residue``: sizes and findings of each document with blocks, by one aggregate over both tables."""
+    zero = F.lit(0).cast("long")
+    one = lambda c: F.when(c, 1).otherwise(0).cast("long")
+    a = blocks.select("doc", F.lit(1).cast("long").alias("n_blocks"), F.col("page").alias("n_pages"), F.length("text").cast("long").alias("chars"), zero.alias("n_overflow"), zero.alias("n_residue"))
+    b = spans.select("doc", zero.alias("n_blocks"), F.lit(None).cast("int").alias("n_pages"), zero.alias("chars"), one(_overflows(allow, cfg)).alias("n_overflow"), one(F.col("text").contains("⟦")).alias("n_residue"))
+    total = a.unionByName(b).groupBy("doc").agg(F.sum("n_blocks").alias("n_blocks"), F.max("n_pages").alias("n_pages"), *[F.sum(c).alias(c) for c in ("chars", "n_overflow", "n_residue")])
+    return total.where("n_blocks > 0")
+
+
 def page_scores(pages: DataFrame) -> DataFrame:
     """``doc, page, score``: 2 a drawing, 3 an image, 1 a short line."""
     return pages.select("doc", "page", (F.col("drawings") * 2 + F.col("images") * 3 + F.col("short_lines")).cast("long").alias("score"))
@@ -132,6 +146,12 @@ def page_pick(scores: DataFrame, k: int, cfg: EngineConfig = DEFAULT) -> DataFra
     return per.select("doc", F.posexplode(F.aggregate("ps", zero, step)).alias("pick", "page")).select("doc", "page", "pick")
 
 
+def with_pages(picked: DataFrame, pages: DataFrame, also: list[int]) -> DataFrame:
+    """The picked pages and those that were asked for, each page of a document once; the latter have no ``pick``."""
+    wanted = pages.where(F.col("page").isin(also)).select("doc", "page", F.lit(None).cast("int").alias("pick"))
+    return picked.unionByName(wanted).groupBy("doc", "page").agg(F.min("pick").alias("pick"))
+
+
 def crop_pixels(spec: Column, dpi: Column, width: Column, height: Column) -> Column:
     """A crop in points as whole pixels inside the image."""
     s = T.crop_spec(spec)

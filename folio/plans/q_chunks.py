@@ -228,6 +228,31 @@ def q_outline(spark, sf_dir):
     return chunking.outline(_heads(rows), rows.select("doc", "page"))
 
 
+# the level of a heading by the length of its title
+_TREE = f"""{HEADS}, lv as (select *, 1 + length(title) % 4 as level from hd), z as (select doc, max(page) as z from blocks group by 1),
+tree as (select h.doc, h.ord, title, cast(level as int) as level, (select max(p.ord) from lv p where p.doc = h.doc and p.ord < h.ord and p.level < h.level) as parent, page as first_page,
+ greatest(page, coalesce((select min(n.page) from lv n where n.doc = h.doc and n.ord > h.ord and n.level <= h.level) - 1, z)) as last_page from lv h join z on z.doc = h.doc)"""
+
+
+def _tree(spark, sf_dir):
+    rows = read_blocks(spark, sf_dir)
+    return rows, chunking.outline_tree(_heads(rows).withColumn("level", F.length("title") % 4 + 1), rows.select("doc", "page"))
+
+
+@query(f"with {BLOCKS_SQL}, {_TREE} select * from tree")
+def q_outline_tree(spark, sf_dir):
+    return _tree(spark, sf_dir)[1]
+
+
+@query(f"with {BLOCKS_SQL}, {_TREE} select t.doc, t.ord, level, parent, case when t.ord % 3 = 0 then 'Ü ' || left(b.text, 20) else title end as title, first_page as page from tree t join blocks b on b.doc = t.doc and b.ord = t.ord")
+def q_bookmarks(spark, sf_dir):
+    rows, tree = _tree(spark, sf_dir)
+    zh = rows.where("ord % 3 = 0").select("doc", "ord", F.concat(F.lit("Ü "), F.left("text", F.lit(20))).alias("zh"))
+    # a translation that is blank is none
+    blank = rows.where("ord % 3 = 1").select("doc", "ord", F.lit(" \n").alias("zh"))
+    return chunking.bookmarks(tree, zh.unionByName(blank))
+
+
 _AB = ("THE", "CI", "MIT", "ED", "SE")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import columns, overlay, qa, validate
+from ..sources import jsonio
 from ..sources.lens import BLOCKS_SQL, read_blocks, table
 from .q_chunks import CHUNKED, ITEMS, _chunks
 from .q_text import NUMBERED, STRIPPED, symbolic
@@ -54,6 +55,44 @@ def q_overrides(spark, sf_dir):
     return overlay.apply_overrides(overlay.merge_layers(layers(rows)), over)
 
 
+# a registry file a document, with values of either kind
+_FIXED = f"""with {BLOCKS_SQL}, o as (select cast(doc as varchar) as doc, id, ord, text from blocks where ord % 4 = 1)
+select doc, id, 'override' as kind, case when ord % 3 = 0 then 'SET' || ord end as a, case when ord % 3 = 1 then ' +' || ord end as b, cast(null as double) as n from o
+union all select doc, id, 'split', id || 'a', '0', case when ord % 2 = 1 then 7.5 end from o where ord % 3 = 0 union all select doc, id, 'split', id || 'b', '1', cast(ord as double) from o where ord % 3 = 0 and ord % 2 = 1
+union all select doc, id, 'drop', null, null, null from o where ord % 5 = 0 union all select doc, null, 'prefix', 'P' || doc, null, null from o group by doc
+union all select doc, id, 'shift', null, null, 1.5 - ord from o"""
+
+
+def registries(rows):
+    """``value``: the fix registry of each document as JSON text."""
+    o, word = F.col("ord"), F.col("ord").cast("string")
+    own = rows.where(o % 4 == 1)
+    pair = lambda name, v: F.concat(F.lit('"'), F.col(name), F.lit('":'), v)
+    over = F.when(o % 3 == 0, F.concat(F.lit('"SET'), word, F.lit('"'))).when(o % 3 == 1, F.concat(F.lit('{"append":" +'), word, F.lit('"}'))).otherwise(F.lit('{"other":1}'))
+    line = lambda n, tail, more: F.concat(F.lit(f'{{"line":{n},"new_id":"'), F.col("id"), F.lit(f'{tail}"'), more, F.lit("}"))
+    split = F.when(o % 2 == 1, F.concat(F.lit("["), line(0, "a", F.lit(',"size":7.5')), F.lit(","), line(1, "b", F.concat(F.lit(',"size":'), word)), F.lit("]"))).otherwise(line(0, "a", F.lit("")))
+    listed = lambda c: F.concat_ws(",", F.collect_list(c))
+    per = own.groupBy("doc").agg(listed(pair("id", over)).alias("over"), listed(F.when(o % 3 == 0, pair("id", split))).alias("split"), listed(F.when(o % 5 == 0, F.concat(F.lit('"'), "id", F.lit('"')))).alias("drops"),
+                                 listed(pair("id", F.concat(F.lit("["), (F.lit(1.5) - o).cast("string"), F.lit("]")))).alias("shift"))
+    doc = F.col("doc").cast("string")
+    return per.select(F.concat(F.lit('{"'), doc, F.lit('":{"trans_overrides":{'), "over", F.lit('},"line_splits":{'), "split", F.lit('},"drop_ids":['), "drops", F.lit('],"drop_prefixes":["P'), doc, F.lit('"],"lys_shift":{'), "shift", F.lit("}}}")).alias("value"))
+
+
+@query(_FIXED)
+def q_fix_registry(spark, sf_dir):
+    """Every document's registry taken apart; the five tables as one."""
+    t = jsonio.fixes_of(registries(read_blocks(spark, sf_dir)))
+    none = lambda kind: F.lit(None).cast(kind)
+    row = lambda rows, kind, a, b, n, i=F.col("id"): rows.select("doc", i.alias("id"), F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"), n.alias("n"))
+    s, d = "string", "double"
+    parts = [row(t["overrides"], "override", F.col("set_to"), F.col("append"), none(d)), row(t["splits"], "split", F.col("new_id"), F.col("line").cast(s), F.col("size")), row(t["drops"], "drop", none(s), none(s), none(d)),
+             row(t["prefixes"], "prefix", F.col("prefix"), none(s), none(d), none(s)), row(t["shifts"], "shift", none(s), none(s), F.element_at("shift", 1))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 @query("""with t as (select doc_id as doc, 'b' as id, string_split(text, chr(10)) as ls from documents where text is not null)
 select doc, id, case when doc % 3 = 0 then array_to_string(list_reverse(ls), chr(10)) else array_to_string(ls, chr(10)) end as zh from t""")
 def q_fixmap_reorder(spark, sf_dir):

@@ -257,12 +257,7 @@ def q_merge_runs(spark, sf_dir):
 o as (select doc, count(*) filter (x1 > 566 and x0 < 576) as n_overflow, count(*) filter (contains(text, '⟦')) as n_residue from spans group by 1) select b.*, n_overflow, n_residue from b join o on b.doc = o.doc""")
 def q_doc_report(spark, sf_dir):
     rows = read_blocks(spark, sf_dir)
-    size = rows.groupBy("doc").agg(F.count("*").alias("n_blocks"), F.max("page").alias("n_pages"), F.sum(F.length("text")).cast("long").alias("chars"))
-    found = spans(rows)
-    zero = F.lit(0).cast("long")
-    count = lambda df, n: df.groupBy("doc").agg(F.count("*").alias(n))
-    out = size.join(count(qa.overflow(found), "n_overflow"), "doc", "left").join(count(qa.residue(found), "n_residue"), "doc", "left")
-    return out.select("doc", "n_blocks", "n_pages", "chars", F.coalesce("n_overflow", zero).alias("n_overflow"), F.coalesce("n_residue", zero).alias("n_residue"))
+    return qa.document_report(rows, spans(rows))
 
 
 _WIDTH = r"len(regexp_extract_all({t}, '[一-鿿]')) * 1.0 + len(regexp_extract_all({t}, '[iljtf.,:;''|! ]')) * 0.28 + len(regexp_extract_all({t}, '[mwMW@]')) * 0.85 + len(list_filter(regexp_extract_all({t}, '\p{{Lu}}'), lambda x: x not in ('M', 'W'))) * 0.68 + (length({t}) - len(regexp_extract_all({t}, '[一-鿿]')) - len(regexp_extract_all({t}, '[iljtf.,:;''|! ]')) - len(regexp_extract_all({t}, '[mwMW@]')) - len(list_filter(regexp_extract_all({t}, '\p{{Lu}}'), lambda x: x not in ('M', 'W')))) * 0.52"

@@ -53,17 +53,17 @@ def q_blocks(spark, sf_dir):
     return read_blocks(spark, sf_dir)
 
 
-@query(f"with {BLOCKS_SQL} select doc, ord, {NUMBERED.format(t='text')} as numbered, regexp_replace({NUMBERED.format(t='text')}, '⟦N[0-9]+⟧', '#', 'g') as sig from blocks where regexp_matches(text, '[0-9]')")
+@query(f"with {BLOCKS_SQL} select doc, ord, {NUMBERED.format(t='text')} as numbered, regexp_replace({NUMBERED.format(t='text')}, '⟦N[0-9]+⟧', '#', 'g') as sig from blocks")
 def q_placeholders(spark, sf_dir):
     n = T.number_runs(F.col("text"))
-    return read_blocks(spark, sf_dir).where(F.col("text").rlike("[0-9]")).select("doc", "ord", n.alias("numbered"), T.signature(n).alias("sig"))
+    return read_blocks(spark, sf_dir).select("doc", "ord", n.alias("numbered"), T.signature(n).alias("sig"))
 
 
 @query(f"""with {BLOCKS_SQL} select doc, ord, text || ' ⟦N99⟧' as kept, text || ' ' as blanked,
 array_to_string(list_transform(string_split_regex(text, '[0-9]+'), lambda p, i: case when i = 1 then p else '⟦N' || (case when i = 2 then 7 else i - 2 end) || '⟧' || p end), '') as remapped
-from blocks where regexp_matches(text, '[0-9]')""")
+from blocks""")
 def q_restore(spark, sf_dir):
-    rows = read_blocks(spark, sf_dir).where(F.col("text").rlike("[0-9]"))
+    rows = read_blocks(spark, sf_dir)
     zh = F.concat(T.number_runs(F.col("text")), F.lit(" ⟦N99⟧"))
     return rows.select("doc", "ord", T.restore_runs(zh, F.col("text")).alias("kept"), T.restore_runs(zh, F.col("text"), blank=True).alias("blanked"),
                        T.remap_runs(T.number_runs(F.col("text")), F.create_map(F.lit(0), F.lit(7))).alias("remapped"))
@@ -180,9 +180,9 @@ def q_text_rewrites(spark, sf_dir):
     return read_blocks(spark, sf_dir).select("doc", "ord", lig.alias("lig"), T.cjk_spacing(F.replace(c, F.lit("e"), F.lit("好"))).alias("mix"), T.replace_words(c, {"the": "d\\$", "la": "die"}).alias("word"), T.digit_mask(c).alias("mask"))
 
 
-@query(f"with {BLOCKS_SQL} select doc, ord, list_sort(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*')) = list_sort(regexp_extract_all(case when ord % 7 = 0 then regexp_replace(text, '[0-9]', '') else text end, '[0-9]+(?:[.,][0-9]+)*')) as same_numbers from blocks where regexp_matches(text, '[0-9]')")
+@query(f"with {BLOCKS_SQL} select doc, ord, list_sort(regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*')) = list_sort(regexp_extract_all(case when ord % 7 = 0 then regexp_replace(text, '[0-9]', '') else text end, '[0-9]+(?:[.,][0-9]+)*')) as same_numbers from blocks")
 def q_number_preservation(spark, sf_dir):
-    rows = read_blocks(spark, sf_dir).where(F.col("text").rlike("[0-9]"))
+    rows = read_blocks(spark, sf_dir)
     faulty = F.when(F.col("ord") % 7 == 0, F.regexp_replace("text", "^([^0-9]*)[0-9]", "$1")).otherwise(F.col("text"))
     return validate.number_preservation(rows.withColumn("zh", faulty)).select("doc", "ord", "same_numbers")
 

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import json
-import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .versions import VersionedTable
@@ -104,25 +103,41 @@ def write_json_report(rows: DataFrame, path: str) -> None:
     rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.mode("overwrite").text(path)
 
 
-def read_config(path: str) -> dict:
-    """A small driver-side JSON file; missing is empty."""
-    if not os.path.exists(path):
-        return {}
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
+def _entries(v: Column, kind: str) -> Column:
+    """Entries of a JSON object whose values are of ``kind``; none where it is missing."""
+    return F.map_entries(F.coalesce(F.try_variant_get(v, "$", f"map<string,{kind}>"), F.expr(f"cast(map() as map<string,{kind}>)")))
+
+
+def fixes_of(registry: DataFrame, column: str = "value") -> dict[str, DataFrame]:
+    """Fix registries (JSON objects by document) as tables: ``overrides``, ``splits``, ``drops``, ``prefixes`` and ``shifts``.
+
+    Values that may be of two kinds (an override is a text or ``{append}``, a split one line or a
+    list of them) are taken apart as variants, in tasks.  Malformed JSON fails the job.
+    """
+    part = lambda v, name, kind: F.try_variant_get(v, f"$.{name}", kind)
+    docs = registry.select(F.explode(_entries(F.parse_json(F.col(column)), "variant")).alias("e")).select(F.col("e.key").alias("doc"), F.col("e.value").alias("x"))
+    by_id = lambda name, kind: docs.select("doc", F.explode(_entries(part(F.col("x"), name, "variant"), kind)).alias("e")).select("doc", F.col("e.key").alias("id"), F.col("e.value").alias("v"))
+    listed = lambda name, to: docs.select("doc", F.explode(part(F.col("x"), name, "array<string>")).alias(to))
+    over = by_id("trans_overrides", "variant")
+    text = F.when(F.schema_of_variant("v") == "STRING", F.try_variant_get("v", "$", "string"))
+    lines = by_id("line_splits", "variant")
+    lines = lines.select("doc", "id", F.explode(F.when(F.schema_of_variant("v").startswith("ARRAY"), F.try_variant_get("v", "$", "array<variant>")).otherwise(F.array("v"))).alias("s"))
+    fields = [part(F.col("s"), c, k).alias(c) for c, k in (("line", "int"), ("new_id", "string"), ("size", "double"), ("color", "int"), ("dy", "double"))]
+    return {
+        "overrides": over.select("doc", "id", text.alias("set_to"), part(F.col("v"), "append", "string").alias("append")),
+        "splits": lines.select("doc", "id", *fields),
+        "drops": listed("drop_ids", "id"), "prefixes": listed("drop_prefixes", "prefix"),
+        "shifts": by_id("lys_shift", "array<double>").select("doc", "id", F.col("v").alias("shift")),
+    }
+
+
+def read_fixes(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """``fixes_of`` JSON files; without a path the tables are empty."""
+    if not path:
+        return fix_tables(spark, {})
+    return fixes_of(spark.read.text(path, wholetext=True))
 
 
 def fix_tables(spark: SparkSession, fixes: dict) -> dict[str, DataFrame]:
-    """A fix registry as tables: ``overrides``, ``splits``, ``drops``, ``prefixes`` and ``shifts``."""
-    over, splits, drops, shifts = [], [], [], []
-    for doc, x in fixes.items():
-        for i, v in x.get("trans_overrides", {}).items():
-            over.append((doc, i, v, None) if isinstance(v, str) else (doc, i, None, v.get("append")))
-        for i, v in x.get("line_splits", {}).items():
-            for s in v if isinstance(v, list) else [v]:
-                splits.append((doc, i, s["line"], s["new_id"], s.get("size"), s.get("color"), s.get("dy")))
-        drops += [(doc, i) for i in x.get("drop_ids", [])]
-        shifts += [(doc, i, [float(y) for y in v]) for i, v in x.get("lys_shift", {}).items()]
-    make = spark.createDataFrame
-    return {"overrides": make(over, "doc string, id string, set_to string, append string"), "splits": make(splits, "doc string, id string, line int, new_id string, size double, color int, dy double"),
-            "drops": make(drops, "doc string, id string"), "prefixes": make([(d, p) for d, x in fixes.items() for p in x.get("drop_prefixes", [])], "doc string, prefix string"), "shifts": make(shifts, "doc string, id string, shift array<double>")}
+    """``fixes_of`` a registry that the driver holds."""
+    return fixes_of(spark.createDataFrame([(json.dumps(fixes),)], "value string"))
