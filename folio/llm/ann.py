@@ -124,6 +124,11 @@ def _restored(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return codes * step[:, None], step * (np.sqrt(codes.shape[1]) * 0.5000001)
 
 
+def weighed_at_once(probes: int, axes: int, depth: int) -> int:
+    """Queries that are probed together: each weighs every pair of its best buckets so far and the next hash's axes."""
+    return max(1, (1 << 22) // (min(probes, axes ** max(1, depth - 1)) * min(probes, axes)))
+
+
 class _Index:
     """How rows are dealt to tables and groups."""
 
@@ -147,8 +152,7 @@ class _Index:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), t, np.int32)), pa.array(bucket // self.below), pa.array(bucket), b.column("vec_id"), codes, step], names=["tab", "grp", "bucket", "vec_id", "codes", "step"])
 
     def probed(self, probes: int):
-        # a query weighs every pair of its best buckets so far and the next hash's axes
-        at_once = max(1, (1 << 22) // (min(probes, self.axes ** max(1, self.depth - 1)) * min(probes, self.axes)))
+        at_once = weighed_at_once(probes, self.axes, self.depth)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in _slices(batches, at_once):
@@ -275,8 +279,11 @@ def probes_for(recall: float, rows: DataFrame, asked: DataFrame, sample: int, to
     probes = least
     while probes < buckets:
         hit = np.zeros(len(near), bool)
-        for t, home in enumerate(homes):
-            hit |= (hashed(queries, t, depth, probes, seed)[owner] == home[:, None]).any(1)
+        step = weighed_at_once(probes, 2 * width(queries.shape[1]), depth)
+        for a in range(0, len(queries), step):  # no more in memory than a task holds
+            own = np.flatnonzero((owner >= a) & (owner < a + step))
+            for t, home in enumerate(homes):
+                hit[own] |= (hashed(queries[a : a + step], t, depth, probes, seed)[owner[own] - a] == home[own, None]).any(1)
         if hit.mean() >= recall:
             return probes
         probes += probes // 4
