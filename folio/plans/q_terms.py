@@ -171,14 +171,18 @@ def q_term_backfill(spark, sf_dir):
     return terms.backfill(rows, rows.where("term like 'A%'"), 3)
 
 
-GLOSS = "gl as (select n_name as term, 'i' || n_regionkey % 2 as industry, case n_nationkey % 3 when 0 then 'verified' when 1 then 'consistent' else 'original' end as tier, cast(n_nationkey % 5 as int) as source_rank, lower(n_name) as zh, cast(n_nationkey as bigint) as n from nation union all select n_name, 'i' || n_regionkey % 2, 'consistent', 1, 'c' || n_name, 3 from nation where n_nationkey % 2 = 0)"
+# words of a language as its industry's terms, long ones from a second source too
+GLOSS = """gw as (select lang as industry, w as term, count(*) as n from (select lang, unnest(string_split(text, ' ')) as w from documents where text is not null and lang is not null) where w <> '' group by 1, 2),
+gl as (select term, industry, case length(term) % 3 when 0 then 'verified' when 1 then 'consistent' else 'original' end as tier, cast(n % 5 as int) as source_rank, lower(term) as zh, n from gw
+ union all select term, industry, 'consistent', 1, 'c' || term, cast(3 as bigint) from gw where length(term) > 7)"""
 
 
 def glossary(spark, sf_dir):
-    k, industry = F.col("n_nationkey"), F.concat(F.lit("i"), (F.col("n_regionkey") % 2).cast("string"))
-    n = table(spark, sf_dir, "nation")
-    a = n.select(F.col("n_name").alias("term"), industry.alias("industry"), F.when(k % 3 == 0, "verified").when(k % 3 == 1, "consistent").otherwise("original").alias("tier"), (k % 5).cast("int").alias("source_rank"), F.lower("n_name").alias("zh"), k.cast("long").alias("n"))
-    return a.unionByName(n.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("term"), industry.alias("industry"), F.lit("consistent").alias("tier"), F.lit(1).alias("source_rank"), F.concat(F.lit("c"), "n_name").alias("zh"), F.lit(3).cast("long").alias("n")))
+    words = table(spark, sf_dir, "documents").where("text is not null and lang is not null").select(F.col("lang").alias("industry"), F.explode(F.split("text", " ", -1)).alias("term")).where("term <> ''")
+    n = words.groupBy("industry", "term").agg(F.count("*").alias("n"))
+    k = F.length("term") % 3
+    a = n.select("term", "industry", F.when(k == 0, "verified").when(k == 1, "consistent").otherwise("original").alias("tier"), (F.col("n") % 5).cast("int").alias("source_rank"), F.lower("term").alias("zh"), "n")
+    return a.unionByName(n.where(F.length("term") > 7).select("term", "industry", F.lit("consistent").alias("tier"), F.lit(1).alias("source_rank"), F.concat(F.lit("c"), "term").alias("zh"), F.lit(3).cast("long").alias("n")))
 
 
 @query(f"with {GLOSS} select * from gl qualify row_number() over (partition by industry, term order by case tier when 'verified' then 0 when 'consistent' then 1 else 2 end, source_rank, zh) = 1")
@@ -192,9 +196,9 @@ def q_glossary_merge(spark, sf_dir):
     return terms.merge_glossary(g.where("n < 12"), g.where("n >= 3"))
 
 
-@query(f"with {GLOSS}, r as (select *, row_number() over (partition by industry order by n desc, term) as r from gl) select industry, avg(case when tier = 'verified' then 1.0 else 0.0 end) as share, avg(case when tier = 'verified' then 1.0 else 0.0 end) >= 0.7 as passed from r where r <= 5 group by 1")
+@query(f"with {GLOSS}, r as (select *, row_number() over (partition by industry order by n desc, term) as r from gl) select industry, avg(case when tier = 'verified' then 1.0 else 0.0 end) as share, avg(case when tier = 'verified' then 1.0 else 0.0 end) >= 0.7 as passed from r where r <= 50 group by 1")
 def q_verified_share(spark, sf_dir):
-    return terms.verified_share(glossary(spark, sf_dir), top=5)
+    return terms.verified_share(glossary(spark, sf_dir))
 
 
 @query(f"with {BLOCKS_SQL} select doc, id, 'en' as variant from blocks where contains(replace(replace(text, 'ten', ''), 'ment', ''), 'en') union all select doc, id, 'xy' from blocks where contains(text, 'xy')")
