@@ -16,7 +16,7 @@ vectors of another length than most (of equally frequent lengths: the shorter);
 parts do not divide are filled up with zeros; null ids are larger than all others; rows that repeat
 an id are rows of their own, ordered by the bytes of their vectors; with fewer rows than entries the
 codebooks are smaller; components are held between bounds that keep every distance within 64 bits
-(beyond 100 million for 64 components); a label's sum beyond 64 bits is null; an empty table gives
+(only components beyond 500,000 are ever held, in vectors of 64); a label's sum beyond 64 bits is null; an empty table gives
 no rows; extra columns are ignored.
 """
 
