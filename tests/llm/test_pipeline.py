@@ -34,7 +34,7 @@ def test_stages(spark, sf):
 def test_run_and_registration(spark, sf):
     import __spark_entry__ as entry
 
-    assert [n.split("_")[0] for n in entry.queries() if n.startswith("op")] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in entry.queries() if n.startswith("op")] == [f"op{i}" for i in range(1, 14)]
     assert entry.queries()["pipeline"](spark, sf).count() > 0
 
 
