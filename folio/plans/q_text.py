@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunking, validate
-from ..sources import html, jsonio
+from ..sources import html, jsonio, tokens
 from ..sources.lens import BLOCKS_SQL, read_blocks, table
 
 QUERIES: dict = {}
@@ -130,6 +130,15 @@ def q_html_text_nodes(spark, sf_dir):
     return html.text_nodes(table(spark, sf_dir, "pages"), "page_id", "html")
 
 
+@query("""select page_id, length(html) as chars, sha256(html) as rebuilt, len(regexp_extract_all(html, '<!--')) as n_comments, len(regexp_extract_all(html, '(?is)<(?:script|style)[^>]*>[^<]')) as n_raw from pages where html <> ''""")
+def q_html_round_trip(spark, sf_dir):
+    """Every page put together again from its tokens, and how many comments and raw texts it has."""
+    found = tokens.html_tokens(table(spark, sf_dir, "pages"), "page_id", "html")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "source"))), lambda x: x["source"]), "")
+    per = found.groupBy("page_id").agg(F.max("end").cast("long").alias("chars"), F.sha2(F.encode(whole, "UTF-8"), 256).alias("rebuilt"), *[F.count_if(F.col("kind") == k).alias(n) for k, n in (("comment", "n_comments"), ("raw", "n_raw"))])
+    return per.select("page_id", "chars", "rebuilt", "n_comments", "n_raw")
+
+
 @query("""select page_id, ext, case when ext = 'pdf' then (case when page_id % 3 = 0 then 'pdf' else 'ocr' end) when ext in ('docx', 'pptx', 'xlsx') then 'office' when ext in ('md', 'html', 'htm', 'txt') then 'markup' else 'unknown' end as route
 from (select page_id, case page_id % 5 when 0 then 'pdf' when 1 then 'docx' when 2 then 'md' when 3 then 'exe' else 'xlsx' end as ext from pages)""")
 def q_route(spark, sf_dir):
