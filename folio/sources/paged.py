@@ -2,7 +2,7 @@
 
 ``spark.read.format("folio_pages")`` with the options
 
-    path        a file, a folder or a pattern (``*`` in the last part), on any store pyarrow.fs opens
+    path        a file, a folder or a pattern (``*`` in the last part), on any store that pyarrow.fs opens in tasks
     kind        one of ``RECORDS``
     parser      ``module:name`` of a ``PageParser`` class
     part_bytes  bytes of a file for each partition (32 MB)

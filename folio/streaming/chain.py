@@ -74,7 +74,10 @@ class Chain(StatefulProcessor):
 
 
 def chained_stream(chunks: DataFrame, step: Step, first: int = 0, patience_ms: int = 600_000) -> DataFrame:
-    """``doc, chunk, id, zh, after_gap`` of a stream of ``chunk_rows``; ``first``: the number of a document's first chunk."""
+    """``doc, chunk, id, zh, after_gap`` of a stream of ``chunk_rows``; ``first``: the number of a document's first chunk.
+
+    State of this kind needs Spark's RocksDB store, which the session's later streams use too.
+    """
     spark = chunks.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     return chunks.groupBy("doc").transformWithStateInPandas(Chain(step, first, patience_ms), OUT, "Append", "ProcessingTime")
