@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,6 +105,14 @@ def write_json_report(rows: DataFrame, path: str) -> None:
     rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.mode("overwrite").text(path)
 
 
+def read_config(path: str) -> dict:
+    """A small driver-side JSON file; missing is empty."""
+    if not os.path.exists(path):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
 def _entries(v: Column, kind: str) -> Column:
     """Entries of a JSON object whose values are of ``kind``; none where it is missing."""
     return F.map_entries(F.coalesce(F.try_variant_get(v, "$", f"map<string,{kind}>"), F.expr(f"cast(map() as map<string,{kind}>)")))
@@ -132,10 +142,13 @@ def fixes_of(registry: DataFrame, column: str = "value") -> dict[str, DataFrame]
 
 
 def read_fixes(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """``fixes_of`` JSON files; without a path the tables are empty."""
-    if not path:
+    """``fixes_of`` JSON files; without a path, or where nothing is there, the tables are empty."""
+    try:
+        return fixes_of(spark.read.text(path, wholetext=True)) if path else fix_tables(spark, {})
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return fix_tables(spark, {})
-    return fixes_of(spark.read.text(path, wholetext=True))
 
 
 def fix_tables(spark: SparkSession, fixes: dict) -> dict[str, DataFrame]:

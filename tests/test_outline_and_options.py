@@ -54,7 +54,8 @@ def test_registries_of_either_kind(spark, tmp_path):
     for t in (jsonio.read_fixes(spark, str(tmp_path / "fixes.json")), jsonio.fix_tables(spark, fixes)):
         got = {k: sorted(map(tuple, v.collect()), key=str) for k, v in t.items()}
         assert got == {"overrides": [("d", "a", "x", None), ("d", "b", None, "y"), ("d", "c", "12", None)], "splits": [("d", "e", 0, "n", None, None, None), ("d", "f", 1, "m", 8.0, 255, -1.5)], "drops": [("d", "q")], "prefixes": [("other", "w")], "shifts": [("d", "g", [1.0, 2.5])]}
-    assert all(v.count() == 0 for v in jsonio.read_fixes(spark, "").values())
+    for none in ("", str(tmp_path / "none.json")):
+        assert all(v.count() == 0 for v in jsonio.read_fixes(spark, none).values())
     (tmp_path / "bad.json").write_text('{"d": {')
     with pytest.raises(Exception, match="MALFORMED"):
         jsonio.read_fixes(spark, str(tmp_path / "bad.json"))["drops"].collect()
