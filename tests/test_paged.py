@@ -97,3 +97,23 @@ def test_command(spark, folder, tmp_path):
 
     assert main(["extract", str(folder / "c.feed"), str(tmp_path / "out"), "--parser", PARSER]) == 0
     assert jsonio.read_extracts(spark, str(tmp_path / "out")).count() == 6
+
+
+def test_a_table_in_many_files_is_one_document(spark, tmp_path):
+    """Pages keep their own numbers, whatever file they are in and in whatever order; SQL sees the same."""
+    import duckdb
+
+    from folio.plans import q_sources
+
+    pages = spark.createDataFrame([(i, "u", None if i == 4 else f'<div class="c{i % 3}">\n{i}</div>') for i in (7, 3, 0, 4, 9, 1, 8, 2, 5, 6)], "page_id long, url string, html string")
+    pages.repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("q_paged_spans", "q_paged_profile"):
+        found = q_sources.QUERIES[name](spark, str(tmp_path))
+        want = con.execute(f"select {', '.join(found.columns)} from ({q_sources.SQL[name]})").fetchall()
+        assert sorted(map(tuple, found.collect())) == sorted(want) and want
+    read = lambda **more: sorted(r.page for r in paged.read_pages(spark, f"{tmp_path}/pages.parquet", "marks", q_sources.PARSER, doc="pages", **more).collect())
+    assert read(pages=(3, 6)) == [3, 4, 6] and read(docs=["pages"]) == [1, 2, 3, 4, 6, 7, 8, 9, 10] and read(docs=["x"]) == []
+    with pytest.raises(Exception, match="does not number pages"):
+        paged.read_pages(spark, f"{tmp_path}/pages.parquet", "marks", PARSER, doc="pages").collect()
