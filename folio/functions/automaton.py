@@ -139,12 +139,15 @@ def find_terms(c: Column, terms: Terms) -> Column:
 def forbidden(c: Column, variants: dict[str, tuple[str, ...]]) -> Column:
     """The variants that a text has once its legal longer forms are taken out, in the order given.
 
-    One automaton finds variants and longer forms together; a text is only looked at again for
+    Longer forms are taken out one after the other, so what the first leaves may hold the next.  One
+    automaton finds variants and longer forms together; a text is only looked at again for
     variants whose longer forms it holds.
     """
-    import re
+    def rest(text: str, forms: tuple[str, ...]) -> str:
+        for f in forms:
+            text = text.replace(f, "")
+        return text
 
-    legal = {v: re.compile("|".join(map(re.escape, forms))) for v, forms in variants.items() if forms}
     every = Terms(dict.fromkeys([*variants, *(f for forms in variants.values() for f in forms)]), whole=False)
     of_form: dict[str, list[str]] = {}
     for v, forms in variants.items():
@@ -155,7 +158,7 @@ def forbidden(c: Column, variants: dict[str, tuple[str, ...]]) -> Column:
     def found(text: str) -> list[str]:
         seen = {term for _, _, term in every.all_spans(text)}
         held = {v for f in seen for v in of_form.get(f, ())}
-        hits = {v for v in seen if v in order and v not in held} | {v for v in held if v in legal[v].sub("", text)}
+        hits = {v for v in seen if v in order and v not in held} | {v for v in held if v in rest(text, variants[v])}
         return sorted(hits, key=order.__getitem__)
 
     return _mapped(found, pa.list_(pa.string()), c, "array<string>")

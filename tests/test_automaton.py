@@ -83,3 +83,9 @@ def test_allowed_phrases(spark):
     none = spark.createDataFrame([], "word string")
     found = lambda phrases: sorted(r.word for r in qa.residual_language(rows, "[A-Za-z]{3,}", none, phrases).collect())
     assert found(None) == ["Acme", "Steel", "Works"] and found(A.Terms({"Acme Steel Works": None})) == ["Steel"]
+
+
+def test_drift_takes_longer_forms_out_one_after_the_other(spark):
+    """Forms that overlap: without ``ten`` the text holds another ``ment``."""
+    rows = spark.createDataFrame([(1, "a", "la lementention."), (1, "b", "mtenent"), (1, "c", "mentenen"), (1, "d", "xtenytenx")], "doc int, id string, text string")
+    assert sorted((r.id, r.variant) for r in terms.drift(rows, {"en": ("ten", "ment"), "xy": ("ten",)}).collect()) == [("c", "en"), ("d", "xy")]
