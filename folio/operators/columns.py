@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -128,7 +129,9 @@ def paragraph_like(widths: Column, width: Column, cfg: EngineConfig = DEFAULT) -
     """Three lines or more, most of which but the last nearly fill the block."""
     n = F.size(widths)
     full = F.size(F.filter(F.slice(widths, F.lit(1), F.greatest(n - 1, F.lit(0))), lambda w: w > width * cfg.paragraph_line_share))
-    return (n >= 3) & (full >= F.greatest(F.lit(1), F.floor((n - 1) * cfg.paragraph_share)))
+    # the share as it is written: 90 * 0.7 is 63, not a hair less
+    share = F.lit(Decimal(str(cfg.paragraph_share)))
+    return (n >= 3) & (full >= F.greatest(F.lit(1), F.floor((n - 1) * share)))
 
 
 def cell_expand(blocks: DataFrame, cells: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
