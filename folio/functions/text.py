@@ -81,7 +81,8 @@ def restore_runs(c: Column, source: Column, blank: bool = False) -> Column:
 
         return _joined(F.split(c, HOLE, -1), _holes(c), fill)
 
-    return let(digit_runs(source), filled)
+    # most texts have no hole and are done
+    return F.when(c.contains("⟦N"), let(digit_runs(source), filled)).otherwise(c)
 
 
 def remap_runs(c: Column, holes: Column) -> Column:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 from decimal import Decimal
+from math import inf
+from operator import le
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,6 +48,13 @@ def first_fit(ys: list[float], tolerance: float = DEFAULT.row_tolerance) -> list
 
     Seeds lie more than the tolerance apart, so a sorted list finds the few that can be near.
     """
+    if all(map(le, ys, ys[1:])):  # from top to bottom: only the last seed can be near
+        out, seed, row = [], -inf, -1
+        for y in ys:
+            if not y - seed <= tolerance:
+                seed, row = y, row + 1
+            out.append(row)
+        return out
     seeds: list[float] = []
     number: dict[float, int] = {}
     out = []
@@ -76,6 +86,32 @@ def row_clusters(lines: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     return found.select("doc", "id", F.explode(F.arrays_zip("ns", "rows")).alias("r")).select("doc", "id", F.col("r.ns").alias("line_no"), F.col("r.rows").alias("row"))
 
 
+def gathered(lines: DataFrame) -> DataFrame:
+    """``doc, id, ls``: the lines of each block as one array, in order; the only time that lines move."""
+    fields = [c for c in ("line_no", "text", "x0", "x1", "y") if c in lines.columns]
+    return lines.groupBy("doc", "id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("ls"))
+
+
+def has_gap(ls: Column, cfg: EngineConfig = DEFAULT) -> Column:
+    """Whether gathered lines ``line_no, x0, x1, y`` have a gap between neighbours of one row, as ``merged_columns`` finds it."""
+    tolerance, gap = cfg.row_tolerance, cfg.column_gap
+
+    def run(ns: pa.Array, x0s: pa.Array, x1s: pa.Array, ys: pa.Array) -> pa.Array:
+        flat = lambda a: a.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        sizes = ys.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(sizes)
+        tops = flat(ys).tolist()
+        rows = np.array([r for a, z in zip((ends - sizes).tolist(), ends.tolist(), strict=True) for r in first_fit(tops[a:z], tolerance)], np.int64)
+        block, n, left, right = np.repeat(np.arange(len(sizes)), sizes), flat(ns), flat(x0s), flat(x1s)
+        first = np.where(x0s.flatten().is_null().to_numpy(zero_copy_only=False), -inf, left)  # as Spark sorts nulls
+        by = np.lexsort((n, first, rows, block))
+        a, z = by[:-1], by[1:]
+        hit = (block[a] == block[z]) & (rows[a] == rows[z]) & (left[z] - right[a] > gap)
+        return pa.array(np.bincount(block[a[hit]], minlength=len(sizes)) > 0)
+
+    return F.arrow_udf(run, "boolean")(ls["line_no"], ls["x0"], ls["x1"], ls["y"])
+
+
 def merged_columns(lines: DataFrame, rows: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
     """``doc, id``: blocks with a gap between neighbours of one row."""
     w = Window.partitionBy("doc", "id", "row").orderBy("x0", "line_no")
@@ -91,13 +127,20 @@ def pseudo_blocks(lines: DataFrame, merged: DataFrame, translations: DataFrame,
     """
     if rotated is not None:
         merged = merged.join(rotated.select("doc", "id"), ["doc", "id"], "left_anti")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n")
-    size = lines.groupBy("doc", "id").agg(F.count("*").alias("n"), joined.alias("parent"))
-    split = translations.where("zh is not null and zh <> ''").withColumn("parts", F.split("zh", "\n", -1))
-    fit = merged.join(size, ["doc", "id"]).where("n >= 2").join(split, ["doc", "id"]).where(F.size("parts") == F.col("n")).select("doc", "id", "parts", "parent")
-    rows = lines.join(fit, ["doc", "id"])
-    zh = F.nullif(T.restore_runs(T.strip(F.element_at("parts", F.col("line_no") + 1)), F.col("parent"), blank=True), F.lit(""))
-    return rows.select("doc", F.concat("id", F.lit("#"), F.col("line_no").cast("string")).alias("id"), F.col("id").alias("parent_id"), "line_no", "text", zh.alias("zh"))
+    return split_gathered(gathered(lines.select("doc", "id", "line_no", "text")).join(merged.select("doc", "id"), ["doc", "id"], "left_semi").join(translations.select("doc", "id", "zh"), ["doc", "id"]))
+
+
+def split_gathered(blocks: DataFrame) -> DataFrame:
+    """``pseudo_blocks`` of blocks ``doc, id, ls, zh`` with gathered lines and their translation, each by itself."""
+    parts = F.split("zh", "\n", -1)
+    fit = blocks.where((F.size("ls") >= 2) & (F.col("zh") != "") & (F.size(parts) == F.size("ls")))
+    # holes are filled once a block, in lines that are stripped already; none can hold a line break
+    parent = F.array_join(F.transform("ls", lambda x: x["text"]), "\n")
+    whole = T.let(F.array_join(F.transform(parts, T.strip), "\n"), lambda w: T.restore_runs(w, parent, blank=True))
+    rows = fit.select("doc", "id", "ls", F.split(whole, "\n", -1).alias("parts"))
+    of_line = F.transform("ls", lambda x: F.struct(x["line_no"].alias("line_no"), x["text"].alias("text"), F.element_at("parts", x["line_no"] + 1).alias("zh")))
+    rows = rows.select("doc", "id", F.inline(of_line))
+    return rows.select("doc", F.concat("id", F.lit("#"), F.col("line_no").cast("string")).alias("id"), F.col("id").alias("parent_id"), "line_no", "text", F.nullif("zh", F.lit("")).alias("zh"))
 
 
 def split_blocks(blocks: DataFrame, pseudo: DataFrame) -> DataFrame:

@@ -369,3 +369,24 @@ def test_stream_resumes(spark, tmp_path):
         stream = spark.readStream.schema(rows.schema).parquet(src)
         incremental.stream_translations(stream, str.upper, out, mark).awaitTermination()
     assert sorted((r.id, r.zh) for r in spark.read.parquet(out).collect()) == [("i0", "X"), ("i1", "X")]
+
+
+def test_gathered_lines_have_the_gaps_of_merged_columns(spark):
+    """One pass over a block's own lines finds what the joined rows show: lines in any order, rows met late, no value."""
+    rng = random.Random(11)
+    spread = lambda: [(i, rng.choice([0.0, 60.0, 61.0, 130.0, None]), rng.choice([50.0, 59.0, 128.5, None]), rng.choice([0.0, 2.4, 2.5, 2.6, 5.0, 12.0])) for i in range(rng.randrange(1, 9))]
+    rows = spark.createDataFrame([("d", f"b{b}", *line) for b in range(300) for line in spread()], "doc string, id string, line_no int, x0 double, x1 double, y double").repartition(5)
+    want = sorted(r.id for r in columns.merged_columns(rows, columns.row_clusters(rows)).collect())
+    packed = columns.gathered(rows)
+    assert sorted(r.id for r in packed.where(columns.has_gap(F.col("ls"))).collect()) == want and 30 < len(want) < 270
+
+
+@pytest.mark.parametrize("name", ["q_column_merge", "q_pseudo_blocks"])
+def test_lines_of_a_block_do_not_move(spark, name):
+    import contextlib
+
+    from folio.plans import q_overlay
+
+    with contextlib.redirect_stdout(out := io.StringIO()):
+        q_overlay.QUERIES[name](spark, "/root/testdata/sf0.001").explain()
+    assert "Exchange" not in out.getvalue() and "ArrowEvalPython" in out.getvalue()
