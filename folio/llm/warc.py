@@ -1,6 +1,6 @@
 """Content-addressed WARC archive.
 
-Payload bytes are stored once under their SHA-256; record headers are stored separately, exactly
+Payload bytes are stored once under their SHA-256, deflated, and move deflated; record headers are stored separately, exactly
 as they stand in the record, with the header of the HTTP response that begins its block.  A
 record is its header joined with its payload: a *response* has the payload behind the HTTP header,
 a *revisit* the HTTP header alone and the id of the response.  The first record (by id) of
@@ -17,6 +17,7 @@ no url can bring a header line; an empty table gives an empty archive; extra col
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
@@ -59,8 +60,32 @@ def _header(kind: Column, date: str) -> Column:
         _line("Content-Length", block.cast("string")), F.lit(CRLF), http)
 
 
+def deflated(payload: Column) -> Column:
+    """Payloads as zlib streams: what is shuffled and stored."""
+
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else zlib.compress(v) for v in values.to_pylist()], pa.binary())
+
+    return F.arrow_udf(run, "binary")(payload)
+
+
+def inflated(stored: Column) -> Column:
+    """Payloads of zlib streams; null for anything else."""
+
+    def read(value: bytes | None) -> bytes | None:
+        try:
+            return None if value is None else zlib.decompress(value)
+        except zlib.error:
+            return None
+
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([read(v) for v in values.to_pylist()], pa.binary())
+
+    return F.arrow_udf(run, "binary")(stored)
+
+
 def write_archive(pages: DataFrame, path: str, min_revisit: int = 100, date: datetime | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
-    """Write ``path/headers`` (digest, header) and ``path/payloads`` (digest, payload; one row a digest).
+    """Write ``path/headers`` (digest, header) and ``path/payloads`` (digest, deflated payload; one row a digest).
 
     ``date``: of all records; the time of writing where none is given.
     """
@@ -73,7 +98,8 @@ def write_archive(pages: DataFrame, path: str, min_revisit: int = 100, date: dat
     stamp = (date or datetime.now(UTC)).astimezone(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     heads.select("digest", _header(kind, stamp).alias("header")).write.parquet(f"{path}/headers")
     # each task keeps one row of a digest before payloads move, so copies of one page never meet in one task
-    once = rows.groupBy("digest").agg(F.min_by("payload", "place").alias("payload"))
+    small_batches(pages.sparkSession)
+    once = rows.select("digest", "place", deflated(F.col("payload")).alias("payload")).groupBy("digest").agg(F.min_by("payload", "place").alias("payload"))
     once.write.parquet(f"{path}/payloads")
 
 
@@ -81,9 +107,11 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """``header, payload, digest`` of each record; payloads are verified against their digest."""
     heads = spark.read.schema("digest string, header string").parquet(f"{path}/headers")
     stored = spark.read.schema("digest string, payload binary").parquet(f"{path}/payloads")
-    stored = stored.withColumn("payload", F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(
+    small_batches(spark)
+    # payloads are inflated behind the join, so they are small where they move
+    found = heads.join(stored, "digest").select("header", inflated(F.col("payload")).alias("payload"), "digest")
+    return found.withColumn("payload", F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(
         F.raise_error(F.concat(F.lit("payload does not match digest "), F.col("digest"))).cast("binary")))
-    return heads.join(stored, "digest").select("header", "payload", "digest")
 
 
 def record_of(header: bytes, payload: bytes) -> bytes:

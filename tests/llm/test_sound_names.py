@@ -57,3 +57,12 @@ def test_copies_of_a_payload_do_not_move(spark, tmp_path):
     assert stored.count() == 1
     rows = warc.parsed(warc.read_archive(spark, str(tmp_path / "a"))).groupBy("record_type", "refers_to", "payload_bytes").count().collect()
     assert sorted(map(tuple, rows), key=str) == sorted([("response", None, len(page), 1), ("revisit", 0, len(page), 99_999)], key=str)
+
+
+def test_payloads_are_stored_deflated(spark, tmp_path):
+    """Payloads move twice, so their size decides about disk: they move and lie deflated, and come back whole."""
+    pages = spark.createDataFrame([(1, "u", "<p>line of a page</p>" * 500), (2, "u", None), (3, "u", "é")], "page_id long, url string, html string")
+    warc.write_archive(pages, str(tmp_path / "d"))
+    assert spark.read.parquet(str(tmp_path / "d/payloads")).selectExpr("max(length(payload)) as n").first().n < 10_500 / 20
+    rows = {r.page_id: bytes(r.payload) for r in warc.parsed(warc.read_archive(spark, str(tmp_path / "d"))).collect()}
+    assert rows == {1: b"<p>line of a page</p>" * 500, 2: b"", 3: "é".encode()}
