@@ -6,20 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import automaton as A
+from ..functions import grams
 from ..functions import text as T
 
 
 def ngrams(texts: DataFrame, sizes: tuple[int, ...] = (2, 3, 4), stop: tuple[str, ...] = (), least: int = 2) -> DataFrame:
-    """``size, gram, n``: runs of lower-case words that neither begin nor end with a stop word."""
-    # behind the explode the words are a column, not an expression that every use repeats
-    words = texts.select(F.explode(F.array(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("w"))
-    # a row a word, with the words behind it beside it
-    ahead = [F.slice("w", F.lit(i + 1), F.greatest(F.size("w") - i, F.lit(0))).alias(f"w{i}") for i in range(max(sizes))]
-    rows = words.select(F.explode(F.arrays_zip(*ahead)).alias("z")).select("z.*")
-    fine = lambda i: ~F.col(f"w{i}").isin(*stop) if stop else F.lit(True)
-    gram = [F.struct(F.lit(n).alias("size"), F.when(F.col(f"w{n - 1}").isNotNull() & fine(0) & fine(n - 1), F.concat_ws(" ", *(f"w{i}" for i in range(n)))).alias("gram")) for n in sizes]
-    found = rows.select(F.explode(F.array(*gram)).alias("g")).select("g.size", "g.gram").where("gram is not null")
-    return found.groupBy("size", "gram").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    """``size, gram, n``: runs of lower-case words that neither begin nor end with a stop word.
+
+    For a bound above 1 a first job counts hashed runs, and only those that can reach it are counted by their words.
+    """
+    words = texts.select(F.regexp_replace(F.lower("text"), r"\P{L}+", " ").alias("w"))
+    often = None
+    if least > 1:
+        parts = words.mapInArrow(grams.tallied(sizes, stop, least), grams.TALLY).groupBy("range").applyInArrow(grams.frequent(least), grams.MAP)
+        often = texts.sparkSession.sparkContext.broadcast(grams.whole_map(parts.collect()))
+    found = words.mapInArrow(grams.counted(sizes, stop, often), grams.COUNT)
+    return found.groupBy("size", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
 
 def acronyms(blocks: DataFrame, stop: tuple[str, ...] = ()) -> DataFrame:

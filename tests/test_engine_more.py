@@ -2,12 +2,17 @@
 
 import json
 import random
+import re
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_fixtures import archive
 
 from folio.__main__ import main
+from folio.functions import grams
 from folio.functions import text as T
 from folio.operators import chunking, overlay, profile, qa, terms
 from folio.plans.engine import Engine
@@ -36,6 +41,76 @@ def test_ngrams_of_short_texts(spark):
     assert got == {(2, "good morning"): 2, (3, "red blue green"): 1, (2, "één schöne"): 1, (2, "schöne straße"): 1, (3, "één schöne straße"): 1}
 
 
+def plain_grams(texts, sizes, stop, least):
+    found = Counter()
+    for text in texts:
+        words = [w for w in re.split(r"[\W\d_]+", (text or "").lower()) if w]
+        found.update((n, " ".join(words[i:i + n])) for n in sizes for i in range(len(words) - n + 1) if not {words[i], words[i + n - 1]} & set(stop))
+    return {k: n for k, n in found.items() if n >= least}
+
+
+def in_pieces(run, piece):
+    def within(batches):
+        usual, grams.PIECE = grams.PIECE, piece
+        try:
+            yield from run(batches)
+        finally:
+            grams.PIECE = usual  # a worker serves other tests too
+
+    return within
+
+
+@pytest.mark.parametrize(("sizes", "stop", "least"), [((2, 3, 4), ("the", "of"), 3), ((1, 5), (), 2), ((2,), ("the",), 40)])
+def test_frequent_ngrams(spark, monkeypatch, sizes, stop, least):
+    rng = random.Random(5)
+    words = ["the", "of", "é", "ß", "Straße", "x" * 300, "日本", "𝒜𝒷", *(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))]
+    texts = [rng.choice(["", " ", "--"]) + rng.choice([" ", "\n", "1, "]).join(rng.choices(words, range(len(words), 0, -1), k=rng.choice([0, 1, 2, 3, 40, 300]))) for _ in range(200)]
+    texts += [None, "", " 12 ", "the", "b a " * 5000]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    want = plain_grams(texts, sizes, stop, least)
+    assert want
+    for piece in (grams.PIECE, 1000):
+        with monkeypatch.context() as m:
+            for name in ("tallied", "counted"):
+                m.setattr(grams, name, lambda *a, f=getattr(grams, name), piece=piece: in_pieces(f(*a), piece))
+            got = terms.ngrams(rows, sizes, stop, least)
+        assert got.dtypes == [("size", "int"), ("gram", "string"), ("n", "bigint")]
+        assert {(r.size, r.gram): r.n for r in got.collect()} == want
+
+
+def test_ngrams_that_share_a_key(spark, monkeypatch):
+    """A key for all: nothing is ruled out, and the words decide."""
+    same = lambda hashes, size, at: np.zeros(len(at), np.uint32)
+    monkeypatch.setattr(grams, "_keys", same)
+    texts = pa.array(["a b c a b", "b c d", None, ""])
+    block = next(grams.tallied((2, 3), ("d",), 2)([pa.record_batch([texts], ["w"])]))
+    assert block.to_pydict()["n"] == [2]
+    cells = grams.whole_map((r["range"], r["cells"]) for r in grams.frequent(2)(pa.table(block)).to_pylist())
+    often = type("Sent", (), {"value": cells})
+    got = [tuple(r.values()) for b in grams.counted((2, 3), ("d",), often)([pa.record_batch([texts], ["w"])]) for r in b.to_pylist()]
+    assert sorted(got) == [(2, "a b", 2), (2, "b c", 2), (2, "c a", 1), (3, "a b c", 1), (3, "b c a", 1), (3, "c a b", 1)]
+
+
+def test_rare_ngrams_are_not_shuffled(spark):
+    """Of words that meet once, what is shuffled is less than three bytes a run (their strings took some twenty)."""
+    letters = [chr(97 + i) for i in range(26)]
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choices(letters, k=5)) for _ in range(2000)) + " so it goes" for _ in range(100)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(4)
+    written = lambda: sum(s.shuffleWriteBytes() for s in stages(spark))
+    before = written()
+    got = {(r.size, r.gram): r.n for r in terms.ngrams(rows, least=20).collect()}
+    assert got == {(2, "so it"): 100, (2, "it goes"): 100, (3, "so it goes"): 100}
+    assert 0 < written() - before < 3 * 600_000
+
+
+def stages(spark):
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return [found.apply(i) for i in range(found.size())]
+
+
 def test_first_expansion_on_any_line(spark):
     rows = spark.createDataFrame([("d", 0, "line one\nMIT here"), ("d", 1, "MIT again"), ("e", 0, "éMIT no, MIT yes")], "doc string, ord int, text string")
     got = {(r.doc, r.ord): r.text for r in terms.expand_first(rows, {"MIT": "a $1 \\ place"}).collect()}
